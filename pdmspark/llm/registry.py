@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, sharding, tokens, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_token_files": tokens.op2_token_files,
         "op3_mix_sources": mixing.op3_mix_sources,
+        "op6_url_filter": url_filter.op6_url_filter,
         "op7_shard_interleaved": sharding.op7_shard_interleaved,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op3_mix_sources": mixing.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op3_mix_sources": mixing.SQL, "op6_url_filter": url_filter.SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding, tokens, toxicity, url_filter
+from . import decontamination, exact_dedup, mixing, sharding, simhash, tokens, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_token_files": tokens.op2_token_files,
         "op3_mix_sources": mixing.op3_mix_sources,
+        "op4_simhash": simhash.op4_simhash,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_shard_interleaved": sharding.op7_shard_interleaved,
+        "op9_decontamination": decontamination.op9_decontamination,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 

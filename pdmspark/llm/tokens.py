@@ -21,6 +21,8 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,13 @@ CHECKSUM_BIT = 0x80
 #: A frame is closed once it has this many ids, so reading one document decodes little more.
 FRAME_IDS = 65_536
 #: Pieces of text whose ids a worker remembers, and the longest such piece.
-CACHE_PIECES, CACHE_CHARS = 400_000, 64
+CACHE_PIECES, CACHE_CHARS = 900_000, 64
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers have for each byte: printing ones stand for themselves, the others for 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(sorted({*range(256)} - own))}
 
 
 class Encoder:
@@ -63,11 +71,12 @@ class Encoder:
         self.two_bytes = self.tokenizer.get_vocab_size() <= 1 << 16
         pre = self.tokenizer.pre_tokenizer
         self.cuts = isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space and self.tokenizer.normalizer is None
-        line = self._encode(["\n"])[0] if self.cuts else b""
-        self.line = int(np.frombuffer(line, "<u4")[0]) if len(line) == 4 else None
-        self.cuts &= self.line is not None
         self.known: dict[str, bytes] = {}
-        self.rough = re.compile(r"\s\s|\0|^\s|\s$")
+        #: A word of Latin letters, with a blank before it and one mark behind it or not: one or two pre-tokens.
+        self.simple = re.compile("^(?:( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,:;!?|]?)(?=\n|\\Z)|(.*))$", re.MULTILINE)
+        self.marks = {x: self._encode([x])[0] for x in ("", *".,:;!?|")}
+        self.letters = byte_letters()
+        self.bytes_of = [np.array([k], "<u4").tobytes() for k in range(self.tokenizer.get_vocab_size())]
         self.safe = re.compile(r"(?<=\S)(?= \S)")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -75,26 +84,23 @@ class Encoder:
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def pieces(self, text: str) -> list[str]:
-        if self.rough.search(text):
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\0" in text:
             return self.safe.split(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of new pieces. Those without line breaks are encoded together, a line apart."""
-        plain = [x for x in pieces if x and "\n" not in x and not x[-1].isspace()]
-        rest = [x for x in pieces if x and ("\n" in x or x[-1].isspace())]
-        out = {"": b""} | dict(zip(rest, self._encode(rest), strict=True))
-        if plain:
-            ids = np.frombuffer(self._encode(["\n".join(plain)])[0], "<u4")
-            ends = [*np.flatnonzero(ids == self.line).tolist(), len(ids)]
-            if len(ends) == len(plain):
-                begin = 0
-                for x, end in zip(plain, ends, strict=True):
-                    out[x] = ids[begin:end].tobytes()
-                    begin = end + 1
+        """Ids of new pieces: of simple words from the tokenizer's model alone, of others from the whole of it."""
+        lines = [x for x in pieces if x and "\n" not in x]
+        parts = self.simple.findall("\n".join(lines))
+        words = "\n".join([x[0] for x in parts]).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
+        ids, tokenize = self.bytes_of, self.tokenizer.model.tokenize
+        out, rest = {}, [x for x in pieces if not x or "\n" in x]
+        for line, (word, mark, _), letters in zip(lines, parts, words, strict=True):
+            if word:
+                out[line] = b"".join([ids[x.id] for x in tokenize(letters)]) + self.marks[mark]
             else:
-                out |= dict(zip(plain, self._encode(plain), strict=True))
-        return out
+                rest.append(line)
+        return out | dict(zip(rest, self._encode(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 4-byte unsigned integers."""
@@ -102,7 +108,7 @@ class Encoder:
             return self._encode(texts)
         cut_up = [self.pieces(x) for x in texts]
         found = [list(map(self.known.get, x)) for x in cut_up]
-        new = {p for ps, vs in zip(cut_up, found, strict=True) if None in vs for p, v in zip(ps, vs, strict=True) if v is None}
+        new = {p for ps, vs in zip(cut_up, found, strict=True) if None in vs for p in compress(ps, map(not_, vs))}
         fresh = self.encode_pieces(list(new)) if new else {}
         for p, v in fresh.items():
             if len(self.known) >= CACHE_PIECES:

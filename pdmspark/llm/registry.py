@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, mixing, sharding, simhash, tokens, toxicity, url_filter
+from . import decontamination, exact_dedup, mixing, sharding, simhash, substring_dedup, tokens, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_files": tokens.op2_token_files,
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_simhash": simhash.op4_simhash,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_shard_interleaved": sharding.op7_shard_interleaved,
         "op9_decontamination": decontamination.op9_decontamination,

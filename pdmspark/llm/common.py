@@ -46,6 +46,18 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def boxed(df: DataFrame, *needed: Column) -> DataFrame:
+    """``df`` as one struct column ``_row`` beside the columns an operator needs, so that no name clashes."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *needed)
+
+
+def unboxed(df: DataFrame, replaced: list[str] | tuple = (), *added: Column) -> DataFrame:
+    """The columns of ``_row`` without those ``replaced``, and the columns ``added``."""
+    gone = {x.lower() for x in replaced}
+    names = [f.name for f in df.schema["_row"].dataType.fields if f.name.lower() not in gone]
+    return df.select(*[F.col("_row")[n].alias(n) for n in names], *added)
+
+
 def seeded_hash(seed: str, *cols: str) -> Column:
     """A uniform long below 2**60 from the columns' text; nulls count as the text ``null``."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols]

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, seeded_hash, table
+from .common import boxed, cut, seeded_hash, table, unboxed
 
 #: Lengths of n-grams, buckets, and buckets that the regression uses.
 LENGTHS = (4, 5, 6)
@@ -139,31 +139,31 @@ def fit(rows: DataFrame) -> Model:
         for batch in batches:
             text, bucket = gram_hits(_clean(batch["text"]), wanted)
             cuts = np.searchsorted(text, np.arange(len(batch) + 1))
-            yield pd.DataFrame({"y": batch["y"], "grams": [bucket[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]})
+            yield pd.DataFrame({"y": batch["y"], "grams": [bucket[a:b].astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]})
 
-    sparse = rows.mapInPandas(features, "y int, grams array<int>").collect()
-    weights, bias = regress([r["grams"] for r in sparse], np.array([r["y"] for r in sparse], "f8"), ratio, chosen)
+    sparse = rows.mapInPandas(features, "y int, grams binary").collect()
+    weights, bias = regress([np.frombuffer(r["grams"], "<i4") for r in sparse], np.array([r["y"] for r in sparse], "f8"), ratio, chosen)
     return Model(weights, bias)
 
 
-def regress(grams: list[list[int]], y: np.ndarray, ratio: np.ndarray, chosen: np.ndarray, steps: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+def regress(grams: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, chosen: np.ndarray, steps: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Logistic regression on the chosen buckets, scaled by their ratios; full gradient steps with adapted rates."""
-    place = np.full(DIM, -1, "i8")
+    place = np.full(DIM, -1, "i4")
     place[chosen] = np.arange(len(chosen))
-    row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    col = place[np.concatenate([np.asarray(g, "i8") for g in grams]) if len(row) else np.zeros(0, "i8")]
-    value = ratio[chosen][col]
+    row = np.repeat(np.arange(len(grams), dtype="i4"), [len(g) for g in grams])
+    col = place[np.concatenate([*grams, np.zeros(0, "<i4")])]
+    scale = ratio[chosen]
     w, bias = np.zeros(len(chosen)), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m = v = np.zeros(len(chosen) + 1)
     for t in range(1, steps + 1):
-        z = bias + np.bincount(row, value * w[col], minlength=len(y))
+        z = bias + np.bincount(row, (scale * w)[col], minlength=len(y))
         err = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        g = np.append(np.bincount(col, value * err[row], minlength=len(w)) / len(y) + ridge * w, err.mean())
+        g = np.append(scale * np.bincount(col, err[row], minlength=len(w)) / len(y) + ridge * w, err.mean())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
     out = np.zeros(DIM)
-    out[chosen] = w * ratio[chosen]
+    out[chosen] = w * scale
     return out, float(bias)
 
 
@@ -186,7 +186,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 def drop_toxic(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` scored below the threshold, with the columns of ``df``."""
     model = fit(training_rows(df, labels, ~held_out()))
-    return score(df, model, name="_toxicity").where(F.col("_toxicity") < threshold).select(*df.columns)
+    scored = score(boxed(df, F.col("text").alias("text")), model)
+    return unboxed(scored.where(F.col("score") < threshold))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

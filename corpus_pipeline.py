@@ -1,12 +1,57 @@
-"""The corpus pipeline: stages of training-data operators over ``documents``."""
+"""The corpus pipeline: toxic and near-duplicate documents and those of benchmarks go, sources are mixed to
+target weights, and what is left becomes token files.
+
+Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept. ``run`` writes each stage's
+result as Parquet in the folder that all executors share and reads it again for the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from pdmspark.llm.common import fresh_folder, table
+from pdmspark.llm.decontamination import decontaminate
+from pdmspark.llm.mixing import mix
+from pdmspark.llm.simhash import simhash_dedup
+from pdmspark.llm.tokens import default_tokenizer, token_rows
+from pdmspark.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: documents scored as toxic go."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: one document of each group of near-duplicates stays."""
+    return simhash_dedup(docs)
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents with benchmark passages go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: documents in training order, a row each time one is used."""
+    return mix(docs).drop("position")
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: token files; a row for each document in them."""
+    return token_rows(docs, fresh_folder(spark, "token-files"), default_tokenizer())
+
+
+STAGES = [("toxicity", toxicity), ("simhash", near_dedup), ("decontamination", benchmarks), ("mixing", mixture), ("tokens", token_files)]
+
+#: The classifier, the fingerprints and the tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        folder = fresh_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import boxed, cut, table, unboxed
 
 WINDOW = 13
 #: A block holds about this many bytes of benchmark text, and at least one item; one block is broadcast at a time.
@@ -226,8 +226,8 @@ def judge(matched: DataFrame) -> DataFrame:
 
 def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that are not contaminated, with the columns of ``df``."""
-    held = df.select(F.struct(*df.columns).alias("_row"), F.col(text_col).alias("_text"))
-    return judge(find_matches(held, items, "_text")).where(~F.col("contaminated")).select("_row.*")
+    held = boxed(df, F.col(text_col).alias("text"))
+    return unboxed(judge(find_matches(held, items)).where(~F.col("contaminated")))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

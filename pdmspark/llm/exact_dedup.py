@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, table
+from .common import BLANKS, boxed, cut, table, unboxed
 
 #: Most digests treated as heavy, hence the bound of the broadcast: 1,000 rows of under 200 bytes.
 MAX_HEAVY = 1000
@@ -67,8 +67,8 @@ def mark_duplicates(df: DataFrame, id_col: str = "doc_id", digest_col: str = "te
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with the columns of ``df`` only."""
-    marked = mark_duplicates(df.withColumn("_sha256", normal_digest(F.col(text_col))), id_col, "_sha256")
-    return marked.where("kept").select(*df.columns)
+    rows = boxed(df, F.col(id_col).alias("id"), normal_digest(F.col(text_col)).alias("sha256"))
+    return unboxed(mark_duplicates(rows, "id", "sha256").where("kept"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

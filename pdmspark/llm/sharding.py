@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HASH_BITS, bucket_bits, cut, running_sum, seeded_hash, table
+from .common import HASH_BITS, boxed, bucket_bits, cut, running_sum, seeded_hash, table, unboxed
 
 SEED = "shard-1"
 
@@ -25,22 +25,22 @@ def interleave(df: DataFrame, shards: int, id_col: str = "doc_id", source_col: s
     """
     if shards < 1:
         raise ValueError("shards must be 1 or more")
-    df = df.drop("shard", "slot").withColumn("_h", seeded_hash(seed, id_col))
+    df = boxed(df, F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), seeded_hash(seed, id_col).alias("_h"))
     n = df.count()
     bits = bucket_bits(n)
     one = F.lit(1).cast("long")
     ranked = df.withColumn("_b", F.shiftright("_h", HASH_BITS - bits))
-    ranked = running_sum(ranked, [source_col], "_b", [F.col("_h"), F.col(id_col)], one, "_rank")
-    sizes = df.groupBy(F.col(source_col).alias("_source")).agg(F.count(one).alias("_n"))
-    ranked = ranked.join(sizes, ranked[source_col].eqNullSafe(sizes["_source"])).drop("_source")
+    ranked = running_sum(ranked, ["_src"], "_b", [F.col("_h"), F.col("_id")], one, "_rank")
+    sizes = df.groupBy(F.col("_src").alias("_source")).agg(F.count(one).alias("_n"))
+    ranked = ranked.join(sizes, ranked["_src"].eqNullSafe(sizes["_source"])).drop("_source")
     # (2 rank + 1) / 2n lies inside (0, 1); a double holds it, and equal fractions of sources tie by hash.
     part = ranked.withColumn("_part", (2 * F.col("_rank") + 1) / (2 * F.col("_n")).cast("double"))
     part = part.withColumn("_b", F.floor(F.col("_part") * (1 << bits))).withColumn("_all", F.lit(0))
-    placed = running_sum(cut(part), ["_all"], "_b", [F.col("_part"), F.col(source_col), F.col("_h"), F.col(id_col)], one, "_at")
+    placed = running_sum(cut(part), ["_all"], "_b", [F.col("_part"), F.col("_src"), F.col("_h"), F.col("_id")], one, "_at")
     shard = F.expr(f"cast((_at * {shards} + {shards - 1}) div {max(n, 1)} as int)")
     start = F.expr(f"({max(n, 1)}L * shard) div {shards}")
     placed = placed.withColumn("shard", shard).withColumn("slot", (F.col("_at") - start).cast("long"))
-    return placed.drop("_h", "_b", "_all", "_rank", "_n", "_part", "_at")
+    return unboxed(placed, ["shard", "slot"], F.col("shard"), F.col("slot"))
 
 
 def op7_shard_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import boxed, cut, table, unboxed
 from .components import connected_components
 
 BITS = 64
@@ -128,28 +128,34 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) of every row: component_id is the least id that links reach, itself included.
+    """(id, text_hash, fp, component, component_id) of every row, by component.
 
-    Null, empty and blank texts have fingerprint 0, which links like any other. Equal texts have equal
-    fingerprints, so groups of copies are one node. Rows with a null id have a component, but are no one's
-    component_id unless all of it have null ids; then it is null. An empty table gives an empty result.
+    component_id is the least id that links reach, itself included; component is a fingerprint of the
+    component. Null, empty and blank texts have fingerprint 0, which links like any other. Equal texts have
+    equal fingerprints, so groups of copies are one node. Rows with a null id have a component, but are no
+    one's component_id unless all of it have null ids; then it is null. An empty table gives an empty result.
     """
-    docs = cut(df.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")))
+    text = F.col(text_col)
+    docs = cut(df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), simhash(text).alias("fp")))
     nodes = cut(docs.groupBy("fp").agg(F.min("id").alias("least")))
     groups = cut(connected_components(links(nodes.select("fp"))))
     known = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = known.join(least, "component").select(F.col("fp").alias("_fp"), "component_id")
-    return docs.join(named, docs["fp"] == named["_fp"]).select("id", "fp", "component_id")
+    named = known.join(least, "component").select(F.col("fp").alias("_fp"), "component", "component_id")
+    return docs.join(named, docs["fp"] == named["_fp"]).select("id", "text_hash", "fp", "component", "component_id")
 
 
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay: of each component the one with the least id; of equal ids, one. Null ids stay last."""
+    """The rows of ``df`` that stay, one of each component: that with the least id, null ids last, then the
+    least hash of its text; one of rows that repeat both id and text. Has the columns of ``df``."""
     found = near_duplicates(df, id_col, text_col)
-    stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id"), F.col("fp").alias("_fp")).distinct()
-    met = df.withColumn("_key", F.col(id_col)).join(stay, F.col("_key").eqNullSafe(F.col("_id")))
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.col(text_col)))
-    return met.withColumn("_n", first).where("_n = 1").select(*df.columns)
+    first = F.min(F.struct(F.col("id").isNull(), "id", "text_hash"))
+    stay = found.groupBy("component").agg(first.alias("best")).select("best.id", "best.text_hash")
+    key = F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("text_hash"))
+    stay = stay.select(key.alias("_stay"))
+    rows = boxed(df, F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")).select("_row", key.alias("_key"))
+    once = F.row_number().over(Window.partitionBy("_key").orderBy("_key")) == 1
+    return unboxed(rows.join(stay, rows["_key"] == stay["_stay"], "left_semi").withColumn("_once", once).where("_once"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import boxed, table, unboxed
 
 #: One of these in a url rejects it.
 STRICT_TERMS = ("porn", "porno", "xxx", "hentai", "camgirl", "camgirls", "escorts", "viagra", "cialis", "onlinecasino", "warez", "hardcore")
@@ -90,16 +90,13 @@ def judge_urls(df: DataFrame, url_col: str = "url", rules: Sequence[tuple[str, s
     different soft terms. A null url has empty host and path and is allowed. Columns of df with these
     names are replaced.
     """
-    hits = term_hits(F.col(url_col), strict, soft)
-    out = df.drop("host", "path", "strict_hits", "soft_hits", "rule", "verdict").withColumns({"_host": host_of(F.col(url_col)), "_path": path_of(F.col(url_col)), "_hits": hits})
-    out = out.withColumn("_rule", fitting_rule(F.col("_host"), F.col("_path"), rules))
-    strict_hits, soft_hits = F.col("_hits.strict"), F.col("_hits.soft")
-    bad = (strict_hits >= 1) | (soft_hits >= min_soft)
-    out = out.withColumns(
-        {"host": F.col("_host"), "path": F.col("_path"), "strict_hits": strict_hits, "soft_hits": soft_hits, "rule": F.col("_rule.rule"),
-         "verdict": F.coalesce(F.col("_rule.verdict"), F.when(bad, "block").otherwise("allow"))}
-    )
-    return out.drop("_host", "_path", "_hits", "_rule")
+    url = F.col(url_col)
+    out = boxed(df, host_of(url).alias("host"), path_of(url).alias("path"), term_hits(url, strict, soft).alias("hits"))
+    out = out.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
+    bad = (F.col("hits.strict") >= 1) | (F.col("hits.soft") >= min_soft)
+    verdict = F.coalesce(F.col("fit.verdict"), F.when(bad, "block").otherwise("allow"))
+    added = {"host": F.col("host"), "path": F.col("path"), "strict_hits": F.col("hits.strict"), "soft_hits": F.col("hits.soft"), "rule": F.col("fit.rule"), "verdict": verdict}
+    return unboxed(out, list(added), *[c.alias(n) for n, c in added.items()])
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, mixing, sharding, simhash, substring_dedup, tokens, toxicity, url_filter
+from . import decontamination, exact_dedup, mixing, sharding, simhash, substring_dedup, suffix_dedup, tokens, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_shard_interleaved": sharding.op7_shard_interleaved,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_toxicity": toxicity.op10_toxicity,
     }

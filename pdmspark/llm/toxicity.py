@@ -132,33 +132,43 @@ def fit(rows: DataFrame) -> Model:
     sure = np.where(toxic + none >= 3, np.abs(ratio) / np.sqrt(1 / (toxic + 1) + 1 / (none + 1)), 0)
     chosen = np.sort(np.argsort(-sure, kind="stable")[:SELECTED])
     chosen = chosen[sure[chosen] > 0]
-    wanted = np.zeros(DIM, bool)
-    wanted[chosen] = True
+    wanted, place = np.zeros(DIM, bool), np.zeros(DIM, "<u2")
+    wanted[chosen], place[chosen] = True, np.arange(len(chosen))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             text, bucket = gram_hits(_clean(batch["text"]), wanted)
             cuts = np.searchsorted(text, np.arange(len(batch) + 1))
-            yield pd.DataFrame({"y": batch["y"], "grams": [bucket[a:b].astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]})
+            yield pd.DataFrame({"y": batch["y"], "grams": [place[bucket[a:b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]})
 
     sparse = rows.mapInPandas(features, "y int, grams binary").collect()
-    weights, bias = regress([np.frombuffer(r["grams"], "<i4") for r in sparse], np.array([r["y"] for r in sparse], "f8"), ratio, chosen)
+    y = np.array([r["y"] for r in sparse], "f8")
+    lengths = np.array([len(r["grams"]) // 2 for r in sparse], "i8")
+    grams = np.frombuffer(b"".join([r["grams"] for r in sparse]), "<u2")
+    del sparse, none, toxic, sure, wanted
+    weights, bias = regress(grams, lengths, y, ratio, chosen)
     return Model(weights, bias)
 
 
-def regress(grams: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, chosen: np.ndarray, steps: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression on the chosen buckets, scaled by their ratios; full gradient steps with adapted rates."""
-    place = np.full(DIM, -1, "i4")
-    place[chosen] = np.arange(len(chosen))
-    row = np.repeat(np.arange(len(grams), dtype="i4"), [len(g) for g in grams])
-    col = place[np.concatenate([*grams, np.zeros(0, "<i4")])]
-    scale = ratio[chosen]
+def regress(grams: np.ndarray, lengths: np.ndarray, y: np.ndarray, ratio: np.ndarray, chosen: np.ndarray, steps: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Logistic regression on the chosen buckets, scaled by their ratios; full gradient steps with adapted rates.
+
+    ``grams`` has the texts' features one after the other, ``lengths`` of each text, as places in ``chosen``; they
+    are gone through in blocks, so that little memory is needed beside them.
+    """
+    scale, ends = ratio[chosen], np.concatenate([[0], np.cumsum(lengths)])
     w, bias = np.zeros(len(chosen)), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m = v = np.zeros(len(chosen) + 1)
     for t in range(1, steps + 1):
-        z = bias + np.bincount(row, (scale * w)[col], minlength=len(y))
-        err = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        g = np.append(scale * np.bincount(col, err[row], minlength=len(w)) / len(y) + ridge * w, err.mean())
+        g, weights = np.zeros(len(chosen) + 1), scale * w
+        for at in range(0, len(y), 256):
+            to = min(at + 256, len(y))
+            cols, row = grams[ends[at] : ends[to]], np.repeat(np.arange(to - at), lengths[at:to])
+            z = bias + np.bincount(row, weights[cols], minlength=to - at)
+            err = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[at:to]
+            g[:-1] += np.bincount(cols, err[row], minlength=len(w))
+            g[-1] += err.sum()
+        g = np.append(scale * g[:-1] / len(y) + ridge * w, g[-1] / len(y))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]

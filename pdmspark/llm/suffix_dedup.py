@@ -269,7 +269,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     k1 and k2 are the document's id and a hash of its text; rows that repeat both are copies of each other.
     """
-    docs = _keyed(df, id_col, text_col).select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col(text_col).alias("text"))
+    own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = _keyed(own, "id", "text").select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "text")
     folder = fresh_folder(df.sparkSession, "segments")
     _segment_rows(docs).write.parquet(folder)
     segments = df.sparkSession.read.parquet(folder)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_integer, hash_uniform
-from ..functions.prefix import global_prefix
+from ..functions.prefix import global_prefix, running_sums
 from .metrics import by_score, ratio
 
 
@@ -113,18 +113,24 @@ def review_curve(df: DataFrame, label: str, base: str, rescue: str, grid: Sequen
     return x.withColumn("expected_recall", F.try_divide(F.col("expected_tp"), F.col("positives").cast("double")))
 
 
+def _with_total(x: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Adds ``_all``: the group's positive weight."""
+    total = x.groupBy(*by).agg(F.sum("_p").alias("_all"))
+    return x.join(total, list(by)) if by else x.crossJoin(F.broadcast(total))  # one row
+
+
 def recall_threshold(df: DataFrame, label: str, score: str, target: float, by: Sequence[str] = ()) -> DataFrame:
     """the largest threshold (score >= t) that keeps at least the target recall."""
-    down = Window.partitionBy(*by).orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    x = by_score(df, label, score, None, by).withColumns({"_tp": F.sum("_p").over(down), "_all": F.sum("_p").over(Window.partitionBy(*by))})
+    x = running_sums(by_score(df, label, score, None, by), by, [F.col("_s").desc()], {"_tp": F.col("_p")})
+    x = _with_total(x, by)
     ok = F.try_divide("_tp", "_all") >= F.lit(target - 1e-12)
     return x.groupBy(*by).agg(F.max(F.when(ok, F.col("_s"))).alias("threshold"))
 
 
 def budgeted_threshold(df: DataFrame, label: str, score: str, tp_loss: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
     """the threshold whose rows below hold most negatives, at a loss of at most max(1, share) positives; of equals the lowest."""
-    up = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    x = by_score(df, label, score, None, by).withColumns({"removed_fp": F.coalesce(F.sum("_n").over(up), F.lit(0.0)), "lost_tp": F.coalesce(F.sum("_p").over(up), F.lit(0.0)), "_all": F.sum("_p").over(Window.partitionBy(*by))})
+    x = running_sums(by_score(df, label, score, None, by), by, [F.col("_s")], {"_fp": F.col("_n"), "_tp": F.col("_p")})
+    x = _with_total(x, by).withColumns({"removed_fp": F.col("_fp") - F.col("_n"), "lost_tp": F.col("_tp") - F.col("_p")})
     ok = x.where(F.col("lost_tp") <= F.greatest(F.lit(1.0), F.floor(F.col("_all") * F.lit(tp_loss)).cast("double")))
     best = F.max(F.struct("removed_fp", (-F.col("_s")).alias("_m"), F.col("_s").alias("threshold"), "lost_tp")).alias("_b")
     return ok.groupBy(*by).agg(best).select(*by, "_b.threshold", "_b.removed_fp", "_b.lost_tp")
@@ -144,14 +150,21 @@ def three_way_counts(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataF
     return df.groupBy(*by).agg(*[F.count_if(a == x).alias(f"n_{x}") for x in ("keep", "review", "downgrade")], F.count_if((a == "downgrade") & l).alias("lost_tp"), F.count_if((a == "downgrade") & ~l).alias("removed_fp"))
 
 
+#: Most distinct scores that cut points are sought among.
+MAX_SCORES = 100_000
+
+
 def fit_two_cuts(df: DataFrame, score: str, truth: str, classes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """the cuts t1 < t2 (midpoints of distinct scores) of the best mean balanced accuracy over groups: below t1 is
     the first class, below t2 the second, else the third. Of equals the lowest t2, then the lowest t1.
 
-    The objective is a function of t1 plus one of t2, so a running maximum over t1 replaces the pairs.
+    The objective is a function of t1 plus one of t2, so a running maximum over t1 replaces the pairs. Raises
+    beyond MAX_SCORES distinct scores: round them first.
     """
     known = df.where(F.col(score).isNotNull() & F.col(truth).isin(list(classes)))
     scores = known.select(F.col(score).cast("double").alias("t")).distinct()
+    if scores.limit(MAX_SCORES + 1).count() > MAX_SCORES:
+        raise ValueError(f"more than {MAX_SCORES} distinct scores")
     cuts = scores.withColumn("t", (F.col("t") + F.lead("t").over(Window.orderBy("t"))) / 2.0).where("t is not null")
     g = list(by) or ["_g"]
     rows = known.withColumn("_g", F.lit(0)) if not by else known

@@ -277,11 +277,13 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # Shards of one segment, without a string of it twice, have no repeated stretch.
     live = segments.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("again").cast("int")).alias("a")).where("n > 1 or a = 1").select(F.col("shard").alias("_shard"))
+    # Both sides of a join by shard are stored tables, so that Spark may split the partition of a hot one.
+    live = cut(live)
     members = cut(segments.join(live, segments["shard"] == live["_shard"], "left_semi"))
     kinds = members.groupBy("shard", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("k1", "k2", "start", "end")).alias("at"), F.max(F.col("again").cast("int")).alias("again"))
     kinds = cut(kinds.select("shard", "d1", "d2", "n", "again", F.col("at.k1").alias("r1"), F.col("at.k2").alias("r2"), "at.start", "at.end"))
     shards = kinds.groupBy("shard").agg(F.count(F.lit(1)).alias("n_kinds"), F.sum(F.col("end") - F.col("start")).alias("n_bytes"), F.max("again").alias("any_again")).where("n_kinds > 1 or any_again = 1")
-    shards = shards.select(F.col("shard").alias("_shard"), "n_bytes")
+    shards = cut(shards.select(F.col("shard").alias("_shard"), "n_bytes"))
     # Only segments that differ from others of their shard are compared; one document gives the bytes of each.
     wanted = kinds.join(shards, kinds["shard"] == shards["_shard"]).select("shard", "d1", "d2", "r1", "r2", "start", "end", "n_bytes")
     asked = wanted.groupBy("r1", "r2").agg(F.collect_list(F.struct("shard", "d1", "d2", "start", "end", "n_bytes")).alias("asked"))

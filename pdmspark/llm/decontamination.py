@@ -235,3 +235,32 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(find_matches(docs, table(spark, sf_dir, "benchmark")))
     sha = F.sha2(F.concat_ws(",", "items"), 256)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"), "contaminated")
+
+
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), bn AS (
+  SELECT item, w, least(len(w), 13) AS n FROM b WHERE len(w) > 0
+), bw AS (
+  SELECT DISTINCT item, n, array_to_string(w[i + 1 : i + n], ' ') AS piece FROM (SELECT *, unnest(range(0, len(w) - n + 1)) AS i FROM bn)
+), dw AS (
+  SELECT rid, n, i, array_to_string(w[i + 1 : i + n], ' ') AS piece
+  FROM (SELECT rid, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)
+), hits AS (
+  SELECT rid, dw.n, i, item FROM dw JOIN bw ON dw.n = bw.n AND dw.piece = bw.piece
+), covered AS (
+  SELECT rid, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hits) GROUP BY rid
+), found AS (
+  SELECT rid, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN found USING (rid)
+"""

@@ -47,7 +47,7 @@ def odd_dir(spark, odd, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("odd"))
     save(odd, d)
     save(spark.createDataFrame([(1, "a b c"), (2, None), (3, "")], "item_id long, text string"), d, "benchmark")
-    save(spark.createDataFrame([(3, 1, 1), (5, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int"), d, "labels")
+    save(spark.createDataFrame([(3, 1, 1), (None, 0, 1), *[(k, 1, 0) for k in (2, 5, 7, 8, 9, 11, 12)]], "doc_id long, quality int, toxic int"), d, "labels")
     save(spark.createDataFrame([(1, None, ""), (None, "http://porn.org", None)], "page_id long, url string, html string"), d, "pages")
     return d
 
@@ -77,7 +77,7 @@ def test_odd_rows_give_one_row_each(spark, odd_dir, name):
 def test_sql(spark, odd_dir, name):
     for d, files in ((SF, "{}/{}.parquet"), (odd_dir, "{}/{}.parquet/*.parquet")):
         c = duckdb.connect()
-        for t in ("documents", "pages"):
+        for t in ("documents", "pages", "benchmark"):
             c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{files.format(d, t)}')")
         df = registry.queries()[name](spark, d)
         r = c.execute(registry.oracle_sql()[name])

@@ -220,7 +220,7 @@ def place(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_tokens(df: DataFrame, out_dir: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, frame_ids: int = FRAME_IDS) -> DataFrame:
-    """Writes the token files of ``df`` and returns one row a file: file_no, path, n_docs, n_ids.
+    """Writes the token files of ``df`` and returns one row a file: file_no, path, n_docs, n_ids, first_id, last_id.
 
     A document's ids are those of its whole text, followed by ``end_id``; null counts as empty. Documents
     are in ascending order of id (nulls first, equal ids by text) over the files and in them: each file is
@@ -245,18 +245,26 @@ def write_tokens(df: DataFrame, out_dir: str, tokenizer_path: str, id_col: str =
                         file.add(doc_id, ids + end)
             file.close()
         fs.move(draft, name)
-        yield pa.RecordBatch.from_pydict({"file_no": [no], "path": [name], "n_docs": [len(file.counts)], "n_ids": [sum(file.counts)]})
+        ids = [x for x, null in zip(file.ids, file.nulls, strict=True) if not null]
+        row = {"file_no": [no], "path": [name], "n_docs": [len(file.counts)], "n_ids": [sum(file.counts)]}
+        ends = {"first_id": pa.array([min(ids, default=None)], pa.int64()), "last_id": pa.array([max(ids, default=None)], pa.int64())}
+        yield pa.RecordBatch.from_pydict(row | ends)
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    return cut(rows.mapInArrow(write, "file_no long, path string, n_docs long, n_ids long"))
+    return cut(rows.mapInArrow(write, "file_no long, path string, n_docs long, n_ids long, first_id long, last_id long"))
 
 
-def read_tokens(files: DataFrame, out_dir: str, with_ids: bool = True) -> DataFrame:
+def read_tokens(files: DataFrame, out_dir: str, with_ids: bool = True, only: Iterable[int] | None = None) -> DataFrame:
     """The documents of token files: file_no, doc_id, start (in the file), n_tokens, ids_crc32 and, if wanted, ids.
 
-    ``files`` are rows of ``write_tokens``. Every frame's checksum is verified.
+    ``files`` are rows of ``write_tokens``. Every frame's checksum is verified. With ``only``, a list of ids, other
+    files are not opened and frames without a document of these ids not decoded.
     """
+    wanted = None if only is None else np.array(sorted(set(only)), "i8")
+    if wanted is not None:
+        low, high = (int(wanted[0]), int(wanted[-1])) if len(wanted) else (0, -1)
+        files = files.where((F.col("first_id") <= high) & (F.col("last_id") >= low))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = place(out_dir)
@@ -264,15 +272,16 @@ def read_tokens(files: DataFrame, out_dir: str, with_ids: bool = True) -> DataFr
             for row in batch.to_pylist():
                 with fs.open_input_file(row["path"]) as source:
                     file = TokenFile(source)
-                    found = file.read()
-                    for at in range(0, len(file.counts), 1000):
-                        n = min(1000, len(file.counts) - at)
-                        ids = [next(found)[1] for _ in range(n)]
+                    places = np.arange(len(file.counts)) if wanted is None else np.flatnonzero(np.isin(file.doc_ids, wanted) & ~file.nulls)
+                    found = file.read(places.tolist())
+                    for begin in range(0, len(places), 1000):
+                        at = places[begin : begin + 1000]
+                        ids = [next(found)[1] for _ in at]
                         cols = {
-                            "file_no": pa.array([row["file_no"]] * n, pa.int64()),
-                            "doc_id": pa.array(file.doc_ids[at : at + n], pa.int64(), mask=file.nulls[at : at + n]),
-                            "start": pa.array(file.starts[at : at + n], pa.int64()),
-                            "n_tokens": pa.array(file.counts[at : at + n], pa.int64()),
+                            "file_no": pa.array([row["file_no"]] * len(at), pa.int64()),
+                            "doc_id": pa.array(file.doc_ids[at], pa.int64(), mask=file.nulls[at]),
+                            "start": pa.array(file.starts[at], pa.int64()),
+                            "n_tokens": pa.array(file.counts[at], pa.int64()),
                             "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
                         }
                         if with_ids:

@@ -179,6 +179,16 @@ def test_token_files(spark, odd_dir):
     assert Counter(tuple(r) for r in got) == want
 
 
+def test_only_asked_documents_are_read(spark, tmp_path):
+    x = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"))
+    files = tokens.write_tokens(x, f"file://{tmp_path}/t", tokens.default_tokenizer(), frame_ids=50)
+    assert files.agg(F.sum("n_docs")).first()[0] == 300
+    got = tokens.read_tokens(files, f"file://{tmp_path}/t", only=[7, 150, 999]).collect()
+    t = tokens.Encoder(tokens.default_tokenizer()).tokenizer
+    assert {r["doc_id"]: r["ids"] for r in got} == {k: [*t.encode(f"text number {k}").ids, 0] for k in (7, 150)}
+    assert tokens.read_tokens(files, f"file://{tmp_path}/t", only=[]).collect() == []
+
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 
 

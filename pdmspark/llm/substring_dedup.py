@@ -110,6 +110,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     all_chunks = chunks(df, id_col, text_col)
     owners = all_chunks.groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("_last"), F.max(F.col("again").cast("int")).alias("_again"))
     owners = owners.where(F.expr("first_id <> _last or _again = 1" if within else "first_id <> _last")).select(F.col("digest").alias("_digest"), "first_id")
+    owners = cut(owners)  # a table, so that Spark may split the partition of a hot digest in the join
     met = all_chunks.join(owners, all_chunks["digest"] == owners["_digest"])
     repeated = met.where(F.expr("id > first_id or again" if within else "id > first_id")).select("id", "start", "length", "first_id")
     places = Window.partitionBy("id").orderBy("start", "length")

@@ -135,6 +135,13 @@ def _(spark, d):
     return m.robust_effect(endpoints(spark, d), "label", ["value", "prob"])
 
 
+@query("E14_best_pair")
+def _(spark, d):
+    x = table(spark, d, "lineitem").withColumn("y", F.col("l_returnflag") == "R")
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    return m.best_pair(m.robust_effect(x, "y", names), m.correlation_pairs(x, names), 0.0, 0.9)
+
+
 @query("E15_separation", """, x AS (SELECT event_type, band, prob, band = 'near' AS label FROM ep), a AS (""" + AUC.format(by="event_type,", part="PARTITION BY event_type", s="prob", w="1", t="(SELECT * FROM x WHERE band <> 'boundary')", group="GROUP BY event_type") + """),
  ap AS (SELECT event_type, round(sum(p * tp / al) / sum(p), 6) AS average_precision FROM (SELECT *, sum(p) OVER w AS tp, sum(p + n) OVER w AS al FROM (SELECT event_type, prob, sum(label::INT)::DOUBLE AS p, sum(1 - label::INT)::DOUBLE AS n FROM x WHERE band <> 'boundary' GROUP BY ALL) WINDOW w AS (PARTITION BY event_type ORDER BY prob DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY event_type),
  s AS (SELECT event_type, count(*) AS n, avg(prob) FILTER (band = 'normal') AS a, avg(prob) FILTER (band = 'boundary') AS b, avg(prob) FILTER (band = 'near') AS c, 1.0::DOUBLE AS parse_rate, count(*) FILTER (abs(prob - 0.5) <= 0.1)::DOUBLE / count(*) AS ms, count(*) FILTER (prob <= 0.1 OR prob >= 0.9)::DOUBLE / count(*) AS es, avg(abs(prob - 0.5) * 2) AS mc FROM x GROUP BY event_type)

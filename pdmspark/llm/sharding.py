@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import HASH_BITS, boxed, bucket_bits, cut, running_sum, seeded_hash, table, unboxed
 
 SEED = "shard-1"
+#: The table of sources is broadcast up to this many rows (some 100 bytes each).
+BROADCAST_SOURCES = 50_000
 
 
 def interleave(df: DataFrame, shards: int, id_col: str = "doc_id", source_col: str = "source", seed: str = SEED) -> DataFrame:
@@ -31,8 +33,10 @@ def interleave(df: DataFrame, shards: int, id_col: str = "doc_id", source_col: s
     one = F.lit(1).cast("long")
     ranked = df.withColumn("_b", F.shiftright("_h", HASH_BITS - bits))
     ranked = running_sum(ranked, ["_src"], "_b", [F.col("_h"), F.col("_id")], one, "_rank")
-    sizes = df.groupBy(F.col("_src").alias("_source")).agg(F.count(one).alias("_n"))
-    ranked = ranked.join(sizes, ranked["_src"].eqNullSafe(sizes["_source"])).drop("_source")
+    # The sources' sizes are broadcast if they are few; else both sides are tables, so that a hot source can be split.
+    sizes = cut(df.groupBy(F.col("_src").alias("_source")).agg(F.count(one).alias("_n")))
+    small = sizes.count() <= BROADCAST_SOURCES
+    ranked = ranked.join(F.broadcast(sizes) if small else sizes, ranked["_src"].eqNullSafe(sizes["_source"])).drop("_source")
     # (2 rank + 1) / 2n lies inside (0, 1); a double holds it, and equal fractions of sources tie by hash.
     part = ranked.withColumn("_part", (2 * F.col("_rank") + 1) / (2 * F.col("_n")).cast("double"))
     part = part.withColumn("_b", F.floor(F.col("_part") * (1 << bits))).withColumn("_all", F.lit(0))

@@ -217,13 +217,25 @@ def scoped(df: DataFrame, col: str, scopes: Mapping[str, Sequence]) -> DataFrame
     return df.withColumn("scope", F.explode(F.filter(hit, lambda x: x.isNotNull())))
 
 
+def percentile_higher(df: DataFrame, by: Sequence[str], col: str, q: float, name: str) -> DataFrame:
+    """Per group the sorted value at place ceil(q (n - 1)), from counts of distinct values; never a list of all values."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    x = running_sums(counts, by, [F.col("_v")], {"_upto": F.col("_c")})
+    n = counts.groupBy(*by).agg(F.ceil(F.lit(float(q)) * (F.sum("_c") - 1)).alias("_k"))
+    return x.join(n, list(by)).where(F.col("_upto") > F.col("_k")).groupBy(*by).agg(F.min("_v").alias(name))
+
+
 def usage_summary(df: DataFrame, arm: str, cols: Sequence[str]) -> DataFrame:
     """Per arm and for all: n, and of each column sum, p50, p95, p95_higher (the next real value) and max."""
+    arms = F.array(F.col(arm).cast("string"), F.lit("all"))
+    rows = df.select(F.explode(arms).alias(arm), *cols)
     aggs = [F.count(F.lit(1)).alias("n")]
     for c in cols:
-        higher = F.expr(f"try_element_at(array_sort(collect_list(cast(`{c}` as double))), cast(ceil(0.95D * (count(`{c}`) - 1)) as int) + 1)")
-        aggs += [F.sum(F.col(c).cast("double")).alias(f"{c}_sum"), F.percentile(c, F.lit(0.5)).alias(f"{c}_p50"), F.percentile(c, F.lit(0.95)).alias(f"{c}_p95"), higher.alias(f"{c}_p95_higher"), F.max(c).alias(f"{c}_max")]
-    return df.rollup(arm).agg(*aggs, F.grouping(arm).alias("_g")).withColumn(arm, F.when(F.col("_g") == 1, "all").otherwise(F.col(arm).cast("string"))).drop("_g")
+        aggs += [F.sum(F.col(c).cast("double")).alias(f"{c}_sum"), F.percentile(c, F.lit(0.5)).alias(f"{c}_p50"), F.percentile(c, F.lit(0.95)).alias(f"{c}_p95"), F.max(c).alias(f"{c}_max")]
+    out = rows.groupBy(arm).agg(*aggs)
+    for c in cols:
+        out = out.join(percentile_higher(rows, [arm], c, 0.95, f"{c}_p95_higher"), arm, "left")
+    return out
 
 
 def attempt_accounting(df: DataFrame, keys: Sequence[str], stage: str, hit: str, status: str, cost: str, unit: float) -> DataFrame:

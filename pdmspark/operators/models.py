@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_integer
-from .inference import cluster_bootstrap, paired_bootstrap  # noqa: F401
+from .inference import paired_bootstrap
 from .metrics import regression_metrics, roc_auc
 
 

@@ -261,7 +261,10 @@ def _crowded_shards(rows: DataFrame) -> DataFrame:
     each = rows.select("shard", "d1", "d2", "bytes").dropDuplicates(["shard", "d1", "d2"]).mapInArrow(run, "shard long, d1 long, d2 long, w1 long, w2 long, first long")
     often = each.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("w1").alias("_w1"), F.col("w2").alias("_w2"))
     hit = each.join(often, (each["w1"] == often["_w1"]) & (each["w2"] == often["_w2"]))
-    return hit.select("shard", "d1", "d2", "first", (F.col("first") + 1).alias("last"))
+    # Stretches in a row have one difference of start and number, so a run is one row.
+    number = F.row_number().over(Window.partitionBy("shard", "d1", "d2").orderBy("first"))
+    runs = hit.withColumn("_run", F.col("first") - number).groupBy("shard", "d1", "d2", "_run")
+    return runs.agg(F.min("first").alias("first"), (F.max("first") + 1).alias("last")).drop("_run")
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

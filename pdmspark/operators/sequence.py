@@ -47,7 +47,7 @@ def run_to_event(df: DataFrame, is_event: Column, by: Sequence[str], order: Sequ
     A step ends at the row behind it; only steps before the event's row count.
     """
     w = _w(by, order)
-    x = df.withColumns({"_row": F.row_number().over(w) - 1, "_d": F.col(time) - F.lag(time).over(w), "_e": is_event})
+    x = df.withColumns({"_row": (F.row_number().over(w) - 1).cast("long"), "_d": F.col(time) - F.lag(time).over(w), "_e": is_event})
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     # A step found at row r starts a stretch there; the event's own step ends at the event and is not before it.
     marks = {f"_g{k}": F.coalesce(F.max(F.when(F.col("_d") > g, F.col("_row"))).over(past), F.lit(0)) for k, g in enumerate(gaps)}
@@ -61,8 +61,8 @@ def count_windows(df: DataFrame, by: Sequence[str], order: Sequence[str], size:
     """Every row once for each window of ``size`` rows, every ``step`` rows, that it is in; cut-off windows are left out."""
     w = _w(by, order)
     x = df.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*by))}).where(F.col("_n") >= size)
-    first = F.greatest(F.lit(0), F.ceil((F.col("_i") - (size - 1)) / F.lit(step))).cast("int")
-    last = F.least(F.floor(F.col("_i") / F.lit(step)), F.floor((F.col("_n") - size) / F.lit(step))).cast("int")
+    first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("_i") - (size - 1)) / F.lit(step))).cast("long")
+    last = F.least(F.floor(F.col("_i") / F.lit(step)), F.floor((F.col("_n") - size) / F.lit(step))).cast("long")
     return x.where(first <= last).withColumn(name, F.explode(F.sequence(first, last))).withColumn("_at", F.col("_i") - F.col(name) * step).drop("_i", "_n").withColumnRenamed("_at", "row_in_window")
 
 

@@ -110,7 +110,7 @@ def _(spark, d):
 @query("D11_backward_sample", f""", r AS (SELECT event_id, user_id, label, row_number() OVER ({W}) - 1 AS ord FROM ep)
 SELECT e.user_id, e.ord AS endpoint, o AS "offset", (3 - j)::INT AS slot, r.event_id FROM r e, (SELECT unnest([0, 1]) AS o), (SELECT unnest(range(4)) AS j), r WHERE e.label AND r.user_id = e.user_id AND r.ord = e.ord - o - 3 * j""")
 def _(spark, d):
-    x = endpoints(spark, d).withColumn("ord", F.row_number().over(Window.partitionBy(*BY).orderBy(*ORDER)) - 1)
+    x = endpoints(spark, d).withColumn("ord", (F.row_number().over(Window.partitionBy(*BY).orderBy(*ORDER)) - 1).cast("long"))
     return q.backward_sample(x.select("user_id", "ord", "event_id"), x.where("label").select("user_id", "ord"), BY, "ord", 4, 3, [0, 1]).select("user_id", "endpoint", "offset", "slot", "event_id")
 
 
@@ -118,7 +118,7 @@ def _(spark, d):
  s AS (SELECT e.user_id, e.ord AS endpoint, j, r.value FROM r e CROSS JOIN (SELECT unnest(range(4)) AS j) LEFT JOIN r ON r.user_id = e.user_id AND r.ord = e.ord - 3 * j WHERE e.label)
 SELECT user_id, endpoint, 0 AS "offset", string_agg(coalesce(round(value, 2)::VARCHAR, '-'), ' ' ORDER BY j DESC) AS shown, count(value) AS n_real FROM s GROUP BY user_id, endpoint""")
 def _(spark, d):
-    x = endpoints(spark, d).withColumn("ord", F.row_number().over(Window.partitionBy(*BY).orderBy(*ORDER)) - 1)
+    x = endpoints(spark, d).withColumn("ord", (F.row_number().over(Window.partitionBy(*BY).orderBy(*ORDER)) - 1).cast("long"))
     a = q.padded_arrays(q.backward_sample(x.select("user_id", "ord", "value"), x.where("label").select("user_id", "ord"), BY, "ord", 4, 3), BY, "value", 4)
     shown = F.array_join(F.transform("values", lambda v: F.coalesce(F.round(v, 2).cast("string"), F.lit("-"))), " ")
     return a.select("user_id", "endpoint", "offset", shown.alias("shown"), F.size(F.filter("mask", lambda k: k)).cast("long").alias("n_real"))

@@ -84,7 +84,8 @@ class Encoder:
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def pieces(self, text: str) -> list[str]:
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\0" in text:
+        # Every gap must be one space or one newline: a count alone lets gaps of other blanks make up for longer ones.
+        if text.split() != text.replace("\n", " ").split(" ") or "\0" in text:
             return self.safe.split(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 

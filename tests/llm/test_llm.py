@@ -144,6 +144,15 @@ def test_encoder_equals_the_tokenizer():
     assert e.encode(texts) == want and e.encode(texts) == want
 
 
+def test_encoder_where_gaps_make_up_for_each_other():
+    e = tokens.Encoder(tokens.default_tokenizer())
+    random.seed(11)
+    texts = [t.replace("\t", b) for t in ("a\tb\tc\n\n", "a\n\n\nb\tc\td", "a\tb  c", " a\tb", "a\tb \n c\td") for b in "\t\xa0\u3000\x1c\x85"]
+    texts += ["".join(random.choice("ab é,\n\n 1'\t\xa0") for _ in range(random.randint(0, 40))) for _ in range(2000)]
+    want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert e.encode(texts) == want
+
+
 def test_token_file_round_trip_and_damage():
     random.seed(2)
     docs = [(None if k == 3 else k, np.array([random.randrange(60_000) for _ in range(random.choice([0, 1, 5, 3000]))], "<u4")) for k in range(50)]

@@ -8,6 +8,7 @@ from ..operators import models as i
 from ..operators import sampling as g
 from ..operators.sequence import rows_to_end, trailing_stats
 from .base import endpoints, query
+from .resampled import REPS
 
 X = ["prob", "hour", "day"]
 
@@ -70,7 +71,7 @@ def _(spark, d):
 @query("I9_feature_set_screen")
 def _(spark, d):
     x = features(spark, d).select("event_id", "user_id", "y", "fold", "prob", "hour", "day")
-    return i.feature_set_screen(x, {"base": ["prob"], "extra": ["hour", "day"], "both": X}, "y", "fold", "user_id", "base", 20)
+    return i.feature_set_screen(x, {"base": ["prob"], "extra": ["hour", "day"], "both": X}, "y", "fold", "user_id", "base", REPS)
 
 
 @query("I10_impute_median", ", m AS (SELECT median(value) AS m FROM ep WHERE event_id % 3 <> 0) SELECT event_id, CASE WHEN event_id % 3 = 0 THEN m ELSE value END AS value FROM ep, m")

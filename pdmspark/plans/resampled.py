@@ -13,31 +13,53 @@ DRAWS = f""", gr AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS
  pk AS (SELECT rep, {U.replace("'42|' || {k}", "'42|' || rep || '|0|' || g")} % n AS g FROM gr, (SELECT unnest(range(20)) AS rep)),
  dr AS (SELECT rep, user_id, m FROM (SELECT rep, g, count(*) AS m FROM pk GROUP BY ALL) JOIN gr USING (g)) """
 
+#: The reference's number of replicates.
+REPS = 1000
 
-@query("H1_cluster_bootstrap", DRAWS + "SELECT rep::INT AS rep, round(sum(value * m) / sum(m), 6) AS value FROM ep JOIN dr USING (user_id) GROUP BY rep")
-def _(spark, d):
-    return h.cluster_bootstrap(endpoints(spark, d), "user_id", h.weighted_mean("value"), 20, compact=["value"])
 
+def resampling(name: str, sql: str):
+    """Registers the query of 20 replicates that ``sql`` has, and ``name``_1000 with as many as the reference draws.
+
+    Of so many means some lie halfway between two numbers of 6 places, so both sides of ``name``_1000 first round to 10
+    places, which leaves out what depends on the order of a sum.
+    """
+
+    def add(f):
+        def run(spark, d):
+            df = f(spark, d, REPS)
+            return df.withColumns({c: F.round(c, 10) for c, kind in df.dtypes if kind == "double"})
+
+        query(name, sql)(lambda spark, d: f(spark, d, 20))
+        query(f"{name}_{REPS}", sql.replace("range(20)", f"range({REPS})").replace("round(", "round(round(").replace(", 6)", ", 10), 6)"))(run)
+        return f
+
+    return add
 
-@query("H1_bootstrap_interval", DRAWS + "SELECT count(v) AS valid, 0::BIGINT AS invalid, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper FROM (SELECT sum(value * m) / sum(m) AS v FROM ep JOIN dr USING (user_id) GROUP BY rep)")
-def _(spark, d):
-    return h.interval(h.cluster_bootstrap(endpoints(spark, d), "user_id", h.weighted_mean("value"), 20), "value")
+
+@resampling("H1_cluster_bootstrap", DRAWS + "SELECT rep::INT AS rep, round(sum(value * m) / sum(m), 6) AS value FROM ep JOIN dr USING (user_id) GROUP BY rep")
+def _(spark, d, reps):
+    return h.cluster_bootstrap(endpoints(spark, d), "user_id", h.weighted_mean("value"), reps, compact=["value"])
+
+
+@resampling("H1_bootstrap_interval", DRAWS + "SELECT count(v) AS valid, 0::BIGINT AS invalid, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper FROM (SELECT sum(value * m) / sum(m) AS v FROM ep JOIN dr USING (user_id) GROUP BY rep)")
+def _(spark, d, reps):
+    return h.interval(h.cluster_bootstrap(endpoints(spark, d), "user_id", h.weighted_mean("value"), reps, compact=["value"]), "value")
 
 
 AUC = "SELECT rep, sum(p * (b + 0.5 * n)) / (sum(p) * sum(n)) AS auc FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY rep ORDER BY {s} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT rep, {s}, sum(CASE WHEN label THEN m ELSE 0 END)::DOUBLE AS p, sum(CASE WHEN label THEN 0 ELSE m END)::DOUBLE AS n FROM ep JOIN dr USING (user_id) GROUP BY ALL)) GROUP BY rep"
 
 
-@query("H2_paired_bootstrap", DRAWS + f", a AS ({AUC.format(s='value')}), b AS ({AUC.format(s='prob')}) SELECT a.rep::INT AS rep, round(a.auc, 6) AS value_a, round(b.auc, 6) AS value_b, round(b.auc - a.auc, 6) AS difference FROM a JOIN b ON a.rep = b.rep")
-def _(spark, d):
-    return h.paired_bootstrap(endpoints(spark, d), "user_id", "label", "value", "prob", 20)
+@resampling("H2_paired_bootstrap", DRAWS + f", a AS ({AUC.format(s='value')}), b AS ({AUC.format(s='prob')}) SELECT a.rep::INT AS rep, round(a.auc, 6) AS value_a, round(b.auc, 6) AS value_b, round(b.auc - a.auc, 6) AS difference FROM a JOIN b ON a.rep = b.rep")
+def _(spark, d, reps):
+    return h.paired_bootstrap(endpoints(spark, d), "user_id", "label", "value", "prob", reps)
 
 
-@query("H3_rank_bootstrap", DRAWS + """, rk AS (SELECT user_id, event_type, value > 50 AS y, row_number() OVER (PARTITION BY event_type ORDER BY prob DESC, event_id) AS k FROM ep),
+@resampling("H3_rank_bootstrap", DRAWS + """, rk AS (SELECT user_id, event_type, value > 50 AS y, row_number() OVER (PARTITION BY event_type ORDER BY prob DESC, event_id) AS k FROM ep),
  x AS (SELECT rep, y, m, coalesce(sum(m) OVER (PARTITION BY rep, event_type ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, floor(sum(m) OVER (PARTITION BY rep, event_type) * 0.2::DOUBLE + 0.5) AS q FROM rk JOIN dr USING (user_id)),
  t AS (SELECT rep, y, least(greatest(q - b, 0), m) AS w FROM x) SELECT rep::INT AS rep, sum(w)::BIGINT AS reviewed, sum(CASE WHEN y THEN w ELSE 0 END)::BIGINT AS hits, round(sum(CASE WHEN y THEN w ELSE 0 END)::DOUBLE / sum(w), 6) AS precision FROM t GROUP BY rep""")
-def _(spark, d):
+def _(spark, d, reps):
     x = r.stable_rank(endpoints(spark, d).withColumn("y", F.col("value") > 50), "prob", ["event_id"], ["event_type"])
-    out = h.rank_bootstrap(x, "user_id", "event_type", "rank", "y", 0.2, 20)
+    out = h.rank_bootstrap(x, "user_id", "event_type", "rank", "y", 0.2, reps)
     return out.withColumns({"reviewed": F.col("reviewed").cast("long"), "hits": F.col("hits").cast("long")})
 
 
@@ -46,9 +68,9 @@ def _(spark, d):
     return h.leave_one_group_out(endpoints(spark, d), "user_id", "value")
 
 
-@query("K4_user_statistic", GATED + DRAWS + "SELECT rep::INT AS rep, round(sum(CASE WHEN label AND gated_alarm THEN m ELSE 0 END)::DOUBLE / sum(CASE WHEN label THEN m ELSE 0 END), 6) AS value FROM g JOIN dr USING (user_id) GROUP BY rep")
-def _(spark, d):
+@resampling("K4_user_statistic", GATED + DRAWS + "SELECT rep::INT AS rep, round(sum(CASE WHEN label AND gated_alarm THEN m ELSE 0 END)::DOUBLE / sum(CASE WHEN label THEN m ELSE 0 END), 6) AS value FROM g JOIN dr USING (user_id) GROUP BY rep")
+def _(spark, d, reps):
     def recall(w):
         return F.try_divide(F.sum(F.when(F.col("label") & F.col("gated_alarm"), F.col(w)).otherwise(0)).cast("double"), F.sum(F.when(F.col("label"), F.col(w)).otherwise(0)).cast("double"))
 
-    return h.cluster_bootstrap(gated(spark, d), "user_id", recall, 20, compact=["label", "gated_alarm"])
+    return h.cluster_bootstrap(gated(spark, d), "user_id", recall, reps, compact=["label", "gated_alarm"])

@@ -61,3 +61,15 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() == 2
     assert df.columns == entry.entry(spark).columns
+
+
+def test_bootstraps_have_the_replicates_of_the_reference(spark, monkeypatch):
+    from pdmspark.operators import models
+
+    assert all(f"range({1000})" in ORACLE[f"{n}_1000"] for n in ("H1_bootstrap_interval", "H2_paired_bootstrap", "H3_rank_bootstrap", "K4_user_statistic"))
+    assert QUERIES["H1_cluster_bootstrap_1000"](spark, SF).count() == 1000
+    assert QUERIES["H1_bootstrap_interval_1000"](spark, SF).first()["valid"] == 1000
+    seen = []
+    monkeypatch.setattr(models, "feature_set_screen", lambda df, *rest: seen.append(rest[-1]) or df.select("event_id"))
+    QUERIES["I9_feature_set_screen"](spark, SF)
+    assert seen == [1000]

@@ -22,12 +22,12 @@ def stream(spark, d):
     return raw.select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"), t.alias("t"), prob.alias("prob"), (F.col("event_type") == "error").alias("label"))
 
 
-def run(spark, df, name):
+def run(spark, df, name, to_table=j.run_to_table):
     key = "spark.sql.streaming.stateStore.providerClass"
     before, parts = spark.conf.get(key), spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set(key, j.ROCKSDB)
     try:
-        return j.run_to_table(df, scratch(spark, f"{name}-out"), scratch(spark, f"{name}-checkpoint"))
+        return to_table(df, scratch(spark, f"{name}-out"), scratch(spark, f"{name}-checkpoint"))
     finally:
         spark.conf.set(key, before)
         spark.conf.set("spark.sql.shuffle.partitions", parts)
@@ -41,9 +41,10 @@ def _(spark, d):
     return run(spark, j.stream_count_windows(x, "user_id", "event_id", "run_key", "value", 10, 5), "j1")
 
 
-@query("J2_stream_sessions")
+@query("J2_stream_sessions", """, e AS (SELECT user_id, value, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS c FROM events WHERE ts IS NOT NULL),
+ s AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id, count(*) AS n_rows, round(sum(value), 6) AS total FROM s GROUP BY user_id, k""")
 def _(spark, d):
-    return run(spark, j.stream_sessions(stream(spark, d), ["user_id"], "ts", "6 hours", "1 hour", "value"), "j2").select("user_id", "n_rows", "total")
+    return run(spark, j.stream_sessions(stream(spark, d), ["user_id"], "ts", "6 hours", "1 hour", "value"), "j2", j.run_to_whole_table).select("user_id", "n_rows", "total")
 
 
 @query("J3_stream_time_guard")
@@ -69,12 +70,15 @@ def _(spark, d):
     return run(spark, j.stream_first_alarm(x, "user_id", "t", "event_id", "alarm"), "j6")
 
 
-@query("J7_stream_rollup")
+ROLLUP = "SELECT event_type, count(*) AS n_rows, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(sqrt(avg(value * value)), 6) AS rms FROM (SELECT *, t // 86400 AS k FROM ep) GROUP BY event_type, k"
+
+
+@query("J7_stream_rollup", ROLLUP)
 def _(spark, d):
-    return run(spark, j.stream_rollup(stream(spark, d), ["event_type"], "ts", "value", "1 day", None, "1 hour"), "j7").select("event_type", "n_rows", "mean", "std", "rms")
+    return run(spark, j.stream_rollup(stream(spark, d), ["event_type"], "ts", "value", "1 day", None, "1 hour"), "j7", j.run_to_whole_table).select("event_type", "n_rows", "mean", "std", "rms")
 
 
-@query("J7_rollup_batch", "SELECT event_type, count(*) AS n_rows, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(sqrt(avg(value * value)), 6) AS rms FROM (SELECT *, t // 86400 AS k FROM ep) GROUP BY event_type, k")
+@query("J7_rollup_batch", ROLLUP)
 def _(spark, d):
     x = endpoints(spark, d).withColumn("ts", F.timestamp_seconds("t"))
     return j.rollup(x, ["event_type"], "ts", "value", "1 day").select("event_type", "n_rows", "mean", "std", "rms")

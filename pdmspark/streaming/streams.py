@@ -139,6 +139,19 @@ def stream_rollup(stream: DataFrame, by: Sequence[str], time: str, value: str, w
     return rollup(stream.withWatermark(time, late), by, time, value, width, slide)
 
 
+def run_to_whole_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs an aggregation over what its source has now, and reads all its rows: also those of windows and sessions that
+    the watermark has not passed. Each batch replaces the table (complete mode), and no row is too late to count."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(path)
+
+    def replace(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what its source has now into Parquet files, and reads them."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()

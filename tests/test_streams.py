@@ -53,3 +53,27 @@ def test_sessions_are_gap_parts(spark, tmp_path):
     got = sorted(y["n_rows"] for y in run(spark, j.stream_sessions(s, ["g"], "ts", "60 seconds", "10 seconds", "t"), tmp_path, "s").collect())
     parts = q.split_on_gap(x, ["g"], ["t"], "t", 60).groupBy("part").count().collect()
     assert got == sorted(y["count"] for y in parts)[1:]  # the last part is still open when the stream ends
+
+
+def test_whole_tables_have_open_sessions_and_windows(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", j.ROCKSDB)
+    x = spark.createDataFrame([("a", t) for t in (90000, 0, 10, 70, 131, 500, 505)], "g string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    for rows in (x.where("t > 500"), x.where("t <= 500")):  # the later rows come first
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = j.run_to_whole_table(j.stream_sessions(s, ["g"], "ts", "60 seconds", "10 seconds", "t"), f"{tmp_path}/s", f"{tmp_path}/s-cp")
+    # a row exactly one gap after another belongs to its session
+    assert sorted((y["n_rows"], y["total"]) for y in got.collect()) == [(1, 131), (1, 90000), (2, 1005), (3, 80)]
+    got = j.run_to_whole_table(j.stream_rollup(s, ["g"], "ts", "t", "1 day", None, "10 seconds"), f"{tmp_path}/r", f"{tmp_path}/r-cp")
+    one, two = ([tuple(round(v, 9) if isinstance(v, float) else v for v in y) for y in sorted(df.collect())] for df in (got, j.rollup(x, ["g"], "ts", "t", "1 day")))
+    assert one == two and len(one) == 2
+
+
+def test_streamed_queries_equal_their_batch_forms(spark):
+    import __spark_entry__ as entry
+
+    from .conftest import SF
+
+    assert {"J2_stream_sessions", "J7_stream_rollup"} <= set(entry.oracle_sql())
+    n = {name: entry.queries()[name](spark, SF).agg(F.sum("n_rows")).first()[0] for name in ("J2_stream_sessions", "J7_stream_rollup")}
+    assert set(n.values()) == {spark.read.parquet(f"{SF}/events.parquet").count()}

@@ -45,12 +45,20 @@ def _(spark, d):
     return m.part_inventory(endpoints(spark, d), "event_type", ["user_id", "band"])
 
 
-@query("E6_fit_scale", """, x AS (SELECT event_type, event_id % 20 = 0 AS k, 'value' AS feature, value AS v FROM ep UNION ALL SELECT event_type, event_id % 20 = 0, 'prob', prob FROM ep)
-SELECT event_type, feature, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, min(v) AS min_value, max(v) AS max_value, round(quantile_cont(v, 0.01) FILTER (k), 6) AS p01, round(quantile_cont(v, 0.25) FILTER (k), 6) AS q25, round(quantile_cont(v, 0.5) FILTER (k), 6) AS median, round(quantile_cont(v, 0.75) FILTER (k), 6) AS q75, round(quantile_cont(v, 0.99) FILTER (k), 6) AS p99, round(quantile_cont(v, 0.75) FILTER (k) - quantile_cont(v, 0.25) FILTER (k), 6) AS iqr, count(v) = 0 AS all_missing FROM x GROUP BY ALL""")
+SCALE = """, x AS (SELECT event_type, event_id % 20 = 0 AS k, 'value' AS feature, value AS v FROM ep UNION ALL SELECT event_type, event_id % 20 = 0, 'prob', prob FROM ep)
+SELECT event_type, feature, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, min(v) AS min_value, max(v) AS max_value, round(quantile_cont(v, 0.01) FILTER (k), 6) AS p01, round(quantile_cont(v, 0.25) FILTER (k), 6) AS q25, round(quantile_cont(v, 0.5) FILTER (k), 6) AS median, round(quantile_cont(v, 0.75) FILTER (k), 6) AS q75, round(quantile_cont(v, 0.99) FILTER (k), 6) AS p99, round(quantile_cont(v, 0.75) FILTER (k) - quantile_cont(v, 0.25) FILTER (k), 6) AS iqr, count(v) = 0 AS all_missing FROM x GROUP BY ALL"""
+
+
+@query("E6_fit_scale", SCALE)
 def _(spark, d):
     return m.fit_scale(endpoints(spark, d), ["event_type"], ["value", "prob"], F.col("event_id") % 20 == 0)
 
 
+@query("E6_fit_scale_whole", SCALE.replace(" FILTER (k)", ""))
+def _(spark, d):
+    return m.fit_scale(endpoints(spark, d), ["event_type"], ["value", "prob"])
+
+
 @query("E7_confusion", GATED + ", c AS (SELECT event_type, count(*) FILTER (f IS NULL) AS u, count(*) FILTER (y AND f) AS tp, count(*) FILTER (NOT y AND f) AS fp, count(*) FILTER (y AND NOT f) AS fn, count(*) FILTER (NOT y AND NOT f) AS tn FROM (SELECT event_type, event_id % 2 = 0 AS y, CASE WHEN event_type = 'view' AND event_id % 9 = 0 THEN NULL ELSE gated_alarm END AS f FROM g) GROUP BY event_type) SELECT event_type, u AS unresolved_rows, CASE WHEN u = 0 THEN tp END AS tp, CASE WHEN u = 0 THEN fp END AS fp, CASE WHEN u = 0 THEN fn END AS fn, CASE WHEN u = 0 THEN tn END AS tn, CASE WHEN u = 0 THEN round(tp::DOUBLE / (tp + fn), 6) END AS recall, CASE WHEN u = 0 THEN round(tp::DOUBLE / (tp + fp), 6) END AS precision FROM c")
 def _(spark, d):
     x = gated(spark, d).withColumns({"y": F.col("event_id") % 2 == 0, "f": F.when((F.col("event_type") == "view") & (F.col("event_id") % 9 == 0), F.lit(None)).otherwise(F.col("gated_alarm"))})

@@ -73,3 +73,11 @@ def test_bootstraps_have_the_replicates_of_the_reference(spark, monkeypatch):
     monkeypatch.setattr(models, "feature_set_screen", lambda df, *rest: seen.append(rest[-1]) or df.select("event_id"))
     QUERIES["I9_feature_set_screen"](spark, SF)
     assert seen == [1000]
+
+
+def test_scale_has_quantiles_of_all_rows(spark):
+    rows = QUERIES["E6_fit_scale_whole"](spark, SF).where("feature = 'value'").collect()
+    values = spark.read.parquet(f"{SF}/events.parquet").select("event_type", "value").toPandas().groupby("event_type")["value"]
+    assert len(rows) == len(values)
+    for r in rows:
+        assert abs(r["p01"] - values.get_group(r["event_type"]).quantile(0.01)) < 1e-5 and abs(r["p99"] - values.get_group(r["event_type"]).quantile(0.99)) < 1e-5

@@ -20,7 +20,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import compress
 from operator import not_
 
@@ -67,7 +67,8 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Where a text has one of these, as <|endoftext|>, the tokenizer cuts first; such texts are encoded whole.
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.two_bytes = self.tokenizer.get_vocab_size() <= 1 << 16
         pre = self.tokenizer.pre_tokenizer
         self.cuts = isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space and self.tokenizer.normalizer is None
@@ -91,22 +92,34 @@ class Encoder:
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of new pieces: of simple words from the tokenizer's model alone, of others from the whole of it."""
-        lines = [x for x in pieces if x and "\n" not in x]
-        parts = self.simple.findall("\n".join(lines))
-        words = "\n".join([x[0] for x in parts]).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
-        ids, tokenize = self.bytes_of, self.tokenizer.model.tokenize
-        out, rest = {}, [x for x in pieces if not x or "\n" in x]
-        for line, (word, mark, _), letters in zip(lines, parts, words, strict=True):
-            if word:
-                out[line] = b"".join([ids[x.id] for x in tokenize(letters)]) + self.marks[mark]
-            else:
-                rest.append(line)
-        return out | dict(zip(rest, self._encode(rest), strict=True))
+        lines, rest = [x for x in pieces if x and "\n" not in x], [x for x in pieces if not x or "\n" in x]
+        out: dict[str, bytes] = {}
+        if lines:
+            parts = self.simple.findall("\n".join(lines))
+            words = "\n".join([x[0] for x in parts]).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
+            ids, tokenize = self.bytes_of, self.tokenizer.model.tokenize
+            for line, (word, mark, _), letters in zip(lines, parts, words, strict=True):
+                if word:
+                    out[line] = b"".join([ids[x.id] for x in tokenize(letters)]) + self.marks[mark]
+                else:
+                    rest.append(line)
+        if rest:
+            out.update(zip(rest, self._encode(rest), strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 4-byte unsigned integers."""
         if not self.cuts:
             return self._encode(texts)
+        whole = {k: x for k, x in enumerate(texts) if any(a in x for a in self.added)}
+        if not whole:
+            return self._encode_cut(texts)
+        out = self._encode_cut(["" if k in whole else x for k, x in enumerate(texts)])
+        for k, ids in zip(whole, self._encode(list(whole.values())), strict=True):
+            out[k] = ids
+        return out
+
+    def _encode_cut(self, texts: list[str]) -> list[bytes]:
         cut_up = [self.pieces(x) for x in texts]
         found = [list(map(self.known.get, x)) for x in cut_up]
         new = {p for ps, vs in zip(cut_up, found, strict=True) if None in vs for p in compress(ps, map(not_, vs))}
@@ -220,12 +233,12 @@ def place(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_tokens(df: DataFrame, out_dir: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, frame_ids: int = FRAME_IDS) -> DataFrame:
+def write_tokens(df: DataFrame, out_dir: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, frame_ids: int = FRAME_IDS, order: Sequence[str] = ()) -> DataFrame:
     """Writes the token files of ``df`` and returns one row a file: file_no, path, n_docs, n_ids, first_id, last_id.
 
     A document's ids are those of its whole text, followed by ``end_id``; null counts as empty. Documents
-    are in ascending order of id (nulls first, equal ids by text) over the files and in them: each file is
-    a range of ids. Other columns are not read. A task writes under a name of its own and then renames, so
+    are in ascending order of id (nulls first, equal ids by text), or of the columns ``order`` and then of id,
+    over the files and in them: each file is a range of that order. Other columns are not read. A task writes under a name of its own and then renames, so
     a task that runs again leaves one whole file. An empty table gives no or empty files.
     """
 
@@ -251,8 +264,9 @@ def write_tokens(df: DataFrame, out_dir: str, tokenizer_path: str, id_col: str =
         ends = {"first_id": pa.array([min(ids, default=None)], pa.int64()), "last_id": pa.array([max(ids, default=None)], pa.int64())}
         yield pa.RecordBatch.from_pydict(row | ends)
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    keys = {f"o{k}": F.col(c) for k, c in enumerate(order)}
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[c.alias(k) for k, c in keys.items()])
+    rows = rows.repartitionByRange(*keys, "id").sortWithinPartitions(*keys, "id", "text").select("id", "text")
     return cut(rows.mapInArrow(write, "file_no long, path string, n_docs long, n_ids long, first_id long, last_id long"))
 
 
@@ -293,9 +307,9 @@ def read_tokens(files: DataFrame, out_dir: str, with_ids: bool = True, only: Ite
     return files.mapInArrow(read, kind)
 
 
-def token_rows(df: DataFrame, out_dir: str, tokenizer_path: str) -> DataFrame:
-    """Writes ``df`` as token files, reads them back, and counts ``start`` over all files."""
-    files = write_tokens(df, out_dir, tokenizer_path)
+def token_rows(df: DataFrame, out_dir: str, tokenizer_path: str, order: Sequence[str] = ()) -> DataFrame:
+    """Writes ``df`` as token files, reads them back, and counts ``start`` over all files. See ``write_tokens``."""
+    files = write_tokens(df, out_dir, tokenizer_path, order=order)
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     offsets = files.select("file_no", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("_offset"))
     docs = read_tokens(files, out_dir, with_ids=False).join(offsets, "file_no")
@@ -309,4 +323,6 @@ def default_tokenizer() -> str:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, as read back from its token file. Null texts are empty,
+    so they have the end id alone; rows with a null doc_id come first; an empty table gives no rows."""
     return token_rows(table(spark, sf_dir, "documents"), fresh_folder(spark, "token-files"), default_tokenizer())

@@ -135,22 +135,46 @@ def test_exact_dedup_heavy_and_light_groups(spark):
 HARD = ["a  b", "  lead", " trail ", "x\ty z", "don't we're it's", "<|endoftext|> a", "a\n\nb\n c", "é, ñ! ß. ×÷ 12 3a a3", "\0a b\0", "foo\x1c bar", "日本 語。 a b", "a, b.c d!", "'s 's", "", ".", "a b c", "x y\n", "w" * 200 + " e", "a\r\nb"]
 
 
+def library_ids(texts):
+    """Ids from a tokenizer loaded anew, with nothing set on it."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_tokenizer())
+    return [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_encoder_equals_the_tokenizer():
     e = tokens.Encoder(tokens.default_tokenizer())
     random.seed(1)
     made = ["".join(random.choice("ab é,.!\n 1'") for _ in range(random.randint(0, 80))) for _ in range(300)]
     texts = HARD + made
-    want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = library_ids(texts)
     assert e.encode(texts) == want and e.encode(texts) == want
 
 
+def test_each_text_alone_on_a_fresh_and_on_a_warm_encoder():
+    warm = tokens.Encoder(tokens.default_tokenizer())
+    warm.encode(["the end a b"])
+    texts = [*HARD, *[t or "" for _, t, *_ in ODD], "\n", "\n\n", "the end\n\nthe end", "the end", "hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b\n\n<|endoftext|> <|endoftext|>", "<|endoftext"]
+    for t, want in zip(texts, library_ids(texts), strict=True):
+        assert warm.encode([t]) == [want] and warm.encode([t, ""]) == [want, b""]
+        fresh = tokens.Encoder.__new__(tokens.Encoder)
+        fresh.__dict__ = warm.__dict__ | {"known": {}}
+        assert fresh.encode([t]) == [want]
+
+
+@pytest.mark.parametrize("rows", [[(1, "")], [(1, None)], [(1, "\n")], [(1, ""), (2, None), (3, "a\n\nb")]])
+def test_token_files_of_texts_without_words(spark, tmp_path, rows):
+    got = tokens.token_rows(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/t", tokens.default_tokenizer()).orderBy("doc_id").collect()
+    assert [r["n_tokens"] for r in got] == [len(x) // 4 + 1 for x in library_ids([t or "" for _, t in rows])]
+
+
 def test_encoder_where_gaps_make_up_for_each_other():
     e = tokens.Encoder(tokens.default_tokenizer())
     random.seed(11)
     texts = [t.replace("\t", b) for t in ("a\tb\tc\n\n", "a\n\n\nb\tc\td", "a\tb  c", " a\tb", "a\tb \n c\td") for b in "\t\xa0\u3000\x1c\x85"]
     texts += ["".join(random.choice("ab é,\n\n 1'\t\xa0") for _ in range(random.randint(0, 40))) for _ in range(2000)]
-    want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert e.encode(texts) == want
+    assert e.encode(texts) == library_ids(texts)
 
 
 def test_token_file_round_trip_and_damage():
@@ -178,13 +202,12 @@ def test_token_file_round_trip_and_damage():
 
 def test_token_files(spark, odd_dir):
     got = registry.queries()["op2_token_files"](spark, odd_dir).collect()
-    t = tokens.Encoder(tokens.default_tokenizer()).tokenizer
     docs = sorted(((-1 if k is None else k, x or "") for k, x, *_ in ODD), key=lambda d: (d[0], d[1]))
     start, want = 0, Counter()
     for k, x in docs:
-        ids = np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4")
-        want[(None if k == -1 else k, start, len(ids), zlib.crc32(ids.tobytes()))] += 1
-        start += len(ids)
+        ids = library_ids([x])[0] + b"\0" * 4
+        want[(None if k == -1 else k, start, len(ids) // 4, zlib.crc32(ids))] += 1
+        start += len(ids) // 4
     assert Counter(tuple(r) for r in got) == want
 
 
@@ -193,9 +216,11 @@ def test_only_asked_documents_are_read(spark, tmp_path):
     files = tokens.write_tokens(x, f"file://{tmp_path}/t", tokens.default_tokenizer(), frame_ids=50)
     assert files.agg(F.sum("n_docs")).first()[0] == 300
     got = tokens.read_tokens(files, f"file://{tmp_path}/t", only=[7, 150, 999]).collect()
-    t = tokens.Encoder(tokens.default_tokenizer()).tokenizer
-    assert {r["doc_id"]: r["ids"] for r in got} == {k: [*t.encode(f"text number {k}").ids, 0] for k in (7, 150)}
+    want = dict(zip((7, 150), library_ids(["text number 7", "text number 150"]), strict=True))
+    assert {r["doc_id"]: r["ids"] for r in got} == {k: [*np.frombuffer(x, "<u4").tolist(), 0] for k, x in want.items()}
     assert tokens.read_tokens(files, f"file://{tmp_path}/t", only=[]).collect() == []
+    back = tokens.token_rows(x.withColumn("at", -F.col("doc_id")), f"file://{tmp_path}/u", tokens.default_tokenizer(), ["at"]).orderBy("start").collect()
+    assert [r["doc_id"] for r in back] == list(range(299, -1, -1))
 
 
 # 3 -------------------------------------------------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """Mixing sources to target weights along a curriculum.
 
-Every source has a weight for each phase of training. Integrating the weights over the phases gives the
-share of the training words that the source has to supply, and its cumulative demand as a piecewise
+Every source has a weight for each phase of training, all phases being equally long. The integral of the
+weights is the source's weight in the mixture, and its course the source's cumulative demand, a piecewise
 linear function of training progress. A source's documents, in seeded order and repeated as often as
 needed, supply its words one after the other; inverting the cumulative demand at the middle of a
 document gives the document's position in training. Sorting by position by range mixes the sources.
@@ -21,6 +21,8 @@ BROADCAST_SOURCES = 50_000
 #: A source gives at most this many times its own words.
 MAX_EPOCHS = 3.0
 SEED = "mix-1"
+#: Weights by phase of the sources in turn. Their means are 1, 2 and 3: the first come late, the last come early.
+CURRICULUM = ((0.25, 0.75, 1.25, 1.75), (2.0, 2.0, 2.0, 2.0), (4.5, 3.5, 2.5, 1.5))
 
 
 def word_count(text: Column) -> Column:
@@ -30,35 +32,27 @@ def word_count(text: Column) -> Column:
 def source_targets(totals: DataFrame, weights: Column, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """(source, source_size) with ``weights`` (an array, one weight a phase) made into demand.
 
-    The sources share the sum of all sizes by mean weight. A target stops at ``max_epochs`` times its
-    source's size; the excess goes to the others by weight, until no target is above its limit. With
-    sources by rising limit / weight, the first k are limited, and all others get weight times one level.
-    Adds ``target`` (double) and ``cumulative``: the part of the target wanted by the end of each phase.
+    The sources share the sum of all sizes by mean weight; a null weight is none. A target stops at
+    ``max_epochs`` times its source's size; the excess goes to the others by weight, until no target is above
+    its limit. With sources by rising limit / weight, the first k are limited, and all others get weight times
+    one level. Adds ``target`` (double) and ``cumulative``: the part of the target wanted by the end of each
+    phase. One task has all rows, one a source.
     """
-    phases = totals.withColumn("_w", weights).withColumn("_all", F.lit(1))
-    # A phase deals out its words by the weights of that phase, and all phases are equally long.
-    per_phase = phases.select("_all", F.posexplode("_w").alias("_p", "_x")).groupBy("_all", "_p").agg(F.sum("_x").alias("_sum"))
-    sums = per_phase.groupBy("_all").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_sum"))), lambda s: s["_sum"]).alias("_sums"))
-    # Weighed against the heaviest phase, so that with one phase the weights stay as they are.
-    shares = phases.join(F.broadcast(sums), "_all").withColumn("_most", F.array_max("_sums"))
-    shares = shares.withColumn("_share", F.zip_with("_w", "_sums", lambda w, s: w * F.coalesce(F.try_divide(F.col("_most"), s), F.lit(0.0))))
-    shares = shares.withColumn("_weight", F.aggregate("_share", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))))
+    added = lambda w: F.aggregate(w, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    shares = totals.withColumns({"_w": weights, "_all": F.lit(1)})
+    shares = shares.withColumn("_sum", added(F.col("_w"))).withColumn("_weight", F.col("_sum") / F.size("_w"))
     # "size" times the limit is exact in a double, so the order and the sums do not depend on the plan.
     shares = shares.withColumn("_limit", F.col("source_size") * F.lit(float(max_epochs)))
     order = [F.try_divide("_limit", "_weight").asc_nulls_last(), F.col("source").asc_nulls_last()]
     before = Window.partitionBy("_all").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    onward = Window.partitionBy("_all").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
     whole = Window.partitionBy("_all")
-    level = F.try_divide(F.sum("source_size").over(whole) - F.coalesce(F.sum("_limit").over(before), F.lit(0.0)), F.sum("_weight").over(onward))
+    sum_before = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
+    level = F.try_divide(F.sum("source_size").over(whole) - sum_before("_limit"), F.sum("_weight").over(whole) - sum_before("_weight"))
     levels = shares.withColumn("_level", level).withColumn("_free", F.col("_level") * F.col("_weight") <= F.col("_limit"))
     final = F.min(F.when(F.col("_free"), F.struct(F.try_divide("_limit", "_weight").alias("r"), F.col("_level").alias("level")))).over(whole)["level"]
     out = levels.withColumn("_final", final)
     target = F.when(F.col("_weight") > 0, F.least(F.col("_limit"), F.col("_final") * F.col("_weight"))).otherwise(F.lit(0.0))
-    n = F.size("_share")
-    running = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda k: F.try_divide(F.aggregate(F.slice("_share", F.lit(1), k), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))), F.col("_weight")),
-    )
+    running = F.transform(F.sequence(F.lit(1), F.size("_w")), lambda k: F.try_divide(added(F.slice("_w", F.lit(1), k)), F.col("_sum")))
     return out.select("source", "source_size", target.alias("target"), running.alias("cumulative"))
 
 
@@ -107,13 +101,14 @@ def schedule(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_c
 
 
 def plan_targets(sized: DataFrame, weights: Column | None = None, source_col: str = "source", size_col: str = "size") -> DataFrame:
-    """The targets of all sources of ``sized``; by default weights 1, 2, 3, repeating, by code point, null last."""
+    """The targets of all sources of ``sized``; by default the CURRICULUM's weights, repeating, by code point, null last."""
     totals = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum(size_col).alias("source_size"))
     if weights is None:
         # One row a source: small beside the documents, and their order is a single one.
         place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
         totals = totals.withColumn("_place", place)
-        weights = F.array((F.pmod("_place", F.lit(3)) + 1).cast("double"))
+        kinds = F.array(*[F.array(*[F.lit(x) for x in w]) for w in CURRICULUM])
+        weights = F.element_at(kinds, (F.pmod("_place", F.lit(len(CURRICULUM))) + 1).cast("int"))
     return cut(source_targets(totals, weights))
 
 
@@ -142,10 +137,15 @@ def mix(df: DataFrame, weights: Column | None = None, id_col: str = "doc_id", te
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its size, its source's size and target, the words taken, and the training positions of its
+    first and last use (null where it is not used), in the order of first use. Null texts have size 0; a null source is
+    one source; rows that repeat an id follow each other by size; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    out = schedule(sized, plan_targets(sized))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    at = lambda k: F.try_element_at("positions", F.lit(k))
+    out = schedule(sized, plan_targets(sized)).withColumns({"first_position": at(1), "last_position": at(-1)})
+    out = out.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "first_position", "last_position")
 
 
 SQL = r"""
@@ -155,25 +155,38 @@ WITH d AS (
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
-         ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight
+         [[0.25, 0.75, 1.25, 1.75]::DOUBLE[], [2, 2, 2, 2]::DOUBLE[], [4.5, 3.5, 2.5, 1.5]::DOUBLE[]][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS ws
   FROM d GROUP BY source
 ), w AS (
-  SELECT source, source_size, weight, source_size * 3.0::DOUBLE AS cap FROM s
+  SELECT source, source_size, list_sum(ws) / 4 AS weight, source_size * 3.0::DOUBLE AS cap,
+         list_transform(range(1, 5), lambda k: list_sum(ws[:k]) / list_sum(ws)) AS cumulative
+  FROM s
 ), l AS (
   SELECT *, cap / weight AS r,
          (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
            / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM w
 ), t AS (
-  SELECT source, source_size,
+  SELECT source, source_size, cumulative,
          least(cap, weight * arg_min(CASE WHEN level * weight <= cap THEN level END, CASE WHEN level * weight <= cap THEN r END) OVER ()) AS target
   FROM l
 ), laid AS (
   SELECT doc_id, source, size,
          coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM d
+), used AS (
+  SELECT doc_id, size, source_size, target, cumulative, before + size / 2.0::DOUBLE AS middle,
+         greatest(coalesce(ceil((target - (before + size / 2.0::DOUBLE)) / nullif(source_size, 0)), 0), 0)::BIGINT AS repeats
+  FROM laid JOIN t ON laid.source IS NOT DISTINCT FROM t.source
+), parts AS (
+  SELECT *, middle / nullif(target, 0) AS a, (middle + (repeats - 1) * source_size) / nullif(target, 0) AS b FROM used
+), phases AS (
+  SELECT *, least(len(list_filter(cumulative, lambda c: c <= a)), 3) AS pa, least(len(list_filter(cumulative, lambda c: c <= b)), 3) AS pb FROM parts
+), ends AS (
+  SELECT *, CASE WHEN pa = 0 THEN 0 ELSE cumulative[pa] END AS la, CASE WHEN pb = 0 THEN 0 ELSE cumulative[pb] END AS lb FROM phases
 )
-SELECT doc_id, size, source_size, target,
-       (greatest(coalesce(ceil((target - (before + size / 2.0::DOUBLE)) / nullif(source_size, 0)), 0), 0) * size)::BIGINT AS taken
-FROM laid JOIN t ON laid.source IS NOT DISTINCT FROM t.source
+SELECT doc_id, size, source_size, target, repeats * size AS taken,
+       CASE WHEN repeats > 0 THEN least((pa + least(coalesce((a - la) / nullif(cumulative[pa + 1] - la, 0), 0), 1)) / 4, 1) END AS first_position,
+       CASE WHEN repeats > 0 THEN least((pb + least(coalesce((b - lb) / nullif(cumulative[pb + 1] - lb, 0), 0), 1)) / 4, 1) END AS last_position
+FROM ends
 """

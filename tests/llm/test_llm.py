@@ -249,6 +249,23 @@ def test_mixture_meets_targets_and_curriculum(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(x.repartition(7), w).collect()))
 
 
+def test_default_curriculum(spark):
+    assert [sum(w) / len(w) for w in mixing.CURRICULUM] == [1, 2, 3]
+    data = [(k, " ".join(["w"] * (1 + k % 5)), "abc"[k % 3]) for k in range(6000)]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    words = Counter()
+    for r in got:
+        words[r["source"], int(r["position"] * 4)] += len(r["text"].split())
+    for s, w in zip("abc", mixing.CURRICULUM, strict=True):
+        total = sum(words[s, p] for p in range(4))
+        assert all(abs(words[s, p] / total - w[p] / sum(w)) < 0.01 for p in range(4))
+
+
+def test_query_comes_in_order_of_first_use(spark):
+    got = [r["first_position"] for r in registry.queries()["op3_mix_sources"](spark, SF).collect()]
+    assert got == sorted(got, key=lambda p: -1 if p is None else p) and 0 < sum(p is not None for p in got)
+
+
 # 4 -------------------------------------------------------------------------------------------------------------------
 
 

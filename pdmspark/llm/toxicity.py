@@ -7,11 +7,11 @@ logistic regression is fitted on the buckets that differ most, each scaled by it
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import boxed, cut, seeded_hash, table, unboxed
@@ -27,8 +27,8 @@ THRESHOLD = 0.3
 SEED = "tox-1"
 #: Rows of the sums of counts: each has DIM / BLOCKS buckets.
 BLOCKS = 64
-#: Characters that are hashed at a time.
-CHUNK = 1 << 20
+#: Characters that are hashed at a time: their codes, hashes and places take some 100 bytes each.
+CHUNK = 1 << 18
 
 
 def _plain() -> np.ndarray:
@@ -39,45 +39,62 @@ def _plain() -> np.ndarray:
     return np.where(keep, np.arange(128), 32).astype("u4")
 
 
-def gram_hits(texts: list[str], wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket) of the distinct n-grams of the texts, of ``wanted`` buckets only if given."""
-    plain, found = _plain(), []
-    longest = max(LENGTHS)
-    for begin, piece in _pieces(texts):
-        lengths = np.array([len(x) + 2 for x in piece])
-        codes = np.frombuffer("".join([f" {x} " for x in piece]).encode("utf-32-le", "surrogatepass"), "u4").copy()
-        ascii_ = codes < 128
-        codes[ascii_] = plain[codes[ascii_]]
-        wide = codes.astype("u8")
-        ends = np.cumsum(lengths)
-        h, n = wide.copy(), 1
-        while n < longest:
-            h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + wide[n:]
-            n += 1
-            if n in LENGTHS and len(h):
-                mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                bucket = (mixed >> np.uint64(64 - BITS)).astype("i8")
-                at = np.flatnonzero(wanted[bucket]) if wanted is not None else np.arange(len(bucket))
-                text = np.searchsorted(ends, at, "right")
-                inside = at + n <= ends[np.minimum(text, len(ends) - 1)]
-                found.append(((text[inside] + begin) << BITS) | bucket[at[inside]])
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, "i8")
-    return pairs >> BITS, pairs & (DIM - 1)
-
-
-def _pieces(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    begin, held = 0, 0
-    for i, x in enumerate(texts):
-        held += len(x)
-        if held >= CHUNK:
-            yield begin, texts[begin : i + 1]
-            begin, held = i + 1, 0
-    if begin < len(texts):
-        yield begin, texts[begin:]
+def _buckets(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, the bucket of the n-gram at each place) for each length of n-grams; codes are characters."""
+    plain, wide = _plain(), codes.astype("u8")
+    ascii_ = codes < 128
+    wide[ascii_] = plain[codes[ascii_]]
+    h = wide
+    for n in range(2, max(LENGTHS) + 1):
+        h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + wide[n - 1 :]
+        if n in LENGTHS and len(h):
+            mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            yield n, (mixed >> np.uint64(64 - BITS)).astype("i4")
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "u4")
 
 
-def _clean(texts: pd.Series) -> list[str]:
-    return [x.lower() if x else "" for x in texts]
+def gram_hits(texts: Sequence[str | None], wanted: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, bucket) of the distinct n-grams of each text in lower case, of ``wanted`` buckets only if given.
+
+    Parts hold whole texts, in order, of some CHUNK characters; a longer text is a part alone, hashed in stretches
+    that overlap, so memory does not follow the length of texts.
+    """
+    for begin, piece in _pieces(texts):
+        if len(piece) == 1 and len(piece[0]) > CHUNK:
+            has, text, step = np.zeros(DIM, bool), f" {piece[0].lower()} ", CHUNK
+            for at in range(0, len(text), step):
+                for _, bucket in _buckets(_codes(text[at : at + step + max(LENGTHS) - 1])):
+                    has[bucket] = True
+            found = np.flatnonzero(has if wanted is None else has & wanted)
+            yield np.full(len(found), begin), found
+            continue
+        padded = [f" {x.lower()} " for x in piece]
+        ends, hits = np.cumsum([len(x) for x in padded]), []
+        for n, bucket in _buckets(_codes("".join(padded))):
+            at = np.flatnonzero(wanted[bucket]) if wanted is not None else np.arange(len(bucket))
+            text = np.searchsorted(ends, at, "right")
+            inside = at + n <= ends[text]
+            hits.append((text[inside] << BITS) | bucket[at[inside]])
+        pairs = np.unique(np.concatenate(hits)) if hits else np.zeros(0, "i8")
+        yield (pairs >> BITS) + begin, pairs & (DIM - 1)
+
+
+def _pieces(texts: Sequence[str | None]) -> Iterator[tuple[int, list[str]]]:
+    """Texts that follow each other, with the number of the first: CHUNK characters at most, or one longer text."""
+    held: list[str] = []
+    size = 0
+    for i, x in enumerate(texts):
+        x = x or ""
+        if held and size + len(x) > CHUNK:
+            yield i - len(held), held
+            held, size = [], 0
+        held.append(x)
+        size += len(x)
+    if held:
+        yield len(texts) - len(held), held
 
 
 class Model:
@@ -86,35 +103,39 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float) -> None:
         self.weights, self.bias = weights.astype("f4"), bias
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        total = np.full(len(texts), self.bias)
-        for at in range(0, len(texts), 512):
-            text, bucket = gram_hits(texts[at : at + 512], self.weights != 0)
-            np.add.at(total, text + at, self.weights[bucket].astype("f8"))
+    def score(self, texts: Sequence[str | None]) -> np.ndarray:
+        total, wanted = np.full(len(texts), self.bias), self.weights != 0
+        for text, bucket in gram_hits(texts, wanted):
+            total += np.bincount(text, self.weights[bucket], minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
 def training_rows(df: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> DataFrame:
-    """(text, y) of at most ``max_train`` labelled rows. Of several labels of an id the highest counts."""
+    """(text, y) of at most ``max_train`` labelled rows. Of several labels of an id the highest counts; rows that repeat
+    an id are all used or none, so reruns agree."""
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
-    y = y.where(may_learn).orderBy(seeded_hash(SEED, id_col), id_col).limit(max_train)
-    y = y.withColumnRenamed(id_col, "_id")
-    return df.select(F.col(id_col).alias("_key"), F.col(text_col).alias("text")).join(y, F.col("_key") == F.col("_id")).select("text", F.col("_y").alias("y"))
+    y = y.where(may_learn).select(F.col(id_col).alias("_id"), "_y")
+    ids = df.select(F.col(id_col).alias("_key")).join(y, F.col("_key") == F.col("_id"), "left_semi").groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"))
+    # Ids by hash, as long as their rows fit; the running count is over the first ids of that order only.
+    ids = ids.orderBy(seeded_hash(SEED, "_key"), "_key").limit(max_train)
+    fit = F.sum("_rows").over(Window.orderBy(seeded_hash(SEED, "_key"), "_key")) <= max_train
+    ids = ids.withColumn("_fit", fit).where("_fit").select(F.col("_key").alias("_chosen"))
+    y = y.join(F.broadcast(ids), F.col("_id") == F.col("_chosen"))  # max_train ids at most
+    return df.select(F.col(id_col).alias("_key"), F.col(text_col).alias("text")).join(F.broadcast(y), F.col("_key") == F.col("_id")).select("text", F.col("_y").alias("y"))
 
 
 def fit(rows: DataFrame) -> Model:
     """Fits on (text, y). Sums of counts (DIM pairs) and the selected features of the rows come to the driver."""
-    rows = cut(rows.limit(MAX_TRAIN).repartition(12))
+    rows = cut(rows.repartition(12))
     width = DIM // BLOCKS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((2, DIM), "i8")
         for batch in batches:
-            texts, y = _clean(batch["text"]), batch["y"].to_numpy()
-            for at in range(0, len(texts), 256):
-                text, bucket = gram_hits(texts[at : at + 256], None)
+            y = batch["y"].to_numpy()
+            for text, bucket in gram_hits(batch["text"], None):
                 for k in (0, 1):
-                    sums[k] += np.bincount(bucket[y[text + at] == k], minlength=DIM)
+                    sums[k] += np.bincount(bucket[y[text] == k], minlength=DIM)
         yield pd.DataFrame({"block": np.arange(BLOCKS), "none": [x.tobytes() for x in sums[0].reshape(BLOCKS, width)], "toxic": [x.tobytes() for x in sums[1].reshape(BLOCKS, width)]})
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
@@ -137,9 +158,12 @@ def fit(rows: DataFrame) -> Model:
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            text, bucket = gram_hits(_clean(batch["text"]), wanted)
-            cuts = np.searchsorted(text, np.arange(len(batch) + 1))
-            yield pd.DataFrame({"y": batch["y"], "grams": [place[bucket[a:b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]})
+            grams = [b""] * len(batch)
+            for text, bucket in gram_hits(batch["text"], wanted):
+                names, begins = np.unique(text, return_index=True)
+                for k, a, b in zip(names.tolist(), begins.tolist(), [*begins[1:].tolist(), len(text)], strict=False):
+                    grams[k] = place[bucket[a:b]].tobytes()
+            yield pd.DataFrame({"y": batch["y"], "grams": grams})
 
     sparse = rows.mapInPandas(features, "y int, grams binary").collect()
     y = np.array([r["y"] for r in sparse], "f8")
@@ -183,7 +207,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "scor
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(shared.value.score(_clean(texts)), dtype="f8")
+            yield pd.Series(shared.value.score(texts), dtype="f8")
 
     return df.withColumn(name, F.pandas_udf(run, "double")(F.col(text_col)))
 
@@ -201,6 +225,8 @@ def drop_toxic(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row. Null and empty texts get the model's score without n-grams;
+    a null id is not held out; rows that repeat another have its score; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     model = fit(training_rows(docs, table(spark, sf_dir, "labels"), ~held_out()))
     out = score(docs.select("doc_id", "text"), model)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import random
 import re
 import zlib
@@ -519,11 +520,55 @@ def test_decontamination_query_on_data(spark):
 # 10 ------------------------------------------------------------------------------------------------------------------
 
 
-def test_grams_are_those_of_each_text_alone():
-    texts = ["Ab, c", "", "x" * 50, "日本 語", "a"]
-    alone = [set(toxicity.gram_hits([t], None)[1].tolist()) for t in texts]
-    which, bucket = toxicity.gram_hits(texts, None)
-    assert [set(bucket[which == k].tolist()) for k in range(len(texts))] == alone and alone[1] == set()
+def test_grams_are_those_of_each_text_alone(monkeypatch):
+    texts = ["Ab, c", "", "x" * 50, "日本 語", "a", None, prose(400, 3), "É" + prose(9, 4)]
+    for chunk in (7, 60, 1000, 1 << 18):  # texts in one part, in several, and in stretches
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        found = [set() for _ in texts]
+        for which, bucket in toxicity.gram_hits(texts, None):
+            for k, b in zip(which.tolist(), bucket.tolist(), strict=True):
+                assert b not in found[k]
+                found[k].add(b)
+        assert found == [slow_buckets(t) for t in texts] and found[1] == found[5] == set()
+    wanted = np.zeros(toxicity.DIM, bool)
+    wanted[list(slow_buckets(texts[0]))[:3]] = True
+    assert sum(len(b) for _, b in toxicity.gram_hits(texts[:2], wanted)) == 3
+
+
+def slow_buckets(text):
+    """By the definition: blanks for all ASCII characters but letters and digits, one at each end, and a hash of 64 bits."""
+    plain = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in f" {(text or '').lower()} ")
+    out, full = set(), (1 << 64) - 1
+    for n in (4, 5, 6):
+        for i in range(len(plain) - n + 1):
+            h = 0
+            for c in plain[i : i + n]:
+                h = (h * 0x9E3779B97F4A7C15 + ord(c)) & full
+            out.add((((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & full) >> 44)
+    return out
+
+
+def test_model_is_that_of_the_definition(spark, monkeypatch):
+    """Log-count ratios, the choice of buckets and the scores, against plain Python."""
+    monkeypatch.setattr(toxicity, "SELECTED", 40)
+    r = random.Random(12)
+    bad, good = ["vile", "nasty", "scum"], ["tree", "river", "stone", "cloud"]
+    data = [(" ".join(r.choice(bad if k % 3 == 0 and r.random() < 0.5 else good) for _ in range(12)), int(k % 3 == 0)) for k in range(60)]
+    model = toxicity.fit(spark.createDataFrame(data, "text string, y int"))
+    counts = [Counter(b for t, y in data if y == k for b in slow_buckets(t)) for k in (0, 1)]
+    totals = [sum(c.values()) + toxicity.DIM for c in counts]
+    sure, ratios = {}, {}
+    for b in counts[0].keys() | counts[1].keys():
+        ratios[b] = math.log((counts[1][b] + 1) / totals[1]) - math.log((counts[0][b] + 1) / totals[0])
+        if counts[0][b] + counts[1][b] >= 3:
+            sure[b] = abs(ratios[b]) / math.sqrt(1 / (counts[1][b] + 1) + 1 / (counts[0][b] + 1))
+    chosen = sorted(sorted(sure, key=lambda b: (-round(sure[b], 9), b))[:40])
+    grams = [[chosen.index(b) for b in sorted(slow_buckets(t)) if b in set(chosen)] for t, _ in data]
+    weights, bias = toxicity.regress(np.array(sum(grams, []), "u2"), np.array([len(g) for g in grams]), np.array([y for _, y in data], "f8"), np.array([ratios.get(b, 0.0) for b in range(toxicity.DIM)]), np.array(chosen))
+    assert sorted(np.flatnonzero(model.weights).tolist()) == chosen and abs(model.bias - bias) < 1e-6
+    for t, _ in data[:20] + [("vile river", 1), ("", 0), (None, 0)]:
+        z = bias + sum(weights[b] for b in slow_buckets(t))
+        assert abs(model.score([t])[0] - 1 / (1 + math.exp(-z))) < 1e-5
 
 
 def test_held_out_accuracy(spark):

@@ -78,7 +78,8 @@ def gram_hits(texts: Sequence[str | None], wanted: np.ndarray | None) -> Iterato
             text = np.searchsorted(ends, at, "right")
             inside = at + n <= ends[text]
             hits.append((text[inside] << BITS) | bucket[at[inside]])
-        pairs = np.unique(np.concatenate(hits)) if hits else np.zeros(0, "i8")
+        pairs = np.sort(np.concatenate([*hits, np.zeros(0, "i8")]))
+        pairs = pairs[np.diff(pairs, prepend=-1) != 0]
         yield (pairs >> BITS) + begin, pairs & (DIM - 1)
 
 

@@ -5,10 +5,15 @@ bits, one that holds a differing bit, and at most 2 bits differ in the rest, so
 both exists there. Each distinct fingerprint thus emits, for each part left out, the rest and all variants of
 it with one bit flipped (132 in all); fingerprints meet by variant, and those that do are verified.
 
-A variant that many distinct fingerprints share would make many pairs. Fingerprints of such crowded variants
-go another, exact way without pairs: each emits all whole variants within 1 bit and within 2 bits. Any
-fingerprint within 1 bit and any within 2 bits of one value are at most 3 apart, so all of a value's
-fingerprints link to the least of those within 1 bit, and every link has such a value.
+A variant that many distinct fingerprints share would make many pairs, so these link in two steps without them.
+
+1. The fingerprints that one flipped bit turns into the same whole value are at most 2 bits apart: all of them link
+   to the least. That is every link of 2 bits or less, and makes one component of most crowds.
+2. What is left are links of exactly 3 bits between components that share a variant. Of few fingerprints, those of
+   different components are compared. Of many, each outside the variant's largest component emits the whole values
+   within 2 bits of it, and all emit those within 1: a link of 3 bits has a value 1 from the one and 2 from the
+   other, and at least one of the two is outside the largest component. All those within 2 of a value link to the
+   least of those within 1.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ RADIUS = 3
 PARTS = 3
 SHINGLE = 3
 SEED = 42
-#: Most fingerprints of a variant that are compared in pairs.
+#: Most fingerprints of a variant whose components are compared pair by pair; beyond, they link as the second step says.
 CROWD = 16
 #: Crowded or shared variants are broadcast up to this many (16 bytes each), else joined by shuffle.
 BROADCAST_VARIANTS = 200_000
@@ -71,7 +76,7 @@ def _long(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def half_variants(fp: str = "fp", parts: int = PARTS) -> Column:
+def half_variants(parts: int = PARTS) -> Column:
     """An array of (mask, flip): ``fp & mask ^ flip`` are the variants within half the radius."""
     edges = [BITS * k // parts for k in range(parts + 1)]
     out = []
@@ -82,49 +87,73 @@ def half_variants(fp: str = "fp", parts: int = PARTS) -> Column:
     return F.array(*[F.struct(F.lit(_long(m)).alias("mask"), F.lit(_long(f)).alias("flip")) for m, f in out])
 
 
-def _emit(fps: DataFrame, flips: Column) -> DataFrame:
-    rows = fps.select("fp", F.explode(flips).alias("x"))
-    return rows.select(F.col("fp").bitwiseAND(F.col("x.mask")).bitwiseXOR(F.col("x.flip")).alias("variant"), "fp")
+def _emit(fps: DataFrame) -> DataFrame:
+    """(variant, fp, whole): ``whole`` is the fingerprint with the variant's bit flipped."""
+    rows = fps.select("fp", F.explode(half_variants()).alias("x"))
+    fp, flip = F.col("fp"), F.col("x.flip")
+    return rows.select(fp.bitwiseAND(F.col("x.mask")).bitwiseXOR(flip).alias("variant"), "fp", fp.bitwiseXOR(flip).alias("whole"))
 
 
-def _ball(fps: DataFrame, radius: int) -> DataFrame:
-    """All whole variants within ``radius`` bits."""
-    flips = [sum(1 << k for k in some) for n in range(radius + 1) for some in combinations(range(BITS), n)]
-    flips = F.array(*[F.lit(_long(x)) for x in flips]) if radius < 2 else F.lit([_long(x) for x in flips])
-    return fps.select(F.explode(flips).alias("x"), "fp").select(F.col("fp").bitwiseXOR(F.col("x")).alias("variant"), "fp")
+def _sphere(fps: DataFrame, radius: int) -> DataFrame:
+    """(value, fp): the whole values exactly ``radius`` bits from each fingerprint."""
+    flips = F.lit([_long(sum(1 << k for k in some)) for some in combinations(range(BITS), radius)])
+    return fps.select(F.explode(flips).alias("x"), "fp").select(F.col("fp").bitwiseXOR(F.col("x")).alias("value"), "fp")
+
+
+def _with_components(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` with the component of their fp by ``edges``; a fingerprint without any is one of its own."""
+    groups = connected_components(edges)
+    return rows.join(groups, rows["fp"] == groups["node"], "left").drop("node").withColumn("component", F.coalesce("component", "fp"))
+
+
+def _links_between(found: DataFrame, crowd: int) -> DataFrame:
+    """Pairs (u, v) that join the components of ``found`` (variant, fp, component) wherever 3 bits or less do."""
+    own = found.groupBy("variant").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_a"), F.max("component").alias("_b"))
+    own = own.where("_a <> _b").select(F.col("variant").alias("_variant"), "_n")
+    mixed = cut(found.join(own, found["variant"] == own["_variant"]).select("variant", "fp", "component", "_n"))
+    few = mixed.where(F.col("_n") <= crowd)
+    other = few.select(F.col("variant").alias("_variant"), F.col("fp").alias("v"), F.col("component").alias("_c"))
+    pairs = few.join(other, (few["variant"] == other["_variant"]) & (few["fp"] < other["v"]) & (few["component"] != other["_c"]))
+    pairs = pairs.select(F.col("fp").alias("u"), "v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)
+
+    many = mixed.where(F.col("_n") > crowd)
+    sizes = found.select("fp", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("_size")).withColumnRenamed("component", "_c")
+    sized = many.join(sizes, many["component"] == sizes["_c"]).select("variant", "fp", F.struct("_size", "component").alias("_rank"))
+    largest = sized.groupBy("variant").agg(F.max("_rank").alias("_most")).withColumnRenamed("variant", "_variant")
+    outside = sized.join(largest, (sized["variant"] == largest["_variant"]) & (sized["_rank"] < largest["_most"]))
+    outside = cut(outside.select("fp").distinct())
+    if outside.isEmpty():
+        return pairs
+    hubs = _sphere(many.select("fp").distinct(), 1).groupBy("value").agg(F.min("fp").alias("u")).withColumnRenamed("value", "_value")
+    wide = _sphere(outside, 2)
+    return pairs.unionByName(wide.join(hubs, wide["value"] == hubs["_value"]).select("u", F.col("fp").alias("v")))
 
 
 def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Pairs (u, v) of distinct fingerprints at most RADIUS bits apart whose components are those of all such pairs.
 
-    ``fps`` has each fingerprint once, as ``fp``, and is read up to three times. All links of fingerprints
-    without crowded variants are given; of the others those that connect them.
+    ``fps`` has each fingerprint once, as ``fp``, and is read twice. Of variants of up to three fingerprints all links
+    are given; of others those that connect them. A fingerprint emits 132 variants, and at most 64 + 2,016 whole
+    values more if a crowd around it stays in several components.
     """
-    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS
-    emitted = _emit(fps, half_variants())
-    met = emitted.repartition("variant").groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v"), F.bit_xor("fp").alias("x"))
+    emitted = _emit(fps)
+    met = emitted.select("variant", "fp").repartition("variant").groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v"), F.bit_xor("fp").alias("x"))
     met = cut(met.where("n > 1"))
     # Two or three fingerprints of a variant are known from their least, their greatest and the xor of all.
     middle = F.col("x").bitwiseXOR(F.col("u")).bitwiseXOR(F.col("v"))
     pairs = met.where("n <= 3").select("u", "v")
     three = met.where("n = 3")
     pairs = pairs.unionByName(three.select("u", middle.alias("v"))).unionByName(three.select(middle.alias("u"), "v"))
+    pairs = pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS).distinct()
 
-    more = met.where("n > 3").select(F.col("variant").alias("_variant"), "n")
+    more = met.where("n > 3").select(F.col("variant").alias("_variant"))
     small = more.count() <= BROADCAST_VARIANTS
-    found = cut(emitted.join(F.broadcast(more) if small else more, emitted["variant"] == more["_variant"]).select("variant", "n", "fp"))
-    few = found.where(F.col("n") <= crowd)
-    other = few.select(F.col("variant").alias("_variant"), F.col("fp").alias("v"))
-    pairs = pairs.unionByName(few.join(other, (few["variant"] == other["_variant"]) & (few["fp"] < other["v"])).select(F.col("fp").alias("u"), "v"))
-    pairs = pairs.where(near)
-
-    crowded = cut(found.where(F.col("n") > crowd).select("fp").distinct())
-    if crowded.isEmpty():
-        return pairs.distinct()
-    hubs = _ball(crowded, 1).groupBy("variant").agg(F.min("fp").alias("u")).select(F.col("variant").alias("_variant"), "u")
-    wide = _ball(crowded, 2)
-    stars = wide.join(hubs, wide["variant"] == hubs["_variant"]).select("u", F.col("fp").alias("v")).where("u <> v")
-    return pairs.unionByName(stars).distinct()
+    found = cut(emitted.join(F.broadcast(more) if small else more, emitted["variant"] == more["_variant"]).select("variant", "fp", "whole"))
+    # At most 65 fingerprints have one whole value within a bit.
+    stars = found.select("whole", "fp").distinct().withColumn("u", F.min("fp").over(Window.partitionBy("whole"))).select("u", F.col("fp").alias("v")).where("u <> v").distinct()
+    pairs = cut(pairs.unionByName(stars))
+    known = cut(_with_components(found.select("variant", "fp"), pairs))
+    return pairs.unionByName(_links_between(known, crowd)).where("u <> v").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,5 +188,6 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every row; see ``near_duplicates`` for nulls, empty texts and repeated rows."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

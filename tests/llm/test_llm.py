@@ -284,10 +284,26 @@ def test_fingerprints():
     assert [simhash.fingerprint(t) for t in texts] == [slow_fingerprint(t) for t in texts]
 
 
-@pytest.mark.parametrize("crowd", [16, 2])
-def test_links_lose_nothing(spark, crowd):
+def around(kind):
+    """Fingerprints: some small groups, or one crowd of near copies, or a crowd of words 3 bits apart in one part of the bits."""
     random.seed(7)
     fps = set()
+    if kind == "far":  # a Hamming code: no two words are nearer than 3 bits, most have some at 3
+        for k in range(1 << 11):
+            word, places = 0, [p for p in range(1, 16) if p & (p - 1)]
+            for j, p in enumerate(places):
+                word |= (k >> j & 1) << p
+            for c in (1, 2, 4, 8):
+                word |= ((word & sum(1 << p for p in range(1, 16) if p & c)).bit_count() & 1) << c
+            fps.add(word >> 1)
+        return sorted(fps)
+    if kind == "crowd":
+        base = random.getrandbits(64)
+        for _ in range(1500):
+            x = base
+            for _ in range(random.randint(0, 5)):
+                x ^= 1 << int(random.triangular(0, 64, 5))
+            fps.add(x)
     for _ in range(12):
         base = random.getrandbits(64)
         for _ in range(random.choice([1, 3, 30])):
@@ -295,7 +311,12 @@ def test_links_lose_nothing(spark, crowd):
             for _ in range(random.randint(0, 4)):
                 x ^= 1 << random.randrange(64) if random.random() < 0.5 else 1 << random.randrange(6)
             fps.add(x)
-    fps = sorted(fps)
+    return sorted(fps)
+
+
+@pytest.mark.parametrize(("crowd", "kind"), [(16, "groups"), (2, "groups"), (16, "crowd"), (3, "crowd"), (16, "far")])
+def test_links_lose_nothing(spark, crowd, kind):
+    fps = around(kind)
     x = spark.createDataFrame([(simhash._long(f),) for f in fps], "fp long")
     got = simhash.links(x, crowd).collect()
     assert all(((r["u"] ^ r["v"]) & (2**64 - 1)).bit_count() <= 3 for r in got)
@@ -303,6 +324,7 @@ def test_links_lose_nothing(spark, crowd):
 
     def find(f, p):
         while p[f] != f:
+            p[f] = p[p[f]]
             f = p[f]
         return f
 

@@ -3,17 +3,22 @@
 Two fingerprints at most ``RADIUS`` = 3 bits apart meet halfway: leave out one of ``PARTS`` parts of the
 bits, one that holds a differing bit, and at most 2 bits differ in the rest, so that a value within 1 bit of
 both exists there. Each distinct fingerprint thus emits, for each part left out, the rest and all variants of
-it with one bit flipped (132 in all); fingerprints meet by variant, and those that do are verified.
+it with one bit flipped (131 in all); fingerprints meet by variant, and those that do are verified.
 
 A variant that many distinct fingerprints share would make many pairs, so these link in two steps without them.
 
 1. The fingerprints that one flipped bit turns into the same whole value are at most 2 bits apart: all of them link
    to the least. That is every link of 2 bits or less, and makes one component of most crowds.
-2. What is left are links of exactly 3 bits between components that share a variant. Of few fingerprints, those of
-   different components are compared. Of many, each outside the variant's largest component emits the whole values
-   within 2 bits of it, and all emit those within 1: a link of 3 bits has a value 1 from the one and 2 from the
-   other, and at least one of the two is outside the largest component. All those within 2 of a value link to the
-   least of those within 1.
+2. What is left are links of exactly 3 bits between components that share a variant. Such a link has a whole value 1
+   bit from the one and 2 from the other. All fingerprints of variants with several components emit the values within
+   1 bit; those outside the variant's largest component also values within 2, but only where the link can be: the
+   variant's bit and one of the part left out or, of a variant without a flipped bit, two of the part left out. All
+   those at a value link to the least of those within 1 bit of it.
+
+   This finds every link: if it has no bit in common with the variant's part left out but 1 or 2, one of the two
+   fingerprints has the value with a flipped bit and lies outside, in this variant or in that of the other one
+   (components are ordered alike in all variants); if all 3 bits are in the part left out, both have the variant
+   without a flipped bit, and one of them lies outside.
 """
 
 from __future__ import annotations
@@ -35,9 +40,7 @@ RADIUS = 3
 PARTS = 3
 SHINGLE = 3
 SEED = 42
-#: Most fingerprints of a variant whose components are compared pair by pair; beyond, they link as the second step says.
-CROWD = 16
-#: Crowded or shared variants are broadcast up to this many (16 bytes each), else joined by shuffle.
+#: Variants of more than three fingerprints are broadcast up to this many (16 bytes each), else joined by shuffle.
 BROADCAST_VARIANTS = 200_000
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 14
@@ -76,65 +79,66 @@ def _long(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
+def part_masks(parts: int = PARTS) -> list[tuple[int, list[int]]]:
+    """(mask of the bits that stay, the bits left out) of each part."""
+    edges = [BITS * k // parts for k in range(parts + 1)]
+    return [((1 << BITS) - 1 - sum(1 << k for k in range(a, b)), list(range(a, b))) for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def half_variants(parts: int = PARTS) -> Column:
     """An array of (mask, flip): ``fp & mask ^ flip`` are the variants within half the radius."""
-    edges = [BITS * k // parts for k in range(parts + 1)]
-    out = []
-    for low, high in zip(edges, edges[1:], strict=False):
-        left = [k for k in range(BITS) if not low <= k < high]
-        mask = sum(1 << k for k in left)
-        out += [(mask, flip) for flip in (0, *(1 << k for k in left))]
+    out = [(mask, flip) for mask, _ in part_masks(parts) for flip in (0, *(1 << k for k in range(BITS) if mask >> k & 1))]
     return F.array(*[F.struct(F.lit(_long(m)).alias("mask"), F.lit(_long(f)).alias("flip")) for m, f in out])
 
 
 def _emit(fps: DataFrame) -> DataFrame:
-    """(variant, fp, whole): ``whole`` is the fingerprint with the variant's bit flipped."""
+    """(variant, fp, mask, whole): ``whole`` is the fingerprint with the variant's bit flipped."""
     rows = fps.select("fp", F.explode(half_variants()).alias("x"))
-    fp, flip = F.col("fp"), F.col("x.flip")
-    return rows.select(fp.bitwiseAND(F.col("x.mask")).bitwiseXOR(flip).alias("variant"), "fp", fp.bitwiseXOR(flip).alias("whole"))
+    fp, mask, flip = F.col("fp"), F.col("x.mask"), F.col("x.flip")
+    return rows.select(fp.bitwiseAND(mask).bitwiseXOR(flip).alias("variant"), "fp", mask.alias("mask"), fp.bitwiseXOR(flip).alias("whole"))
 
 
-def _sphere(fps: DataFrame, radius: int) -> DataFrame:
-    """(value, fp): the whole values exactly ``radius`` bits from each fingerprint."""
-    flips = F.lit([_long(sum(1 << k for k in some)) for some in combinations(range(BITS), radius)])
+def _within_one(fps: DataFrame) -> DataFrame:
+    """(value, fp): the whole values one bit from each fingerprint."""
+    flips = F.lit([_long(1 << k) for k in range(BITS)])
     return fps.select(F.explode(flips).alias("x"), "fp").select(F.col("fp").bitwiseXOR(F.col("x")).alias("value"), "fp")
 
 
+def _towards(rows: DataFrame) -> DataFrame:
+    """(value, fp): the whole values two bits from a fingerprint that a link of 3 bits within its variant can have."""
+    flips = None
+    for mask, bits in part_masks():
+        one = F.lit([_long(1 << k) for k in bits])
+        two = F.lit([_long(1 << j | 1 << k) for j, k in combinations(bits, 2)])
+        own = F.when(F.col("whole") == F.col("fp"), two).otherwise(one)
+        same = F.col("mask") == _long(mask)
+        flips = F.when(same, own) if flips is None else flips.when(same, own)
+    return rows.select("whole", "fp", F.explode(flips).alias("x")).select(F.col("whole").bitwiseXOR(F.col("x")).alias("value"), "fp").distinct()
+
+
 def _with_components(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """``rows`` with the component of their fp by ``edges``; a fingerprint without any is one of its own."""
     groups = connected_components(edges)
     return rows.join(groups, rows["fp"] == groups["node"], "left").drop("node").withColumn("component", F.coalesce("component", "fp"))
 
 
-def _links_between(found: DataFrame, crowd: int) -> DataFrame:
-    """Pairs (u, v) that join the components of ``found`` (variant, fp, component) wherever 3 bits or less do."""
-    own = found.groupBy("variant").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_a"), F.max("component").alias("_b"))
-    own = own.where("_a <> _b").select(F.col("variant").alias("_variant"), "_n")
-    mixed = cut(found.join(own, found["variant"] == own["_variant"]).select("variant", "fp", "component", "_n"))
-    few = mixed.where(F.col("_n") <= crowd)
-    other = few.select(F.col("variant").alias("_variant"), F.col("fp").alias("v"), F.col("component").alias("_c"))
-    pairs = few.join(other, (few["variant"] == other["_variant"]) & (few["fp"] < other["v"]) & (few["component"] != other["_c"]))
-    pairs = pairs.select(F.col("fp").alias("u"), "v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)
-
-    many = mixed.where(F.col("_n") > crowd)
+def _links_between(found: DataFrame) -> DataFrame:
+    """Pairs (u, v) that join the components of ``found`` (variant, fp, mask, whole, component) wherever 3 bits do."""
     sizes = found.select("fp", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("_size")).withColumnRenamed("component", "_c")
-    sized = many.join(sizes, many["component"] == sizes["_c"]).select("variant", "fp", F.struct("_size", "component").alias("_rank"))
-    largest = sized.groupBy("variant").agg(F.max("_rank").alias("_most")).withColumnRenamed("variant", "_variant")
-    outside = sized.join(largest, (sized["variant"] == largest["_variant"]) & (sized["_rank"] < largest["_most"]))
-    outside = cut(outside.select("fp").distinct())
-    if outside.isEmpty():
-        return pairs
-    hubs = _sphere(many.select("fp").distinct(), 1).groupBy("value").agg(F.min("fp").alias("u")).withColumnRenamed("value", "_value")
-    wide = _sphere(outside, 2)
-    return pairs.unionByName(wide.join(hubs, wide["value"] == hubs["_value"]).select("u", F.col("fp").alias("v")))
-
-
-def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
+    ranked = found.join(sizes, found["component"] == sizes["_c"]).withColumn("_rank", F.struct("_size", "component"))
+    most = ranked.groupBy("variant").agg(F.max("_rank").alias("_most"), F.min("_rank").alias("_least")).where("_most <> _least").select(F.col("variant").alias("_variant"), "_most")
+    mixed = cut(ranked.join(most, ranked["variant"] == most["_variant"]).select("fp", "mask", "whole", (F.col("_rank") < F.col("_most")).alias("outside")))
+    hubs = _within_one(mixed.select("fp").distinct()).groupBy("value").agg(F.min("fp").alias("u")).withColumnRenamed("value", "_value")
+    wide = _towards(mixed.where("outside").select("fp", "mask", "whole"))
+    return wide.join(hubs, wide["value"] == hubs["_value"]).select("u", F.col("fp").alias("v"))
+
+
+def links(fps: DataFrame) -> DataFrame:
     """Pairs (u, v) of distinct fingerprints at most RADIUS bits apart whose components are those of all such pairs.
 
     ``fps`` has each fingerprint once, as ``fp``, and is read twice. Of variants of up to three fingerprints all links
-    are given; of others those that connect them. A fingerprint emits 132 variants, and at most 64 + 2,016 whole
-    values more if a crowd around it stays in several components.
+    are given; of others those that connect them. A fingerprint emits 131 variants; where those around it stay in
+    several components it emits 64 whole values more, and at most the 2,016 two bits away.
     """
     emitted = _emit(fps)
     met = emitted.select("variant", "fp").repartition("variant").groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v"), F.bit_xor("fp").alias("x"))
@@ -148,12 +152,12 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
 
     more = met.where("n > 3").select(F.col("variant").alias("_variant"))
     small = more.count() <= BROADCAST_VARIANTS
-    found = cut(emitted.join(F.broadcast(more) if small else more, emitted["variant"] == more["_variant"]).select("variant", "fp", "whole"))
+    found = cut(emitted.join(F.broadcast(more) if small else more, emitted["variant"] == more["_variant"]).select("variant", "fp", "mask", "whole"))
     # At most 65 fingerprints have one whole value within a bit.
     stars = found.select("whole", "fp").distinct().withColumn("u", F.min("fp").over(Window.partitionBy("whole"))).select("u", F.col("fp").alias("v")).where("u <> v").distinct()
     pairs = cut(pairs.unionByName(stars))
-    known = cut(_with_components(found.select("variant", "fp"), pairs))
-    return pairs.unionByName(_links_between(known, crowd)).where("u <> v").distinct()
+    known = cut(_with_components(found, pairs))
+    return pairs.unionByName(_links_between(known)).where("u <> v").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

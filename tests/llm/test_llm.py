@@ -107,6 +107,8 @@ def test_clashing_names_survive(spark, odd):
     assert toxicity.drop_toxic(x, spark.createDataFrame([(3, 1)], "doc_id long, toxic int")).columns == x.columns
     x = clash(odd, "_spans", "_text", "_k1", "spans", "k1")
     assert suffix_dedup.suffix_dedup(x).columns == x.columns
+    x = clash(odd, "_spans", "spans", "_id", "_key", "key", "id", "_row", "start")
+    assert substring_dedup.substring_dedup(x).columns == x.columns and substring_dedup.substring_dedup(x).count() == len(ODD)
     x = clash(spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string"), "host", "fit", "hits", "_row")
     assert url_filter.judge_urls(x).first()["host"] == "a.org" and url_filter.judge_urls(x).first()["fit"] == "own fit"
 
@@ -384,16 +386,68 @@ def prose(n, seed):
 def test_repeated_passages_are_found_after_insertions(spark):
     shared = prose(120, 1)
     data = [(k, prose(80, 10 + k)) for k in range(20)]
-    data += [(50, prose(30, 90) + " " + shared + " " + prose(30, 91)), (51, prose(17, 92) + " inserted " + shared), (52, shared + " " + prose(5, 93)), (53, None), (54, ""), (None, shared)]
+    data += [(50, prose(30, 90) + " " + shared + " " + prose(30, 91)), (51, prose(17, 92) + " inserted " + shared), (52, shared + " " + prose(5, 93)), (53, None), (54, ""), (None, shared), (None, prose(50, 94)), (None, prose(50, 94)), (52, prose(90, 95))]
     x = spark.createDataFrame(data, "doc_id long, text string")
     spans = substring_dedup.repeated_spans(x).collect()
-    assert {r["id"] for r in spans} == {51, 52} and {r["first_id"] for r in spans} == {50}
-    texts = dict(data)
+    assert {r["id"] for r in spans} == {51, 52, None} and {r["first_id"] for r in spans} == {50}
+    texts = dict(data[:-1]) | {None: shared}
     for r in spans:
         assert texts[r["id"]].encode()[r["start"] : r["start"] + r["length"]].decode() in texts[50]
         assert r["length"] > 0.6 * len(shared)
-    out = {r["doc_id"]: r["text"] for r in substring_dedup.substring_dedup(x).collect() if r["doc_id"] is not None}
-    assert all(out[k] == texts[k] for k in [*range(20), 50, 53, 54]) and len(out[52]) < 0.5 * len(texts[52])
+    got = Counter((r["doc_id"], r["text"]) for r in substring_dedup.substring_dedup(x).collect())
+    assert all(got[k, texts[k]] for k in [*range(20), 50, 53, 54]) and got[None, prose(50, 94)] == 2 and got[52, prose(90, 95)] == 1
+    assert sum(got.values()) == len(data) and not got[52, texts[52]] and not got[None, shared]
+
+
+def slow_chunks(data):
+    """By the definition: a hash of the 16 bytes before each place; places that fit, unless one less than 16 bytes before fits, or 96 bytes."""
+    fits = []
+    for i in range(16, len(data) + 1):
+        h = 0
+        for b in data[i - 16 : i]:
+            h = (2 * h + int(substring_dedup.NUMBERS[b])) % (1 << 32)
+        if (h >> 7) % 8 == 0:
+            fits.append(i)
+    cuts = {f for f, before in zip(fits, [-16, *fits], strict=False) if f - before >= 16} | {len(data)}
+    out, at = [], 0
+    for end in sorted(cuts - {0}):
+        while end - at > 96:
+            out.append((at, at + 96))
+            at += 96
+        out.append((at, end))
+        at = end
+    return out
+
+
+@pytest.mark.parametrize("within", [False, True])
+def test_substring_spans_against_brute_force(spark, within):
+    r = random.Random(21)
+    parts = [prose(r.randint(10, 60), 200 + k) for k in range(12)] + ["é" * 90, "For " * 60, "-" * 300]
+    data = [(k, " ".join(r.choice(parts) for _ in range(r.randint(1, 6))) + prose(r.randint(0, 3), k)) for k in range(40)] + [(40, None), (41, ""), (None, parts[0] + parts[1]), (7, parts[2] + "x")]
+    repeats = [data[9], data[-2]]  # whole rows again
+    owner, again = {}, []
+    for k, t in data:
+        b, seen = (t or "").encode(), set()
+        for a, e in slow_chunks(b):
+            c = b[a:e]
+            if k is not None:
+                owner[c] = min(owner.get(c, k), k)
+            again.append(c in seen)
+            seen.add(c)
+    want, flags = Counter(), iter(again)
+    for k, t in data:
+        b, run = (t or "").encode(), None
+        for a, e in [*slow_chunks(b), (None, None)]:
+            first = owner.get(b[a:e]) if e is not None else None
+            flag = next(flags) if e is not None else False
+            if first is not None and (k is None or k > first or (within and flag)):
+                run = [a, e, 1, first] if run is None else [run[0], e, run[2] + 1, min(run[3], first)]
+            elif run is not None:
+                if run[1] - run[0] >= 80:
+                    want[k, run[0], run[1] - run[0], run[2], run[3]] += 1
+                run = None
+    got = substring_dedup.repeated_spans(spark.createDataFrame(data + repeats, "doc_id long, text string"), within=within)
+    assert Counter(tuple(x) for x in got.drop("key").collect()) == want and len(want) > 10
 
 
 def test_chunks_cover_texts():
@@ -437,6 +491,15 @@ def test_shards_match_the_mixture(spark):
         n = Counter(r["source"] for r in by[k])
         assert abs(n["a"] - 120) <= 3 and abs(n["b"] - 40) <= 3 and abs(n[None] - 40) <= 3
     assert sorted(map(str, got)) == sorted(map(str, sharding.interleave(x.repartition(9), 16).collect()))
+    # By the definition: ranks by hash within a source, fractional ranks over all, equal cuts.
+    h = {k: int(hashlib.md5(f"shard-1|{k}".encode()).hexdigest()[:15], 16) for k in range(3203)}
+    of = defaultdict(list)
+    for r in sorted(got, key=lambda r: h[r["doc_id"]]):
+        of[r["source"]].append(r["doc_id"])
+    order = sorted(((2 * i + 1) / (2 * len(ks)), s is not None, s or "", h[k], k) for s, ks in of.items() for i, k in enumerate(ks))
+    places = {k: i for i, (*_, k) in enumerate(order)}
+    starts = [3203 * k // 16 for k in range(17)]
+    assert all(places[r["doc_id"]] == starts[r["shard"]] + r["slot"] < starts[r["shard"] + 1] for r in got)
     few = sharding.interleave(x.where("doc_id < 3"), 16).collect()
     assert sorted((r["slot"]) for r in few) == [0, 0, 0]
 
@@ -469,7 +532,7 @@ def test_suffix_dedup(spark, tmp_path, monkeypatch, most):
     want = Counter()
     for (k, _), t, m in zip(data, raw, covered(raw), strict=True):
         spans = int((np.diff(np.concatenate([[0], m.astype("i1")])) == 1).sum())
-        want[(k, len(t), int(m.sum()), spans, hashlib.sha256(np.frombuffer(t, "u1")[~m].tobytes()).hexdigest())] += 1
+        want[(k, len(t), int(m.sum()), spans, hashlib.sha256(np.frombuffer(t, "u1")[~m].tobytes()).hexdigest(), spans > 0)] += 1
     assert got == want
 
 

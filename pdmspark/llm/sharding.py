@@ -20,19 +20,20 @@ BROADCAST_SOURCES = 50_000
 def interleave(df: DataFrame, shards: int, id_col: str = "doc_id", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """Every row of ``df`` with ``shard`` (0 to shards - 1) and ``slot`` (its place in the shard, from 0).
 
-    Shards differ by one row at most. Null sources are one source. Rows with one id have the same hash;
-    Spark ranks them in any order. A hot source is ranked in hash buckets, and the order of all rows in
+    Shards differ by one row at most. Null sources are one source. Rows with one id follow each other by a
+    hash of all their columns, so only rows that repeat others wholly may change places. A hot source is ranked in hash buckets, and the order of all rows in
     buckets of fractional rank, which by construction are of equal size. With fewer rows than shards the
     last shards are empty. An empty table gives an empty result. ``df`` is read several times.
     """
     if shards < 1:
         raise ValueError("shards must be 1 or more")
-    df = boxed(df, F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), seeded_hash(seed, id_col).alias("_h"))
+    whole = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    df = boxed(df, F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), seeded_hash(seed, id_col).alias("_h"), whole.alias("_t"))
     n = df.count()
     bits = bucket_bits(n)
     one = F.lit(1).cast("long")
     ranked = df.withColumn("_b", F.shiftright("_h", HASH_BITS - bits))
-    ranked = running_sum(ranked, ["_src"], "_b", [F.col("_h"), F.col("_id")], one, "_rank")
+    ranked = running_sum(ranked, ["_src"], "_b", [F.col("_h"), F.col("_id"), F.col("_t")], one, "_rank")
     # The sources' sizes are broadcast if they are few; else both sides are tables, so that a hot source can be split.
     sizes = cut(df.groupBy(F.col("_src").alias("_source")).agg(F.count(one).alias("_n")))
     small = sizes.count() <= BROADCAST_SOURCES
@@ -40,7 +41,7 @@ def interleave(df: DataFrame, shards: int, id_col: str = "doc_id", source_col: s
     # (2 rank + 1) / 2n lies inside (0, 1); a double holds it, and equal fractions of sources tie by hash.
     part = ranked.withColumn("_part", (2 * F.col("_rank") + 1) / (2 * F.col("_n")).cast("double"))
     part = part.withColumn("_b", F.floor(F.col("_part") * (1 << bits))).withColumn("_all", F.lit(0))
-    placed = running_sum(cut(part), ["_all"], "_b", [F.col("_part"), F.col("_src"), F.col("_h"), F.col("_id")], one, "_at")
+    placed = running_sum(cut(part), ["_all"], "_b", [F.col("_part"), F.col("_src"), F.col("_h"), F.col("_id"), F.col("_t")], one, "_at")
     shard = F.expr(f"cast((_at * {shards} + {shards - 1}) div {max(n, 1)} as int)")
     start = F.expr(f"({max(n, 1)}L * shard) div {shards}")
     placed = placed.withColumn("shard", shard).withColumn("slot", (F.col("_at") - start).cast("long"))
@@ -48,6 +49,8 @@ def interleave(df: DataFrame, shards: int, id_col: str = "doc_id", source_col: s
 
 
 def op7_shard_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law (rows), shard and slot of every row; see ``interleave``. Null texts have size 1 and the
+    sum of an empty text; grown_shard is null, as the law is not ``key``."""
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     rows = cut(docs.select("doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")))

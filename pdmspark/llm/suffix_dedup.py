@@ -39,6 +39,8 @@ GRAM = 128
 RUN, PLACES = 4096, 1 << 20
 #: Bytes of different segments of a shard that one task sorts; and of the shards sorted together.
 MOST_BYTES, BATCH_BYTES = 4 << 20, 2 << 20
+#: Bytes of different segments for each task, whatever the input has; and the most tasks.
+TASK_BYTES, MOST_TASKS = 1 << 20, 200_000
 #: Bytes of a trigger; one place in ODDS is one.
 TRIGGER, ODDS = 8, 32
 #: Random numbers for bytes, by rule, and odd multipliers of the rolling hashes.
@@ -216,7 +218,7 @@ def _segment_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "shard long, d1 long, d2 long, k1 long, k2 long, start long, end long, again boolean")
 
 
-def _sorted_shards(rows: DataFrame) -> DataFrame:
+def _sorted_shards(rows: DataFrame, tasks: int) -> DataFrame:
     """(shard, d1, d2, first, last): runs of repeated stretches of each segment, from the corpus order of its shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +243,7 @@ def _sorted_shards(rows: DataFrame) -> DataFrame:
         if held:
             yield result()
 
-    placed = rows.select("shard", "d1", "d2", "bytes").repartition("shard").sortWithinPartitions("shard", "d1", "d2")
+    placed = rows.select("shard", "d1", "d2", "bytes").repartition(tasks, "shard").sortWithinPartitions("shard", "d1", "d2")
     return placed.mapInArrow(run, "shard long, d1 long, d2 long, first long, last long")
 
 
@@ -294,7 +296,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     part = lambda x: F.substring(F.col("text").cast("binary"), (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))
     parts = F.transform("asked", lambda x: F.struct(x["shard"].alias("shard"), x["d1"].alias("d1"), x["d2"].alias("d2"), x["n_bytes"].alias("n_bytes"), part(x).alias("bytes")))
     given = cut(given.select(F.inline(parts)))
-    found = _sorted_shards(given.where(F.col("n_bytes") <= MOST_BYTES)).unionByName(_crowded_shards(given.where(F.col("n_bytes") > MOST_BYTES)))
+    size = shards.where(F.col("n_bytes") <= MOST_BYTES).agg(F.sum("n_bytes")).first()[0] or 0
+    tasks = min(MOST_TASKS, max(df.sparkSession.sparkContext.defaultParallelism, int(size) // TASK_BYTES))
+    found = _sorted_shards(given.where(F.col("n_bytes") <= MOST_BYTES), tasks).unionByName(_crowded_shards(given.where(F.col("n_bytes") > MOST_BYTES)))
     whole = kinds.where("n > 1").select("shard", "d1", "d2", F.lit(0).cast("long").alias("first"), (F.col("end") - F.col("start") - (LENGTH - 1)).alias("last"))
     found = found.unionByName(whole).select(F.col("shard").alias("_s"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "first", "last")
     met = members.join(found, (members["shard"] == found["_s"]) & (members["d1"] == found["_d1"]) & (members["d2"] == found["_d2"]))
@@ -344,6 +348,8 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and repeated (whether bytes were removed) of every row. Null texts
+    are empty; rows that repeat others wholly lose all bytes if they have LENGTH; an empty table gives no rows."""
     met = _with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
     @F.pandas_udf("string")
@@ -354,5 +360,5 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
     return met.select(
         F.col("_row.doc_id").alias("doc_id"), F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(removed, F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce(F.size("_spans"), F.lit(0)).cast("long").alias("n_spans"), sha("_text", "_spans").alias("kept_sha256"),
+        F.coalesce(F.size("_spans"), F.lit(0)).cast("long").alias("n_spans"), sha("_text", "_spans").alias("kept_sha256"), F.col("_spans").isNotNull().alias("repeated"),
     )

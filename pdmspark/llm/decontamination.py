@@ -5,7 +5,11 @@ without a word outside it, long enough for a match, make up the shard's suffix a
 doubling. Each suffix of a benchmark item is searched in it by bisection, all at once; the entries that begin
 with the item's window are its occurrences, and occurrences in a row make the longest verbatim matches.
 
-The benchmark is searched in blocks of bounded size, each broadcast to all documents.
+Which words of a document are hit, and by which items, follows from the windows that occur, in time and memory in
+proportion to the texts. The list of all matches pairs every place in a document with every place in an item, which
+is much where both repeat themselves; it is made on request only.
+
+The benchmark is searched in blocks of bounded size, each broadcast and searched in one pass over the documents.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import boxed, cut, table, unboxed
 
 WINDOW = 13
-#: A block holds about this many bytes of benchmark text, and at least one item; one block is broadcast at a time.
+#: A block holds about this many bytes of benchmark text, and at least one item.
 BLOCK_BYTES = 4_000_000
 #: Bytes of words: ASCII letters, made lower case, digits, and all of characters beyond ASCII. The rest separates.
 TO_WORDS = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -53,6 +57,8 @@ class Block:
             rows, which = np.unique(np.stack([x for _, _, x in found]), axis=0, return_inverse=True)
             places = np.array([(w, item, at) for w, (item, at, _) in zip(which.reshape(-1).tolist(), found, strict=True)], "i8")
             self.windows[n] = rows, places[np.argsort(places[:, 0], kind="stable")]
+        #: By length: the distinct (window, item), in order.
+        self.items = {n: np.unique(places[:, :2], axis=0) for n, (_, places) in self.windows.items()}
         self.shortest = min(self.windows, default=0)
 
 
@@ -124,26 +130,55 @@ class Shard:
         text[at], places[at] = numbers[source], source
         return text, places
 
+    def windows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(n, word, window) for each length of windows: where in the shard which of them occurs."""
+        if not len(self.places):
+            return
+        order = suffix_array(self.text[: len(self.places)], self.block.window)
+        for n, (patterns, _) in self.block.windows.items():
+            low, high = bisect(self.text, order, patterns)
+            hit = np.flatnonzero(high > low)
+            sizes = (high - low)[hit]
+            entries = np.repeat(low[hit], sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield n, self.places[order[entries]], np.repeat(hit, sizes)
+
+    def document(self, word: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begins, word, "right") - 1
+
+    def hits(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which words of the shard are hit, as a mask, and the distinct (document, item), one a row."""
+        edges, pairs = np.zeros(len(self.begins) and int(self.begins[-1]) + 1, "i4"), [np.zeros(0, "i8")]
+        items = max(len(self.block.names), 1)
+        for n, word, window in self.windows():
+            np.add.at(edges, word, 1)
+            np.add.at(edges, word + n, -1)
+            kinds = len(self.block.windows[n][0])
+            seen = np.sort(self.document(word) * kinds + window)
+            seen = seen[np.diff(seen, prepend=-1) != 0]
+            doc, window = seen // kinds, seen % kinds
+            # The distinct items of each window, once for each document that has it.
+            owned = self.block.items[n]
+            first, last = np.searchsorted(owned[:, 0], window, "left"), np.searchsorted(owned[:, 0], window, "right")
+            each = last - first
+            entry = np.repeat(first, each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+            found = np.sort(np.repeat(doc, each) * items + owned[entry, 1])
+            pairs.append(found[np.diff(found, prepend=-1) != 0])
+        found = np.sort(np.concatenate(pairs))
+        found = found[np.diff(found, prepend=-1) != 0]
+        return np.cumsum(edges)[:-1] > 0, np.stack([found // items, found % items], axis=1)
+
     def occurrences(self) -> np.ndarray:
         """Rows (document, first word, item, first word in the item, number of words) of all window occurrences."""
-        found = []
-        if len(self.places):
-            order = suffix_array(self.text[: len(self.places)], self.block.window)
-            for n, (patterns, where) in self.block.windows.items():
-                low, high = bisect(self.text, order, patterns)
-                hit = np.flatnonzero(high > low)
-                if not len(hit):
-                    continue
-                sizes = (high - low)[hit]
-                entries = np.repeat(low[hit], sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                word, pattern = self.places[order[entries]], np.repeat(hit, sizes)
-                first, last = np.searchsorted(where[:, 0], pattern, "left"), np.searchsorted(where[:, 0], pattern, "right")
-                each = last - first
-                entry = np.repeat(first, each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
-                word = np.repeat(word, each)
-                doc = np.searchsorted(self.begins, word, "right") - 1
-                found.append(np.stack([doc, word - self.begins[doc], where[entry, 1], where[entry, 2], np.full(len(word), n)], axis=1))
-        return np.concatenate(found) if found else np.zeros((0, 5), "i8")
+        found = [np.zeros((0, 5), "i8")]
+        for n, word, pattern in self.windows():
+            where = self.block.windows[n][1]
+            first, last = np.searchsorted(where[:, 0], pattern, "left"), np.searchsorted(where[:, 0], pattern, "right")
+            each = last - first
+            entry = np.repeat(first, each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+            word = np.repeat(word, each)
+            doc = self.document(word)
+            found.append(np.stack([doc, word - self.begins[doc], where[entry, 1], where[entry, 2], np.full(len(word), n)], axis=1))
+        return np.concatenate(found)
 
 
 def longest(found: np.ndarray) -> np.ndarray:
@@ -175,8 +210,11 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> Iterat
         yield Block([(r["id"], r["text"]) for r in part.collect()], window)
 
 
-def _searcher(shared):
-    """The search of one broadcast block, over Arrow batches of texts."""
+HITS = "n_words long, spans array<struct<a long, b long>>, items array<string>"
+
+
+def _matcher(shared):
+    """All matches of one broadcast block, over Arrow batches of texts."""
 
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -193,46 +231,79 @@ def _searcher(shared):
     return search
 
 
+def _hitter(shared):
+    """The spans of words hit by one broadcast block, and the items that hit, over Arrow batches of texts."""
+
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            shard = Shard(texts.tolist(), shared.value)
+            mask, pairs = shard.hits()
+            spans, items = [[] for _ in texts], [[] for _ in texts]
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.view("i1"), [0]])))
+            for a, b in edges.reshape(-1, 2).tolist():  # a run of hit words may go on in the next document
+                doc = int(shard.document(np.array([a]))[0])
+                while a < b:
+                    begin, end = int(shard.begins[doc]), int(shard.begins[doc + 1])
+                    if a < end:
+                        spans[doc].append({"a": a - begin, "b": min(b, end) - begin})
+                        a = min(b, end)
+                    doc += 1
+            for doc, item in pairs.tolist():
+                items[doc].append(shared.value.names[item])
+            yield pd.DataFrame({"n_words": shard.counts, "spans": spans, "items": items})
+
+    return search
+
+
+def _searched(df: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, search, kind: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with a column of results for each block of the benchmark, and the names of these."""
+    out, names = df, []
+    for k, block in enumerate(_blocks(items, item_id, item_text, window)):
+        shared = df.sparkSession.sparkContext.broadcast(block)  # bounded by BLOCK_BYTES
+        names.append(f"_block{k}")
+        out = out.withColumn(names[-1], F.pandas_udf(search(shared), kind)(F.col(text_col)))
+    return out, names
+
+
 def find_matches(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """``df`` with n_words and matches: all longest verbatim matches of ``window`` words or more with benchmark items.
 
     A match tells the item and the first word of the match in the document and in the item. An item of fewer
     words, but not none, is matched as a whole; null and empty texts have no words. Matches never cross
-    documents. Rows of one item id count as one item in ``judge``. An empty benchmark gives no matches.
+    documents. An empty benchmark gives no matches.
     """
-    spark, out, names = df.sparkSession, df.drop("n_words", "matches"), []
-    for k, block in enumerate(_blocks(items, item_id, item_text, window)):
-        shared = spark.sparkContext.broadcast(block)  # bounded by BLOCK_BYTES
-
-        names.append(f"_block{k}")
-        out = out.withColumn(names[-1], F.pandas_udf(_searcher(shared), MATCHES)(F.col(text_col)))
+    out, names = _searched(df.drop("n_words", "matches"), items, text_col, item_id, item_text, window, _matcher, MATCHES)
     matches = F.flatten(F.array(*[f"{n}.matches" for n in names]))
     return out.withColumns({"n_words": F.col(f"{names[0]}.n_words"), "matches": matches}).drop(*names)
 
 
-def judge(matched: DataFrame) -> DataFrame:
-    """Adds n_hit, items (the ids, sorted as strings) and contaminated to the rows of ``find_matches``.
+def find_hits(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``df`` with n_words, n_hit, items (the ids, sorted as strings) and contaminated: what matches hit, without the matches.
 
-    n_hit counts a word once, however many matches cover it.
+    n_hit counts a word once, however many matches cover it. Rows of one item id count as one item. Columns of df with
+    these names are replaced. For the rest see ``find_matches``.
     """
-    spans = F.array_sort(F.transform("matches", lambda m: F.struct(m["doc_start"].alias("a"), (m["doc_start"] + m["n_words"]).alias("b"))))
+    out, names = _searched(df.drop("n_words", "n_hit", "items", "contaminated"), items, text_col, item_id, item_text, window, _hitter, HITS)
+    spans = F.array_sort(F.flatten(F.array(*[f"{n}.spans" for n in names])))
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
         spans, start, lambda s, x: F.struct(F.greatest(s["end"], x["b"]).alias("end"), (s["n"] + F.greatest(x["b"] - F.greatest(s["end"], x["a"]), F.lit(0))).alias("n"))
     )
-    out = matched.withColumns({"n_hit": covered["n"], "items": F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))})
+    found = F.array_sort(F.array_distinct(F.flatten(F.array(*[f"{n}.items" for n in names]))))
+    out = out.withColumns({"n_words": F.col(f"{names[0]}.n_words"), "n_hit": covered["n"], "items": found}).drop(*names)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (HIT_SHARE * F.col("n_hit") >= F.col("n_words")))
 
 
 def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that are not contaminated, with the columns of ``df``."""
     held = boxed(df, F.col(text_col).alias("text"))
-    return unboxed(judge(find_matches(held, items)).where(~F.col("contaminated")))
+    return unboxed(find_hits(held, items).where(~F.col("contaminated")))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row; see ``find_hits``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = judge(find_matches(docs, table(spark, sf_dir, "benchmark")))
+    out = find_hits(docs, table(spark, sf_dir, "benchmark"))
     sha = F.sha2(F.concat_ws(",", "items"), 256)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"), "contaminated")
 

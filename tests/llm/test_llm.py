@@ -592,14 +592,23 @@ def test_decontamination(spark, monkeypatch):
     want = slow_matches(docs, items)
     for block in (decontamination.BLOCK_BYTES, 100):
         monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
-        found = decontamination.judge(decontamination.find_matches(x, b)).orderBy("doc_id").collect()
+        found = decontamination.find_hits(x, b).orderBy("doc_id").collect()
         assert [(f["n_words"], f["n_hit"], f["items"], f["contaminated"]) for f in found] == want
         kept = [f["doc_id"] for f in decontamination.decontaminate(x, b).orderBy("doc_id").collect()]
         assert kept == [k for k, w in enumerate(want) if not w[3]]
-    best = [m for m in found[0]["matches"] if m["item_id"] == "1" and m["doc_start"] == 0]
+        matched = decontamination.find_matches(x, b).orderBy("doc_id").collect()
+        covers = [{m["doc_start"] + i for m in f["matches"] for i in range(m["n_words"])} for f in matched]
+        assert [(len(c), sorted({m["item_id"] for m in f["matches"]})) for c, f in zip(covers, matched, strict=True)] == [w[1:3] for w in want]
+    best = [m for m in matched[0]["matches"] if m["item_id"] == "1" and m["doc_start"] == 0]
     assert max(m["n_words"] for m in best) == 30  # the longest verbatim match is one
 
 
+def test_repeated_words_take_no_product_of_places():
+    block = decontamination.Block([("a", "go " * 20_000), ("b", "go " * 13)])
+    mask, pairs = decontamination.Shard(["go " * 50_000, "stop go", None, "x " + "go " * 13], block).hits()
+    assert mask.sum() == 50_013 and pairs.tolist() == [[0, 0], [0, 1], [3, 0], [3, 1]]
+
+
 def test_decontamination_query_on_data(spark):
     docs = {d["doc_id"]: d["text"] for d in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 60").collect()}
     items = [tuple(d) for d in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]

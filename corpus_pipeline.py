@@ -7,7 +7,9 @@ result as Parquet in the folder that all executors share and reads it again for
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pdmspark.llm.common import fresh_folder, table
 from pdmspark.llm.decontamination import decontaminate
@@ -33,13 +35,24 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: documents in training order, a row each time one is used."""
+    """Operator 3: documents in training order, a row each time one is used.
+
+    Partitions are ranges of positions, sorted within, so the files written from them hold that order.
+    """
     return mix(docs).drop("position")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: token files; a row for each document in them."""
-    return token_rows(docs, fresh_folder(spark, "token-files"), default_tokenizer())
+    """Operator 2: token files in training order; a row for each document in them.
+
+    The order is that of the rows in the Parquet files they were read from: by name of the file, then by place in
+    it. Rows that come from no file are in ascending order of id.
+    """
+    try:
+        docs = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    except AnalysisException:
+        return token_rows(docs, fresh_folder(spark, "token-files"), default_tokenizer())
+    return token_rows(docs, fresh_folder(spark, "token-files"), default_tokenizer(), ["_file", "_place"])
 
 
 STAGES = [("toxicity", toxicity), ("simhash", near_dedup), ("decontamination", benchmarks), ("mixing", mixture), ("tokens", token_files)]

@@ -690,7 +690,7 @@ def test_no_labels_reject_nothing(spark, odd):
 # Pipeline ------------------------------------------------------------------------------------------------------------
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -716,6 +716,9 @@ def test_pipeline_stages(spark):
         before = after
     last = corpus_pipeline.STAGES[-1][1](spark, before, SF)
     assert last.count() == before.count()
+    mixing.mix(docs).drop("position").write.parquet(f"{tmp_path}/mixed")
+    last = corpus_pipeline.STAGES[-1][1](spark, spark.read.parquet(f"{tmp_path}/mixed"), SF).orderBy("start").collect()
+    assert [r["doc_id"] for r in last] == [r["doc_id"] for r in mixing.mix(docs).collect()]  # files in training order
 
 
 def test_pipeline_on_odd_rows(spark, odd_dir, empty_dir):

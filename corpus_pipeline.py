@@ -49,7 +49,7 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     it. Rows that come from no file are in ascending order of id.
     """
     try:
-        docs = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+        docs = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place"))
     except AnalysisException:
         return token_rows(docs, fresh_folder(spark, "token-files"), default_tokenizer())
     return token_rows(docs, fresh_folder(spark, "token-files"), default_tokenizer(), ["_file", "_place"])

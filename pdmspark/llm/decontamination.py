@@ -104,14 +104,12 @@ class Shard:
 
     def __init__(self, texts: list[str | None], block: Block) -> None:
         self.block = block
-        words = [words_of(x) for x in texts]
-        self.counts = np.fromiter(map(len, words), "i8", len(words))
-        self.begins = np.concatenate([[0], np.cumsum(self.counts)])
         get = block.vocabulary.get
-        numbers = np.zeros(int(self.begins[-1]), "i4")
-        for x, a, b in zip(words, self.begins.tolist(), self.begins[1:].tolist(), strict=False):
-            numbers[a:b] = np.fromiter(map(get, x, repeat(0)), "i4", len(x))
-        self.text, self.places = self._stretches(numbers)
+        # A text at a time: its words take far more memory than their numbers.
+        numbers = [np.fromiter(map(get, words_of(x), repeat(0)), "i4") for x in texts]
+        self.counts = np.fromiter(map(len, numbers), "i8", len(numbers))
+        self.begins = np.concatenate([[0], np.cumsum(self.counts)])
+        self.text, self.places = self._stretches(np.concatenate([*numbers, np.zeros(0, "i4")]))
 
     def _stretches(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Stretches of known words within a document, each followed by a 0, and the place of each entry."""

@@ -43,6 +43,11 @@ def missing_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return one.select(F.inline(rows))
 
 
+def value_counts(df: DataFrame, col: str) -> DataFrame:
+    """(value, n) of a category, null as a value of its own."""
+    return df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def one_hot(df: DataFrame, col: str, categories: Sequence, strict: bool = True) -> DataFrame:
     """A 0/1 column for each category. An unknown or null category fails when strict, else gives zeros."""
     known = F.coalesce(F.col(col).isin(list(categories)), F.lit(False))

@@ -51,8 +51,9 @@ def asof_next(events: DataFrame, df: DataFrame, by: Sequence[str], time: str, ca
     carry = [time, *carry]
     all_ = _merged(df, events, by, time, carry)
     tie = [F.col(f"_c_{c}") for c in carry[1:]]
-    w = Window.partitionBy(*by).orderBy("_at", "_e", *tie).rowsBetween(0, Window.unboundedFollowing)
-    found = F.first(F.when(F.col("_e") == 1, F.struct(*[F.col(f"_c_{c}") for c in carry])), ignorenulls=True).over(w)
+    # From the latest to the earliest, events before their equals: a frame that only grows, so one pass over a group.
+    w = Window.partitionBy(*by).orderBy(*[c.desc() for c in (F.col("_at"), F.col("_e"), *tie)]).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last(F.when(F.col("_e") == 1, F.struct(*[F.col(f"_c_{c}") for c in carry])), ignorenulls=True).over(w)
     out = all_.withColumn("_f", found).where("_e = 0")
     return out.select("_row.*", *[F.col("_f")[f"_c_{c}"].alias(f"{prefix}{c}") for c in carry])
 

@@ -302,16 +302,12 @@ def redundant_pairs(corr: DataFrame, limit: float = 0.95) -> DataFrame:
     return corr.where(F.abs("r") >= limit)
 
 
-#: Most ranked features that the greedy choice looks at.
-MAX_RANKED = 500
-
-
 def compact_features(ranked: DataFrame, corr: DataFrame, n: int, limit: float = 0.95, per_sensor: int = 3) -> list[str]:
     """Greedy choice in rank order of up to ``n`` features (feature, sensor, aggregate_rank): first one a sensor,
-    then up to ``per_sensor``, none correlated too much with one chosen. The first MAX_RANKED features come to the driver."""
-    rows = ranked.orderBy("aggregate_rank").select("feature", "sensor").limit(MAX_RANKED).collect()
-    names = [r["feature"] for r in rows]
-    close = {frozenset((r["a"], r["b"])) for r in redundant_pairs(corr, limit).where(F.col("a").isin(names) & F.col("b").isin(names)).collect()}
+    then up to ``per_sensor``, none correlated too much with one chosen. The names of all features and the redundant
+    pairs, one row a column of the data and one a pair, come to the driver."""
+    rows = ranked.orderBy("aggregate_rank").select("feature", "sensor").collect()
+    close = {frozenset((r["a"], r["b"])) for r in redundant_pairs(corr, limit).collect()}
     chosen: list[str] = []
     used: dict[str, int] = {}
     for most in (1, per_sensor):

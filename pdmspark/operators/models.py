@@ -10,7 +10,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_integer
@@ -18,9 +18,15 @@ from .inference import paired_bootstrap
 from .metrics import regression_metrics, roc_auc
 
 
-def assembled(df: DataFrame, features: Sequence[str], name: str = "_features") -> DataFrame:
-    """Rows with all features present, as one vector column."""
-    return VectorAssembler(inputCols=list(features), outputCol=name, handleInvalid="skip").transform(df)
+def assembled(df: DataFrame, features: Sequence[str], name: str = "_features", keep: bool = False) -> DataFrame:
+    """Rows with all features present, as one vector column; all rows if ``keep``, to be scored with ``where_complete``."""
+    return VectorAssembler(inputCols=list(features), outputCol=name, handleInvalid="keep" if keep else "skip").transform(df)
+
+
+def where_complete(features: Sequence[str], value: Column) -> Column:
+    """``value``, or null where a feature is missing: a missing feature makes no score and loses no row."""
+    missing = lambda f: F.col(f).isNull() | F.isnan(F.col(f).cast("double"))
+    return F.when(~reduce(Column.__or__, [missing(f) for f in features]), value)
 
 
 def fit_gate(df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, trees: int = 64, depth: int = 16, leaf: int = 5, seed: int = 42):
@@ -31,16 +37,16 @@ def fit_gate(df: DataFrame, features: Sequence[str], label: str, weight: str | N
 
 
 def score_gate(model, df: DataFrame, features: Sequence[str], name: str = "probability_1") -> DataFrame:
-    """``df`` with the probability of class 1."""
-    out = model.transform(assembled(df, features))
-    return out.withColumn(name, vector_to_array(F.col(model.getProbabilityCol()))[1]).select(*df.columns, name)
+    """``df`` with the probability of class 1, null where a feature is missing."""
+    out = model.transform(assembled(df, features, keep=True))
+    return out.withColumn(name, where_complete(features, vector_to_array(F.col(model.getProbabilityCol()))[1])).select(*df.columns, name)
 
 
 def residual_feature(df: DataFrame, x: Sequence[str], y: str, normal: str, trees: int = 20, depth: int = 8, seed: int = 42) -> DataFrame:
-    """``y`` less its forecast by a forest fitted on the normal rows."""
+    """``y`` less its forecast by a forest fitted on the normal rows; null where a feature is missing."""
     model = RandomForestRegressor(featuresCol="_features", labelCol=y, numTrees=trees, maxDepth=depth, seed=seed).fit(assembled(df.where(F.col(normal)), x))
-    out = model.transform(assembled(df, x))
-    return out.withColumn(f"{y}_residual", F.col(y) - F.col("prediction")).select(*df.columns, f"{y}_residual")
+    out = model.transform(assembled(df, x, keep=True))
+    return out.withColumn(f"{y}_residual", where_complete(x, F.col(y) - F.col("prediction"))).select(*df.columns, f"{y}_residual")
 
 
 def fit_regressors(train: DataFrame, valid: DataFrame, features: Sequence[str], targets: Sequence[str], trees: int = 20, depth: int = 8, gap: float = 0.1, seed: int = 42) -> tuple[DataFrame, DataFrame, dict]:
@@ -79,16 +85,17 @@ def permutation_importance(model, df: DataFrame, features: Sequence[str], y: str
 
 def two_stage_ttf(train: DataFrame, df: DataFrame, features: Sequence[str], target: str, q: float = 0.25, trees: int = 20, depth: int = 8, seed: int = 42) -> DataFrame:
     """Near failure by a train quantile, a forest for near or not, a forest for the time of near rows, clipped to
-    [0, threshold]; rows called normal get the threshold. Adds near_probability and predicted_ttf."""
+    [0, threshold]; rows called normal get the threshold. Adds near_probability and predicted_ttf, null where a
+    feature is missing."""
     known = train.where(F.col(target).isNotNull())
     limit = known.agg(F.percentile(target, F.lit(q))).first()[0]
     a = assembled(known, features).withColumn("_near", (F.col(target) <= limit).cast("double"))
     gate = RandomForestClassifier(featuresCol="_features", labelCol="_near", numTrees=trees, maxDepth=depth, seed=seed).fit(a)
     time = RandomForestRegressor(featuresCol="_features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed, predictionCol="_time").fit(a.where("_near = 1"))
-    x = time.transform(gate.transform(assembled(df, features)))
-    x = x.withColumn("near_probability", vector_to_array(F.col("probability"))[1])
+    x = time.transform(gate.transform(assembled(df, features, keep=True)))
+    x = x.withColumn("near_probability", where_complete(features, vector_to_array(F.col("probability"))[1]))
     value = F.when(F.col("near_probability") >= 0.5, F.least(F.greatest(F.col("_time"), F.lit(0.0)), F.lit(float(limit)))).otherwise(F.lit(float(limit)))
-    return x.withColumn("predicted_ttf", value).select(*df.columns, "near_probability", "predicted_ttf")
+    return x.withColumn("predicted_ttf", where_complete(features, value)).select(*df.columns, "near_probability", "predicted_ttf")
 
 
 def _out_of_fold(df: DataFrame, fold: str, fit_and_score: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
@@ -115,7 +122,7 @@ def forest_oof(df: DataFrame, features: Sequence[str], label: str, fold: str, re
         if residual:
             xs, y = residual
             m = RandomForestRegressor(featuresCol="_features", labelCol=y, numTrees=trees, maxDepth=depth, seed=seed).fit(assembled(a.where(F.col(normal)), xs))
-            add = lambda d: m.transform(assembled(d, xs)).withColumn("_residual", F.col(y) - F.col("prediction")).drop("_features", "prediction")
+            add = lambda d: m.transform(assembled(d, xs, keep=True)).withColumn("_residual", where_complete(xs, F.col(y) - F.col("prediction"))).drop("_features", "prediction")
             a, b, names = add(a), add(b), [*names, "_residual"]
         out = score_gate(fit_gate(a, names, label, trees=trees, depth=depth, seed=seed), b, names, "oof_probability")
         return out.drop("_residual")
@@ -152,10 +159,11 @@ def impute_median(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataF
 
 
 def fit_rul(train: DataFrame, df: DataFrame, features: Sequence[str], samples: str, seconds_per_row: float = 4.0, rounds: int = 20, depth: int = 5, seed: int = 42) -> DataFrame:
-    """Remaining life in rows by gradient boosting on causal features, as ``rul_seconds``; not below 0."""
+    """Remaining life in rows by gradient boosting on causal features, as ``rul_seconds``; not below 0, null
+    where a feature is missing."""
     model = GBTRegressor(featuresCol="_features", labelCol=samples, maxIter=rounds, maxDepth=depth, seed=seed).fit(assembled(train.where(F.col(samples).isNotNull()), features))
-    out = model.transform(assembled(df, features))
-    return out.withColumn("rul_seconds", F.greatest(F.col("prediction"), F.lit(0.0)) * F.lit(float(seconds_per_row))).select(*df.columns, "rul_seconds")
+    out = model.transform(assembled(df, features, keep=True))
+    return out.withColumn("rul_seconds", where_complete(features, F.greatest(F.col("prediction"), F.lit(0.0)) * F.lit(float(seconds_per_row)))).select(*df.columns, "rul_seconds")
 
 
 def score_sequences(df: DataFrame, predict: Callable[[pd.DataFrame], pd.Series], cols: Sequence[str], name: str = "score") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,6 +137,14 @@ def budgeted_threshold(df: DataFrame, label: str, score: str, tp_loss: float = 0
     return ok.groupBy(*by).agg(best).select(*by, "_b.threshold", "_b.removed_fp", "_b.lost_tp")
 
 
+def choose_score(df: DataFrame, label: str, scores: Sequence[str], tp_loss: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
+    """the score whose budgeted threshold removes most negatives, of equals the one that loses fewest positives,
+    then the first named: (by, field, threshold, removed_fp, lost_tp)."""
+    each = [budgeted_threshold(df, label, s, tp_loss, by).withColumns({"field": F.lit(s), "_k": F.lit(-k)}) for k, s in enumerate(scores)]
+    best = F.max(F.struct("removed_fp", (-F.col("lost_tp")).alias("_l"), "_k", "field", "threshold", "lost_tp")).alias("_b")
+    return reduce(DataFrame.unionByName, each).groupBy(*by).agg(best).select(*by, "_b.field", "_b.threshold", "_b.removed_fp", "_b.lost_tp")
+
+
 def three_way(df: DataFrame, score: str, lo: float, hi: float, high_is_bad: bool = True) -> DataFrame:
     """keep, review or downgrade: scores at or above ``hi`` are kept and below ``lo`` downgraded, or the reverse."""
     s = F.col(score)
@@ -156,7 +165,7 @@ MAX_SCORES = 100_000
 
 def fit_two_cuts(df: DataFrame, score: str, truth: str, classes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """the cuts t1 < t2 (midpoints of distinct scores) of the best mean balanced accuracy over groups: below t1 is
-    the first class, below t2 the second, else the third. Of equals the lowest t2, then the lowest t1.
+    the first class, below t2 the second, else the third. Of equals the lowest t1, then the lowest t2.
 
     The objective is a function of t1 plus one of t2, so a running maximum over t1 replaces the pairs. Raises
     beyond MAX_SCORES distinct scores: round them first.
@@ -181,7 +190,7 @@ def fit_two_cuts(df: DataFrame, score: str, truth: str, classes: Sequence[str],
     before = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     best1 = F.max(F.struct(F.round("_f1", 12).alias("f"), (-F.col("t")).alias("m"))).over(before)
     x = f.withColumn("_x", best1).where("_x is not null").withColumn("_o", F.round(F.col("_x.f") + F.col("_f2"), 12))
-    return x.agg(F.max(F.struct("_o", (-F.col("t")).alias("_m2"), F.col("_x.m").alias("_m1"))).alias("_b")).select((-F.col("_b._m1")).alias("t1"), (-F.col("_b._m2")).alias("t2"), F.col("_b._o").alias("balanced_accuracy"))
+    return x.agg(F.max(F.struct("_o", F.col("_x.m").alias("_m1"), (-F.col("t")).alias("_m2"))).alias("_b")).select((-F.col("_b._m1")).alias("t1"), (-F.col("_b._m2")).alias("t2"), F.col("_b._o").alias("balanced_accuracy"))
 
 
 def abstaining_bands(df: DataFrame, score: str, gate: str, cuts: tuple[float, float], lo: float = 0.4, hi: float = 0.6, labels: Sequence[str] = ("low", "middle", "high")) -> DataFrame:
@@ -203,3 +212,13 @@ def sensor_rule(df: DataFrame, rules: Mapping[str, tuple[float, bool]]) -> DataF
     """``hold`` where any chosen feature is on the false-positive side; a missing feature never holds."""
     hits = [F.coalesce(F.col(c) < m if low else F.col(c) > m, F.lit(False)) for c, (m, low) in rules.items()]
     return df.withColumn("hold", F.exists(F.array(*hits), lambda x: x))
+
+
+def guarded_rule(df: DataFrame, rules: Mapping[str, tuple[float, bool]], label: str, tp_loss: float = 0.1) -> DataFrame:
+    """``sensor_rule`` with ``active``: the rule is off, and holds nothing, if it holds more than max(1, share) of the
+    positives. Counts are one row."""
+    held = sensor_rule(df, rules)
+    positive = F.coalesce(F.col(label).cast("boolean"), F.lit(False))
+    n = held.agg(F.count_if(positive).alias("_all"), F.count_if(positive & F.col("hold")).alias("_lost"))
+    n = n.select((F.col("_lost") <= F.greatest(F.lit(1.0), F.col("_all") * F.lit(tp_loss))).alias("active"))
+    return held.crossJoin(F.broadcast(n)).withColumn("hold", F.col("hold") & F.col("active"))

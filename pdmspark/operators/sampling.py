@@ -145,6 +145,14 @@ def sample_audit(df: DataFrame, cells: Sequence[str], group: str, label: str, mi
     return out.withColumn("feasible", (F.col("n_pos") >= min_pos) & (F.col("n_neg") >= min_neg) & (F.col("n_groups") >= min_groups))
 
 
+def group_use(available: DataFrame, used: DataFrame, cells: Sequence[str], group: str) -> DataFrame:
+    """Per cell: the groups available, those used, and their share; used groups are those of ``used`` that are available."""
+    all_ = available.select(*cells, group).distinct()
+    marked = all_.join(used.select(*cells, group).distinct().withColumn("_used", F.lit(1)), [*cells, group], "left")
+    out = marked.groupBy(*cells).agg(F.count(F.lit(1)).alias("available_groups"), F.count("_used").alias("used_groups"))
+    return out.withColumn("used_share", ratio(F.col("used_groups"), F.col("available_groups")))
+
+
 def class_weights(df: DataFrame, label: str, name: str = "class_weight") -> DataFrame:
     """Rows with weights that give the classes equal sums and sum to the number of rows."""
     c = df.groupBy(F.col(label).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,6 +58,18 @@ def run_to_event(df: DataFrame, is_event: Column, by: Sequence[str], order: Sequ
     return out.withColumn("length", F.col("event_row") - F.col("start_row") + 1).withColumn("candidate", F.col("length") > min_len)
 
 
+def segment_lengths(df: DataFrame, by: Sequence[str], size: int) -> DataFrame:
+    """One row: the segments, those too short for a window of ``size`` rows, and the rows in these."""
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    short = F.col("_n") < size
+    return n.agg(F.count(F.lit(1)).alias("n_segments"), F.count_if(short).alias("n_short"), F.coalesce(F.sum(F.when(short, F.col("_n"))), F.lit(0)).alias("rows_in_short"))
+
+
+def window_ends(windows: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Per window of ``count_windows`` the metadata of its last row."""
+    return windows.groupBy(*keys).agg(*[F.max_by(c, "row_in_window").alias(f"last_{c}") for c in cols])
+
+
 def count_windows(df: DataFrame, by: Sequence[str], order: Sequence[str], size: int, step: int, name: str = "window_index") -> DataFrame:
     """Every row once for each window of ``size`` rows, every ``step`` rows, that it is in; cut-off windows are left out."""
     w = _w(by, order)
@@ -105,16 +118,19 @@ def elapsed_stats(df: DataFrame, by: Sequence[str], time: str, cols: Sequence[st
     """Per horizon h, over the rows of the last h time units (rows at the same time included): mean z-score,
     slope per 1000 units over the baseline std, and std ratio, against the group's first ``baseline`` units.
 
-    ``sufficient`` is false, and the features are null, before ``min_elapsed`` units; nothing is imputed.
+    ``sufficient`` is false, and all features are null, before ``min_elapsed`` units, where a baseline has no spread,
+    and where a horizon has fewer than 2 rows; nothing is imputed.
     """
     start = F.min(time).over(Window.partitionBy(*by))
-    out = df.withColumn("_s", start).withColumn("sufficient", F.col(time) - F.col("_s") >= min_elapsed)
+    out = df.withColumn("_s", start)
     whole = Window.partitionBy(*by)
     for c in cols:
         base = F.when(F.col(time) - F.col("_s") <= baseline, F.col(c).cast("double"))
         out = out.withColumns({f"_m_{c}": F.avg(base).over(whole), f"_d_{c}": F.stddev_pop(base).over(whole)})
-    for h in horizons:
-        w = Window.partitionBy(*by).orderBy(time).rangeBetween(-h, 0)
+    frames = {h: Window.partitionBy(*by).orderBy(time).rangeBetween(-h, 0) for h in horizons}
+    enough = [F.col(time) - F.col("_s") >= min_elapsed, *[F.col(f"_d_{c}") > 0 for c in cols], *[F.count(F.lit(1)).over(w) >= 2 for w in frames.values()]]
+    out = out.withColumn("sufficient", F.coalesce(reduce(Column.__and__, enough), F.lit(False)))
+    for h, w in frames.items():
         for c in cols:
             x, t = F.col(c).cast("double"), (F.col(time) - F.col("_s")).cast("double")
             n, sx, st, sxt, stt = F.count(x).over(w), F.sum(x).over(w), F.sum(t).over(w), F.sum(x * t).over(w), F.sum(t * t).over(w)

@@ -84,10 +84,21 @@ def _(spark, d):
     return q.trailing_delta(endpoints(spark, d), BY, ORDER, "value", 5).select("event_id", "value__delta", "value__std", "history_count")
 
 
+@query("D5_window_ends", f""", r AS (SELECT event_id, user_id, t, event_type, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM ep)
+SELECT user_id, w AS window_index, t AS last_t, event_type AS last_event_type FROM (SELECT *, unnest(range(0, ((n - 20) // 10 + 1)::BIGINT)) AS w FROM r WHERE n >= 20) WHERE i = w * 10 + 19""")
+def _(spark, d):
+    return q.window_ends(q.count_windows(endpoints(spark, d), BY, ORDER, 20, 10), ["user_id", "window_index"], ["t", "event_type"])
+
+
+@query("D5_segment_lengths", "SELECT count(*) AS n_segments, count(*) FILTER (n < 60) AS n_short, coalesce(sum(n) FILTER (n < 60), 0)::BIGINT AS rows_in_short FROM (SELECT user_id, count(*) AS n FROM ep GROUP BY user_id)")
+def _(spark, d):
+    return q.segment_lengths(endpoints(spark, d), BY, 60)
+
+
 @query("D9_elapsed_stats", """, b AS (SELECT *, min(t) OVER (PARTITION BY user_id) AS s FROM ep),
  m AS (SELECT user_id, avg(value) AS m, stddev_pop(value) AS sd FROM b WHERE t - s <= 500000 GROUP BY user_id)
-SELECT event_id, t - s >= 300000 AS sufficient, CASE WHEN t - s >= 300000 AND sd <> 0 THEN round((a - m) / sd, 6) END AS value__z_200000, CASE WHEN t - s >= 300000 AND sd <> 0 THEN round(p / sd, 6) END AS value__std_ratio_200000
-FROM (SELECT *, avg(value) OVER w AS a, stddev_pop(value) OVER w AS p FROM b WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 200000 PRECEDING AND CURRENT ROW)) JOIN m USING (user_id)""")
+SELECT event_id, ok AS sufficient, CASE WHEN ok THEN round((a - m) / sd, 6) END AS value__z_200000, CASE WHEN ok THEN round(p / sd, 6) END AS value__std_ratio_200000
+FROM (SELECT *, coalesce(t - s >= 300000 AND sd > 0 AND n >= 2, false) AS ok FROM (SELECT *, count(*) OVER w AS n, avg(value) OVER w AS a, stddev_pop(value) OVER w AS p FROM b WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 200000 PRECEDING AND CURRENT ROW)) JOIN m USING (user_id))""")
 def _(spark, d):
     x = q.elapsed_stats(endpoints(spark, d), BY, "t", ["value"], [200000], 500000, 300000)
     return x.select("event_id", "sufficient", "value__z_200000", "value__std_ratio_200000")

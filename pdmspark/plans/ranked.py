@@ -110,6 +110,14 @@ def _(spark, d):
     return r.budgeted_threshold(endpoints(spark, d), "label", "prob", 0.1, ["band"])
 
 
+FIELD = "SELECT '{f}' AS field, {k} AS pr, band, {f} AS threshold, removed_fp, lost_tp FROM (SELECT *, coalesce(sum(n) OVER w, 0) AS removed_fp, coalesce(sum(p) OVER w, 0) AS lost_tp, sum(p) OVER (PARTITION BY band) AS al FROM (SELECT band, {f}, sum(label::INT)::DOUBLE AS p, sum(1 - label::INT)::DOUBLE AS n FROM ep GROUP BY ALL) WINDOW w AS (PARTITION BY band ORDER BY {f} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE lost_tp <= greatest(1, floor(al * 0.1::DOUBLE)) QUALIFY row_number() OVER (PARTITION BY band ORDER BY removed_fp DESC, {f}) = 1"
+
+
+@query("F11_choose_score", f", c AS ({FIELD.format(f='prob', k=0)} UNION ALL {FIELD.format(f='value', k=1)}) SELECT band, field, round(threshold, 6) AS threshold, removed_fp, lost_tp FROM c QUALIFY row_number() OVER (PARTITION BY band ORDER BY removed_fp DESC, lost_tp, pr) = 1")
+def _(spark, d):
+    return r.choose_score(endpoints(spark, d), "label", ["prob", "value"], 0.1, ["band"])
+
+
 @query("F12_three_way", "SELECT event_id, CASE WHEN prob >= 0.7 THEN 'keep' WHEN prob < 0.3 THEN 'downgrade' ELSE 'review' END AS action FROM ep")
 def _(spark, d):
     return r.three_way(endpoints(spark, d), "prob", 0.3, 0.7).select("event_id", "action")
@@ -123,7 +131,7 @@ def _(spark, d):
 @query("F13_fit_two_cuts", """, s AS (SELECT DISTINCT prob AS s FROM ep), c AS (SELECT (s + lead(s) OVER (ORDER BY s)) / 2 AS t FROM s), k AS (SELECT t AS cut FROM c WHERE t IS NOT NULL),
  b AS (SELECT event_type, cut AS t, count(*) FILTER (band = 'near' AND prob < cut)::DOUBLE / count(*) FILTER (band = 'near') AS a, count(*) FILTER (band = 'boundary' AND prob < cut)::DOUBLE / count(*) FILTER (band = 'boundary') AS m, count(*) FILTER (band = 'normal' AND prob < cut)::DOUBLE / count(*) FILTER (band = 'normal') AS z FROM ep, k GROUP BY ALL),
  f AS (SELECT x.t AS t1, y.t AS t2, round(avg((x.a + (y.m - x.m) + 1 - y.z) / 3), 10) AS o FROM b x JOIN b y ON x.event_type = y.event_type AND x.t < y.t GROUP BY ALL)
-SELECT round(t1, 6) AS t1, round(t2, 6) AS t2, round(o, 6) AS balanced_accuracy FROM f ORDER BY o DESC, t2, t1 LIMIT 1""")
+SELECT round(t1, 6) AS t1, round(t2, 6) AS t2, round(o, 6) AS balanced_accuracy FROM f ORDER BY o DESC, t1, t2 LIMIT 1""")
 def _(spark, d):
     return r.fit_two_cuts(endpoints(spark, d), "prob", "band", ["near", "boundary", "normal"], ["event_type"])
 
@@ -144,6 +152,16 @@ def _(spark, d):
     return r.sensor_rule(x, {"value": (30, True), "prob": (0.8, False)}).select("event_id", "hold")
 
 
+@query("F15_guarded_rule", ", h AS (SELECT event_id, label, value < 12 AS hold FROM ep), n AS (SELECT count(*) FILTER (label AND hold) <= greatest(1, 0.1::DOUBLE * count(*) FILTER (label)) AS active FROM h) SELECT event_id, hold AND active AS hold, active FROM h, n")
+def _(spark, d):
+    return r.guarded_rule(endpoints(spark, d), {"value": (12, True)}, "label").select("event_id", "hold", "active")
+
+
+@query("F15_guarded_rule_off", ", h AS (SELECT event_id, label, value < 100 AS hold FROM ep), n AS (SELECT count(*) FILTER (label AND hold) <= greatest(1, 0.1::DOUBLE * count(*) FILTER (label)) AS active FROM h) SELECT event_id, hold AND active AS hold, active FROM h, n")
+def _(spark, d):
+    return r.guarded_rule(endpoints(spark, d), {"value": (100, True)}, "label").select("event_id", "hold", "active")
+
+
 @query("G1_band_sample", f"SELECT event_id, p AS inclusion_probability, round(1 / p, 6) AS weight FROM (SELECT event_id, {UD.format(k='event_id')} AS u, CASE band WHEN 'near' THEN 0.5::DOUBLE WHEN 'normal' THEN 0.05::DOUBLE END AS p FROM ep) WHERE u < p")
 def _(spark, d):
     return g.band_sample(endpoints(spark, d), "band", {"near": 0.5, "normal": 0.05}, ["event_id"]).select("event_id", "inclusion_probability", "weight")
@@ -229,6 +247,12 @@ def _(spark, d):
     return g.sample_audit(endpoints(spark, d).withColumn("y", F.col("value") > 50), ["event_type"], "user_id", "y")
 
 
+@query("G12_group_use", "SELECT event_type, count(*) AS available_groups, count(*) FILTER (u) AS used_groups, round(count(*) FILTER (u)::DOUBLE / count(*), 6) AS used_share FROM (SELECT event_type, user_id, bool_or(value > 100) AS u FROM ep GROUP BY ALL) GROUP BY event_type")
+def _(spark, d):
+    x = endpoints(spark, d)
+    return g.group_use(x, x.where("value > 100"), ["event_type"], "user_id")
+
+
 @query("G13_class_weights", "SELECT event_id, round((SELECT count(*) FROM ep)::DOUBLE / (2 * (CASE WHEN label THEN (SELECT count(*) FROM ep WHERE label) ELSE (SELECT count(*) FROM ep WHERE NOT label) END)), 6) AS class_weight FROM ep")
 def _(spark, d):
     return g.class_weights(endpoints(spark, d), "label").select("event_id", "class_weight")

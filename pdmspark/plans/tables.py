@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalar as s
+from ..session import shared_folder
 from ..sources import tables as a
 from .base import GATED, endpoints, gated, query, table
 
 
 def scratch(spark, name: str) -> str:
     """A fresh path in the folder that the driver and all executors share."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("A1_read_tables", "SELECT source_file, count(*) AS n FROM (SELECT 'supplier.parquet' AS source_file FROM supplier) GROUP BY source_file")
@@ -102,6 +103,11 @@ def _(spark, d):
     return s.missing_profile(endpoints(spark, d).select(F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("x"), "event_type"), ["x", "event_type"])
 
 
+@query("B4_value_counts", "SELECT kind AS value, count(*) AS n FROM (SELECT CASE WHEN event_id % 4 <> 0 THEN event_type END AS kind FROM ep) GROUP BY kind")
+def _(spark, d):
+    return s.value_counts(endpoints(spark, d).withColumn("kind", F.when(F.col("event_id") % 4 != 0, F.col("event_type"))), "kind")
+
+
 @query("B5_one_hot", "SELECT event_id, event_type, (event_type = 'error')::INT AS event_type_error, (event_type = 'view')::INT AS event_type_view FROM ep")
 def _(spark, d):
     return s.one_hot(endpoints(spark, d).select("event_id", "event_type"), "event_type", ["error", "view"], strict=False)

@@ -15,13 +15,17 @@ def get_session(master: str | None = None, **conf: str) -> SparkSession:
     return b.config(map=settings).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, the folder that the driver and all executors share; only local mode may leave it unset."""
+    folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not folder and not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (folder or "/tmp/checkpoints").rstrip("/")
+
+
 def stable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the checkpoint folder that all executors share."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or "/tmp/checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -44,7 +44,7 @@ CHECKSUM_BIT = 0x80
 #: A frame is closed once it has this many ids, so reading one document decodes little more.
 FRAME_IDS = 65_536
 #: Pieces of text whose ids a worker remembers, and the longest such piece.
-CACHE_PIECES, CACHE_CHARS = 500_000, 64
+CACHE_PIECES, CACHE_CHARS = 700_000, 64
 
 
 def byte_letters() -> dict[int, str]:

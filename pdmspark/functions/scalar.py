@@ -119,17 +119,25 @@ def leak_scan(df: DataFrame, json_col: str, tokens: Sequence[str]) -> DataFrame:
     return df.withColumn("leaked", F.array_distinct(F.filter(keys, has))).withColumn("clean", F.coalesce(F.size("leaked") == 0, F.lit(False)))
 
 
-def parse_score_response(df: DataFrame, json_col: str, model_prefix: str = "") -> DataFrame:
+def parse_score_response(df: DataFrame, json_col: str, model_prefix: str = "", provider: str | None = None, legend: Sequence[str] | None = None) -> DataFrame:
     """Score in [0, 2] with probabilities of "0", "1", "2" that sum to 0.95 to 1.05; else MODEL_UNAVAILABLE, null.
 
-    Adds status, score, half_score and state (the likeliest of 0, 1, 2; the lower one of equals).
+    The model's and the provider's name must begin as given, and the legend be exactly the criteria asked for, numbered
+    from 0, where these are given. Adds status, score, half_score and state (the likeliest of 0, 1, 2; the lower one of
+    equals).
     """
-    parsed = F.from_json(F.col(json_col), "model string, score double, probabilities map<string,double>", {"mode": "PERMISSIVE"})
+    parsed = F.from_json(F.col(json_col), "model string, provider string, score double, probabilities map<string,double>, legend map<string,string>", {"mode": "PERMISSIVE"})
     p = lambda k: F.try_element_at(F.col("_r.probabilities"), F.lit(k))
     total = p("0") + p("1") + p("2")
     good = F.col("_r.score").between(0, 2) & (F.size("_r.probabilities") == 3) & total.between(0.95, 1.05) & F.col("_r.model").startswith(model_prefix)
     for k in "012":
         good = good & p(k).between(0, 1)
+    if provider is not None:
+        good = good & F.col("_r.provider").startswith(provider)
+    if legend is not None:
+        good = good & (F.size("_r.legend") == len(legend))
+        for k, criterion in enumerate(legend):
+            good = good & (F.try_element_at(F.col("_r.legend"), F.lit(str(k))) == F.lit(criterion))
     out = df.withColumn("_r", parsed).withColumn("_ok", F.coalesce(good, F.lit(False)))
     best = F.greatest(p("0"), p("1"), p("2"))
     state = F.when(p("0") == best, 0).when(p("1") == best, 1).otherwise(2)

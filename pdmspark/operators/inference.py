@@ -7,13 +7,13 @@ are computed in one grouped aggregation over replicates.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_integer
-from .metrics import average_precision, ratio, roc_auc
+from .metrics import average_precision, by_score, ratio, roc_auc, running_sums
 
 #: A statistic as aggregate expression of the weight column's name.
 Statistic = Callable[[str], Column]
@@ -69,11 +69,43 @@ def weighted_mean(col: str) -> Statistic:
     return lambda w: ratio(F.sum(F.col(col) * F.col(w)), F.sum(F.when(F.col(col).isNotNull(), F.col(w))))
 
 
-def paired_bootstrap(df: DataFrame, group: str, label: str, a: str, b: str, reps: int, metric: str = "auc", seed: str | int = 42, identity: bool = False) -> DataFrame:
-    """H2: (rep, value_a, value_b, difference) of AUC or average precision of two scores on the same draws."""
-    f = {"auc": roc_auc, "average_precision": average_precision}[metric]
+def separation(label: str) -> Callable[[str], Statistic]:
+    """H2, H4: mean score of rows with the label minus that of rows without; null when one of them is absent."""
+
+    def of(score: str) -> Statistic:
+        def mean(w: str, side: Column) -> Column:
+            known = side & F.col(score).isNotNull()
+            return ratio(F.sum(F.when(known, F.col(score) * F.col(w))), F.sum(F.when(known, F.col(w))))
+
+        y = F.col(label).cast("boolean")
+        return lambda w: mean(w, y) - mean(w, ~y)
+
+    return of
+
+
+def balanced_accuracy(label: str, cut: float) -> Callable[[str], Statistic]:
+    """H2, H4: mean of the two classes' recalls where a score of ``cut`` or more means the label."""
+
+    def of(score: str) -> Statistic:
+        y, hit = F.col(label).cast("boolean"), F.col(score) >= F.lit(float(cut))
+
+        def recall(w: str, side: Column, right: Column) -> Column:
+            return ratio(F.sum(F.when(side & right, F.col(w)).otherwise(0)), F.sum(F.when(side & F.col(score).isNotNull(), F.col(w))))
+
+        return lambda w: (recall(w, y, hit) + recall(w, ~y, ~hit)) / 2
+
+    return of
+
+
+def paired_bootstrap(df: DataFrame, group: str, label: str, a: str, b: str, reps: int, metric: str | Callable[[str], Statistic] = "auc", seed: str | int = 42, identity: bool = False) -> DataFrame:
+    """H2: (rep, value_a, value_b, difference) of a metric of two scores on the same draws: AUC, average precision, or
+    a statistic of a score that reads group, label and score only, as ``separation(label)`` or ``balanced_accuracy``."""
     compact = df.groupBy(group, label, a, b).agg(F.count(F.lit(1)).alias("_c"))
     x = resampled(compact, draws(df, group, reps, seed, None, identity), group).withColumn("_w", F.col("_c") * F.col("multiplicity"))
+    if not isinstance(metric, str):
+        out = x.groupBy("rep").agg(metric(a)("_w").alias("value_a"), metric(b)("_w").alias("value_b"))
+        return out.withColumn("difference", F.col("value_b") - F.col("value_a"))
+    f = {"auc": roc_auc, "average_precision": average_precision}[metric]
     out = f(x, label, a, "_w", ["rep"]).withColumnRenamed(metric, "value_a").join(f(x, label, b, "_w", ["rep"]).withColumnRenamed(metric, "value_b"), "rep")
     return out.withColumn("difference", F.col("value_b") - F.col("value_a"))
 
@@ -100,3 +132,38 @@ def leave_one_group_out(df: DataFrame, group: str, col: str) -> DataFrame:
     x = g.crossJoin(F.broadcast(t))  # one row
     x = x.withColumn("without", ratio(F.col("_ts") - F.col("_s"), F.col("_tn") - F.col("_n")))
     return x.withColumn("influence", F.col("without") - ratio(F.col("_ts"), F.col("_tn"))).select(group, "without", "influence")
+
+
+def leave_one_group_out_stat(df: DataFrame, group: str, parts: Mapping[str, Column], stat: Callable[[Mapping[str, Column]], Column]) -> DataFrame:
+    """H4: as ``leave_one_group_out`` for any statistic of sums.
+
+    ``parts`` are row values whose sums the statistic needs (nulls count as 0), ``stat`` makes it of them: rates, class
+    metrics, differences of means. Rows are summed once by group; a group's sums are taken from the totals.
+    """
+    g = df.groupBy(group).agg(*[F.coalesce(F.sum(c.cast("double")), F.lit(0.0)).alias(f"_p_{n}") for n, c in parts.items()], F.count(F.lit(1)).alias("rows_removed"))
+    t = g.agg(*[F.sum(f"_p_{n}").alias(f"_t_{n}") for n in parts])
+    x = g.crossJoin(F.broadcast(t))  # one row
+    without = stat({n: F.col(f"_t_{n}") - F.col(f"_p_{n}") for n in parts})
+    whole = stat({n: F.col(f"_t_{n}") for n in parts})
+    return x.select(group, "rows_removed", without.alias("without"), (without - whole).alias("influence"))
+
+
+def leave_one_group_out_auc(df: DataFrame, group: str, label: str, score: str) -> DataFrame:
+    """H4: AUC without each group, and its difference to the AUC of all; null where a class is absent.
+
+    The pairs that go with a group are those of its positives with all negatives and of all positives with its negatives,
+    less those inside it, so two running sums replace a pass over the rows for each group.
+    """
+    inside = running_sums(by_score(df, label, score, None, [group]), [group], [F.col("_s")], {"_upto": F.col("_n")})
+    own = inside.groupBy(group).agg(F.sum(F.col("_p") * (F.col("_upto") - F.col("_n") * F.lit(0.5))).alias("_gg"), F.sum("_p").alias("_gp"), F.sum("_n").alias("_gn"))
+    places = running_sums(by_score(df, label, score, None, []), [], [F.col("_s")], {"_below": F.col("_n"), "_to": F.col("_p")})
+    places = places.select("_s", (F.col("_below") - F.col("_n") * F.lit(0.5)).alias("_below"), (F.col("_to") - F.col("_p") * F.lit(0.5)).alias("_to"))
+    met = by_score(df, label, score, None, [group]).join(places, "_s")
+    # Of each group: area of its positives over all negatives, and what its negatives have below all positives.
+    sides = met.groupBy(group).agg(F.sum(F.col("_p") * F.col("_below")).alias("_pa"), F.sum(F.col("_n") * F.col("_to")).alias("_na"))
+    x = own.join(sides, group)
+    t = x.agg(F.sum("_pa").alias("_ta"), F.sum("_gp").alias("_tp"), F.sum("_gn").alias("_tn"))
+    x = x.crossJoin(F.broadcast(t))  # one row
+    gone = F.col("_pa") + (F.col("_gn") * F.col("_tp") - F.col("_na")) - F.col("_gg")
+    without = ratio(F.col("_ta") - gone, (F.col("_tp") - F.col("_gp")) * (F.col("_tn") - F.col("_gn")))
+    return x.select(group, without.alias("without"), (without - ratio(F.col("_ta"), F.col("_tp") * F.col("_tn"))).alias("influence"))

@@ -267,6 +267,15 @@ def stability(df: DataFrame, key: Sequence[str], col: str, cuts: Sequence[float]
     return df.groupBy(*key).agg(F.count(col).alias("n"), F.stddev_samp(col).alias("std"), (F.max(col) - F.min(col)).alias("value_range"), *crosses)
 
 
+def repeat_delta(df: DataFrame, by: Sequence[str], first: str, repeat: str, cuts: Sequence[float] = ()) -> DataFrame:
+    """E21, paired: per group: n, mean, mean absolute, largest absolute and std (sample) of repeat minus first, and how
+    many pairs changed their band. A band is the number of cuts that the value reaches; a pair with a null does not count."""
+    d = F.col(repeat).cast("double") - F.col(first).cast("double")
+    band = lambda c: sum((F.when(F.col(c) >= F.lit(float(x)), 1).otherwise(0) for x in cuts), F.lit(0))
+    out = [F.count(d).alias("n"), F.avg(d).alias("mean_delta"), F.avg(F.abs(d)).alias("mean_abs_delta"), F.max(F.abs(d)).alias("max_abs_delta"), F.stddev_samp(d).alias("std_delta")]
+    return df.groupBy(*by).agg(*out, F.count_if(d.isNotNull() & (band(first) != band(repeat))).alias("n_changed"))
+
+
 def error_profile(df: DataFrame, dims: Sequence[str], error: str, alarm: str, label: str, score: str, unit: Sequence[str] = ()) -> DataFrame:
     """Per (dimension, level): n, median, q1 and q3 of the signed error, shares early (error < 0) and late, alarm
     rate and AUC; of rows, or of unit means first."""
@@ -327,6 +336,18 @@ def paired_delta(df: DataFrame, key: Sequence[str], arm: str, col: str, arms: Se
     return long.groupBy(*cell, "arm").agg(F.count("d").alias("n"), F.avg("d").alias("mean_delta"), F.avg(F.abs("d")).alias("mean_abs_delta"), F.min("d").alias("min_delta"), F.max("d").alias("max_delta"), F.stddev_samp("d").alias("std_delta"))
 
 
+def unpaired_delta(old: DataFrame, new: DataFrame, by: Sequence[str], region: str, col: str, high: str, low: str) -> DataFrame:
+    """E26, unpaired: per group: mean of region ``high`` minus mean of ``low`` in each of two samples of different rows,
+    and the new one minus the old one. A group of one sample only stays, with nulls."""
+
+    def separation(df: DataFrame, name: str) -> DataFrame:
+        mean = lambda r: F.avg(F.when(F.col(region) == F.lit(r), F.col(col).cast("double")))
+        return df.groupBy(*by).agg((mean(high) - mean(low)).alias(name))
+
+    out = separation(old, "old_separation").join(separation(new, "new_separation"), list(by), "full")
+    return out.withColumn("unpaired_delta", F.col("new_separation") - F.col("old_separation"))
+
+
 def constant_baselines(df: DataFrame, truth: str, classes: Sequence[str]) -> DataFrame:
     """Balanced accuracy and macro F1 of always predicting one class."""
     present = [F.count_if(F.col(truth) == c) for c in classes]

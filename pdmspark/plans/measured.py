@@ -204,6 +204,12 @@ def _(spark, d):
     return m.stability(endpoints(spark, d), ["user_id", "event_type"], "value", [20])
 
 
+@query("E21_repeat_delta", """SELECT event_type, count(d) AS n, round(avg(d), 6) AS mean_delta, round(avg(abs(d)), 6) AS mean_abs_delta, round(max(abs(d)), 6) AS max_abs_delta, round(stddev_samp(d), 6) AS std_delta,
+ count(*) FILTER (d IS NOT NULL AND (value >= 20)::INT + (value >= 60)::INT <> (r >= 20)::INT + (r >= 60)::INT) AS n_changed FROM (SELECT *, 100 * prob AS r, 100 * prob - value AS d FROM ep) GROUP BY event_type""")
+def _(spark, d):
+    return m.repeat_delta(endpoints(spark, d).withColumn("r", 100 * F.col("prob")), ["event_type"], "value", "r", [20, 60])
+
+
 @query("E22_error_profile", """, x AS (SELECT user_id, 'event_type' AS dimension, event_type AS level, value - 100 * prob AS e, (value <= 20)::INT::DOUBLE AS a, label, prob AS s FROM ep UNION ALL SELECT user_id, 'band', band, value - 100 * prob, (value <= 20)::INT::DOUBLE, label, prob FROM ep),
  au AS (SELECT dimension, level, sum(p * (b + 0.5 * n)) / nullif(sum(p) * sum(n), 0) AS auc FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY dimension, level ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT dimension, level, s, sum(label::INT)::DOUBLE AS p, sum(1 - label::INT)::DOUBLE AS n FROM x GROUP BY ALL)) GROUP BY ALL)
 SELECT x.dimension, x.level, count(*) AS n, round(median(e), 6) AS median_error, round(quantile_cont(e, 0.25), 6) AS q1_error, round(quantile_cont(e, 0.75), 6) AS q3_error, round(count(*) FILTER (e < 0)::DOUBLE / count(e), 6) AS early_share, round(count(*) FILTER (e > 0)::DOUBLE / count(e), 6) AS late_share, round(avg(a), 6) AS alarm_rate, round(any_value(auc), 6) AS auc FROM x JOIN au ON x.dimension = au.dimension AND x.level = au.level GROUP BY ALL""")
@@ -245,6 +251,15 @@ def _(spark, d):
     return m.paired_delta(x, ["event_id"], "arm", "value", [0.5, 1.0, 2.0], 1.0, ["event_type"])
 
 
+@query("E26_unpaired_delta", """SELECT event_type, round(o, 6) AS old_separation, round(n, 6) AS new_separation, round(n - o, 6) AS unpaired_delta FROM
+ (SELECT event_type, avg(prob) FILTER (band = 'near') - avg(prob) FILTER (band = 'normal') AS o FROM ep WHERE t < (SELECT avg(t) FROM ep) GROUP BY event_type) FULL JOIN
+ (SELECT event_type, avg(prob) FILTER (band = 'near') - avg(prob) FILTER (band = 'normal') AS n FROM ep WHERE t >= (SELECT avg(t) FROM ep) GROUP BY event_type) USING (event_type)""")
+def _(spark, d):
+    x = endpoints(spark, d)
+    x = x.crossJoin(F.broadcast(x.agg(F.avg("t").alias("half"))))  # one row
+    return m.unpaired_delta(x.where(F.col("t") < F.col("half")), x.where(F.col("t") >= F.col("half")), ["event_type"], "band", "prob", "near", "normal")
+
+
 @query("E27_constant_baselines", "SELECT c AS always, round(1 / 3.0::DOUBLE, 6) AS balanced_accuracy, round(2.0::DOUBLE * (SELECT count(*) FROM ep WHERE band = c) / ((SELECT count(*) FROM ep) + (SELECT count(*) FROM ep WHERE band = c)) / 3, 6) AS macro_f1 FROM (SELECT unnest(['near', 'boundary', 'normal']) AS c)")
 def _(spark, d):
     return m.constant_baselines(endpoints(spark, d), "band", CLASSES)

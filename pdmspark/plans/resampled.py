@@ -54,6 +54,25 @@ def _(spark, d, reps):
     return h.paired_bootstrap(endpoints(spark, d), "user_id", "label", "value", "prob", reps)
 
 
+SEPARATION = "sum(CASE WHEN label THEN {s} * m END) / sum(CASE WHEN label THEN m END) - sum(CASE WHEN NOT label THEN {s} * m END) / sum(CASE WHEN NOT label THEN m END)"
+BALANCED = "(sum(CASE WHEN label AND {s} >= {c} THEN m ELSE 0 END)::DOUBLE / sum(CASE WHEN label THEN m END) + sum(CASE WHEN NOT label AND {s} < {c} THEN m ELSE 0 END)::DOUBLE / sum(CASE WHEN NOT label THEN m END)) / 2"
+PAIRED = DRAWS + "SELECT rep::INT AS rep, round({a}, 6) AS value_a, round({b}, 6) AS value_b, round({b} - ({a}), 6) AS difference FROM (SELECT *, value / 100 AS v FROM ep) JOIN dr USING (user_id) GROUP BY rep"
+
+
+def _scaled(spark, d):
+    return endpoints(spark, d).withColumn("v", F.col("value") / 100)
+
+
+@resampling("H2_paired_separation", PAIRED.format(a=SEPARATION.format(s="v"), b=SEPARATION.format(s="prob")))
+def _(spark, d, reps):
+    return h.paired_bootstrap(_scaled(spark, d), "user_id", "label", "v", "prob", reps, h.separation("label"))
+
+
+@resampling("H2_paired_classes", PAIRED.format(a=BALANCED.format(s="v", c=0.5), b=BALANCED.format(s="prob", c=0.5)))
+def _(spark, d, reps):
+    return h.paired_bootstrap(_scaled(spark, d), "user_id", "label", "v", "prob", reps, h.balanced_accuracy("label", 0.5))
+
+
 @resampling("H3_rank_bootstrap", DRAWS + """, rk AS (SELECT user_id, event_type, value > 50 AS y, row_number() OVER (PARTITION BY event_type ORDER BY prob DESC, event_id) AS k FROM ep),
  x AS (SELECT rep, y, m, coalesce(sum(m) OVER (PARTITION BY rep, event_type ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, floor(sum(m) OVER (PARTITION BY rep, event_type) * 0.2::DOUBLE + 0.5) AS q FROM rk JOIN dr USING (user_id)),
  t AS (SELECT rep, y, least(greatest(q - b, 0), m) AS w FROM x) SELECT rep::INT AS rep, sum(w)::BIGINT AS reviewed, sum(CASE WHEN y THEN w ELSE 0 END)::BIGINT AS hits, round(sum(CASE WHEN y THEN w ELSE 0 END)::DOUBLE / sum(w), 6) AS precision FROM t GROUP BY rep""")
@@ -68,6 +87,23 @@ def _(spark, d):
     return h.leave_one_group_out(endpoints(spark, d), "user_id", "value")
 
 
+@query("H4_leave_one_out_separation", """, g AS (SELECT user_id, count(*) AS rows_removed, coalesce(sum(CASE WHEN label THEN prob END), 0) AS a, count(prob) FILTER (label) AS b, coalesce(sum(CASE WHEN NOT label THEN prob END), 0) AS c, count(prob) FILTER (NOT label) AS e FROM ep GROUP BY user_id),
+ t AS (SELECT sum(a) AS ta, sum(b) AS tb, sum(c) AS tc, sum(e) AS te FROM g)
+SELECT user_id, rows_removed, round((ta - a) / (tb - b) - (tc - c) / (te - e), 6) AS without, round((ta - a) / (tb - b) - (tc - c) / (te - e) - (ta / tb - tc / te), 6) AS influence FROM g, t""")
+def _(spark, d):
+    y, s = F.col("label"), F.col("prob")
+    parts = {"a": F.when(y, s), "b": F.when(y & s.isNotNull(), 1), "c": F.when(~y, s), "e": F.when(~y & s.isNotNull(), 1)}
+    return h.leave_one_group_out_stat(endpoints(spark, d), "user_id", parts, lambda p: F.try_divide(p["a"], p["b"]) - F.try_divide(p["c"], p["e"]))
+
+
+@query("H4_leave_one_out_auc", """, us AS (SELECT DISTINCT user_id AS gone FROM ep), c AS (SELECT user_id, prob AS s, count(*) FILTER (label)::DOUBLE AS p, count(*) FILTER (NOT label)::DOUBLE AS n FROM ep GROUP BY ALL), a AS (SELECT s, sum(p) AS p, sum(n) AS n FROM c GROUP BY s),
+ l AS (SELECT us.gone, a.s, a.p - coalesce(c.p, 0) AS p, a.n - coalesce(c.n, 0) AS n FROM us CROSS JOIN a LEFT JOIN c ON c.user_id = us.gone AND c.s = a.s UNION ALL SELECT NULL, s, p, n FROM a),
+ f AS (SELECT gone, sum(p * (b + 0.5 * n)) / (sum(p) * sum(n)) AS auc FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY gone ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM l) GROUP BY gone)
+SELECT gone AS user_id, round(auc, 6) AS without, round(auc - (SELECT auc FROM f WHERE gone IS NULL), 6) AS influence FROM f WHERE gone IS NOT NULL""")
+def _(spark, d):
+    return h.leave_one_group_out_auc(endpoints(spark, d), "user_id", "label", "prob")
+
+
 @resampling("K4_user_statistic", GATED + DRAWS + "SELECT rep::INT AS rep, round(sum(CASE WHEN label AND gated_alarm THEN m ELSE 0 END)::DOUBLE / sum(CASE WHEN label THEN m ELSE 0 END), 6) AS value FROM g JOIN dr USING (user_id) GROUP BY rep")
 def _(spark, d, reps):
     def recall(w):

@@ -47,7 +47,7 @@ def _(spark, d):
     return run(spark, j.stream_sessions(stream(spark, d), ["user_id"], "ts", "6 hours", "1 hour", "value"), "j2", j.run_to_whole_table).select("user_id", "n_rows", "total")
 
 
-@query("J3_stream_time_guard")
+@query("J3_stream_time_guard", "SELECT user_id::VARCHAR AS group_key, event_id AS row_id, t, coalesce(t < max(t) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM ep")
 def _(spark, d):
     return run(spark, j.stream_time_guard(stream(spark, d), "user_id", "t", "event_id"), "j3")
 

@@ -63,6 +63,24 @@ def _(spark, d):
     return a.content_fingerprint(table(spark, d, "events"))
 
 
+PRINT = "SELECT count(*) AS n, sum(h)::VARCHAR AS s, bit_xor(h)::VARCHAR AS x FROM (SELECT ('0x' || substr(sha256({json}), 1, 15))::BIGINT AS h FROM {table})"
+ORDER_JSON = """'{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || '}'"""
+NATION_JSON = """'{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}'"""
+
+
+@query("A6_key_fingerprint", f", f AS ({PRINT.format(json=ORDER_JSON, table='orders')}) SELECT n AS n_rows, s AS hash_sum, x AS hash_xor FROM f")
+def _(spark, d):
+    x = a.content_fingerprint(table(spark, d, "orders"), ["o_orderkey", "o_custkey"])
+    return x.select("n_rows", F.col("hash_sum").cast("string").alias("hash_sum"), F.col("hash_xor").cast("string").alias("hash_xor"))
+
+
+@query("A6_run_signature", f""", n AS ({PRINT.format(json=NATION_JSON, table='nation')}), o AS ({PRINT.format(json=ORDER_JSON, table='orders')})
+SELECT sha256('{{"cut":0.5,"seed":42}}' || chr(10) || 'nation|' || n.n || '|' || n.s || '|' || n.x || chr(10) || 'orders|' || o.n || '|' || o.s || '|' || o.x) AS signature FROM n, o""")
+def _(spark, d):
+    inputs = {"orders": table(spark, d, "orders"), "nation": table(spark, d, "nation")}
+    return a.run_signature(inputs, {"seed": 42, "cut": 0.5}, {"orders": ["o_orderkey", "o_custkey"], "nation": ["n_nationkey", "n_name"]})
+
+
 @query("A7_coverage_check", """SELECT o_custkey, side FROM (
   SELECT c_custkey AS o_custkey, 'missing' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
   UNION ALL SELECT DISTINCT o_custkey, 'unexpected' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))""")
@@ -163,6 +181,17 @@ def _(spark, d):
     return s.parse_score_response(x, "body", "judge-").select("event_id", "status", "score", "half_score", "state")
 
 
+@query("B13_provider_and_legend", """SELECT event_id, CASE WHEN ok THEN 'READY' ELSE 'MODEL_UNAVAILABLE' END AS status, CASE WHEN ok THEN round(2 * prob, 6) END AS score FROM (SELECT event_id, prob, event_type <> 'error' AND value <= 60 AS ok FROM ep)""")
+def _(spark, d):
+    p, legend = F.col("prob"), ["no sign", "some signs", "clear signs"]
+    provider = F.when(F.col("event_type") == "error", "elsewhere").otherwise("provider-7")
+    last = F.when(F.col("value") <= 60, legend[2]).otherwise("another question")
+    probabilities = F.create_map(F.lit("0"), 1 - p, F.lit("1"), F.lit(0.0), F.lit("2"), p)
+    asked = F.create_map(F.lit("0"), F.lit(legend[0]), F.lit("1"), F.lit(legend[1]), F.lit("2"), last)
+    body = F.to_json(F.struct(F.lit("judge-1").alias("model"), provider.alias("provider"), (2 * p).alias("score"), probabilities.alias("probabilities"), asked.alias("legend")))
+    return s.parse_score_response(endpoints(spark, d).withColumn("body", body), "body", "judge-", "provider-", legend).select("event_id", "status", "score")
+
+
 @query("B14_parse_judge_output", "SELECT event_id, event_id % 3 = 0 AS valid, CASE WHEN event_id % 3 <> 2 THEN round(100 * prob, 6) END AS priority FROM ep")
 def _(spark, d):
     ev = F.array(F.struct(F.when(F.col("event_id") % 3 == 1, F.lit("secret")).otherwise(F.lit("rms")).alias("field"), F.col("value").alias("value"), F.lit("high").alias("claim")))

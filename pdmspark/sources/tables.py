@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -82,6 +83,24 @@ def content_fingerprint(df: DataFrame, keys: Sequence[str] | None = None) -> Dat
     return df.select(part.alias("_h")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("_h").cast("decimal(38,0)")).alias("hash_sum"), F.bit_xor("_h").alias("hash_xor"))
 
 
+def run_signature(inputs: Mapping[str, DataFrame], settings: Mapping[str, object], keys: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """One row (signature): SHA-256 of the settings, as JSON with sorted keys, and the fingerprints of all inputs by name.
+
+    Equal signatures mean that a stored result of these inputs and settings can be used again. ``keys`` are the columns
+    of an input that count, all by default.
+    """
+    parts = [F.lit(json.dumps(dict(settings), sort_keys=True, separators=(",", ":")))]
+    one = None
+    for i, name in enumerate(sorted(inputs)):
+        f = content_fingerprint(inputs[name], (keys or {}).get(name))
+        f = f.select(F.concat_ws("|", F.lit(name), "n_rows", "hash_sum", "hash_xor").alias(f"_f{i}"))  # no number here is null but of an empty table
+        one = f if one is None else one.crossJoin(f)  # one row each
+        parts.append(F.col(f"_f{i}"))
+    if one is None:
+        raise ValueError("a signature needs inputs")
+    return one.select(F.sha2(F.concat_ws("\n", *parts), 256).alias("signature"))
+
+
 def coverage_check(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys with ``side``: missing (expected only) or unexpected (actual only). Empty if the sets are equal."""
     e, a = expected.select(*keys).distinct(), actual.select(*keys).distinct()

@@ -72,20 +72,25 @@ class _TimeGuard(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.state.get()[0] if self.state.exists() else None
-        for x in rows:
+        found = [x for x in rows if len(x)]
+        if found:
+            # A shuffle defines no order inside a batch; the rows' numbers do.
+            x = pd.concat(found).sort_values("row_id", kind="stable")
             t = x["t"].to_numpy()
             top = np.maximum.accumulate(np.concatenate([[t[0] if last is None else last], t]))
+            self.state.update((int(top[-1]),))
             yield x.assign(late=t < top[:-1])
-            last = int(top[-1])
-        if last is not None:
-            self.state.update((last,))
 
     def close(self) -> None:
         pass
 
 
 def stream_time_guard(stream: DataFrame, by: str, time: str, row: str) -> DataFrame:
-    """(group_key, row_id, t, late): late where time ran backwards in its group; equal times are not late."""
+    """(group_key, row_id, t, late): late where time ran backwards in its group; equal times are not late.
+
+    ``row`` numbers a group's rows in order of arrival: batches come in that order, and rows of one batch are put into
+    it. A task holds one group's rows of one batch, which the source's limits a trigger (maxFilesPerTrigger) bound.
+    """
     rows = stream.select(F.col(by).cast("string").alias("group_key"), F.col(row).cast("long").alias("row_id"), F.col(time).cast("long").alias("t"))
     return rows.groupBy("group_key").transformWithStateInPandas(_TimeGuard(), "group_key string, row_id long, t long, late boolean", "append", "none")
 
@@ -104,11 +109,16 @@ def stream_dedupe(stream: DataFrame, keys: Sequence[str], time: str, late: str)
 
 
 class _FirstAlarm(StatefulProcessor):
+    def __init__(self, idle_ms: int | None) -> None:
+        self.idle_ms = idle_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("told", "told boolean")
+        self.state = handle.getValueState("told", "told boolean", self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if self.state.exists():
+            if self.idle_ms is not None:
+                self.state.update((True,))
             return
         found = [x[x["flag"]] for x in rows]
         hits = pd.concat(found) if found else pd.DataFrame()
@@ -120,10 +130,14 @@ class _FirstAlarm(StatefulProcessor):
         pass
 
 
-def stream_first_alarm(stream: DataFrame, by: str, time: str, row: str, flag: str) -> DataFrame:
-    """(group_key, row_id, t) of each group's first alarm, once. Batches must be in order of time."""
+def stream_first_alarm(stream: DataFrame, by: str, time: str, row: str, flag: str, idle_ms: int | None = None) -> DataFrame:
+    """(group_key, row_id, t) of each group's first alarm, once. Batches must be in order of time.
+
+    A group without rows for ``idle_ms`` of processing time is over: its state goes, and its next alarm is told again.
+    With a trigger that ends (availableNow), set spark.sql.streaming.noDataMicroBatches.enabled to false.
+    """
     rows = stream.select(F.col(by).cast("string").alias("group_key"), F.col(row).cast("long").alias("row_id"), F.col(time).cast("long").alias("t"), F.coalesce(F.col(flag), F.lit(False)).alias("flag"))
-    return rows.groupBy("group_key").transformWithStateInPandas(_FirstAlarm(), "group_key string, row_id long, t long", "append", "none")
+    return rows.groupBy("group_key").transformWithStateInPandas(_FirstAlarm(idle_ms), "group_key string, row_id long, t long", "append", "none" if idle_ms is None else "processingTime")
 
 
 def rollup(df: DataFrame, by: Sequence[str], time: str, value: str, width: str, slide: str | None = None) -> DataFrame:

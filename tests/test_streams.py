@@ -77,3 +77,24 @@ def test_streamed_queries_equal_their_batch_forms(spark):
     assert {"J2_stream_sessions", "J7_stream_rollup"} <= set(entry.oracle_sql())
     n = {name: entry.queries()[name](spark, SF).agg(F.sum("n_rows")).first()[0] for name in ("J2_stream_sessions", "J7_stream_rollup")}
     assert set(n.values()) == {spark.read.parquet(f"{SF}/events.parquet").count()}
+
+
+def test_time_guard_orders_a_batch(spark, tmp_path):
+    x = spark.createDataFrame([("a", 3, 4), ("a", 0, 5), ("a", 4, 7), ("a", 2, 6), ("a", 1, 6)], "g string, id long, t long")
+    x.coalesce(1).write.parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema(x.schema).parquet(f"{tmp_path}/in")
+    got = run(spark, j.stream_time_guard(s, "g", "t", "id"), tmp_path, "o").orderBy("row_id").collect()
+    assert [y["late"] for y in got] == [False, False, False, True, False]
+
+
+def test_first_alarm_with_a_timeout(spark, tmp_path):
+    x = spark.range(40).select((F.col("id") % 2).alias("g"), "id", (F.col("id") * 10).alias("t"), (F.col("id") % 5 == 3).alias("f"))
+    x.coalesce(1).write.parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema(x.schema).parquet(f"{tmp_path}/in")
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"  # a stream with timeouts otherwise never runs out of batches
+    spark.conf.set(key, "false")
+    try:
+        got = run(spark, j.stream_first_alarm(s, "g", "t", "id", "f", 3_600_000), tmp_path, "t").collect()
+    finally:
+        spark.conf.unset(key)
+    assert sorted((y["group_key"], y["row_id"]) for y in got) == [("0", 8), ("1", 3)]

@@ -60,7 +60,7 @@ class Encoder:
     there and the pieces encoded alone; frequent pieces are then encoded once for each worker.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = CACHE_PIECES) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -73,6 +73,7 @@ class Encoder:
         pre = self.tokenizer.pre_tokenizer
         self.cuts = isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space and self.tokenizer.normalizer is None
         self.known: dict[str, bytes] = {}
+        self.remembered = remembered
         #: A word of Latin letters, with a blank before it and one mark behind it or not: one or two pre-tokens.
         self.simple = re.compile("^(?:( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,:;!?|]?)(?=\n|\\Z)|(.*))$", re.MULTILINE)
         self.marks = {x: self._encode([x])[0] for x in ("", *".,:;!?|")}
@@ -125,7 +126,7 @@ class Encoder:
         new = {p for ps, vs in zip(cut_up, found, strict=True) if None in vs for p in compress(ps, map(not_, vs))}
         fresh = self.encode_pieces(list(new)) if new else {}
         for p, v in fresh.items():
-            if len(self.known) >= CACHE_PIECES:
+            if len(self.known) >= self.remembered:
                 break
             if len(p) <= CACHE_CHARS:
                 self.known[p] = v
@@ -133,8 +134,8 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, remembered: int = CACHE_PIECES) -> Encoder:
+    return Encoder(path, remembered)
 
 
 class FileWriter:
@@ -233,17 +234,18 @@ def place(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_tokens(df: DataFrame, out_dir: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, frame_ids: int = FRAME_IDS, order: Sequence[str] = ()) -> DataFrame:
+def write_tokens(df: DataFrame, out_dir: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, frame_ids: int = FRAME_IDS, order: Sequence[str] = (), remembered: int = CACHE_PIECES) -> DataFrame:
     """Writes the token files of ``df`` and returns one row a file: file_no, path, n_docs, n_ids, first_id, last_id.
 
     A document's ids are those of its whole text, followed by ``end_id``; null counts as empty. Documents
     are in ascending order of id (nulls first, equal ids by text), or of the columns ``order`` and then of id,
     over the files and in them: each file is a range of that order. Other columns are not read. A task writes under a name of its own and then renames, so
-    a task that runs again leaves one whole file. An empty table gives no or empty files.
+    a task that runs again leaves one whole file. An empty table gives no or empty files. A worker remembers the ids of
+    ``remembered`` pieces of text, some 200 bytes each; it changes memory and speed, never the ids.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = encoder(tokenizer_path)
+        codes = encoder(tokenizer_path, remembered)
         end = np.array([end_id], "<u4").tobytes()
         no = TaskContext.get().partitionId()
         fs, folder = place(out_dir)
@@ -307,9 +309,9 @@ def read_tokens(files: DataFrame, out_dir: str, with_ids: bool = True, only: Ite
     return files.mapInArrow(read, kind)
 
 
-def token_rows(df: DataFrame, out_dir: str, tokenizer_path: str, order: Sequence[str] = ()) -> DataFrame:
+def token_rows(df: DataFrame, out_dir: str, tokenizer_path: str, order: Sequence[str] = (), remembered: int = CACHE_PIECES) -> DataFrame:
     """Writes ``df`` as token files, reads them back, and counts ``start`` over all files. See ``write_tokens``."""
-    files = write_tokens(df, out_dir, tokenizer_path, order=order)
+    files = write_tokens(df, out_dir, tokenizer_path, order=order, remembered=remembered)
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     offsets = files.select("file_no", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("_offset"))
     docs = read_tokens(files, out_dir, with_ids=False).join(offsets, "file_no")

@@ -155,6 +155,14 @@ def test_encoder_equals_the_tokenizer():
     assert e.encode(texts) == want and e.encode(texts) == want
 
 
+@pytest.mark.parametrize("remembered", [0, 3])
+def test_encoder_that_remembers_little(remembered):
+    e = tokens.Encoder(tokens.default_tokenizer(), remembered)
+    want = library_ids(HARD)
+    assert e.encode(HARD) == want and e.encode(HARD[::-1]) == want[::-1]
+    assert len(e.known) == remembered
+
+
 def test_each_text_alone_on_a_fresh_and_on_a_warm_encoder():
     warm = tokens.Encoder(tokens.default_tokenizer())
     warm.encode(["the end a b"])

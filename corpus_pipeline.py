@@ -19,6 +19,10 @@ from pdmspark.llm.tokens import default_tokenizer, token_rows
 from pdmspark.llm.toxicity import drop_toxic
 
 
+#: Pieces of text that a worker of the last stage remembers: fewer than in op2, as the workers of the other stages live on.
+REMEMBERED = 500_000
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents scored as toxic go."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
@@ -51,8 +55,8 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     try:
         docs = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place"))
     except AnalysisException:
-        return token_rows(docs, fresh_folder(spark, "token-files"), default_tokenizer())
-    return token_rows(docs, fresh_folder(spark, "token-files"), default_tokenizer(), ["_file", "_place"])
+        return token_rows(docs, fresh_folder(spark, "token-files"), default_tokenizer(), remembered=REMEMBERED)
+    return token_rows(docs, fresh_folder(spark, "token-files"), default_tokenizer(), ["_file", "_place"], REMEMBERED)
 
 
 STAGES = [("toxicity", toxicity), ("simhash", near_dedup), ("decontamination", benchmarks), ("mixing", mixture), ("tokens", token_files)]

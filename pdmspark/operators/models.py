@@ -137,13 +137,19 @@ def calibrate(train: DataFrame, df: DataFrame, score: str, label: str, name: str
     return known.select(*df.columns, name).unionByName(df.where(F.col(score).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
-def feature_set_screen(df: DataFrame, sets: dict[str, Sequence[str]], label: str, fold: str, group: str, base: str, reps: int = 200) -> DataFrame:
-    """Per feature set: out-of-fold AUC of a logistic model and the mean and 95 % interval of its gain over ``base``."""
+def feature_set_screen(df: DataFrame, sets: dict[str, Sequence[str]], label: str, fold: str, group: str, base: str, reps: int = 200, evaluate: Column | None = None) -> DataFrame:
+    """Per feature set: out-of-fold AUC of a logistic model and the mean and 95 % interval of its gain over ``base``.
+
+    With the machine as ``fold`` every machine is scored by a model of the others; ``evaluate`` keeps the scored rows
+    that count, such as one machine's.
+    """
     key = [c for c in df.columns if c not in {f for s in sets.values() for f in s}]
     scored = None
     for n, fs in sets.items():
         one = logistic_oof(df, fs, label, fold).select(*key, F.col("oof_probability").alias(f"p_{n}"))
         scored = one if scored is None else scored.join(one, key)
+    if evaluate is not None:
+        scored = scored.where(evaluate)
     out = []
     for n in sets:
         auc = roc_auc(scored, label, f"p_{n}").withColumn("feature_set", F.lit(n))
@@ -152,6 +158,30 @@ def feature_set_screen(df: DataFrame, sets: dict[str, Sequence[str]], label: str
     return reduce(DataFrame.unionByName, out)
 
 
+def screen_exclusions(df: DataFrame, task: Sequence[str], label: str, group: str, least: int = 5) -> DataFrame:
+    """Per task: groups with a positive and with a negative row, and ``excluded`` where either are fewer than ``least``."""
+    y = F.col(label).cast("boolean")
+    sides = df.groupBy(*task, group).agg(F.coalesce(F.bool_or(y), F.lit(False)).alias("_p"), F.coalesce(F.bool_or(~y), F.lit(False)).alias("_n"))
+    out = sides.where(F.col(group).isNotNull()).groupBy(*task).agg(F.count_if("_p").alias("positive_groups"), F.count_if("_n").alias("negative_groups"))
+    return out.withColumn("excluded", F.least("positive_groups", "negative_groups") < F.lit(least))
+
+
+def select_task(results: DataFrame, task: str, gain: str, gain_lower: str, extra_auc: str, extra_lower: str, base_auc: str, strong: float = 0.6, weak: float = 0.75) -> DataFrame:
+    """The winner of a screen, in one row (the task, reason), or a row with a null task if nothing is confirmed.
+
+    Tasks whose gain is above 0 at its lower bound come first, the largest gain of them wins; if there are none, those
+    whose new features alone are above ``strong`` at their lower bound where the base is below ``weak``, the best of the
+    new features' AUC. Equal ones: the least task.
+    """
+    paired = F.coalesce(F.col(gain_lower) > 0, F.lit(False))
+    alone = F.coalesce((F.col(extra_lower) > strong) & (F.col(base_auc) < weak), F.lit(False))
+    best = lambda ok, by: F.max_by(F.when(ok, F.col(task)), F.when(ok, F.struct(by, F.col("_turn"))))
+    turns = results.withColumn("_turn", -F.row_number().over(Window.orderBy(task)))  # one row a task
+    one = turns.agg(best(paired, gain).alias("_a"), best(alone, extra_auc).alias("_b"))
+    reason = F.when(F.col("_a").isNotNull(), "gain above 0").when(F.col("_b").isNotNull(), "new features strong where the base is weak").otherwise("nothing confirmed")
+    return one.select(F.coalesce("_a", "_b").alias(task), reason.alias("reason"))
+
+
 def impute_median(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Nulls to the exact medians of ``train``: the only imputation."""
     model = Imputer(strategy="median", inputCols=list(cols), outputCols=[f"_{c}" for c in cols], relativeError=0.0).fit(train)

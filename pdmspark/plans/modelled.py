@@ -74,6 +74,33 @@ def _(spark, d):
     return i.feature_set_screen(x, {"base": ["prob"], "extra": ["hour", "day"], "both": X}, "y", "fold", "user_id", "base", REPS)
 
 
+@query("I9_screen_exclusions", "SELECT event_type, count(DISTINCT user_id) FILTER (value <= 1) AS positive_groups, count(DISTINCT user_id) FILTER (NOT value <= 1) AS negative_groups, count(DISTINCT user_id) FILTER (value <= 1) < 5 OR count(DISTINCT user_id) FILTER (NOT value <= 1) < 5 AS excluded FROM ep GROUP BY event_type")
+def _(spark, d):
+    return i.screen_exclusions(endpoints(spark, d).withColumn("y", F.col("value") <= 1), ["event_type"], "y", "user_id")
+
+
+SCREEN = """, r AS (SELECT event_type, avg(prob) - avg(value) / 100 AS gain, avg(prob) - avg(value) / 100 - {width} AS lower, avg(prob) AS extra, avg(value) / 100 AS base FROM ep GROUP BY event_type),
+ a AS (SELECT event_type, 'gain above 0' AS reason FROM r WHERE lower > 0 ORDER BY gain DESC, event_type LIMIT 1), b AS (SELECT event_type, 'new features strong where the base is weak' AS reason FROM r WHERE extra > 0.3 AND base < 0.75 ORDER BY extra DESC, event_type LIMIT 1)
+SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a) UNION ALL SELECT NULL, 'nothing confirmed' WHERE NOT EXISTS (SELECT 1 FROM a) AND NOT EXISTS (SELECT 1 FROM b)"""
+
+
+def _select(spark, d, width):
+    """The rule over means of the events, which stand for the measures of a screen."""
+    base, extra = F.avg("value") / 100, F.avg("prob")
+    r = endpoints(spark, d).groupBy("event_type").agg((extra - base).alias("gain"), (extra - base - width).alias("lower"), extra.alias("extra"), base.alias("base"))
+    return i.select_task(r, "event_type", "gain", "lower", "extra", "extra", "base", 0.3)
+
+
+@query("I9_select_by_gain", SCREEN.format(width="-1"))
+def _(spark, d):
+    return _select(spark, d, -1)
+
+
+@query("I9_select_by_strength", SCREEN.format(width="2"))
+def _(spark, d):
+    return _select(spark, d, 2)
+
+
 @query("I10_impute_median", ", m AS (SELECT median(value) AS m FROM ep WHERE event_id % 3 <> 0) SELECT event_id, CASE WHEN event_id % 3 = 0 THEN m ELSE value END AS value FROM ep, m")
 def _(spark, d):
     x = endpoints(spark, d).select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"))

@@ -235,3 +235,24 @@ def test_equipment_and_folds(spark):
     f = g.group_folds(x, "q", 5).groupBy("fold").count().collect()
     assert {y["fold"]: y["count"] for y in f} == dict.fromkeys(range(1, 6), 60)
     assert g.largest_k(x, "q", ["e"]) == 5
+
+
+def test_select_task_ties_and_nothing(spark):
+    from pdmspark.operators.models import select_task
+
+    kind = "task string, gain double, lower double, extra double, extra_lower double, base double"
+    pick = lambda rows: tuple(select_task(spark.createDataFrame(rows, kind), "task", "gain", "lower", "extra", "extra_lower", "base").first())
+    assert pick([("b", 0.2, 0.1, 0.9, 0.8, 0.5), ("a", 0.2, 0.1, 0.7, 0.5, 0.5), ("c", 0.9, -0.1, 0.9, 0.8, 0.5)]) == ("a", "gain above 0")
+    assert pick([("a", 0.2, None, 0.7, 0.65, 0.5), ("b", 0.2, -0.1, 0.8, 0.7, 0.8)]) == ("a", "new features strong where the base is weak")
+    assert pick([("a", 0.2, 0.0, 0.7, 0.6, 0.5)]) == (None, "nothing confirmed") == pick([])
+
+
+def test_influence_on_auc_equals_recomputing(spark):
+    from pdmspark.operators.inference import leave_one_group_out_auc
+    from pdmspark.operators.metrics import roc_auc
+
+    x = spark.range(200).select((F.col("id") % 7).alias("g"), (F.col("id") * 37 % 11 / 4).alias("s"), (F.col("id") * 13 % 5 < 2).alias("y")).where("NOT (g = 6 AND y)")
+    whole = roc_auc(x, "y", "s").first()[0]
+    for r in leave_one_group_out_auc(x, "g", "y", "s").collect():
+        rest = roc_auc(x.where(F.col("g") != r["g"]), "y", "s").first()[0]
+        assert abs(r["without"] - rest) < 1e-12 and abs(r["influence"] - (rest - whole)) < 1e-12

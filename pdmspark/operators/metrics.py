@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import running_sums
+from ..functions.quantiles import percentiles, with_percentiles
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -35,14 +36,18 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
     """(by, column_name, prob, q): linear interpolation, or Spark's sketch when approx."""
     rows = df.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols])))
     p = F.array(*[F.lit(float(x)) for x in probs])
-    q = F.percentile_approx("v", p, 10000) if approx else F.percentile("v", p)
-    return rows.groupBy(*by, "column_name").agg(q.alias("_q")).select(*by, "column_name", F.inline(F.arrays_zip(p.alias("prob"), F.col("_q").alias("q"))))
+    if approx:
+        found = rows.groupBy(*by, "column_name").agg(F.percentile_approx("v", p, 10000).alias("_q"))
+    else:
+        names = {f"_q{i}": x for i, x in enumerate(probs)}
+        found = percentiles(rows, [*by, "column_name"], F.col("v"), names).withColumn("_q", F.array(*names))
+    return found.select(*by, "column_name", F.inline(F.arrays_zip(p.alias("prob"), F.col("_q").alias("q"))))
 
 
 def distribution(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     """N, mean, median, std (sample), p10, p90, min, max per cell."""
-    q = lambda p: F.percentile(col, F.lit(p))
-    return df.groupBy(*by).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), q(0.5).alias("median"), F.stddev_samp(col).alias("std"), q(0.1).alias("p10"), q(0.9).alias("p90"), F.min(col).alias("min_value"), F.max(col).alias("max_value"))
+    out = df.groupBy(*by).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min_value"), F.max(col).alias("max_value"))
+    return with_percentiles(out, df, by, F.col(col), {"median": 0.5, "p10": 0.1, "p90": 0.9})
 
 
 def equal_group_mean(df: DataFrame, by: Sequence[str], group: str, col: str) -> DataFrame:
@@ -68,10 +73,8 @@ def fit_scale(df: DataFrame, by: Sequence[str], features: Sequence[str], quantil
     """
     rows = df.withColumn("_q", quantile_where if quantile_where is not None else F.lit(True))
     long = rows.select(*by, "_q", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])))
-    q = F.percentile(F.when(F.col("_q"), F.col("v")), F.array(*[F.lit(p) for p in (0.01, 0.25, 0.5, 0.75, 0.99)]))
-    out = long.groupBy(*by, "feature").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min_value"), F.max("v").alias("max_value"), q.alias("_p"))
-    names = ("p01", "q25", "median", "q75", "p99")
-    out = out.withColumns({n: F.try_element_at("_p", F.lit(i + 1)) for i, n in enumerate(names)}).drop("_p")
+    out = long.groupBy(*by, "feature").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min_value"), F.max("v").alias("max_value"))
+    out = with_percentiles(out, long.where("_q"), [*by, "feature"], F.col("v"), {"p01": 0.01, "q25": 0.25, "median": 0.5, "q75": 0.75, "p99": 0.99})
     return out.withColumns({"iqr": F.col("q75") - F.col("q25"), "all_missing": F.col("n") == 0})
 
 
@@ -174,11 +177,12 @@ def robust_effect(df: DataFrame, label: str, features: Sequence[str]) -> DataFra
     """(feature, effect, prior_rank): difference of the classes' medians over the root mean square of their IQRs."""
     l = F.col(label).cast("boolean")  # noqa: E741
     long = df.select(l.alias("_l"), F.inline(F.array(*[F.struct(F.lit(i + 1).alias("prior_rank"), F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for i, f in enumerate(features)])))
-    q = lambda k: F.percentile(F.when(F.col("_l") == F.lit(k), F.col("v")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    x = long.groupBy("feature", "prior_rank").agg(q(True).alias("_1"), q(False).alias("_0"))
-    at = lambda c, i: F.try_element_at(c, F.lit(i))
-    i1, i0 = at("_1", 3) - at("_1", 1), at("_0", 3) - at("_0", 1)
-    return x.select("feature", "prior_rank", F.try_divide(at("_1", 2) - at("_0", 2), F.sqrt((i1 * i1 + i0 * i0) / F.lit(2.0))).alias("effect"))
+    x = long.groupBy("feature", "prior_rank").agg(F.count("v").alias("_n"))
+    q = percentiles(long.where("_l is not null"), ["feature", "prior_rank", "_l"], F.col("v"), {"_low": 0.25, "_mid": 0.5, "_high": 0.75})
+    of = lambda k: F.max(F.when(F.col("_l") == F.lit(k), F.struct("_low", "_mid", "_high")))
+    x = x.join(q.groupBy("feature", "prior_rank").agg(of(True).alias("_1"), of(False).alias("_0")), ["feature", "prior_rank"], "left")
+    i1, i0 = (F.col(f"_{k}._high") - F.col(f"_{k}._low") for k in (1, 0))
+    return x.select("feature", "prior_rank", F.try_divide(F.col("_1._mid") - F.col("_0._mid"), F.sqrt((i1 * i1 + i0 * i0) / F.lit(2.0))).alias("effect"))
 
 
 def best_pair(effects: DataFrame, corr: DataFrame, min_effect: float = 0.4, max_r: float = 0.9) -> DataFrame:
@@ -217,24 +221,16 @@ def scoped(df: DataFrame, col: str, scopes: Mapping[str, Sequence]) -> DataFrame
     return df.withColumn("scope", F.explode(F.filter(hit, lambda x: x.isNotNull())))
 
 
-def percentile_higher(df: DataFrame, by: Sequence[str], col: str, q: float, name: str) -> DataFrame:
-    """Per group the sorted value at place ceil(q (n - 1)), from counts of distinct values; never a list of all values."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    x = running_sums(counts, by, [F.col("_v")], {"_upto": F.col("_c")})
-    n = counts.groupBy(*by).agg(F.ceil(F.lit(float(q)) * (F.sum("_c") - 1)).alias("_k"))
-    return x.join(n, list(by)).where(F.col("_upto") > F.col("_k")).groupBy(*by).agg(F.min("_v").alias(name))
-
-
 def usage_summary(df: DataFrame, arm: str, cols: Sequence[str]) -> DataFrame:
     """Per arm and for all: n, and of each column sum, p50, p95, p95_higher (the next real value) and max."""
     arms = F.array(F.col(arm).cast("string"), F.lit("all"))
     rows = df.select(F.explode(arms).alias(arm), *cols)
     aggs = [F.count(F.lit(1)).alias("n")]
     for c in cols:
-        aggs += [F.sum(F.col(c).cast("double")).alias(f"{c}_sum"), F.percentile(c, F.lit(0.5)).alias(f"{c}_p50"), F.percentile(c, F.lit(0.95)).alias(f"{c}_p95"), F.max(c).alias(f"{c}_max")]
+        aggs += [F.sum(F.col(c).cast("double")).alias(f"{c}_sum"), F.max(c).alias(f"{c}_max")]
     out = rows.groupBy(arm).agg(*aggs)
     for c in cols:
-        out = out.join(percentile_higher(rows, [arm], c, 0.95, f"{c}_p95_higher"), arm, "left")
+        out = with_percentiles(out, rows, [arm], F.col(c), {f"{c}_p50": 0.5, f"{c}_p95": 0.95}, {f"{c}_p95_higher": 0.95})
     return out
 
 
@@ -282,9 +278,9 @@ def error_profile(df: DataFrame, dims: Sequence[str], error: str, alarm: str, la
     x = df.select(*unit, F.inline(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("level")) for d in dims])), F.col(error).cast("double").alias("_e"), F.col(alarm).cast("double").alias("_a"), F.col(label).cast("int").alias("_l"), F.col(score).alias("_s"))
     if unit:
         x = x.groupBy(*unit, "dimension", "level").agg(F.avg("_e").alias("_e"), F.max("_a").alias("_a"), F.max("_l").alias("_l"), F.max("_s").alias("_s"))
-    q = lambda p: F.percentile("_e", F.lit(p))
     n = F.count("_e")
-    out = x.groupBy("dimension", "level").agg(F.count(F.lit(1)).alias("n"), q(0.5).alias("median_error"), q(0.25).alias("q1_error"), q(0.75).alias("q3_error"), ratio(F.count_if(F.col("_e") < 0), n).alias("early_share"), ratio(F.count_if(F.col("_e") > 0), n).alias("late_share"), F.avg("_a").alias("alarm_rate"))
+    out = x.groupBy("dimension", "level").agg(F.count(F.lit(1)).alias("n"), ratio(F.count_if(F.col("_e") < 0), n).alias("early_share"), ratio(F.count_if(F.col("_e") > 0), n).alias("late_share"), F.avg("_a").alias("alarm_rate"))
+    out = with_percentiles(out, x, ["dimension", "level"], F.col("_e"), {"median_error": 0.5, "q1_error": 0.25, "q3_error": 0.75})
     auc = roc_auc(x, "_l", "_s", None, ["dimension", "level"])
     return out.join(auc, ["dimension", "level"], "left")
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_integer
+from ..functions.quantiles import percentiles
 from .inference import paired_bootstrap
 from .metrics import regression_metrics, roc_auc
 
@@ -88,7 +89,7 @@ def two_stage_ttf(train: DataFrame, df: DataFrame, features: Sequence[str], targ
     [0, threshold]; rows called normal get the threshold. Adds near_probability and predicted_ttf, null where a
     feature is missing."""
     known = train.where(F.col(target).isNotNull())
-    limit = known.agg(F.percentile(target, F.lit(q))).first()[0]
+    limit = percentiles(known, [], F.col(target), {"limit": q}).first()["limit"]
     a = assembled(known, features).withColumn("_near", (F.col(target) <= limit).cast("double"))
     gate = RandomForestClassifier(featuresCol="_features", labelCol="_near", numTrees=trees, maxDepth=depth, seed=seed).fit(a)
     time = RandomForestRegressor(featuresCol="_features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed, predictionCol="_time").fit(a.where("_near = 1"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_integer, hash_uniform
 from ..functions.prefix import global_prefix, running_sums
+from ..functions.quantiles import percentiles
 from .metrics import by_score, ratio
 
 
@@ -204,8 +205,10 @@ def sensor_rules(df: DataFrame, label: str, features: Sequence[str]) -> DataFram
     """(feature, midpoint, low_is_false): the class medians' midpoint and which side false positives are on."""
     l = F.col(label).cast("boolean")  # noqa: E741
     long = df.select(l.alias("_l"), F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])))
-    m = lambda k: F.percentile(F.when(F.col("_l") == F.lit(k), F.col("v")), F.lit(0.5))
-    return long.groupBy("feature").agg(m(True).alias("_t"), m(False).alias("_f")).select("feature", ((F.col("_t") + F.col("_f")) / F.lit(2.0)).alias("midpoint"), (F.col("_f") < F.col("_t")).alias("low_is_false"))
+    q = percentiles(long.where("_l is not null"), ["feature", "_l"], F.col("v"), {"_mid": 0.5})
+    of = lambda k: F.max(F.when(F.col("_l") == F.lit(k), F.col("_mid")))
+    x = long.groupBy("feature").agg(F.count("v").alias("_n")).join(q.groupBy("feature").agg(of(True).alias("_t"), of(False).alias("_f")), "feature", "left")
+    return x.select("feature", ((F.col("_t") + F.col("_f")) / F.lit(2.0)).alias("midpoint"), (F.col("_f") < F.col("_t")).alias("low_is_false"))
 
 
 def sensor_rule(df: DataFrame, rules: Mapping[str, tuple[float, bool]]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import global_prefix
+from ..functions.quantiles import with_percentiles
 
 
 def _w(by: Sequence[str], order: Sequence[str]):
@@ -177,7 +178,8 @@ def interval_audit(df: DataFrame, by: Sequence[str], time: str, nominal: float,
     d = df.withColumn("_d", (F.col(time) - F.lag(time).over(_w(by, [time]))).cast("double"))
     lag = (F.max(end_time) - F.max(time)) if end_time is not None else F.lit(None).cast("double")
     share = F.try_divide(F.count_if(F.col("_d") == nominal).cast("double"), F.count("_d").cast("double"))
-    return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.percentile("_d", F.lit(0.5)).alias("median_step"), F.percentile("_d", F.lit(0.9)).alias("p90_step"), share.alias("nominal_share"), lag.alias("end_lag"))
+    out = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), share.alias("nominal_share"), lag.alias("end_lag"))
+    return with_percentiles(out, d, by, F.col("_d"), {"median_step": 0.5, "p90_step": 0.9})
 
 
 def first_alarm(df: DataFrame, by: Sequence[str], order: Sequence[str], flag: str) -> DataFrame:

@@ -136,6 +136,16 @@ def _(spark, d):
     return r.fit_two_cuts(endpoints(spark, d), "prob", "band", ["near", "boundary", "normal"], ["event_type"])
 
 
+@query("F13_fit_two_cuts_f1", """, s AS (SELECT DISTINCT prob AS s FROM ep), c AS (SELECT (s + lead(s) OVER (ORDER BY s)) / 2 AS t FROM s), k AS (SELECT t::DOUBLE AS cut FROM c WHERE t IS NOT NULL UNION SELECT 0::DOUBLE UNION SELECT 1::DOUBLE),
+ b AS (SELECT event_type, cut AS t, count(*) FILTER (band = 'near' AND prob < cut)::DOUBLE AS a, count(*) FILTER (band = 'boundary' AND prob < cut)::DOUBLE AS m, count(*) FILTER (band = 'normal' AND prob < cut)::DOUBLE AS z, count(*) FILTER (band = 'near')::DOUBLE AS na, count(*) FILTER (band = 'boundary')::DOUBLE AS nm, count(*) FILTER (band = 'normal')::DOUBLE AS nz FROM ep, k WHERE prob IS NOT NULL GROUP BY ALL),
+ f AS (SELECT x.t AS t1, y.t AS t2, round(avg((x.a / x.na + (y.m - x.m) / x.nm + 1 - y.z / x.nz) / 3), 10) AS o,
+ round(avg((2 * x.a / (x.a + x.m + x.z + x.na) + 2 * (y.m - x.m) / (y.a + y.m + y.z - x.a - x.m - x.z + x.nm) + 2 * (x.nz - y.z) / (x.na + x.nm + x.nz - y.a - y.m - y.z + x.nz)) / 3), 10) AS f1
+ FROM b x JOIN b y ON x.event_type = y.event_type AND x.t < y.t GROUP BY ALL)
+SELECT round(t1, 6) AS t1, round(t2, 6) AS t2, round(o, 6) AS balanced_accuracy, round(f1, 6) AS macro_f1 FROM f ORDER BY o DESC, f.f1 DESC, f.t1, f.t2 LIMIT 1""")
+def _(spark, d):
+    return r.fit_two_cuts(endpoints(spark, d), "prob", "band", ["near", "boundary", "normal"], ["event_type"], ends=True, macro_f1=True)
+
+
 @query("F14_abstaining_bands", "SELECT event_id, CASE WHEN prob < 0.4 THEN 'low' WHEN prob <= 0.6 THEN 'review' WHEN value < 20 THEN 'low' WHEN value < 60 THEN 'middle' ELSE 'high' END AS band_call FROM ep")
 def _(spark, d):
     return r.abstaining_bands(endpoints(spark, d), "value", "prob", (20, 60)).select("event_id", "band_call")

@@ -256,3 +256,24 @@ def test_influence_on_auc_equals_recomputing(spark):
     for r in leave_one_group_out_auc(x, "g", "y", "s").collect():
         rest = roc_auc(x.where(F.col("g") != r["g"]), "y", "s").first()[0]
         assert abs(r["without"] - rest) < 1e-12 and abs(r["influence"] - (rest - whole)) < 1e-12
+
+
+def test_two_cuts_of_equal_accuracy_are_told_apart_by_macro_f1(spark):
+    random.seed(4)
+    for _ in range(3):
+        data = [(g, k, random.randint(0, 5) / 5) for g in "ab" for k in "xyz" for _ in range(3)]
+        got = r.fit_two_cuts(spark.createDataFrame(data, "g string, t string, s double"), "s", "t", ["x", "y", "z"], ["g"], ends=True, macro_f1=True).first()
+        v = sorted({d[2] for d in data})
+        cuts = sorted({0.0, 1.0, *((p + n) / 2 for p, n in zip(v, v[1:], strict=False))})
+
+        def scores(t1, t2):
+            recall = f1 = 0.0
+            for g in "ab":
+                called = [(k, "x" if s < t1 else "y" if s < t2 else "z") for h, k, s in data if h == g]
+                for k in "xyz":
+                    hit, own, said = sum(a == b == k for a, b in called), sum(a == k for a, _ in called), sum(b == k for _, b in called)
+                    recall, f1 = recall + hit / own / 6, f1 + 2 * hit / (own + said) / 6
+            return round(recall, 9), round(f1, 9)
+
+        best = max((*scores(p, n), -p, -n) for j, p in enumerate(cuts) for n in cuts[j + 1 :])
+        assert (round(got["balanced_accuracy"], 9), round(got["macro_f1"], 9), -got["t1"], -got["t2"]) == best

@@ -25,4 +25,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op3_mix_sources": mixing.SQL, "op6_url_filter": url_filter.SQL, "op9_decontamination": decontamination.SQL}
+    return {
+        "op1_exact_dedup": exact_dedup.SQL,
+        "op3_mix_sources": mixing.SQL,
+        "op6_url_filter": url_filter.SQL,
+        "op7_shard_interleaved": sharding.SQL,
+        "op9_decontamination": decontamination.SQL,
+    }

@@ -56,3 +56,17 @@ def op7_shard_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(docs.select("doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")))
     out = interleave(rows, 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: CRC-32 by half bytes, low one first: ``t`` has what a half byte adds. Ids are taken to be distinct.
+SQL = r"""
+WITH halves AS (SELECT list_transform(range(16), lambda i: list_reduce([i, 0, 0, 0, 0], lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t),
+d AS (SELECT doc_id, source, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h, ('0x' || substr(md5('shard-1|' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS place FROM documents),
+c AS (SELECT doc_id, source, place, strlen(text) + 1 AS size, CASE WHEN h = '' THEN []::BIGINT[] ELSE list_transform(string_split(h, ''), lambda x: (ascii(x) - CASE WHEN ascii(x) > 57 THEN 55 ELSE 48 END)::BIGINT) END AS a FROM d),
+k AS (SELECT doc_id, source, place, size, list_transform(range(len(a)), lambda i: a[xor(i, 1) + 1]) AS a FROM c),
+s AS (SELECT doc_id, source, place, size, xor(list_reduce(list_prepend(4294967295::BIGINT, a), lambda x, y: xor(x >> 4, t[(xor(x, y) & 15) + 1])), 4294967295) AS text_crc32 FROM k, halves),
+r AS (SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY place, doc_id) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY source))::DOUBLE AS part FROM s),
+p AS (SELECT *, row_number() OVER (ORDER BY part, source NULLS FIRST, place, doc_id) - 1 AS pos, count(*) OVER () AS n FROM r),
+g AS (SELECT *, (pos * 16 + 15) // n AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INT AS shard, (pos - (n * shard) // 16)::BIGINT AS slot, NULL::INT AS grown_shard FROM g
+"""

@@ -236,6 +236,15 @@ def _(spark, d):
     return m.redundant_pairs(x, 0.5)
 
 
+NET = "l_extendedprice * (1 - l_discount)"
+
+
+@query("E25_redundant_net", f", l AS (SELECT l_quantity::DOUBLE AS q, l_extendedprice::DOUBLE AS p, ({NET})::DOUBLE AS n FROM lineitem), x AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n_pairs, corr({u}, {v}) AS r FROM l" for a, b, u, v in (("l_quantity", "l_extendedprice", "q", "p"), ("l_quantity", "net", "q", "n"), ("l_extendedprice", "net", "p", "n"))) + ") SELECT a, b, n_pairs, round(r, 6) AS r FROM x WHERE abs(r) >= 0.9")
+def _(spark, d):
+    x = table(spark, d, "lineitem").withColumn("net", F.expr(NET).cast("double"))
+    return m.redundant_pairs(m.correlation_pairs(x, ["l_quantity", "l_extendedprice", "net"]), 0.9)
+
+
 @query("E25_compact_features")
 def _(spark, d):
     x = table(spark, d, "lineitem")

@@ -182,6 +182,12 @@ def _(spark, d):
     return q.position_error(x, BY, ORDER, "target", 4.0)
 
 
+@query("D16_position_error_value", f"SELECT round(max(abs(value - (n - i) * 4.0::DOUBLE)), 6) AS max_error FROM (SELECT value, row_number() OVER ({W}) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM ep)")
+def _(spark, d):
+    """A target that is not position."""
+    return q.position_error(endpoints(spark, d), BY, ORDER, "value", 4.0)
+
+
 @query("D17_budget_guard", "SELECT o_orderkey, round(spent, 6) AS spent, spent <= 100000 AS accepted FROM (SELECT o_orderkey, sum(CASE WHEN o_orderkey % 4 = 0 THEN 7.5::DOUBLE ELSE 10.25::DOUBLE END) OVER (ORDER BY o_orderdate, o_orderkey) AS spent FROM orders)")
 def _(spark, d):
     o = table(spark, d, "orders").withColumn("cost", F.when(F.col("o_orderkey") % 4 == 0, F.lit(7.5)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, hard_negatives, mixing, sharding, simhash, substring_dedup, suffix_dedup, tokens, toxicity, url_filter
+from . import decontamination, exact_dedup, hard_negatives, lm_scoring, mixing, sharding, simhash, spelling, substring_dedup, suffix_dedup, tokens, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
+        "op12_lm_scores": lm_scoring.op12_lm_scores,
         "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
@@ -32,5 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_url_filter": url_filter.SQL,
         "op7_shard_interleaved": sharding.SQL,
         "op9_decontamination": decontamination.SQL,
+        "op11_spelling_variants": spelling.SQL,
         "op13_hard_negatives": hard_negatives.SQL,
     }

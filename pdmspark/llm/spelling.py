@@ -8,7 +8,8 @@ One edit spoils at most one of two disjoint pivots. Of two words one edit apart
 the order: a pivot of it that is not spoilt is also in the other word's prefix. The edit lies wholly to one side of that
 bigram, so on the other side both words are alike to their end, and that side also fixes the bigram's place. Pivots are
 therefore looked up by the bigram together with what lies before it, and again with what lies behind it, among prefixes
-of words at most one letter longer or shorter. Pairs that meet are verified.
+of words at most one letter longer or shorter; of the letters on the side of the edit, the half next to the bigram or the
+half at the word's end is alike too, and is part of the key. Pairs that meet are verified.
 """
 
 from __future__ import annotations
@@ -109,15 +110,17 @@ def pivots_of(places: list[tuple[int, int]]) -> tuple[int, int]:
     return best[1:]
 
 
-def keys_of(word: str, order: dict[str, tuple[int, int]]) -> tuple[list[int], list[int]]:
-    """What a word is looked up by, and what it is found by: hashes of its letters up to a bigram, and from one on.
+def keys_of(word: str, order: dict[str, tuple[int, int]]) -> tuple[set[int], set[int]]:
+    """What a word is looked up by, and what it is found by. ``order`` has a rank and a weight for each bigram.
 
-    ``order`` has a rank and a weight for each bigram.
+    A key has the letters of a word from one end up to a bigram and, of the letters beyond it, those next to it or those
+    at the other end: half as many as the shorter of two words has there, so that one edit spares the ones or the others.
     """
-    ranks = [order[word[k : k + 2]] for k in range(len(word) - 1)]
+    size = len(word)
+    ranks = [order[word[k : k + 2]] for k in range(size - 1)]
     last = heapq.nsmallest(3, ranks)[-1][0]
     prefix = [(k, weight) for k, (rank, weight) in enumerate(ranks) if rank <= last]
-    upto, onward, h = [], [], 0
+    upto, onward, h = [0], [0], 0
     for c in word:
         h = (h * BASE + ord(c)) % PRIME
         upto.append(h)
@@ -125,36 +128,40 @@ def keys_of(word: str, order: dict[str, tuple[int, int]]) -> tuple[list[int], li
     for c in reversed(word):
         h = (h * BASE + ord(c)) % PRIME
         onward.append(h)
-    both = lambda k: (2 * upto[k + 1], 2 * onward[len(word) - 1 - k] + 1)
-    return [x for k in pivots_of(prefix) for x in both(k)], [x for k, _ in prefix for x in both(k)]
 
+    def both(k: int, letters: int, shorter: int) -> Iterator[int]:
+        """Keys of the bigram at k towards words of so many letters; ``shorter`` letters fewer than ``word``, or 0."""
+        for side, there, here, alike in ((1, upto, onward, k + 2), (2, onward, upto, size - k)):
+            half = (size - shorter - alike) // 2
+            if half >= 0:
+                yield hash((side, letters, alike, half, there[alike + half]))
+                yield hash((side + 2, letters, alike, half, there[alike], here[half]))
 
-def _index(shared):
-    """(word) rows to (key, letters, word_id, pivot): both sides of the index."""
+    asked = {x for k in pivots_of(prefix) for d in (-1, 0, 1) for x in both(k, size + d, -min(d, 0))}
+    return asked, {x for k, _ in prefix for shorter in (0, 1) for x in both(k, size, shorter)}
+
+
+def _index(shared, pivots: bool):
+    """(word) rows to (key, word_id): one side of the index."""
     import xxhash
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
-        for batch in batches:
-            keys, letters, ids, sides = [], [], [], []
 
-            def emit() -> pa.RecordBatch:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_())
-                return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((keys, letters, ids, sides), kinds, strict=True)], names=["key", "letters", "word_id", "pivot"])  # noqa: B023
+        def emit(keys: list[int], ids: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], names=["key", "word_id"])
 
+        for batch in batches:
+            keys, ids = [], []
             for word in batch.column(0).to_pylist():
                 h = xxhash.xxh64_intdigest(word.encode(), 42)
-                word_id = h - (1 << 64) if h >> 63 else h
-                asked, found = keys_of(word, order)
-                wanted = [(k, len(word) + d) for k in asked for d in (-1, 0, 1)]
-                keys += [k for k, _ in wanted] + found
-                letters += [n for _, n in wanted] + [len(word)] * len(found)
-                ids += [word_id] * (len(wanted) + len(found))
-                sides += [True] * len(wanted) + [False] * len(found)
+                own = keys_of(word, order)[0 if pivots else 1]
+                keys += own
+                ids += [h - (1 << 64) if h >> 63 else h] * len(own)
                 if len(keys) > 200_000:
-                    yield emit()
-                    keys, letters, ids, sides = [], [], [], []
-            yield emit()
+                    yield emit(keys, ids)
+                    keys, ids = [], []
+            yield emit(keys, ids)
 
     return index
 
@@ -167,12 +174,11 @@ def near_pairs(words: DataFrame) -> DataFrame:
     grams = words.select("word").mapInArrow(_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most 8,100 rows
     ranked = sorted(grams, key=lambda r: (r["n"], r["gram"]))
     shared = words.sparkSession.sparkContext.broadcast({r["gram"]: (k, r["n"]) for k, r in enumerate(ranked)})
-    index = cut(words.select("word").mapInArrow(_index(shared), "key long, letters int, word_id long, pivot boolean"))
-    asked = index.where("pivot").select("key", "letters", F.col("word_id").alias("a"))
-    met = asked.join(index.where("not pivot").select("key", "letters", F.col("word_id").alias("b")), ["key", "letters"]).where("a <> b")
+    side = lambda pivots, x: words.select("word").mapInArrow(_index(shared, pivots), f"key long, {x} long")
+    met = side(True, "a").join(side(False, "b"), "key").where("a <> b")
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda x: words.select(F.xxhash64("word").alias(x), F.col("word").alias(f"{x}_word"), F.col("n").alias(f"{x}_n"))
-    pairs = met.join(side("a"), "a").join(side("b"), "b").where(F.levenshtein("a_word", "b_word", 1) == 1)
+    named = lambda x: words.select(F.xxhash64("word").alias(x), F.col("word").alias(f"{x}_word"), F.col("n").alias(f"{x}_n"))
+    pairs = met.join(named("a"), "a").join(named("b"), "b").where(F.levenshtein("a_word", "b_word", 1) == 1)
     pairs = cut(pairs.select("a_word", "a_n", "b_word", "b_n"))
     names = ["word", "n", "near", "near_n"]
     return pairs.toDF(*names).unionByName(pairs.select("b_word", "b_n", "a_word", "a_n").toDF(*names))

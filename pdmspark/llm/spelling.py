@@ -142,26 +142,29 @@ def keys_of(word: str, order: dict[str, tuple[int, int]]) -> tuple[set[int], set
 
 
 def _index(shared, pivots: bool):
-    """(word) rows to (key, word_id): one side of the index."""
+    """(word) rows to (key, word_id, odd): one side of the index. ``odd`` tells which letters a word has an odd number of."""
     import xxhash
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
 
-        def emit(keys: list[int], ids: list[int]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], names=["key", "word_id"])
+        def emit(*columns: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "word_id", "odd"])
 
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
         for batch in batches:
-            keys, ids = [], []
+            keys, ids, odds = [], [], []
             for word in batch.column(0).to_pylist():
-                h = xxhash.xxh64_intdigest(word.encode(), 42)
-                own = keys_of(word, order)[0 if pivots else 1]
+                own, odd = keys_of(word, order)[0 if pivots else 1], 0
+                for c in word:
+                    odd ^= 1 << (ord(c) & 63)
                 keys += own
-                ids += [h - (1 << 64) if h >> 63 else h] * len(own)
+                ids += [signed(xxhash.xxh64_intdigest(word.encode(), 42))] * len(own)
+                odds += [signed(odd)] * len(own)
                 if len(keys) > 200_000:
-                    yield emit(keys, ids)
-                    keys, ids = [], []
-            yield emit(keys, ids)
+                    yield emit(keys, ids, odds)
+                    keys, ids, odds = [], [], []
+            yield emit(keys, ids, odds)
 
     return index
 
@@ -174,8 +177,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     grams = words.select("word").mapInArrow(_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most 8,100 rows
     ranked = sorted(grams, key=lambda r: (r["n"], r["gram"]))
     shared = words.sparkSession.sparkContext.broadcast({r["gram"]: (k, r["n"]) for k, r in enumerate(ranked)})
-    side = lambda pivots, x: words.select("word").mapInArrow(_index(shared, pivots), f"key long, {x} long")
-    met = side(True, "a").join(side(False, "b"), "key").where("a <> b")
+    side = lambda pivots, x: words.select("word").mapInArrow(_index(shared, pivots), f"key long, {x} long, {x}_odd long")
+    met = side(True, "a").join(side(False, "b"), "key").where("a <> b and bit_count(a_odd ^ b_odd) <= 2")  # as one edit leaves it
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     named = lambda x: words.select(F.xxhash64("word").alias(x), F.col("word").alias(f"{x}_word"), F.col("n").alias(f"{x}_n"))
     pairs = met.join(named("a"), "a").join(named("b"), "b").where(F.levenshtein("a_word", "b_word", 1) == 1)

@@ -26,10 +26,10 @@ def vocabulary(kind):
     letters = {"few": "ab", "more": "abcdeé", "one": "a"}[kind]
     words = {"".join(rng.choice(letters) for _ in range(rng.randrange(6, 11))) for _ in range(250)}
     words |= {"a" * k for k in (6, 7, 8, 20, 5000)} | {"a" * 4000 + "b" + "a" * 1000}
-    for w in list(words)[:80]:  # neighbours on purpose
+    for w in sorted(words)[:80]:  # neighbours on purpose
         k = rng.randrange(len(w) + 1)
         words |= {w[:k] + rng.choice(letters) + w[k:], w[:k] + rng.choice(letters) + w[k + 1 :]}
-    return {w: rng.choice([5, 6, 25, 30, 150, 4000]) for w in words if len(w) >= 6}
+    return {w: rng.choice([5, 6, 25, 30, 150, 4000]) for w in sorted(words) if len(w) >= 6}
 
 
 @pytest.mark.parametrize("kind", ["few", "more", "one"])
@@ -49,7 +49,7 @@ def test_forms_against_brute_force(spark, kind):
     got = spelling.spelling_forms(spark.createDataFrame(list(words.items()), "word string, n long").repartition(3))
     assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
     assert sorted(map(tuple, got.collect())) == sorted(want, key=lambda r: r[0])
-    assert any(r[1] for r in want) and any(r[1] != r[2] for r in want if r[1])
+    assert kind == "one" or any(r[1] != r[2] for r in want if r[1])
 
 
 def test_pivots_are_the_lightest_pair_apart():

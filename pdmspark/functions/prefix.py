@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stable
+from .scan import Series
 
 
 def global_prefixes(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Column]) -> DataFrame:
@@ -31,9 +32,9 @@ def global_prefix(df: DataFrame, order: Sequence[Column], value: Column, name: s
     return global_prefixes(df, order, {name: value})
 
 
-def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column]) -> DataFrame:
-    """Running sums, this row included, within groups; without groups over sorted ranges, so that no task has all rows."""
+def running_sums(df: DataFrame, by: Sequence[str], order: str, sums: Mapping[str, Column], reverse: bool = False) -> DataFrame:
+    """Running sums, this row included, within groups; without groups over sorted ranges. No task has all rows of a large group."""
     if not by:
-        return global_prefixes(df, order, sums)
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({n: F.sum(v).over(w) for n, v in sums.items()})
+        return global_prefixes(df, [F.col(order).desc() if reverse else F.col(order)], sums)
+    series = Series(df, by, [order], reverse)
+    return series.done(series.scan(series.rows, sums=sums))

@@ -154,9 +154,9 @@ def leave_one_group_out_auc(df: DataFrame, group: str, label: str, score: str) -
     The pairs that go with a group are those of its positives with all negatives and of all positives with its negatives,
     less those inside it, so two running sums replace a pass over the rows for each group.
     """
-    inside = running_sums(by_score(df, label, score, None, [group]), [group], [F.col("_s")], {"_upto": F.col("_n")})
+    inside = running_sums(by_score(df, label, score, None, [group]), [group], "_s", {"_upto": F.col("_n")})
     own = inside.groupBy(group).agg(F.sum(F.col("_p") * (F.col("_upto") - F.col("_n") * F.lit(0.5))).alias("_gg"), F.sum("_p").alias("_gp"), F.sum("_n").alias("_gn"))
-    places = running_sums(by_score(df, label, score, None, []), [], [F.col("_s")], {"_below": F.col("_n"), "_to": F.col("_p")})
+    places = running_sums(by_score(df, label, score, None, []), [], "_s", {"_below": F.col("_n"), "_to": F.col("_p")})
     places = places.select("_s", (F.col("_below") - F.col("_n") * F.lit(0.5)).alias("_below"), (F.col("_to") - F.col("_p") * F.lit(0.5)).alias("_to"))
     met = by_score(df, label, score, None, [group]).join(places, "_s")
     # Of each group: area of its positives over all negatives, and what its negatives have below all positives.

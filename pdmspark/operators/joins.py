@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scan import Series
+
 
 def cardinality_faults(left: DataFrame, right: DataFrame, on: Sequence[str], validate: str = "m:1") -> DataFrame:
     """The keys that break ``validate`` (1:1, 1:m, m:1), with ``side`` and ``n``."""
@@ -37,35 +39,26 @@ def drop_ids(df: DataFrame, ids: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(ids.select(*on), list(on), "left_anti")
 
 
-def _merged(rows: DataFrame, events: DataFrame, by: Sequence[str], time: str, carry: Sequence[str]) -> DataFrame:
+def _found(rows: DataFrame, events: DataFrame, by: Sequence[str], time: str, carry: Sequence[str], prefix: str, later: bool) -> DataFrame:
+    """``rows`` with the carried columns of the nearest event of the group, at the row's time included; ``later`` or earlier.
+
+    Events and rows are one series, in which a row stands on the far side of its equals among the events.
+    """
     r = rows.select(*by, F.col(time).alias("_at"), F.lit(0).alias("_e"), F.struct(*rows.columns).alias("_row"), *[F.lit(None).cast(events.schema[c].dataType).alias(f"_c_{c}") for c in carry])
-    e = events.select(*by, F.col(time).alias("_at"), F.lit(1).alias("_e"), F.lit(None).cast(r.schema["_row"].dataType).alias("_row"), *[F.col(c).alias(f"_c_{c}") for c in carry])
-    return r.unionByName(e)
+    e = events.select(*by, F.col(time).alias("_at"), F.lit(-1 if not later else 1).alias("_e"), F.lit(None).cast(r.schema["_row"].dataType).alias("_row"), *[F.col(c).alias(f"_c_{c}") for c in carry])
+    series = Series(r.unionByName(e), by, ["_at", "_e", *[f"_c_{c}" for c in carry[1:]]], reverse=later)
+    x = series.scan(series.rows, lasts={"_f": F.when(F.col("_e") != 0, F.struct(*[F.col(f"_c_{c}") for c in carry]))}).where("_e = 0")
+    return x.select("_row.*", *[F.col("_f")[f"_c_{c}"].alias(f"{prefix}{c}") for c in carry])
 
 
 def asof_next(events: DataFrame, df: DataFrame, by: Sequence[str], time: str, carry: Sequence[str] = (), prefix: str = "next_") -> DataFrame:
-    """The first event at or after each row's time, inclusive; ``next_<time>`` and carried columns, null if none.
-
-    One shuffle by ``by``: events and rows are one sorted stream, in which a row stands before its equals among the events.
-    """
-    carry = [time, *carry]
-    all_ = _merged(df, events, by, time, carry)
-    tie = [F.col(f"_c_{c}") for c in carry[1:]]
-    # From the latest to the earliest, events before their equals: a frame that only grows, so one pass over a group.
-    w = Window.partitionBy(*by).orderBy(*[c.desc() for c in (F.col("_at"), F.col("_e"), *tie)]).rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last(F.when(F.col("_e") == 1, F.struct(*[F.col(f"_c_{c}") for c in carry])), ignorenulls=True).over(w)
-    out = all_.withColumn("_f", found).where("_e = 0")
-    return out.select("_row.*", *[F.col("_f")[f"_c_{c}"].alias(f"{prefix}{c}") for c in carry])
+    """The first event at or after each row's time, inclusive; ``next_<time>`` and carried columns, null if none."""
+    return _found(df, events, by, time, [time, *carry], prefix, True)
 
 
 def asof_prev(df: DataFrame, observed: DataFrame, by: Sequence[str], time: str, carry: Sequence[str] = (), prefix: str = "prev_") -> DataFrame:
     """C4: for each row of ``df`` the last observation at or before it; adds lag (time difference) and exact_hit."""
-    carry = [time, *carry]
-    all_ = _merged(df, observed, by, time, carry)
-    tie = [F.col(f"_c_{c}") for c in carry[1:]]
-    w = Window.partitionBy(*by).orderBy("_at", F.col("_e").desc(), *tie).rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last(F.when(F.col("_e") == 1, F.struct(*[F.col(f"_c_{c}") for c in carry])), ignorenulls=True).over(w)
-    out = all_.withColumn("_f", found).where("_e = 0").select("_row.*", *[F.col("_f")[f"_c_{c}"].alias(f"{prefix}{c}") for c in carry])
+    out = _found(df, observed, by, time, [time, *carry], prefix, False)
     return out.withColumns({"lag": F.col(time) - F.col(f"{prefix}{time}"), "exact_hit": F.col(time) == F.col(f"{prefix}{time}")})
 
 

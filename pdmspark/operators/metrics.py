@@ -128,14 +128,14 @@ def by_score(df: DataFrame, label: str, score: str, weight: str | None, by: Sequ
 
 def roc_auc(df: DataFrame, label: str, score: str, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Exact area with ties and weights; null when a class is absent. Rows without score or label do not count."""
-    x = running_sums(by_score(df, label, score, weight, by), by, [F.col("_s")], {"_upto": F.col("_n")})
+    x = running_sums(by_score(df, label, score, weight, by), by, "_s", {"_upto": F.col("_n")})
     area = F.sum(F.col("_p") * (F.col("_upto") - F.col("_n") * F.lit(0.5)))
     return x.groupBy(*by).agg(ratio(area, F.sum("_p") * F.sum("_n")).alias("auc"))
 
 
 def average_precision(df: DataFrame, label: str, score: str, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """The sum over distinct scores, from the highest, of the recall gained times the precision there."""
-    x = running_sums(by_score(df, label, score, weight, by), by, [F.col("_s").desc()], {"_tp": F.col("_p"), "_all": F.col("_p") + F.col("_n")})
+    x = running_sums(by_score(df, label, score, weight, by), by, "_s", {"_tp": F.col("_p"), "_all": F.col("_p") + F.col("_n")}, reverse=True)
     return x.groupBy(*by).agg(ratio(F.sum(F.col("_p") * ratio(F.col("_tp"), F.col("_all"))), F.sum("_p")).alias("average_precision"))
 
 
@@ -154,7 +154,7 @@ def correlation(df: DataFrame, a: str, b: str, method: str = "pearson", by: Sequ
     x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
     if method == "spearman":
         for c in ("_a", "_b"):
-            n = running_sums(x.groupBy(*by, c).agg(F.count(F.lit(1)).alias("_n")), by, [F.col(c)], {"_upto": F.col("_n")})
+            n = running_sums(x.groupBy(*by, c).agg(F.count(F.lit(1)).alias("_n")), by, c, {"_upto": F.col("_n")})
             x = x.join(n.select(*by, c, (F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias(f"{c}r")), [*by, c])
         x = x.select(*by, F.col("_ar").alias("_a"), F.col("_br").alias("_b"))
     ok = (F.count(F.lit(1)) >= min_pairs) & (F.stddev_pop("_a") > 0) & (F.stddev_pop("_b") > 0)

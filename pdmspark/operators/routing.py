@@ -123,7 +123,7 @@ def _with_total(x: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def recall_threshold(df: DataFrame, label: str, score: str, target: float, by: Sequence[str] = ()) -> DataFrame:
     """the largest threshold (score >= t) that keeps at least the target recall."""
-    x = running_sums(by_score(df, label, score, None, by), by, [F.col("_s").desc()], {"_tp": F.col("_p")})
+    x = running_sums(by_score(df, label, score, None, by), by, "_s", {"_tp": F.col("_p")}, reverse=True)
     x = _with_total(x, by)
     ok = F.try_divide("_tp", "_all") >= F.lit(target - 1e-12)
     return x.groupBy(*by).agg(F.max(F.when(ok, F.col("_s"))).alias("threshold"))
@@ -131,7 +131,7 @@ def recall_threshold(df: DataFrame, label: str, score: str, target: float, by: S
 
 def budgeted_threshold(df: DataFrame, label: str, score: str, tp_loss: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
     """the threshold whose rows below hold most negatives, at a loss of at most max(1, share) positives; of equals the lowest."""
-    x = running_sums(by_score(df, label, score, None, by), by, [F.col("_s")], {"_fp": F.col("_n"), "_tp": F.col("_p")})
+    x = running_sums(by_score(df, label, score, None, by), by, "_s", {"_fp": F.col("_n"), "_tp": F.col("_p")})
     x = _with_total(x, by).withColumns({"removed_fp": F.col("_fp") - F.col("_n"), "lost_tp": F.col("_tp") - F.col("_p")})
     ok = x.where(F.col("lost_tp") <= F.greatest(F.lit(1.0), F.floor(F.col("_all") * F.lit(tp_loss)).cast("double")))
     best = F.max(F.struct("removed_fp", (-F.col("_s")).alias("_m"), F.col("_s").alias("threshold"), "lost_tp")).alias("_b")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prefix import global_prefix
 from ..functions.quantiles import with_percentiles
+from ..functions.scan import Series
 
 
 def _w(by: Sequence[str], order: Sequence[str]):
@@ -18,10 +19,11 @@ def _w(by: Sequence[str], order: Sequence[str]):
 
 def segment_runs(df: DataFrame, by: Sequence[str], order: Sequence[str], key: Sequence[str], name: str = "segment") -> DataFrame:
     """Runs of equal keys, numbered from 0; a key that comes back later is a new run; null is a value of its own."""
-    w = _w(by, order)
-    packed = F.struct(*key)
-    change = F.when(F.row_number().over(w) == 1, 0).otherwise(F.when(packed.eqNullSafe(F.lag(packed).over(w)), 0).otherwise(1))
-    return df.withColumn("_c", change).withColumn(name, F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
+    series = Series(df, by, order)
+    x = series.scan(series.rows, lags={"_k": F.struct(*key)})
+    # The first row of a group has nothing before it, not even a struct of nulls.
+    x = x.withColumn("_c", F.when(F.col("_k").isNull() | F.struct(*key).eqNullSafe(F.col("_k")), 0).otherwise(1))
+    return series.done(series.scan(x, sums={name: F.col("_c")}).drop("_k", "_c"))
 
 
 def gap_profile(df: DataFrame, by: Sequence[str], order: Sequence[str], time: str, nominal: float, thresholds: Sequence[float]) -> DataFrame:
@@ -34,12 +36,13 @@ def gap_profile(df: DataFrame, by: Sequence[str], order: Sequence[str], time: st
 
 def split_on_gap(df: DataFrame, by: Sequence[str], order: Sequence[str], time: str, gap: float, last_only: bool = False, name: str = "part") -> DataFrame:
     """D3: parts separated by steps above ``gap``, numbered from 0; or the rows after the last such step."""
-    w = _w(by, order)
-    out = df.withColumn("_g", F.coalesce((F.col(time) - F.lag(time).over(w) > gap).cast("int"), F.lit(0)))
-    out = out.withColumn(name, F.sum("_g").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_g")
+    series = Series(df, by, order)
+    x = series.scan(series.rows, lags={"_before": F.col(time)})
+    x = x.withColumn("_g", F.coalesce((F.col(time) - F.col("_before") > gap).cast("int"), F.lit(0)))
+    x = series.scan(x, sums={name: F.col("_g")}, totals={"_m": F.col("_g")} if last_only else None)
     if last_only:
-        out = out.withColumn("_m", F.max(name).over(Window.partitionBy(*by))).where(F.col(name) == F.col("_m")).drop("_m")
-    return out
+        x = x.where(F.col(name) == F.col("_m")).drop("_m")
+    return series.done(x.drop("_g", "_before"))
 
 
 def run_to_event(df: DataFrame, is_event: Column, by: Sequence[str], order: Sequence[str], time: str, gaps: Sequence[float], min_len: int) -> DataFrame:
@@ -48,12 +51,13 @@ def run_to_event(df: DataFrame, is_event: Column, by: Sequence[str], order: Sequ
 
     A step ends at the row behind it; only steps before the event's row count.
     """
-    w = _w(by, order)
-    x = df.withColumns({"_row": (F.row_number().over(w) - 1).cast("long"), "_d": F.col(time) - F.lag(time).over(w), "_e": is_event})
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    series = Series(df, by, order)
+    x = series.scan(series.rows.withColumn("_e", is_event), sums={"_row": F.lit(1).cast("long")}, lags={"_before": F.col(time)})
+    x = x.withColumns({"_row": F.col("_row") - 1, "_d": F.col(time) - F.col("_before")})
     # A step found at row r starts a stretch there; the event's own step ends at the event and is not before it.
-    marks = {f"_g{k}": F.coalesce(F.max(F.when(F.col("_d") > g, F.col("_row"))).over(past), F.lit(0)) for k, g in enumerate(gaps)}
-    x = x.withColumns({"_prev": F.coalesce(F.max(F.when(F.col("_e"), F.col("_row") + 1)).over(past), F.lit(0)), **marks}).where("_e")
+    marks = {f"_g{k}": F.when(F.col("_d") > g, F.col("_row")) for k, g in enumerate(gaps)}
+    x = series.scan(x, before={"_prev": F.when(F.col("_e"), F.col("_row") + 1), **marks}).where("_e")
+    x = x.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("_prev", *marks)})
     per_gap = F.array(*[F.struct(F.lit(float(g)).alias("gap_seconds"), F.greatest(F.col("_prev"), F.col(f"_g{k}")).alias("start_row")) for k, g in enumerate(gaps)])
     out = x.select(*by, F.col(time), F.col("_row").alias("event_row"), F.inline(per_gap))
     return out.withColumn("length", F.col("event_row") - F.col("start_row") + 1).withColumn("candidate", F.col("length") > min_len)
@@ -73,8 +77,9 @@ def window_ends(windows: DataFrame, keys: Sequence[str], cols: Sequence[str]) ->
 
 def count_windows(df: DataFrame, by: Sequence[str], order: Sequence[str], size: int, step: int, name: str = "window_index") -> DataFrame:
     """Every row once for each window of ``size`` rows, every ``step`` rows, that it is in; cut-off windows are left out."""
-    w = _w(by, order)
-    x = df.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*by))}).where(F.col("_n") >= size)
+    series = Series(df, by, order)
+    x = series.scan(series.sizes(series.rows, "_n"), sums={"_i": F.lit(1).cast("long")}).withColumn("_i", F.col("_i") - 1).where(F.col("_n") >= size)
+    x = series.done(x)
     first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("_i") - (size - 1)) / F.lit(step))).cast("long")
     last = F.least(F.floor(F.col("_i") / F.lit(step)), F.floor((F.col("_n") - size) / F.lit(step))).cast("long")
     return x.where(first <= last).withColumn(name, F.explode(F.sequence(first, last))).withColumn("_at", F.col("_i") - F.col(name) * step).drop("_i", "_n").withColumnRenamed("_at", "row_in_window")
@@ -144,8 +149,9 @@ def elapsed_stats(df: DataFrame, by: Sequence[str], time: str, cols: Sequence[st
 
 def endpoints(df: DataFrame, by: Sequence[str], order: Sequence[str], stride: int) -> DataFrame:
     """Every ``stride``-th row from the first, and the last."""
-    x = df.withColumns({"_i": F.row_number().over(_w(by, order)) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*by))})
-    return x.where((F.pmod("_i", F.lit(stride)) == 0) | (F.col("_i") == F.col("_n") - 1)).drop("_i", "_n")
+    series = Series(df, by, order)
+    x = series.scan(series.sizes(series.rows, "_n"), sums={"_i": F.lit(1).cast("long")}).withColumn("_i", F.col("_i") - 1)
+    return series.done(x.where((F.pmod("_i", F.lit(stride)) == 0) | (F.col("_i") == F.col("_n") - 1)).drop("_i", "_n"))
 
 
 def backward_sample(df: DataFrame, ends: DataFrame, by: Sequence[str], ordinal: str, max_len: int, rate: int, offsets: Sequence[int] = (0,)) -> DataFrame:

@@ -1,19 +1,22 @@
 """Cluster bootstrap and influence (H1 to H4, K4).
 
 A replicate draws as many groups as there are, with replacement; a group drawn m times counts with weight m.
-Rows are never copied: statistics are Column expressions of a weight column. All statistics of replicates
-are computed in one grouped aggregation over replicates.
+Statistics are Column expressions of a weight column, computed in one grouped aggregation over replicates; AUC and
+the review of a frozen order go through sorted rows once, with all replicates side by side.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_integer
-from .metrics import average_precision, by_score, ratio, roc_auc, running_sums
+from ..session import stable
+from .metrics import average_precision, by_score, ratio, running_sums
 
 #: A statistic as aggregate expression of the weight column's name.
 Statistic = Callable[[str], Column]
@@ -97,31 +100,153 @@ def balanced_accuracy(label: str, cut: float) -> Callable[[str], Statistic]:
     return of
 
 
+def _lists(drawn: DataFrame, group: str) -> DataFrame:
+    """(group, _r, _m): the replicates that drew a group, and how often; a row has at most one entry a replicate."""
+    d = drawn.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("rep", "multiplicity"))).alias("_d"))
+    return d.select(group, F.transform("_d", lambda d: d["rep"].cast("int")).alias("_r"), F.transform("_d", lambda d: d["multiplicity"].cast("double")).alias("_m"))
+
+
+def _areas(reps: int):
+    """Rows of one range of scores, in order, to what a replicate's area has in it: (part, rep, area, positives, negatives).
+
+    A row has a score, its positives and negatives, and the replicates and multiplicities of its group's draws.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        area, pos, neg = np.zeros(reps), np.zeros(reps), np.zeros(reps)
+        at, tied = None, np.zeros((2, reps))
+
+        def close() -> None:
+            nonlocal area, pos, neg
+            area = area + tied[0] * (neg + tied[1] / 2)
+            pos, neg = pos + tied[0], neg + tied[1]
+            tied[:] = 0
+
+        for batch in batches:
+            scores, ps, ns = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            ends = batch.column(3).offsets.to_numpy()
+            which, often = batch.column(3).values.to_numpy(), batch.column(4).values.to_numpy()
+            for k, score in enumerate(scores):
+                if score != at and (score == score or at == at):  # NaN is one score
+                    close()
+                    at = score
+                r, m = which[ends[k] : ends[k + 1]], often[ends[k] : ends[k + 1]]
+                tied[0, r] += ps[k] * m
+                tied[1, r] += ns[k] * m
+        close()
+        if pos.any() or neg.any():
+            columns = [np.full(reps, TaskContext.get().partitionId(), "i4"), np.arange(reps, dtype="i4"), area, pos, neg]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "rep", "area", "pos", "neg"])
+
+    return run
+
+
+def auc_bootstrap(df: DataFrame, drawn: DataFrame, group: str, label: str, score: str, reps: int) -> DataFrame:
+    """(rep, value): AUC of each of ``reps`` resamples ``drawn``; null where a class is absent.
+
+    Rows are counted by (group, score), take their group's multiplicities along as one list, and are sorted by range of
+    score once, whatever the number of replicates. A range tells its area and classes by replicate, and these add up in order.
+    """
+    rows = by_score(df, label, score, None, [group]).join(_lists(drawn, group), group).select(F.col("_s").cast("double").alias("_s"), "_p", "_n", "_r", "_m")
+    parts = rows.repartitionByRange("_s").sortWithinPartitions("_s").mapInArrow(_areas(reps), "part int, rep int, area double, pos double, neg double")
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy("rep").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    # The parts are few beside rows: one a range and replicate.
+    out = parts.withColumn("area", F.col("area") + F.col("pos") * below).groupBy("rep").agg(ratio(F.sum("area"), F.sum("pos") * F.sum("neg")).alias("value"))
+    every = df.sparkSession.range(reps).select(F.col("id").cast("int").alias("rep"))
+    return every.join(out, "rep", "left")
+
+
 def paired_bootstrap(df: DataFrame, group: str, label: str, a: str, b: str, reps: int, metric: str | Callable[[str], Statistic] = "auc", seed: str | int = 42, identity: bool = False) -> DataFrame:
     """H2: (rep, value_a, value_b, difference) of a metric of two scores on the same draws: AUC, average precision, or
-    a statistic of a score that reads group, label and score only, as ``separation(label)`` or ``balanced_accuracy``."""
+    a statistic of a score that reads group, label and score only, as ``separation(label)`` or ``balanced_accuracy``.
+
+    AUC costs one sorted pass for each score (``auc_bootstrap``); the others join counts with the draws of their groups.
+    """
+    drawn = draws(df, group, reps, seed, None, identity)
+    if metric == "auc":
+        drawn = stable(drawn)
+        of = lambda s, name: auc_bootstrap(df, drawn, group, label, s, reps).withColumnRenamed("value", name)
+        out = of(a, "value_a").join(of(b, "value_b"), "rep")
+        return out.withColumn("difference", F.col("value_b") - F.col("value_a"))
     compact = df.groupBy(group, label, a, b).agg(F.count(F.lit(1)).alias("_c"))
-    x = resampled(compact, draws(df, group, reps, seed, None, identity), group).withColumn("_w", F.col("_c") * F.col("multiplicity"))
+    x = resampled(compact, drawn, group).withColumn("_w", F.col("_c") * F.col("multiplicity"))
     if not isinstance(metric, str):
         out = x.groupBy("rep").agg(metric(a)("_w").alias("value_a"), metric(b)("_w").alias("value_b"))
         return out.withColumn("difference", F.col("value_b") - F.col("value_a"))
-    f = {"auc": roc_auc, "average_precision": average_precision}[metric]
+    f = {"average_precision": average_precision}[metric]
     out = f(x, label, a, "_w", ["rep"]).withColumnRenamed(metric, "value_a").join(f(x, label, b, "_w", ["rep"]).withColumnRenamed(metric, "value_b"), "rep")
     return out.withColumn("difference", F.col("value_b") - F.col("value_a"))
 
 
+#: Rows of a block of the frozen order.
+BLOCK = 1024
+
+
+def _block_sums(reps: int):
+    """The groups of one block, with their draws, to its weight and hits in each replicate that has any."""
+
+    def run(block: pa.Table) -> pa.Table:
+        total = np.zeros((2, reps), "i8")
+        for n, h, r, m in zip(*(block.column(c) for c in ("n", "h", "_r", "_m")), strict=True):
+            which, often = r.values.to_numpy(), m.values.to_numpy().astype("i8")
+            total[0, which] += n.as_py() * often
+            total[1, which] += h.as_py() * often
+        has = np.flatnonzero(total[0])
+        repeated = lambda c: pa.repeat(block.column(c)[0], len(has))
+        return pa.table({"_stratum": repeated("_stratum"), "_block": repeated("_block"), "rep": pa.array(has, pa.int32()), "w": total[0, has], "h": total[1, has]})
+
+    return run
+
+
+def _opened(reps: int):
+    """The rows of one block and the replicates whose budget ends in it, to what these take of it."""
+
+    def run(rows: pa.Table, edges: pa.Table) -> pa.Table:
+        rest, taken = np.zeros(reps, "i8"), np.zeros((2, reps), "i8")
+        rest[edges.column("rep").to_numpy()] = edges.column("rest").to_numpy()
+        rows = rows.sort_by("rank")
+        for y, r, m in zip(*(rows.column(c) for c in ("y", "_r", "_m")), strict=True):
+            which, often = r.values.to_numpy(), m.values.to_numpy().astype("i8")
+            take = np.minimum(rest[which], often)
+            rest[which] -= take
+            taken[0, which] += take
+            taken[1, which] += take * y.as_py()
+        which = edges.column("rep").to_numpy()
+        return pa.table({"rep": pa.array(which, pa.int32()), "w": taken[0, which], "h": taken[1, which]})
+
+    return run
+
+
 def rank_bootstrap(df: DataFrame, group: str, strata: str, rank: str, label: str, fraction: float, reps: int, seed: str | int = 42, identity: bool = False) -> DataFrame:
     """H3: (rep, reviewed, hits, precision) of the first share of each stratum in a frozen order.
 
     A row counts as often as its group was drawn; the budget of a stratum is rounded half up anew in each replicate,
-    and the row at its edge counts in part.
+    and the row at its edge counts in part. ``rank`` is the row's number in its stratum.
+
+    Groups are counted once in blocks of the order. In each replicate, block sums tell which blocks are taken whole and in
+    which one the budget ends; only those are opened. Rows are never multiplied by replicates.
     """
-    x = resampled(df, draws(df, group, reps, seed, None, identity), group)
-    w = Window.partitionBy("rep", strata)
-    before = F.coalesce(F.sum("multiplicity").over(w.orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = x.withColumns({"_b": before, "_k": F.floor(F.sum("multiplicity").over(w) * F.lit(float(fraction)) + F.lit(0.5))})
-    take = F.least(F.greatest(F.col("_k") - F.col("_b"), F.lit(0)), F.col("multiplicity"))
-    out = x.groupBy("rep").agg(F.sum(take).alias("reviewed"), F.sum(F.when(F.col(label).cast("boolean"), take).otherwise(0)).alias("hits"))
+    lists = stable(_lists(draws(df, group, reps, seed, None, identity), group))
+    stratum = F.coalesce(F.concat(F.lit("="), F.col(strata).cast("string")), F.lit("null"))
+    rows = df.select(F.col(group).alias("_g"), stratum.alias("_stratum"), F.col(rank).cast("long").alias("rank"), F.coalesce(F.col(label).cast("boolean").cast("int"), F.lit(0)).alias("y"))
+    rows = rows.withColumn("_block", F.floor(F.col("rank") / BLOCK).cast("long"))
+    counts = rows.groupBy("_stratum", "_block", "_g").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("h"))
+    sums = counts.join(lists, counts["_g"] == lists[group]).select("_stratum", "_block", "n", "h", "_r", "_m")
+    sums = sums.groupBy("_stratum", "_block").applyInArrow(_block_sums(reps), "_stratum string, _block long, rep int, w long, h long")
+    w = Window.partitionBy("_stratum", "rep")
+    before = F.coalesce(F.sum("w").over(w.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    rest = F.floor(F.sum("w").over(w) * F.lit(float(fraction)) + F.lit(0.5)) - before
+    sums = stable(sums.withColumn("rest", rest.cast("long")).where("rest > 0"))
+    edges = sums.where("w > rest").select("_stratum", "_block", "rep", "rest")
+    inside = rows.join(edges.select("_stratum", "_block").distinct(), ["_stratum", "_block"], "left_semi")
+    inside = inside.join(lists, inside["_g"] == lists[group]).select("_stratum", "_block", "rank", "y", "_r", "_m")
+    at = ["_stratum", "_block"]
+    opened = inside.groupBy(*at).cogroup(edges.groupBy(*at)).applyInArrow(_opened(reps), "rep int, w long, h long")
+    out = sums.where("w <= rest").select("rep", "w", "h").unionByName(opened).groupBy("rep").agg(F.sum("w").alias("reviewed"), F.sum("h").alias("hits"))
+    every = df.sparkSession.range(reps).select(F.col("id").cast("int").alias("rep"))
+    out = every.join(out, "rep", "left").select("rep", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("reviewed", "hits")])
     return out.withColumn("precision", ratio(F.col("hits"), F.col("reviewed")))
 
 

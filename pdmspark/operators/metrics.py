@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.crossproducts import pair_moments
 from ..functions.prefix import running_sums
 from ..functions.quantiles import percentiles, with_percentiles
 
@@ -162,15 +163,19 @@ def correlation(df: DataFrame, a: str, b: str, method: str = "pearson", by: Sequ
 
 
 def correlation_pairs(df: DataFrame, features: Sequence[str], min_pairs: int = 3) -> DataFrame:
-    """(a, b, n_pairs, r) of all pairs of columns, in one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    one = {}
-    for k, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        one[f"_{k}"] = F.struct(F.count_if(both).alias("n"), F.covar_pop(F.when(both, F.col(a)), F.when(both, F.col(b))).alias("c"), F.stddev_pop(F.when(both, F.col(a))).alias("sa"), F.stddev_pop(F.when(both, F.col(b))).alias("sb"))
-    x = df.agg(*[v.alias(k) for k, v in one.items()])
-    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{k}.n").alias("n_pairs"), F.when(F.col(f"_{k}.n") >= min_pairs, F.try_divide(F.col(f"_{k}.c"), F.col(f"_{k}.sa") * F.col(f"_{k}.sb"))).alias("r")) for k, (a, b) in enumerate(pairs)]
-    return x.select(F.inline(F.array(*rows)))
+    """(a, b, n_pairs, r) of all pairs of columns, over the rows that have both; in one pass of blocked cross products.
+
+    r is null below ``min_pairs`` or without spread, and NaN where a value is not finite. Hundreds of columns are fine:
+    a task keeps seven sums a pair.
+    """
+    if len(features) < 2 or df.isEmpty():
+        none = [(a, b, 0, None) for i, a in enumerate(features) for b in features[i + 1 :]]
+        return df.sparkSession.createDataFrame(none, "a string, b string, n_pairs long, r double")
+    names = F.array(*[F.lit(f) for f in features])
+    r = F.when(F.col("odd") > 0, F.lit(float("nan"))).otherwise(F.try_divide(F.col("cov"), F.sqrt("var_a") * F.sqrt("var_b")))
+    return pair_moments(df, features).select(
+        F.element_at(names, F.col("a") + 1).alias("a"), F.element_at(names, F.col("b") + 1).alias("b"), F.col("n").alias("n_pairs"), F.when(F.col("n") >= min_pairs, r).alias("r")
+    )
 
 
 def robust_effect(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:

@@ -1,14 +1,17 @@
-"""Exact quantiles from counts of distinct values in one sorted order: no task holds all values of a group."""
+"""Exact quantiles by bracketing: a sketch says between which values a quantile lies, and only what is there is sorted."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import global_prefixes
+#: Places of the sketch are right to one part in so many of a group's rows; brackets are MARGIN such parts to each side.
+ACCURACY, MARGIN = 10_000, 3
+#: Groups of up to so many rows are sorted whole: there the margin is less than the two rows that interpolation needs.
+SMALL = 2 * ACCURACY // MARGIN
 
 
 def _joined(left: DataFrame, right: DataFrame, by: Sequence[str], how: str) -> DataFrame:
@@ -24,24 +27,32 @@ def percentiles(df: DataFrame, by: Sequence[str], value: Column, probs: Mapping[
     """(by, name...): linearly interpolated quantiles; those of ``higher`` are the next real value at or above the place.
 
     Groups without a value are not in the result; without ``by`` there is one row, of nulls if there is no value.
-    NaN is the greatest value. Distinct values are counted first and sorted by range over all groups, so a group of
-    any size is spread over tasks.
+    NaN is the greatest value. A first pass makes a mergeable sketch of each group, a second counts what lies below each
+    bracket, and the different values inside (a few parts in ``ACCURACY`` of a large group), which alone are sorted.
     """
-    counts = df.select(*by, value.cast("double").alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    x = global_prefixes(counts, [F.col(c) for c in (*by, "_v")], {"_upto": F.col("_c")})
-    sizes = x.groupBy(*by).agg(F.sum("_c").alias("_n"), (F.max("_upto") - F.sum("_c")).alias("_first"))
-    x = _joined(x, sizes, by, "inner").withColumn("_end", F.col("_upto") - F.col("_first"))
-    place = lambda p: F.lit(float(p)) * (F.col("_n") - 1)
-    here = lambda k: F.max(F.when((F.col("_end") - F.col("_c") <= k) & (k < F.col("_end")), F.col("_v")))
-    aggs, out = [F.max("_n").alias("_n")], []
-    for i, (name, p) in enumerate(probs.items()):
-        aggs += [here(F.floor(place(p))).alias(f"_l{i}"), here(F.ceil(place(p))).alias(f"_h{i}")]
-        low, high = F.col(f"_l{i}"), F.col(f"_h{i}")
-        out.append(F.when(low == high, low).otherwise(low + (high - low) * (place(p) - F.floor(place(p)))).alias(name))
-    for name, p in (higher or {}).items():
-        aggs.append(here(F.ceil(place(p))).alias(name))
-        out.append(F.col(name))
-    return x.groupBy(*by).agg(*aggs).select(*by, *out)
+    wanted = {**probs, **(higher or {})}
+    x = df.select(*by, value.cast("double").alias("_v")).where("_v is not null")
+    edges = [min(1.0, max(0.0, p + side * MARGIN / ACCURACY)) for p in wanted.values() for side in (-1, 1)]
+    inf = F.lit(float("inf"))
+    plain = F.when(F.isnan("_v"), inf).otherwise(F.col("_v"))
+    sketch = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(plain, edges, ACCURACY).alias("_e"))
+    small = F.col("_n") <= SMALL
+    bracket = lambda i, p: F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("place"), F.when(small, -inf).otherwise(F.col("_e")[2 * i]).alias("low"), F.when(small, inf).otherwise(F.col("_e")[2 * i + 1]).alias("high"))
+    sketch = sketch.select(*by, F.array(*[bracket(i, p) for i, p in enumerate(wanted.values())]).alias("_b"))
+    y = _joined(x, sketch, by, "inner")
+    n_below = [F.count_if(F.col("_v") < F.col("_b")[i]["low"]) for i in range(len(wanted))]
+    below = y.groupBy(*by).agg(F.array(*n_below).alias("_below"))
+    here = F.filter("_b", lambda b: (F.col("_v") >= b["low"]) & ((F.col("_v") <= b["high"]) | (b["high"] == inf)))
+    inside = y.select(*by, "_v", F.explode(here).alias("_b")).groupBy(*by, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    z = _joined(inside, below, by, "inner").withColumn("_upto", F.element_at("_below", F.col("_b.i") + 1) + F.sum("_c").over(Window.partitionBy(*by, "_b").orderBy("_v")))
+    at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
+    found = z.groupBy(*by, "_b").agg(at(F.floor("_b.place")).alias("_l"), at(F.ceil("_b.place")).alias("_h"), F.min(F.col("_upto") - F.col("_c")).alias("_first"))
+    missed = (F.col("_first") > F.floor("_b.place")) | F.col("_h").isNull()
+    part = F.col("_b.place") - F.floor("_b.place")
+    mid = F.when(F.col("_l") == F.col("_h"), F.col("_l")).otherwise(F.col("_l") + (F.col("_h") - F.col("_l")) * part)
+    mid = F.when(missed, F.raise_error("a quantile lies outside its bracket")).otherwise(mid)
+    aggs = [F.max(F.when(F.col("_b.i") == i, mid if i < len(probs) else F.when(missed, mid).otherwise(F.col("_h")))).alias(name) for i, name in enumerate(wanted)]
+    return found.groupBy(*by).agg(*aggs)
 
 
 def with_percentiles(out: DataFrame, df: DataFrame, by: Sequence[str], value: Column, probs: Mapping[str, float], higher: Mapping[str, float] | None = None) -> DataFrame:

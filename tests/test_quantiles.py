@@ -1,4 +1,4 @@
-"""Quantiles from sorted counts equal NumPy's on every group."""
+"""Quantiles equal NumPy's on every group."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from pdmspark.functions import quantiles
 from pdmspark.functions.quantiles import percentiles, with_percentiles
 
 PROBS = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.95, "e": 1.0}
@@ -41,3 +42,26 @@ def test_without_groups(spark):
     nan = spark.createDataFrame([(1.0,), (2.0,), (math.nan,)], "v double")
     r = percentiles(nan, [], F.col("v"), {"m": 0.5, "top": 1.0}).first()
     assert r["m"] == 2.0 and math.isnan(r["top"])
+
+
+def test_brackets_of_large_groups(spark, monkeypatch):
+    """Groups well beyond what is sorted whole, with heavy ties, infinities and NaN, and a sketch of few places."""
+    monkeypatch.setattr(quantiles, "ACCURACY", 100)
+    monkeypatch.setattr(quantiles, "SMALL", 66)
+    rng = np.random.default_rng(2)
+    groups = {
+        "gauss": rng.normal(size=5000), "ties": rng.choice([0.0, 1.0, 2.0, 2.5], 5000, p=[0.05, 0.45, 0.45, 0.05]), "skew": rng.exponential(size=3000) ** 4,
+        "few": rng.normal(size=60), "just": rng.normal(size=67), "ends": np.concatenate([[-np.inf] * 200, rng.normal(size=700), [np.inf] * 100]),
+    }
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in rng.permutation(vs)], "g string, v double").repartition(5)
+    probs = {"a": 0.0, "b": 0.01, "c": 0.05, "d": 0.25, "e": 0.5, "f": 0.95, "g_": 0.999, "h": 1.0}
+    got = {r["g"]: r for r in percentiles(df, ["g"], F.col("v"), probs, {"up": 0.95, "top": 0.5}).collect()}
+    for g, vs in groups.items():
+        for n, p in probs.items():
+            place = p * (len(vs) - 1)
+            low, high = np.sort(vs)[[math.floor(place), math.ceil(place)]]
+            assert got[g][n] == low if low == high else math.isclose(got[g][n], low + (high - low) * (place - math.floor(place)), rel_tol=1e-12, abs_tol=1e-12), (g, n)
+        assert got[g]["up"] == np.quantile(vs, 0.95, method="higher") and got[g]["top"] == np.quantile(vs, 0.5, method="higher")
+    nan = df.withColumn("v", F.when(F.col("v") > 1, F.lit(float("nan"))).otherwise(F.col("v")))
+    r = percentiles(nan.where("g = 'gauss'"), [], F.col("v"), {"m": 0.5, "top": 0.99}).first()
+    assert r["m"] == got["gauss"]["e"] and math.isnan(r["top"])

@@ -19,45 +19,66 @@ from ..functions.scalar import gate
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _window_rows(x: np.ndarray, first: Sequence[int], size: int, least: float) -> np.ndarray:
+    """mean, std, peak_abs and rms of the known values of each window; NaN where fewer than ``least`` are known."""
+    w = np.lib.stride_tricks.sliding_window_view(x, size)[first]
+    known = ~np.isnan(w)
+    n = known.sum(1)
+    n = np.where((n >= least) & (n > 0), n, np.nan)
+    v = np.where(known, w, 0.0)
+    mean = v.sum(1) / n
+    return np.stack([mean, np.sqrt((np.where(known, w - mean[:, None], 0.0) ** 2).sum(1) / n), np.where(np.isnan(n), np.nan, np.abs(v).max(1)), np.sqrt((v * v).sum(1) / n)], 1)
+
+
 class _CountWindows(StatefulProcessor):
     """Keeps the run's key, its number of rows, and the rows from the next window's start on."""
 
-    def __init__(self, size: int, step: int) -> None:
-        self.size, self.step = size, step
+    def __init__(self, size: int, step: int, min_valid: float) -> None:
+        self.size, self.step, self.min_valid = size, step, min_valid
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("run", "run_key string, segment long, seen long, tail array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self.state.get() if self.state.exists() else None
-        run, segment, seen, tail = (held[0], held[1], held[2], list(held[3])) if held else (None, -1, 0, [])
+        run, segment, seen, tail = (held[0], held[1], held[2], np.array(held[3], "f8")) if held else (None, -1, 0, np.zeros(0))
         frames = [r for r in rows]
-        data = pd.concat(frames).sort_values("ordinal", kind="stable") if frames else pd.DataFrame()
         out = []
-        for k, v in zip(data["run_key"], data["value"], strict=True) if len(data) else ():
-            if segment < 0 or k != run:
-                run, segment, seen, tail = k, segment + 1, 0, []
-            seen += 1
-            tail.append(float(v))
-            if seen >= self.size and (seen - self.size) % self.step == 0:
-                x = np.array(tail[-self.size :])
-                out.append((key[0], segment, (seen - self.size) // self.step, float(x.mean()), float(x.std()), float(np.abs(x).max()), float(np.sqrt((x * x).mean()))))
-                tail = tail[-self.size :]
-        self.state.update((run, segment, seen, tail[-max(self.size, 1) :]))
-        yield pd.DataFrame(out, columns=["group_key", "segment", "window_index", "mean", "std", "peak_abs", "rms"])
+        if frames:
+            data = pd.concat(frames).sort_values("ordinal", kind="stable")
+            keys, values = data["run_key"].to_numpy(), data["value"].to_numpy("f8")
+            starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+                if segment < 0 or keys[a] != run:
+                    run, segment, seen, tail = keys[a], segment + 1, 0, np.zeros(0)
+                base = seen - len(tail)  # the run's number of the first row that is held
+                x = np.concatenate([tail, values[a:b]])
+                done = (seen - self.size) // self.step + 1 if seen >= self.size else 0
+                seen += b - a
+                due = np.arange(done, (seen - self.size) // self.step + 1 if seen >= self.size else 0)
+                if len(due):
+                    stats = _window_rows(x, due * self.step - base, self.size, self.min_valid * self.size)
+                    out.append(pd.DataFrame(stats, columns=["mean", "std", "peak_abs", "rms"]).assign(group_key=key[0], segment=segment, window_index=due))
+                    done = int(due[-1]) + 1
+                tail = x[min(len(x), max(0, done * self.step - base)) :]
+        self.state.update((run, segment, seen, tail.tolist()))
+        columns = ["group_key", "segment", "window_index", "mean", "std", "peak_abs", "rms"]
+        out = pd.concat(out)[columns] if out else pd.DataFrame([], columns=columns)
+        yield out.astype({c: "Float64" for c in columns[3:]}) if len(out) else out
 
     def close(self) -> None:
         pass
 
 
-def stream_count_windows(stream: DataFrame, by: str, ordinal: str, run_key: str, value: str, size: int, step: int) -> DataFrame:
+def stream_count_windows(stream: DataFrame, by: str, ordinal: str, run_key: str, value: str, size: int, step: int, min_valid: float = 0.8) -> DataFrame:
     """D1, D5 and D6 online: (group_key, segment, window_index, mean, std, peak_abs, rms) of each full window.
 
-    A group's rows must arrive in order of ``ordinal`` from batch to batch; a run that is not over is kept as state.
+    As in D6, missing values are left out, and a window with fewer than ``min_valid`` of ``size`` values has null statistics;
+    NaN counts as missing. A group's rows must arrive in order of ``ordinal`` from batch to batch; a run that is not over is kept as state.
     """
     rows = stream.select(F.col(by).cast("string").alias("group_key"), F.col(ordinal).cast("long").alias("ordinal"), F.coalesce(F.col(run_key).cast("string"), F.lit("\0null")).alias("run_key"), F.col(value).cast("double").alias("value"))
     kind = "group_key string, segment long, window_index long, mean double, std double, peak_abs double, rms double"
-    return rows.groupBy("group_key").transformWithStateInPandas(_CountWindows(size, step), kind, "append", "none")
+    return rows.groupBy("group_key").transformWithStateInPandas(_CountWindows(size, step, min_valid), kind, "append", "none")
 
 
 def stream_sessions(stream: DataFrame, by: Sequence[str], time: str, gap: str, late: str, value: str) -> DataFrame:

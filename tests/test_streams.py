@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from pdmspark.operators import sequence as q
@@ -98,3 +99,21 @@ def test_first_alarm_with_a_timeout(spark, tmp_path):
     finally:
         spark.conf.unset(key)
     assert sorted((y["group_key"], y["row_id"]) for y in got) == [("0", 8), ("1", 3)]
+
+
+@pytest.mark.parametrize(("size", "step"), [(8, 3), (5, 9), (1, 1)])
+def test_windows_with_missing_readings(spark, tmp_path, size, step):
+    """J1 equals D1, D5 and D6: the mean of what is known, and null below four fifths of a window."""
+    v = F.when(F.pmod(F.hash("id"), F.lit(6)) > 0, F.sin(F.col("id")) * 10)
+    x = spark.range(240).select((F.col("id") % 2).alias("g"), "id", F.floor(F.col("id") / 90).alias("run"), v.alias("v"))
+    several_files(spark, x, tmp_path, 6, "id")
+    s = spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = run(spark, j.stream_count_windows(s, "g", "id", "run", "v", size, step), tmp_path, "m").collect()
+    seg = q.segment_runs(x, ["g"], ["id"], ["run"])
+    keys = ["g", "segment", "window_index"]
+    want = q.window_stats(q.count_windows(seg, ["g", "segment"], ["id"], size, step), keys, ["v"], size).collect()
+    names = ("mean", "std", "peak_abs", "rms")
+    near = lambda y: None if y is None else round(y, 9) + 0.0
+    one = {(y["group_key"], y["segment"], y["window_index"]): tuple(near(y[n]) for n in names) for y in got}
+    assert one == {(str(y["g"]), y["segment"], y["window_index"]): tuple(near(y[f"v__{n}"]) for n in names) for y in want}
+    assert any(v[0] is None for v in one.values()) and any(v[0] is not None for v in one.values())

@@ -23,6 +23,8 @@ DIM = 1 << BITS
 SELECTED = 4096
 #: At most this many labelled rows are used for fitting, chosen by a seeded hash of the id.
 MAX_TRAIN = 12_000
+#: Ids with over this part of them come after all others.
+MOST_OF_AN_ID = 100
 THRESHOLD = 0.3
 SEED = "tox-1"
 #: Rows of the sums of counts: each has DIM / BLOCKS buckets.
@@ -117,9 +119,10 @@ def training_rows(df: DataFrame, labels: DataFrame, may_learn: Column, id_col: s
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
     y = y.where(may_learn).select(F.col(id_col).alias("_id"), "_y")
     ids = df.select(F.col(id_col).alias("_key")).join(y, F.col("_key") == F.col("_id"), "left_semi").groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"))
-    # Ids by hash, as long as their rows fit; the running count is over the first ids of that order only.
-    ids = ids.orderBy(seeded_hash(SEED, "_key"), "_key").limit(max_train)
-    fit = F.sum("_rows").over(Window.orderBy(seeded_hash(SEED, "_key"), "_key")) <= max_train
+    # Ids by hash, as long as their rows fit; those with very many rows come last, so that they cost no other id its label.
+    order = [F.col("_rows") > max(1, max_train // MOST_OF_AN_ID), seeded_hash(SEED, "_key"), F.col("_key")]
+    ids = ids.orderBy(*order).limit(max_train)
+    fit = F.sum("_rows").over(Window.orderBy(*order)) <= max_train
     ids = ids.withColumn("_fit", fit).where("_fit").select(F.col("_key").alias("_chosen"))
     y = y.join(F.broadcast(ids), F.col("_id") == F.col("_chosen"))  # max_train ids at most
     return df.select(F.col(id_col).alias("_key"), F.col(text_col).alias("text")).join(F.broadcast(y), F.col("_key") == F.col("_id")).select("text", F.col("_y").alias("y"))

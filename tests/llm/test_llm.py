@@ -696,6 +696,15 @@ def test_held_out_accuracy(spark):
     assert sum(p and not y for p, y in out) < 0.02 * len(out)
 
 
+def test_a_hot_id_costs_no_other_label(spark):
+    """One id of more rows than are learnt from, and some of many rows: all others are still learnt from, and reruns agree."""
+    rows = [(7, f"hot {k}") for k in range(1300)] + [(8, f"warm {k}") for k in range(300)] + [(k, f"own {k}") for k in range(100, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = df.select("doc_id", (F.col("doc_id") % 2).alias("toxic")).distinct()
+    chosen = [sorted(r["text"] for r in toxicity.training_rows(df, labels, F.lit(True), max_train=1000).collect()) for _ in range(2)]
+    assert chosen[0] == chosen[1] == sorted(t for i, t in rows if i != 7)
+
+
 def test_no_labels_reject_nothing(spark, odd):
     assert toxicity.drop_toxic(odd, spark.createDataFrame([], "doc_id long, toxic int")).count() == len(ODD)
 

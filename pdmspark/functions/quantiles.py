@@ -31,27 +31,27 @@ def percentiles(df: DataFrame, by: Sequence[str], value: Column, probs: Mapping[
     bracket, and the different values inside (a few parts in ``ACCURACY`` of a large group), which alone are sorted.
     """
     wanted = {**probs, **(higher or {})}
-    x = df.select(*by, value.cast("double").alias("_v")).where("_v is not null")
+    x = df.select(*by, value.cast("double").alias("_q_v")).where("_q_v is not null")
     edges = [min(1.0, max(0.0, p + side * MARGIN / ACCURACY)) for p in wanted.values() for side in (-1, 1)]
     inf = F.lit(float("inf"))
-    plain = F.when(F.isnan("_v"), inf).otherwise(F.col("_v"))
-    sketch = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(plain, edges, ACCURACY).alias("_e"))
-    small = F.col("_n") <= SMALL
-    bracket = lambda i, p: F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("place"), F.when(small, -inf).otherwise(F.col("_e")[2 * i]).alias("low"), F.when(small, inf).otherwise(F.col("_e")[2 * i + 1]).alias("high"))
-    sketch = sketch.select(*by, F.array(*[bracket(i, p) for i, p in enumerate(wanted.values())]).alias("_b"))
+    plain = F.when(F.isnan("_q_v"), inf).otherwise(F.col("_q_v"))
+    sketch = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_q_n"), F.percentile_approx(plain, edges, ACCURACY).alias("_q_e"))
+    small = F.col("_q_n") <= SMALL
+    bracket = lambda i, p: F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_q_n") - 1)).alias("place"), F.when(small, -inf).otherwise(F.col("_q_e")[2 * i]).alias("low"), F.when(small, inf).otherwise(F.col("_q_e")[2 * i + 1]).alias("high"))
+    sketch = sketch.select(*by, F.array(*[bracket(i, p) for i, p in enumerate(wanted.values())]).alias("_q_b"))
     y = _joined(x, sketch, by, "inner")
-    n_below = [F.count_if(F.col("_v") < F.col("_b")[i]["low"]) for i in range(len(wanted))]
-    below = y.groupBy(*by).agg(F.array(*n_below).alias("_below"))
-    here = F.filter("_b", lambda b: (F.col("_v") >= b["low"]) & ((F.col("_v") <= b["high"]) | (b["high"] == inf)))
-    inside = y.select(*by, "_v", F.explode(here).alias("_b")).groupBy(*by, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    z = _joined(inside, below, by, "inner").withColumn("_upto", F.element_at("_below", F.col("_b.i") + 1) + F.sum("_c").over(Window.partitionBy(*by, "_b").orderBy("_v")))
-    at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
-    found = z.groupBy(*by, "_b").agg(at(F.floor("_b.place")).alias("_l"), at(F.ceil("_b.place")).alias("_h"), F.min(F.col("_upto") - F.col("_c")).alias("_first"))
-    missed = (F.col("_first") > F.floor("_b.place")) | F.col("_h").isNull()
-    part = F.col("_b.place") - F.floor("_b.place")
-    mid = F.when(F.col("_l") == F.col("_h"), F.col("_l")).otherwise(F.col("_l") + (F.col("_h") - F.col("_l")) * part)
+    n_below = [F.count_if(F.col("_q_v") < F.col("_q_b")[i]["low"]) for i in range(len(wanted))]
+    below = y.groupBy(*by).agg(F.array(*n_below).alias("_q_below"))
+    here = F.filter("_q_b", lambda b: (F.col("_q_v") >= b["low"]) & ((F.col("_q_v") <= b["high"]) | (b["high"] == inf)))
+    inside = y.select(*by, "_q_v", F.explode(here).alias("_q_b")).groupBy(*by, "_q_b", "_q_v").agg(F.count(F.lit(1)).alias("_q_c"))
+    z = _joined(inside, below, by, "inner").withColumn("_q_upto", F.element_at("_q_below", F.col("_q_b.i") + 1) + F.sum("_q_c").over(Window.partitionBy(*by, "_q_b").orderBy("_q_v")))
+    at = lambda k: F.min(F.when(F.col("_q_upto") > k, F.col("_q_v")))
+    found = z.groupBy(*by, "_q_b").agg(at(F.floor("_q_b.place")).alias("_q_l"), at(F.ceil("_q_b.place")).alias("_q_h"), F.min(F.col("_q_upto") - F.col("_q_c")).alias("_q_first"))
+    missed = (F.col("_q_first") > F.floor("_q_b.place")) | F.col("_q_h").isNull()
+    part = F.col("_q_b.place") - F.floor("_q_b.place")
+    mid = F.when(F.col("_q_l") == F.col("_q_h"), F.col("_q_l")).otherwise(F.col("_q_l") + (F.col("_q_h") - F.col("_q_l")) * part)
     mid = F.when(missed, F.raise_error("a quantile lies outside its bracket")).otherwise(mid)
-    aggs = [F.max(F.when(F.col("_b.i") == i, mid if i < len(probs) else F.when(missed, mid).otherwise(F.col("_h")))).alias(name) for i, name in enumerate(wanted)]
+    aggs = [F.max(F.when(F.col("_q_b.i") == i, mid if i < len(probs) else F.when(missed, mid).otherwise(F.col("_q_h")))).alias(name) for i, name in enumerate(wanted)]
     return found.groupBy(*by).agg(*aggs)
 
 

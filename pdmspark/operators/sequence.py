@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.prefix import global_prefix
 from ..functions.quantiles import with_percentiles
-from ..functions.scan import Series
+from ..functions.scan import Series, _joined
+from ..session import stable
 
 
 def _w(by: Sequence[str], order: Sequence[str]):
@@ -120,31 +121,73 @@ def trailing_delta(df: DataFrame, by: Sequence[str], order: Sequence[str], col:
     return df.withColumns({f"{col}__delta": F.when(ok, F.col(col) - F.first(col).over(w)), f"{col}__std": F.when(ok, F.stddev_pop(col).over(w)), "history_count": count})
 
 
+#: Slabs of D9 are this many times as long as its longest horizon.
+SLAB_HORIZONS = 16
+
+
+def _from_start(df: DataFrame, by: Sequence[str], time: str, cols: Sequence[str], baseline: float) -> DataFrame:
+    """Adds _s, the group's first time, and _m_ and _d_ of each column, mean and population std of its first ``baseline`` units."""
+    first = stable(df.groupBy(*by).agg(F.min(time).alias("_s")))
+    groups = first.count()
+    early = _joined(df.select(*by, time, *cols), first, by, groups).where(F.col(time) - F.col("_s") <= baseline)
+    early = early.groupBy(*by).agg(*[f(F.col(c).cast("double")).alias(f"_{k}_{c}") for c in cols for k, f in (("m", F.avg), ("d", F.stddev_pop))])
+    return _joined(df, stable(_joined(first, early, by, groups)), by, groups)
+
+
 def elapsed_stats(df: DataFrame, by: Sequence[str], time: str, cols: Sequence[str], horizons: Sequence[int], baseline: int, min_elapsed: int) -> DataFrame:
     """Per horizon h, over the rows of the last h time units (rows at the same time included): mean z-score,
     slope per 1000 units over the baseline std, and std ratio, against the group's first ``baseline`` units.
 
     ``sufficient`` is false, and all features are null, before ``min_elapsed`` units, where a baseline has no spread,
-    and where a horizon has fewer than 2 rows; nothing is imputed.
+    and where a horizon has fewer than 2 rows; nothing is imputed. Rows without a value count for none of its features.
+
+    A frame is the difference of two running sums, of which the earlier is looked up at t - h, so the work does not
+    grow with the horizon. Series are cut in slabs of time that overlap by the longest horizon: tasks of their own, in
+    which values are taken from the slab's first value, so that the differences keep their digits and see no later row.
     """
-    start = F.min(time).over(Window.partitionBy(*by))
-    out = df.withColumn("_s", start)
-    whole = Window.partitionBy(*by)
+    wide = SLAB_HORIZONS * max(horizons)
+    t = F.col(time)
+    at = F.floor(t / wide)
+    out = _from_start(df, by, time, cols, baseline)
+    out = out.withColumn("_slab", F.explode(F.coalesce(F.sequence(at, F.floor((t + max(horizons)) / wide)), F.array(F.lit(None).cast("bigint")))))
+    slab = [*by, "_slab"]
+    whole = Window.partitionBy(*slab)
+    out = out.withColumns({"_t": (t - F.col("_slab") * wide).cast("double"), **{f"_r_{c}": F.min(F.when(F.col(c).isNotNull(), F.struct(t.alias("t"), F.col(c).cast("double").alias("v")))).over(whole)["v"] for c in cols}})
+    out = out.withColumns({f"_x_{c}": F.col(c).cast("double") - F.col(f"_r_{c}") for c in cols})
+    sums = {"rows": F.lit(1)}
     for c in cols:
-        base = F.when(F.col(time) - F.col("_s") <= baseline, F.col(c).cast("double"))
-        out = out.withColumns({f"_m_{c}": F.avg(base).over(whole), f"_d_{c}": F.stddev_pop(base).over(whole)})
-    frames = {h: Window.partitionBy(*by).orderBy(time).rangeBetween(-h, 0) for h in horizons}
-    enough = [F.col(time) - F.col("_s") >= min_elapsed, *[F.col(f"_d_{c}") > 0 for c in cols], *[F.count(F.lit(1)).over(w) >= 2 for w in frames.values()]]
-    out = out.withColumn("sufficient", F.coalesce(reduce(Column.__and__, enough), F.lit(False)))
-    for h, w in frames.items():
+        x, u = F.col(f"_x_{c}"), F.when(F.col(f"_x_{c}").isNotNull(), F.col("_t"))
+        sums |= {f"n_{c}": F.when(x.isNotNull(), 1).otherwise(0), f"x_{c}": x, f"xx_{c}": x * x, f"t_{c}": u, f"tx_{c}": u * x, f"tt_{c}": u * u}
+    upto, peers = Window.partitionBy(*slab).orderBy(time), Window.partitionBy(*slab, time)
+    total = lambda w: F.struct(*[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(k) for k, v in sums.items()])
+    out = out.withColumns({"_upto": total(upto.rangeBetween(Window.unboundedPreceding, 0)), "_here": total(peers)})
+    mark = F.struct(t.alias("at"), "_upto", "_here")
+    out = out.withColumns({f"_old_{h}": F.last(mark).over(upto.rangeBetween(Window.unboundedPreceding, -h)) for h in horizons})
+
+    def frame(h: int, k: str) -> Column:
+        # What is exactly h units old is in the frame.
+        old = F.col(f"_old_{h}")
+        came = F.when(old["at"] == t - h, old["_here"][k]).otherwise(F.lit(0))
+        return F.col("_upto")[k] - F.coalesce(old["_upto"][k] - came, F.lit(0))
+
+    enough = [t - F.col("_s") >= min_elapsed, *[F.col(f"_d_{c}") > 0 for c in cols], *[frame(h, "rows") >= 2 for h in horizons]]
+    out = out.where(F.col("_slab").eqNullSafe(at)).withColumn("sufficient", F.coalesce(reduce(Column.__and__, enough), F.lit(False)))
+    feats = {}
+    for h in horizons:
         for c in cols:
-            x, t = F.col(c).cast("double"), (F.col(time) - F.col("_s")).cast("double")
-            n, sx, st, sxt, stt = F.count(x).over(w), F.sum(x).over(w), F.sum(t).over(w), F.sum(x * t).over(w), F.sum(t * t).over(w)
-            slope = F.try_divide(n * sxt - sx * st, n * stt - st * st)
-            std = F.stddev_pop(x).over(w)
-            feats = {"z": F.try_divide(F.avg(x).over(w) - F.col(f"_m_{c}"), F.col(f"_d_{c}")), "slope": F.try_divide(slope * 1000, F.col(f"_d_{c}")), "std_ratio": F.try_divide(std, F.col(f"_d_{c}"))}
-            out = out.withColumns({f"{c}__{n_}_{h}": F.when(F.col("sufficient"), v) for n_, v in feats.items()})
-    return out.drop("_s", *[f"_{k}_{c}" for k in "md" for c in cols])
+            n, x, xx, u, ux, uu = (frame(h, f"{k}_{c}") for k in ("n", "x", "xx", "t", "tx", "tt"))
+            mean, d = F.try_divide(x, n), F.col(f"_d_{c}")
+            spread = F.greatest(F.try_divide(xx, n) - mean * mean, F.lit(0.0))
+            # At one time alone there is no slope.
+            several = frame(h, "rows") > F.col("_here")["rows"]
+            base = F.col(f"_m_{c}") - F.col(f"_r_{c}")
+            feats |= {
+                f"{c}__z_{h}": F.try_divide(mean - base, d),
+                f"{c}__slope_{h}": F.when(several, F.try_divide(F.try_divide(n * ux - x * u, n * uu - u * u) * 1000, d)),
+                f"{c}__std_ratio_{h}": F.try_divide(F.sqrt(spread), d),
+            }
+    out = out.withColumns({k: F.when(F.col("sufficient"), v) for k, v in feats.items()})
+    return out.drop("_s", "_slab", "_t", "_upto", "_here", *[f"_{k}_{c}" for k in "mdrx" for c in cols], *[f"_old_{h}" for h in horizons])
 
 
 def endpoints(df: DataFrame, by: Sequence[str], order: Sequence[str], stride: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_integer, hash_uniform
 from ..functions.prefix import global_prefix, running_sums
 from ..functions.quantiles import percentiles
+from .cuts import fit
 from .metrics import by_score, ratio
 
 
@@ -160,61 +161,16 @@ def three_way_counts(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataF
     return df.groupBy(*by).agg(*[F.count_if(a == x).alias(f"n_{x}") for x in ("keep", "review", "downgrade")], F.count_if((a == "downgrade") & l).alias("lost_tp"), F.count_if((a == "downgrade") & ~l).alias("removed_fp"))
 
 
-#: Most distinct scores that cut points are sought among.
-MAX_SCORES = 100_000
-
-
 def fit_two_cuts(df: DataFrame, score: str, truth: str, classes: Sequence[str], by: Sequence[str] = (), ends: bool = False, macro_f1: bool = False) -> DataFrame:
     """the cuts t1 < t2 (midpoints of distinct scores, and 0 and 1 with ``ends``) of the best mean balanced accuracy
     over groups: below t1 is the first class, below t2 the second, else the third. Of equals the lowest t1, then the
     lowest t2; with ``macro_f1`` the best mean macro-F1 comes before these, and is in the result.
 
     The objective is a function of t1 plus one of t2, so a running maximum over t1 replaces the pairs; macro-F1 is
-    not, and is computed for the pairs of the best accuracy alone. Raises beyond MAX_SCORES distinct scores: round them
-    first.
+    not, and is sought among the pairs of the best accuracy by branch and bound. Null scores, null groups and
+    truths that are no class take no part; the result is one row, of nulls where there are not two cuts.
     """
-    known = df.where(F.col(score).isNotNull() & F.col(truth).isin(list(classes)))
-    scores = known.select(F.col(score).cast("double").alias("t")).distinct()
-    if scores.limit(MAX_SCORES + 1).count() > MAX_SCORES:
-        raise ValueError(f"more than {MAX_SCORES} distinct scores")
-    cuts = scores.withColumn("t", (F.col("t") + F.lead("t").over(Window.orderBy("t"))) / 2.0).where("t is not null")
-    if ends:
-        cuts = cuts.unionByName(df.sparkSession.createDataFrame([(0.0,), (1.0,)], "t double")).distinct()
-    g = list(by) or ["_g"]
-    rows = known.withColumn("_g", F.lit(0)) if not by else known
-    each = rows.groupBy(*g, F.col(score).cast("double").alias("t")).agg(*[F.count_if(F.col(truth) == c).cast("double").alias(f"_{i}") for i, c in enumerate(classes)])
-    groups = each.groupBy(*g).agg(*[F.sum(f"_{i}").alias(f"_a{i}") for i in range(3)])
-    marks = each.withColumn("_c", F.lit(0)).unionByName(groups.select(*g).crossJoin(cuts).select(*g, "t", *[F.lit(0.0).alias(f"_{i}") for i in range(3)], F.lit(1).alias("_c")))
-    run = Window.partitionBy(*g).orderBy("t", "_c").rowsBetween(Window.unboundedPreceding, 0)
-    below = marks.withColumns({f"_b{i}": F.sum(f"_{i}").over(run) for i in range(3)}).where("_c = 1").join(groups, g)
-    part = lambda i: F.coalesce(F.try_divide(F.col(f"_b{i}"), F.col(f"_a{i}")), F.lit(0.0))
-    # t1 adds (first below t1) - (second below t1); t2 adds (second below t2) + 1 - (third below t2).
-    there = F.when(F.col("_a2") > 0, 1.0 - part(2)).otherwise(F.lit(0.0))
-    f = below.select("t", ((part(0) - part(1)) / 3.0).alias("_f1"), ((part(1) + there) / 3.0).alias("_f2"))
-    f = f.groupBy("t").agg(F.avg("_f1").alias("_f1"), F.avg("_f2").alias("_f2"))
-    before = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    best1 = F.max(F.struct(F.round("_f1", 12).alias("f"), (-F.col("t")).alias("m"))).over(before)
-    x = f.withColumn("_x", best1).where("_x is not null").withColumn("_o", F.round(F.col("_x.f") + F.col("_f2"), 12))
-    if macro_f1:
-        return _best_f1(f, x, below, g)
-    return x.agg(F.max(F.struct("_o", F.col("_x.m").alias("_m1"), (-F.col("t")).alias("_m2"))).alias("_b")).select((-F.col("_b._m1")).alias("t1"), (-F.col("_b._m2")).alias("t2"), F.col("_b._o").alias("balanced_accuracy"))
-
-
-def _best_f1(f: DataFrame, x: DataFrame, below: DataFrame, g: Sequence[str]) -> DataFrame:
-    """Of the pairs of cuts of the best balanced accuracy that of the best mean macro-F1, then the lowest."""
-    top = x.crossJoin(F.broadcast(x.agg(F.max("_o").alias("_top")))).where("_o = _top")  # one row
-    first = f.select(F.col("t").alias("t1"), F.round("_f1", 12).alias("_f"))
-    pairs = top.select(F.col("t").alias("t2"), F.col("_x.f").alias("_f"), "_o").join(first, "_f").where("t1 < t2").select("t1", "t2", "_o")
-    at = lambda k: below.select(*g, F.col("t").alias(f"t{k}"), *[F.col(f"_b{i}").alias(f"_{k}{i}") for i in range(3)], *([f"_a{i}" for i in range(3)] if k == 2 else []))
-    y = pairs.join(at(1), "t1").join(at(2), [*g, "t2"])
-    n = {k: F.col(f"_{k}0") + F.col(f"_{k}1") + F.col(f"_{k}2") for k in (1, 2)}
-    support = [F.col(f"_a{i}") for i in range(3)]
-    hit = [F.col("_10"), F.col("_21") - F.col("_11"), support[2] - F.col("_22")]
-    called = [n[1], n[2] - n[1], support[0] + support[1] + support[2] - n[2]]
-    f1 = sum((F.coalesce(F.try_divide(2.0 * h, c + a), F.lit(0.0)) for h, c, a in zip(hit, called, support, strict=True)), F.lit(0.0)) / 3.0
-    y = y.groupBy("t1", "t2", "_o").agg(F.round(F.avg(f1), 12).alias("_f1"))
-    best = F.max(F.struct("_o", "_f1", (-F.col("t1")).alias("_m1"), (-F.col("t2")).alias("_m2"))).alias("_b")
-    return y.agg(best).select((-F.col("_b._m1")).alias("t1"), (-F.col("_b._m2")).alias("t2"), F.col("_b._o").alias("balanced_accuracy"), F.col("_b._f1").alias("macro_f1"))
+    return fit(df, score, truth, classes, by, ends, macro_f1)
 
 
 def abstaining_bands(df: DataFrame, score: str, gate: str, cuts: tuple[float, float], lo: float = 0.4, hi: float = 0.6, labels: Sequence[str] = ("low", "middle", "high")) -> DataFrame:

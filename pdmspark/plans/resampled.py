@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import inference as h
+from ..operators import influence
 from ..operators import routing as r
 from .base import GATED, endpoints, gated, query
 from .ranked import U
@@ -110,3 +111,25 @@ def _(spark, d, reps):
         return F.try_divide(F.sum(F.when(F.col("label") & F.col("gated_alarm"), F.col(w)).otherwise(0)).cast("double"), F.sum(F.when(F.col("label"), F.col(w)).otherwise(0)).cast("double"))
 
     return h.cluster_bootstrap(gated(spark, d), "user_id", recall, reps, compact=["label", "gated_alarm"])
+
+
+@query("H4_leave_one_out_median", """, us AS (SELECT DISTINCT user_id AS gone FROM ep)
+SELECT gone AS user_id, round(median(value), 6) AS without, round(median(value) - (SELECT median(value) FROM ep), 6) AS influence FROM us LEFT JOIN ep ON user_id <> gone GROUP BY gone""")
+def _(spark, d):
+    return influence.leave_one_group_out_quantile(endpoints(spark, d), "user_id", "value")
+
+
+def _ends(rows):
+    """Least and greatest value."""
+    v = rows.dropna(subset="value")
+    return (v["value"].min(), v["value"].max()) if len(v) else None
+
+
+def _wider(a, b):
+    return b if a is None else a if b is None else (min(a[0], b[0]), max(a[1], b[1]))
+
+
+@query("H4_leave_one_out_range", """, us AS (SELECT DISTINCT user_id AS gone FROM ep)
+SELECT gone AS user_id, round(max(value) - min(value), 6) AS without, round(max(value) - min(value) - (SELECT max(value) - min(value) FROM ep), 6) AS influence FROM us LEFT JOIN ep ON user_id <> gone GROUP BY gone""")
+def _(spark, d):
+    return influence.leave_one_group_out_merged(endpoints(spark, d), "user_id", ["value"], _ends, _wider, lambda s: None if s is None else float(s[1] - s[0]))

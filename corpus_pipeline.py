@@ -7,7 +7,6 @@ result as Parquet in the folder that all executors share and reads it again for
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,14 +48,17 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: token files in training order; a row for each document in them.
 
-    The order is that of the rows in the Parquet files they were read from: by name of the file, then by place in
-    it. Rows that come from no file are in ascending order of id.
+    The order is that of the rows in the Parquet files they were read from: by the part number in the name of the file
+    (as a number: part-100000 comes after part-99999; names without one come first), by name, then by place in it. Rows
+    that come from no file are in ascending order of id. Rows derived from files but no longer those of a file are refused.
     """
-    try:
-        docs = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place"))
-    except AnalysisException:
-        return token_rows(docs, fresh_folder(spark, "token-files"), default_tokenizer(), remembered=REMEMBERED)
-    return token_rows(docs, fresh_folder(spark, "token-files"), default_tokenizer(), ["_file", "_place"], REMEMBERED)
+    order = []
+    if docs.inputFiles():
+        name = F.col("_metadata.file_name")
+        part = F.expr("try_cast(regexp_extract(_metadata.file_name, '^part-([0-9]+)', 1) AS BIGINT)")
+        docs = docs.select("doc_id", "text", part.alias("_part"), name.alias("_file"), F.col("_metadata.row_index").alias("_place"))
+        order = ["_part", "_file", "_place"]
+    return token_rows(docs, fresh_folder(spark, "token-files"), default_tokenizer(), order, REMEMBERED)
 
 
 STAGES = [("toxicity", toxicity), ("simhash", near_dedup), ("decontamination", benchmarks), ("mixing", mixture), ("tokens", token_files)]
@@ -66,6 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents``: a row for each document in the token files, in training order.
+
+    Null texts count as empty; of near-duplicates, equal texts included, the row of the least id stays. An empty table gives
+    no rows. Each stage's result is kept as Parquet in the shared folder, so a lost executor costs tasks and no stage.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         folder = fresh_folder(spark, f"pipeline-{name}")

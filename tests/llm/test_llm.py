@@ -743,6 +743,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert [r["doc_id"] for r in last] == [r["doc_id"] for r in mixing.mix(docs).collect()]  # files in training order
 
 
+def test_pipeline_order_goes_by_the_number_of_a_file(spark, tmp_path):
+    import corpus_pipeline
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for name, ids in (("part-100000-b", [3, 1]), ("part-99999-b", [7, 2]), ("part-00002-a", [9]), ("other", [5])):
+        rows = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": [f"text {i}" for i in ids], "source": ["s"] * len(ids), "lang": ["en"] * len(ids)})
+        pq.write_table(rows, f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.token_files(spark, spark.read.parquet(str(tmp_path)), SF).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [5, 9, 7, 2, 3, 1]
+
+
 def test_pipeline_on_odd_rows(spark, odd_dir, empty_dir):
     import corpus_pipeline
 

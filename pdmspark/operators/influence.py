@@ -15,8 +15,8 @@ from ..functions.prefix import running_sums
 from ..functions.quantiles import percentiles
 from ..session import stable
 
-#: States a task of the first pass holds before it passes them on, and tasks that first merge those of one group.
-HELD, SALTS = 10_000, 64
+#: Rows that a task of the first pass makes states of at once, and tasks that first merge the states of one group.
+HELD, SALTS = 100_000, 64
 
 
 def _next_known(df: DataFrame, at: str, then: str, value: str, name: str) -> DataFrame:
@@ -80,16 +80,36 @@ def leave_one_group_out_merged(df: DataFrame, group: str, cols: Sequence[str], s
     names = list(cols)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, State] = {}
+        def states(frames: list[pd.DataFrame]) -> pd.DataFrame:
+            found = [(k, dump(state(rows[names].reset_index(drop=True)))) for k, rows in pd.concat(frames).groupby("_k", sort=False)]
+            return pd.DataFrame(found, columns=["_k", "_state"])
+
+        frames, n = [], 0
+        for batch in batches:
+            frames.append(batch)
+            n += len(batch)
+            if n >= HELD:
+                yield states(frames)
+                frames, n = [], 0
+        if n:
+            yield states(frames)
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """States in order of their keys, those of a key merged as they come."""
+        last, held = None, None
         for batch in batches:
-            for k, rows in batch.groupby("_k", sort=False):
-                one = state(rows[names].reset_index(drop=True))
-                held[k] = merge(held[k], one) if k in held else one
-            if len(held) > HELD:
-                yield pd.DataFrame({"_k": list(held), "_state": [dump(v) for v in held.values()]})
-                held = {}
-        if held:
-            yield pd.DataFrame({"_k": list(held), "_state": [dump(v) for v in held.values()]})
+            out = []
+            for *k, raw in batch.itertuples(index=False, name=None):
+                if last is not None and k != last:
+                    out.append((*last, dump(held)))
+                last, held = k, load(raw) if k != last else merge(held, load(raw))
+            yield pd.DataFrame(out, columns=batch.columns)
+        if last is not None:
+            yield pd.DataFrame([(*last, dump(held))], columns=batch.columns)
+
+    def by_key(x: DataFrame, keys: list[str]) -> DataFrame:
+        x = x.select(*keys, "_state")
+        return x.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(merged, x.schema)
 
     def together(by: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
         def run(x: pd.DataFrame) -> pd.DataFrame:
@@ -126,8 +146,7 @@ def leave_one_group_out_merged(df: DataFrame, group: str, cols: Sequence[str], s
 
     rows = df.select(key.alias("_k"), *names)
     states = rows.mapInPandas(partial, "_k string, _state binary").withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    states = states.groupBy("_k", "_salt").applyInPandas(together(["_k", "_salt"]), "_k string, _salt int, _state binary")
-    states = states.groupBy("_k").applyInPandas(together(["_k"]), "_k string, _state binary")
+    states = by_key(by_key(states, ["_k", "_salt"]), ["_k"])
     placed = stable(states.repartitionByRange("_k").withColumn("_range", F.spark_partition_id()))
     ranges = placed.groupBy("_range").applyInPandas(together(["_range"]), "_range int, _state binary")
     others = stable(ranges.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(rest, "_range int, _rest binary, _whole double"))  # one state a range

@@ -41,6 +41,17 @@ def _(spark, d):
     return run(spark, j.stream_count_windows(x, "user_id", "event_id", "run_key", "value", 10, 5), "j1")
 
 
+TIMED = """, o AS (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top, lag(event_id // 5000) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM ep)"""
+
+
+@query("J1_stream_ending_windows", TIMED + """, sg AS (SELECT *, sum(CASE WHEN event_id // 5000 = k AND t - top <= 43200 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS segment FROM o),
+ r AS (SELECT user_id, segment, value, min(event_id) OVER (PARTITION BY user_id, segment) AS run_start, row_number() OVER (PARTITION BY user_id, segment ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id, segment) AS n FROM sg)
+SELECT user_id::VARCHAR AS group_key, run_start, w AS window_index, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(max(abs(value)), 6) AS peak_abs, round(sqrt(avg(value * value)), 6) AS rms, NULL::BIGINT AS late_row FROM (SELECT *, unnest(range(0, ((n - 3) // 2 + 1)::BIGINT)) AS w FROM r WHERE n >= 3) WHERE i BETWEEN w * 2 AND w * 2 + 2 GROUP BY user_id, run_start, w""")
+def _(spark, d):
+    x = stream(spark, d).withColumn("run_key", F.floor(F.col("event_id") / 5000))
+    return run(spark, j.stream_count_windows(x, "user_id", "event_id", "run_key", "value", 3, 2, time="t", late="1 hour", idle=43200), "j1e")
+
+
 @query("J2_stream_sessions", """, e AS (SELECT user_id, value, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS c FROM events WHERE ts IS NOT NULL),
  s AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id, count(*) AS n_rows, round(sum(value), 6) AS total FROM s GROUP BY user_id, k""")
 def _(spark, d):
@@ -52,6 +63,11 @@ def _(spark, d):
     return run(spark, j.stream_time_guard(stream(spark, d), "user_id", "t", "event_id"), "j3")
 
 
+@query("J3_stream_ending_guard", "SELECT user_id::VARCHAR AS group_key, event_id AS row_id, t, coalesce(t < max(t) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM ep")
+def _(spark, d):
+    return run(spark, j.stream_time_guard(stream(spark, d), "user_id", "t", "event_id", "1 hour", 86400), "j3e")
+
+
 @query("J4_stream_gate", GATED + f"SELECT event_id, gated_alarm, rescue, CASE WHEN prob >= 0.75 THEN 'HIGH' WHEN prob >= 0.25 THEN 'MID' ELSE 'LOW' END AS route, prob < 0.25 AND {UD.format(k='event_id')} < 0.1 AS audited FROM g")
 def _(spark, d):
     x = j.stream_gate(stream(spark, d), "value", "prob", 20, 0.5, 0.25, 0.75, 0.1, ["event_id"])
@@ -70,6 +86,13 @@ def _(spark, d):
     return run(spark, j.stream_first_alarm(x, "user_id", "t", "event_id", "alarm"), "j6")
 
 
+@query("J6_stream_sequence_alarms", GATED + f""", s AS (SELECT *, sum(c) OVER ({W}) AS part FROM (SELECT *, CASE WHEN t - lag(t) OVER ({W}) > 86400 THEN 1 ELSE 0 END AS c FROM g))
+SELECT user_id::VARCHAR AS group_key, event_id AS row_id, t, false AS late FROM (SELECT *, row_number() OVER (PARTITION BY user_id, part ORDER BY t, event_id) AS n FROM s WHERE gated_alarm) WHERE n = 1""")
+def _(spark, d):
+    x = stream(spark, d).withColumn("alarm", (F.col("value") <= 20) & (F.col("prob") >= 0.5))
+    return run(spark, j.stream_sequence_alarms(x, "user_id", "t", "event_id", "alarm", "1 hour", 86400), "j6e")
+
+
 ROLLUP = "SELECT event_type, count(*) AS n_rows, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(sqrt(avg(value * value)), 6) AS rms FROM (SELECT *, t // 86400 AS k FROM ep) GROUP BY event_type, k"
 
 

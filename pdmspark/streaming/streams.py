@@ -30,27 +30,86 @@ def _window_rows(x: np.ndarray, first: Sequence[int], size: int, least: float) -
     return np.stack([mean, np.sqrt((np.where(known, w - mean[:, None], 0.0) ** 2).sum(1) / n), np.where(np.isnan(n), np.nan, np.abs(v).max(1)), np.sqrt((v * v).sum(1) / n)], 1)
 
 
-class _CountWindows(StatefulProcessor):
-    """Keeps the run's key, its number of rows, and the rows from the next window's start on."""
+class _Ending(StatefulProcessor):
+    """Groups that end: with ``idle`` seconds given, a group's state goes once the watermark is over ``idle`` beyond its latest time.
+
+    A row that the watermark has not passed is then further than ``idle`` from what was forgotten, so rows cut at such gaps
+    (``_gaps``) give the same with and without the state: results do not depend on when timers fire.
+    """
+
+    idle: int | None = None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        if self.idle is not None:
+            self.due = handle.getValueState("due", "ms long")
+
+    def _wait(self, latest: int) -> None:
+        """Ends the group at ``latest`` + ``idle`` seconds and not when it was to end before."""
+        if self.idle is None:
+            return
+        ms = (latest + self.idle) * 1000 + 1
+        old = self.due.get()[0] if self.due.exists() else None
+        if ms != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(ms)
+            self.due.update((ms,))
+
+    def _gaps(self, t: np.ndarray, latest: int | None) -> tuple[np.ndarray, int]:
+        """For rows in order: which start anew after over ``idle`` seconds, and the latest time of all."""
+        top = np.maximum.accumulate(np.concatenate([[t[0] if latest is None else latest], t]))
+        return t - top[:-1] > self.idle, int(top[-1])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.due.exists() and self.due.get()[0] == expiredTimerInfo.getExpiryTimeInMs():
+            self.due.clear()
+            self.state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def _with_watermark(stream: DataFrame, time: str, late: str) -> DataFrame:
+    """``stream`` under a watermark. The column that carries it must not reach the stateful operator, which would drop late
+    rows without a word."""
+    return stream.withColumn("_watermark", F.timestamp_seconds(F.col(time).cast("long"))).withWatermark("_watermark", late)
 
-    def __init__(self, size: int, step: int, min_valid: float) -> None:
-        self.size, self.step, self.min_valid = size, step, min_valid
+
+class _CountWindows(_Ending):
+    """Keeps the run's key, first row and number of rows, the rows from the next window's start on, and the group's last
+    row and latest time."""
+
+    def __init__(self, size: int, step: int, min_valid: float, idle: int | None = None) -> None:
+        self.size, self.step, self.min_valid, self.idle = size, step, min_valid, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", "run_key string, segment long, seen long, tail array<double>")
+        super().init(handle)
+        self.state = handle.getValueState("run", "run_key string, segment long, seen long, tail array<double>, run_start long, ordinal long, latest long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        run, segment, seen, tail = (held[0], held[1], held[2], np.array(held[3], "f8")) if held else (None, -1, 0, np.zeros(0))
-        frames = [r for r in rows]
+        held = self.state.get() if self.state.exists() else (None, -1, 0, [], None, None, None)
+        run, segment, seen, tail, start, last, latest = held
+        tail = np.array(tail, "f8")
         out = []
-        if frames:
-            data = pd.concat(frames).sort_values("ordinal", kind="stable")
-            keys, values = data["run_key"].to_numpy(), data["value"].to_numpy("f8")
-            starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+        data = pd.concat([r for r in rows]).sort_values("ordinal", kind="stable")
+        if self.idle is not None:
+            late = data["t"].isna() | (data["t"] * 1000 < timerValues.getCurrentWatermarkInMs())
+            late |= False if last is None else data["ordinal"] < last
+            if late.any():
+                out.append(pd.DataFrame({"group_key": key[0], "late_row": data["ordinal"][late]}))
+                data = data[~late]
+        if len(data):
+            keys, values, ordinals = data["run_key"].to_numpy(), data["value"].to_numpy("f8"), data["ordinal"].to_numpy()
+            anew = np.concatenate([[segment < 0 or keys[0] != run], keys[1:] != keys[:-1]])
+            if self.idle is not None:
+                gaps, latest = self._gaps(data["t"].to_numpy("i8"), latest)
+                anew |= gaps
+            starts = np.unique(np.concatenate([[0], np.flatnonzero(anew)]))
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
-                if segment < 0 or keys[a] != run:
-                    run, segment, seen, tail = keys[a], segment + 1, 0, np.zeros(0)
+                if anew[a]:
+                    run, segment, seen, tail, start = keys[a], segment + 1, 0, np.zeros(0), int(ordinals[a])
                 base = seen - len(tail)  # the run's number of the first row that is held
                 x = np.concatenate([tail, values[a:b]])
                 done = (seen - self.size) // self.step + 1 if seen >= self.size else 0
@@ -58,27 +117,37 @@ class _CountWindows(StatefulProcessor):
                 due = np.arange(done, (seen - self.size) // self.step + 1 if seen >= self.size else 0)
                 if len(due):
                     stats = _window_rows(x, due * self.step - base, self.size, self.min_valid * self.size)
-                    out.append(pd.DataFrame(stats, columns=["mean", "std", "peak_abs", "rms"]).assign(group_key=key[0], segment=segment, window_index=due))
+                    out.append(pd.DataFrame(stats, columns=["mean", "std", "peak_abs", "rms"]).assign(group_key=key[0], segment=segment, run_start=start, window_index=due))
                     done = int(due[-1]) + 1
                 tail = x[min(len(x), max(0, done * self.step - base)) :]
-        self.state.update((run, segment, seen, tail.tolist()))
-        columns = ["group_key", "segment", "window_index", "mean", "std", "peak_abs", "rms"]
-        out = pd.concat(out)[columns] if out else pd.DataFrame([], columns=columns)
-        yield out.astype({c: "Float64" for c in columns[3:]}) if len(out) else out
+            self.state.update((run, segment, seen, tail.tolist(), start, int(ordinals[-1]), latest))
+            self._wait(latest)
+        stats = ["mean", "std", "peak_abs", "rms"]
+        columns = ["group_key", "segment", "window_index", *stats] if self.idle is None else ["group_key", "run_start", "window_index", *stats, "late_row"]
+        if out:
+            whole = {c: "Int64" for c in ("segment", "run_start", "window_index", "late_row") if c in columns}
+            yield pd.concat([x.reindex(columns=columns).astype(whole | {c: "Float64" for c in stats}) for x in out])
 
-    def close(self) -> None:
-        pass
 
-
-def stream_count_windows(stream: DataFrame, by: str, ordinal: str, run_key: str, value: str, size: int, step: int, min_valid: float = 0.8) -> DataFrame:
+def stream_count_windows(stream: DataFrame, by: str, ordinal: str, run_key: str, value: str, size: int, step: int, min_valid: float = 0.8, time: str | None = None, late: str = "1 hour", idle: int = 3600) -> DataFrame:
     """D1, D5 and D6 online: (group_key, segment, window_index, mean, std, peak_abs, rms) of each full window.
 
     As in D6, missing values are left out, and a window with fewer than ``min_valid`` of ``size`` values has null statistics;
     NaN counts as missing. A group's rows must arrive in order of ``ordinal`` from batch to batch; a run that is not over is kept as state.
+
+    With ``time`` (seconds) a run also ends where over ``idle`` seconds pass after the latest row of its group, and its state goes
+    when the watermark, ``late`` behind, is beyond that. Runs then are told apart by ``run_start``, the number of their
+    first row, in place of ``segment``. Rows that the watermark has passed, rows without a time and rows before the last one
+    of an earlier batch take no part; each is a row of the answer with its number in ``late_row``, null for windows.
     """
-    rows = stream.select(F.col(by).cast("string").alias("group_key"), F.col(ordinal).cast("long").alias("ordinal"), F.coalesce(F.col(run_key).cast("string"), F.lit("\0null")).alias("run_key"), F.col(value).cast("double").alias("value"))
-    kind = "group_key string, segment long, window_index long, mean double, std double, peak_abs double, rms double"
-    return rows.groupBy("group_key").transformWithStateInPandas(_CountWindows(size, step, min_valid), kind, "append", "none")
+    rows = [F.col(by).cast("string").alias("group_key"), F.col(ordinal).cast("long").alias("ordinal"), F.coalesce(F.col(run_key).cast("string"), F.lit("\0null")).alias("run_key"), F.col(value).cast("double").alias("value")]
+    stats = "window_index long, mean double, std double, peak_abs double, rms double"
+    if time is None:
+        kind = f"group_key string, segment long, {stats}"
+        return stream.select(*rows).groupBy("group_key").transformWithStateInPandas(_CountWindows(size, step, min_valid), kind, "append", "none")
+    x = _with_watermark(stream, time, late).select(*rows, F.col(time).cast("long").alias("t"))
+    kind = f"group_key string, run_start long, {stats}, late_row long"
+    return x.groupBy("group_key").transformWithStateInPandas(_CountWindows(size, step, min_valid, idle), kind, "append", "eventTime")
 
 
 def stream_sessions(stream: DataFrame, by: Sequence[str], time: str, gap: str, late: str, value: str) -> DataFrame:
@@ -87,8 +156,12 @@ def stream_sessions(stream: DataFrame, by: Sequence[str], time: str, gap: str, l
     return w.agg(F.count(F.lit(1)).alias("n_rows"), F.max(time).alias("last_time"), F.sum(value).alias("total")).select(*by, F.col("_w.start").alias("first_time"), "last_time", "n_rows", "total")
 
 
-class _TimeGuard(StatefulProcessor):
+class _TimeGuard(_Ending):
+    def __init__(self, idle: int | None = None) -> None:
+        self.idle = idle
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.state = handle.getValueState("last", "t long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -99,21 +172,28 @@ class _TimeGuard(StatefulProcessor):
             x = pd.concat(found).sort_values("row_id", kind="stable")
             t = x["t"].to_numpy()
             top = np.maximum.accumulate(np.concatenate([[t[0] if last is None else last], t]))
+            late = t < top[:-1]
+            if self.idle is not None:
+                late |= t * 1000 < timerValues.getCurrentWatermarkInMs()
             self.state.update((int(top[-1]),))
-            yield x.assign(late=t < top[:-1])
-
-    def close(self) -> None:
-        pass
+            self._wait(int(top[-1]))
+            yield x.assign(late=late)
 
 
-def stream_time_guard(stream: DataFrame, by: str, time: str, row: str) -> DataFrame:
+def stream_time_guard(stream: DataFrame, by: str, time: str, row: str, late: str | None = None, idle: int = 3600) -> DataFrame:
     """(group_key, row_id, t, late): late where time ran backwards in its group; equal times are not late.
 
     ``row`` numbers a group's rows in order of arrival: batches come in that order, and rows of one batch are put into
     it. A task holds one group's rows of one batch, which the source's limits a trigger (maxFilesPerTrigger) bound.
+
+    With ``late``, the watermark's delay, a group without rows for over ``idle`` seconds of event time is forgotten, and
+    rows that the watermark has passed are late too. Rows without a time are left out.
     """
-    rows = stream.select(F.col(by).cast("string").alias("group_key"), F.col(row).cast("long").alias("row_id"), F.col(time).cast("long").alias("t"))
-    return rows.groupBy("group_key").transformWithStateInPandas(_TimeGuard(), "group_key string, row_id long, t long, late boolean", "append", "none")
+    rows = [F.col(by).cast("string").alias("group_key"), F.col(row).cast("long").alias("row_id"), F.col(time).cast("long").alias("t")]
+    x = stream.where(F.col(time).isNotNull())
+    x = x.select(*rows) if late is None else _with_watermark(x, time, late).select(*rows)
+    guard, mode = (_TimeGuard(), "none") if late is None else (_TimeGuard(idle), "eventTime")
+    return x.groupBy("group_key").transformWithStateInPandas(guard, "group_key string, row_id long, t long, late boolean", "append", mode)
 
 
 def stream_gate(stream: DataFrame, pred: str, prob: str, limit: float, p_min: float, t_low: float, t_high: float, audit_rate: float, key: Sequence[str]) -> DataFrame:
@@ -161,6 +241,45 @@ def stream_first_alarm(stream: DataFrame, by: str, time: str, row: str, flag: st
     return rows.groupBy("group_key").transformWithStateInPandas(_FirstAlarm(idle_ms), "group_key string, row_id long, t long", "append", "none" if idle_ms is None else "processingTime")
 
 
+class _SequenceAlarm(_Ending):
+    """Keeps the latest time of a sequence and whether its alarm was told."""
+
+    def __init__(self, idle: int) -> None:
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.state = handle.getValueState("sequence", "latest long, told boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest, told = self.state.get() if self.state.exists() else (None, False)
+        x = pd.concat([r for r in rows]).sort_values(["t", "row_id"], kind="stable")
+        late = x["t"] * 1000 < timerValues.getCurrentWatermarkInMs()
+        out = [x[late & x["flag"]].assign(late=True)]
+        x = x[~late]
+        if len(x):
+            gaps, latest = self._gaps(x["t"].to_numpy("i8"), latest)
+            part = np.cumsum(gaps)
+            hits = x.assign(part=part)[x["flag"].to_numpy()].drop_duplicates("part")
+            out.append(hits[(hits["part"] > 0) | (not told)].assign(late=False))
+            told = bool((hits["part"] == part[-1]).any() or (told and part[-1] == 0))
+            self.state.update((latest, told))
+            self._wait(latest)
+        yield pd.concat(out)[["group_key", "row_id", "t", "late"]].astype({"late": bool})
+
+
+def stream_sequence_alarms(stream: DataFrame, by: str, time: str, row: str, flag: str, late: str, idle: int) -> DataFrame:
+    """J6 by event time: (group_key, row_id, t, late) of the first alarm of each sequence, a group's rows between gaps of over
+    ``idle`` seconds (D3). Batches must be in order of time; of equal times the least row comes first.
+
+    A sequence's state goes when the watermark, ``late`` behind, is ``idle`` beyond its last row. Alarms that the watermark has
+    passed belong to no sequence and are told each, with ``late`` true. Rows without a time are left out.
+    """
+    x = _with_watermark(stream.where(F.col(time).isNotNull()), time, late)
+    rows = x.select(F.col(by).cast("string").alias("group_key"), F.col(row).cast("long").alias("row_id"), F.col(time).cast("long").alias("t"), F.coalesce(F.col(flag), F.lit(False)).alias("flag"))
+    return rows.groupBy("group_key").transformWithStateInPandas(_SequenceAlarm(idle), "group_key string, row_id long, t long, late boolean", "append", "eventTime")
+
+
 def rollup(df: DataFrame, by: Sequence[str], time: str, value: str, width: str, slide: str | None = None) -> DataFrame:
     """J7 and its batch form: mean, std (population) and rms per group and event-time window."""
     x = F.col(value).cast("double")

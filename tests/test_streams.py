@@ -117,3 +117,75 @@ def test_windows_with_missing_readings(spark, tmp_path, size, step):
     one = {(y["group_key"], y["segment"], y["window_index"]): tuple(near(y[n]) for n in names) for y in got}
     assert one == {(str(y["g"]), y["segment"], y["window_index"]): tuple(near(y[f"v__{n}"]) for n in names) for y in want}
     assert any(v[0] is None for v in one.values()) and any(v[0] is not None for v in one.values())
+
+
+def timed(spark, folder, batches):
+    """A stream that reads one list of (g, id, t, v) a batch."""
+    kind = "g string, id long, t long, v double"
+    for rows in batches:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def finished(spark, stream, tmp_path, name):
+    """Its rows, and the rows of state that are left at the end."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", j.ROCKSDB)
+    w = stream.writeStream.format("parquet").option("path", f"{tmp_path}/{name}-out").option("checkpointLocation", f"{tmp_path}/{name}-cp")
+    q_ = w.trigger(availableNow=True).start()
+    q_.awaitTermination()
+    left = q_.lastProgress["stateOperators"][0]["numRowsTotal"]
+    return spark.read.schema(stream.schema).parquet(f"{tmp_path}/{name}-out").collect(), left
+
+
+END = [("end", 0, 10**6, 0.0)]
+#: Machine a pauses for 900 s, machine b for 40 s; a row of b comes when the watermark is past it; c has no time once.
+BATCHES = [
+    [("a", 0, 0, 1.0), ("a", 1, 10, 2.0), ("a", 2, 20, 3.0), ("b", 0, 5, 4.0), ("b", 1, 15, None)],
+    [("a", 3, 30, 4.0), ("b", 2, 55, 6.0), ("b", 3, 60, 8.0), ("c", 0, 60, 1.0)],
+    [("a", 4, 930, 5.0), ("a", 5, 940, 7.0), ("a", 6, 940, 9.0)],
+    [("b", 4, 61, 5.0), ("a", 7, 950, 1.0), ("c", 1, None, 1.0)],
+]
+
+
+def test_windows_of_runs_that_end(spark, tmp_path):
+    """Runs end at gaps by event time, late rows come out apart, and no state is left but the last group's."""
+    s = timed(spark, tmp_path, [*BATCHES, END])
+    got, left = finished(spark, j.stream_count_windows(s, "g", "id", "g", "v", 2, 1, 0.5, "t", "50 seconds", 100), tmp_path, "e")
+    windows = {(y["group_key"], y["run_start"], y["window_index"]): y["mean"] for y in got if y["late_row"] is None}
+    want = {("a", 0, 0): 1.5, ("a", 0, 1): 2.5, ("a", 0, 2): 3.5, ("a", 4, 0): 6.0, ("a", 4, 1): 8.0, ("a", 4, 2): 5.0, ("b", 0, 0): 4.0, ("b", 0, 1): 6.0, ("b", 0, 2): 7.0}
+    assert windows == want
+    assert sorted((y["group_key"], y["late_row"]) for y in got if y["late_row"] is not None) == [("b", 4), ("c", 1)]
+    _, alone = finished(spark, j.stream_count_windows(timed(spark, f"{tmp_path}/x", [END]), "g", "id", "g", "v", 2, 1, 0.5, "t", "50 seconds", 100), tmp_path, "x")
+    assert left == alone  # of all groups only the one that moved the watermark is still held
+
+
+def test_windows_that_end_are_the_batch_forms(spark, tmp_path):
+    """The same windows whether the rows come in one batch, where no timer fires between, or in many."""
+    x = spark.range(300).select((F.col("id") % 3).cast("string").alias("g"), "id", (F.col("id") * 5 + F.floor(F.col("id") / 60) * 500).alias("t"), F.sin("id").alias("v"))
+    x.coalesce(1).write.parquet(f"{tmp_path}/one/in")
+    for k in range(10):
+        x.where(F.floor(F.col("id") / 30) == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/many/in")
+    seen = []
+    for name in ("one", "many"):
+        s = spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}/in")
+        got, _ = finished(spark, j.stream_count_windows(s, "g", "id", "g", "v", 6, 4, time="t", late="30 seconds", idle=200), tmp_path, name)
+        seen.append({(y["group_key"], y["run_start"], y["window_index"]): round(y["mean"], 9) for y in got})
+    parts = q.split_on_gap(x, ["g"], ["t"], "t", 200)
+    want = q.count_windows(parts, ["g", "part"], ["id"], 6, 4).groupBy("g", "part", "window_index").agg(F.avg("v").alias("mean")).collect()
+    assert seen[0] == seen[1] and sorted(seen[0].values()) == sorted(round(y["mean"], 9) for y in want) and len(want) == len(seen[0]) > 50
+
+
+def test_guard_forgets_groups(spark, tmp_path):
+    rows = [[*b] for b in BATCHES[:3]] + [[("b", 4, 61, 5.0), ("a", 7, 945, 1.0), ("a", 8, 930, 1.0)], END]
+    got, left = finished(spark, j.stream_time_guard(timed(spark, tmp_path, rows), "g", "t", "id", "50 seconds", 100), tmp_path, "g")
+    assert sorted((y["group_key"], y["row_id"]) for y in got if y["late"]) == [("a", 8), ("b", 4)] and len(got) == 16
+    _, alone = finished(spark, j.stream_time_guard(timed(spark, f"{tmp_path}/x", [END]), "g", "t", "id", "50 seconds", 100), tmp_path, "x")
+    assert left == alone
+
+
+def test_alarms_of_sequences_that_end(spark, tmp_path):
+    s = timed(spark, tmp_path, [*BATCHES, END]).withColumn("f", F.col("v") >= 3)
+    got, left = finished(spark, j.stream_sequence_alarms(s, "g", "t", "id", "f", "50 seconds", 100), tmp_path, "q")
+    assert sorted((y["group_key"], y["row_id"], y["late"]) for y in got) == [("a", 2, False), ("a", 4, False), ("b", 0, False), ("b", 4, True)]
+    _, alone = finished(spark, j.stream_sequence_alarms(timed(spark, f"{tmp_path}/x", [END]).withColumn("f", F.lit(False)), "g", "t", "id", "f", "50 seconds", 100), tmp_path, "x")
+    assert left == alone

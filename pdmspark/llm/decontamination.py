@@ -9,7 +9,9 @@ Which words of a document are hit, and by which items, follows from the windows
 proportion to the texts. The list of all matches pairs every place in a document with every place in an item, which
 is much where both repeat themselves; it is made on request only.
 
-The benchmark is searched in blocks of bounded size, each broadcast and searched in one pass over the documents.
+The benchmark is searched in blocks of bounded size. One block is one pass over the documents. Of several, each is read,
+broadcast, searched, its hits stored and its broadcast destroyed before the next, so memory is that of one block whatever
+the benchmark's size, and the stored documents are read once a block.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import boxed, cut, table, unboxed
+from .common import boxed, cut, fresh_folder, table, unboxed
 
 WINDOW = 13
 #: A block holds about this many bytes of benchmark text, and at least one item.
@@ -197,15 +199,14 @@ def longest(found: np.ndarray) -> np.ndarray:
 MATCHES = "n_words long, matches array<struct<doc_start long, item_id string, item_start long, n_words long>>"
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[Block]:
-    """The benchmark, block by block, so that one block is on the driver at a time."""
+def _blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> tuple[int, Iterator[Block]]:
+    """The number of blocks of the benchmark, and the blocks, each read when it is asked for."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = cut(items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), text.alias("text")))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + int(size) // BLOCK_BYTES
-    for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) if n > 1 else rows
-        yield Block([(r["id"], r["text"]) for r in part.collect()], window)
+    parts = (rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) if n > 1 else rows for k in range(n))
+    return n, (Block([(r["id"], r["text"]) for r in part.collect()], window) for part in parts)
 
 
 HITS = "n_words long, spans array<struct<a long, b long>>, items array<string>"
@@ -253,14 +254,27 @@ def _hitter(shared):
     return search
 
 
-def _searched(df: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, search, kind: str) -> tuple[DataFrame, list[str]]:
-    """``df`` with a column of results for each block of the benchmark, and the names of these."""
-    out, names = df, []
-    for k, block in enumerate(_blocks(items, item_id, item_text, window)):
-        shared = df.sparkSession.sparkContext.broadcast(block)  # bounded by BLOCK_BYTES
-        names.append(f"_block{k}")
-        out = out.withColumn(names[-1], F.pandas_udf(search(shared), kind)(F.col(text_col)))
-    return out, names
+def _searched(df: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, search, kind: str) -> DataFrame:
+    """``df`` with ``_found``: n_words and, for each list of ``kind``, that of all blocks of the benchmark together."""
+    spark = df.sparkSession
+    n, blocks = _blocks(items, item_id, item_text, window)
+    if n == 1:
+        shared = spark.sparkContext.broadcast(next(blocks))  # bounded by BLOCK_BYTES
+        return df.withColumn("_found", F.pandas_udf(search(shared), kind)(F.col(text_col)))
+    folder, hits = fresh_folder(spark, "decontamination-rows"), fresh_folder(spark, "decontamination-hits")
+    df.withColumn("_place", F.monotonically_increasing_id()).write.parquet(folder)
+    held = spark.read.parquet(folder)
+    for k, block in enumerate(blocks):
+        shared = spark.sparkContext.broadcast(block)  # bounded by BLOCK_BYTES
+        found = held.select("_place", F.pandas_udf(search(shared), kind)(F.col(text_col)).alias("_found")).select("_place", "_found.*")
+        # The first block tells the number of words of every document, the others of those with hits alone.
+        (found if k == 0 else found.where(F.size(found.columns[-1]) > 0)).write.mode("append").parquet(hits)
+        shared.destroy()
+        del block
+    found = spark.read.parquet(hits)
+    n_words, lists = F.max("n_words").alias("n_words"), [F.flatten(F.collect_list(c)).alias(c) for c in found.columns[2:]]
+    each = found.groupBy("_place").agg(n_words, *lists)
+    return held.join(each.select("_place", F.struct(*found.columns[1:]).alias("_found")), "_place").drop("_place")
 
 
 def find_matches(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -268,11 +282,10 @@ def find_matches(df: DataFrame, items: DataFrame, text_col: str = "text", item_i
 
     A match tells the item and the first word of the match in the document and in the item. An item of fewer
     words, but not none, is matched as a whole; null and empty texts have no words. Matches never cross
-    documents. An empty benchmark gives no matches.
+    documents. An empty benchmark gives no matches. A benchmark of several blocks is searched when this is called.
     """
-    out, names = _searched(df.drop("n_words", "matches"), items, text_col, item_id, item_text, window, _matcher, MATCHES)
-    matches = F.flatten(F.array(*[f"{n}.matches" for n in names]))
-    return out.withColumns({"n_words": F.col(f"{names[0]}.n_words"), "matches": matches}).drop(*names)
+    out = _searched(df.drop("n_words", "matches"), items, text_col, item_id, item_text, window, _matcher, MATCHES)
+    return out.withColumns({"n_words": F.col("_found.n_words"), "matches": F.col("_found.matches")}).drop("_found")
 
 
 def find_hits(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -281,14 +294,13 @@ def find_hits(df: DataFrame, items: DataFrame, text_col: str = "text", item_id:
     n_hit counts a word once, however many matches cover it. Rows of one item id count as one item. Columns of df with
     these names are replaced. For the rest see ``find_matches``.
     """
-    out, names = _searched(df.drop("n_words", "n_hit", "items", "contaminated"), items, text_col, item_id, item_text, window, _hitter, HITS)
-    spans = F.array_sort(F.flatten(F.array(*[f"{n}.spans" for n in names])))
+    out = _searched(df.drop("n_words", "n_hit", "items", "contaminated"), items, text_col, item_id, item_text, window, _hitter, HITS)
+    spans = F.array_sort("_found.spans")
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
         spans, start, lambda s, x: F.struct(F.greatest(s["end"], x["b"]).alias("end"), (s["n"] + F.greatest(x["b"] - F.greatest(s["end"], x["a"]), F.lit(0))).alias("n"))
     )
-    found = F.array_sort(F.array_distinct(F.flatten(F.array(*[f"{n}.items" for n in names]))))
-    out = out.withColumns({"n_words": F.col(f"{names[0]}.n_words"), "n_hit": covered["n"], "items": found}).drop(*names)
+    out = out.withColumns({"n_words": F.col("_found.n_words"), "n_hit": covered["n"], "items": F.array_sort(F.array_distinct("_found.items"))}).drop("_found")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (HIT_SHARE * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -616,6 +616,31 @@ def test_decontamination(spark, monkeypatch):
     assert max(m["n_words"] for m in best) == 30  # the longest verbatim match is one
 
 
+def test_decontamination_holds_one_block_at_a_time(spark, monkeypatch):
+    """Over 50 blocks: each broadcast is destroyed before the next, the answer's plan searches nothing, rows may repeat."""
+    items = [(k, prose(20, 1000 + k)) for k in range(120)]
+    docs = [(k % 7 or None, prose(30, k) + " " + items[k * 5 % 120][1] + (" " + items[k][1] if k % 2 else "")) for k in range(20)] + [(3, None), (3, "")]
+    x, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    alive, most = set(), []
+    broadcast = spark.sparkContext.broadcast
+
+    def watched(block):
+        shared = broadcast(block)
+        alive.add(shared)
+        most.append(len(alive))
+        destroy = shared.destroy
+        monkeypatch.setattr(shared, "destroy", lambda: (alive.discard(shared), destroy()), raising=False)
+        return shared
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", watched)
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 200)
+    found = decontamination.find_hits(x, b)
+    assert len(most) > 50 and max(most) == 1 and not alive
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().toString()
+    got = sorted((f["n_words"], f["n_hit"], f["items"], f["contaminated"]) for f in found.collect())
+    assert got == sorted(slow_matches([t for _, t in docs], items))
+
+
 def test_repeated_words_take_no_product_of_places():
     block = decontamination.Block([("a", "go " * 20_000), ("b", "go " * 13)])
     mask, pairs = decontamination.Shard(["go " * 50_000, "stop go", None, "x " + "go " * 13], block).hits()

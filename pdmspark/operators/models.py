@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import product
 
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_integer
 from ..functions.quantiles import percentiles
+from ..session import stable
 from .inference import paired_bootstrap
 from .metrics import regression_metrics, roc_auc
 
@@ -64,24 +66,34 @@ def fit_regressors(train: DataFrame, valid: DataFrame, features: Sequence[str],
     return reduce(DataFrame.unionByName, metrics), spark.createDataFrame(rows, "target string, feature string, importance double"), models
 
 
+#: Rows of a bucket within which ``permutation_importance`` moves values, on average.
+BUCKET_ROWS = 100_000
+
+
 def permutation_importance(model, df: DataFrame, features: Sequence[str], y: str, key: Sequence[str], reps: int = 3, seed: int = 42) -> DataFrame:
     """I4: (feature, mean_drop, std_drop) of R2 when one column is shuffled: values move along a hash order of the rows.
 
-    Rows are numbered within hash buckets and a row takes the value of the next row of its bucket, so that no task
-    orders the whole table.
+    Each row with all features and ``y`` is there once for each feature and repetition, and once as it is; all are moved,
+    scored and measured together. A row takes the value of the next row of its hash bucket, the last that of the first, so
+    that no task orders the whole table; a table of up to 1.5 ``BUCKET_ROWS`` rows is one bucket. ``key`` tells rows apart.
     """
-    base = regression_metrics(model.transform(assembled(df, features)), y, "prediction").first()["r2"]
-    out = []
-    for f in features:
-        for r in range(reps):
-            h = hash_integer(*key, seed=f"{seed}-{f}-{r}")
-            w = Window.partitionBy("_b").orderBy("_h", *key)
-            x = df.withColumn("_h", h).withColumn("_b", F.pmod("_h", F.lit(64)))
-            moved = F.coalesce(F.lead(f).over(w), F.first(f).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-            x = x.withColumn("_m", moved).withColumn(f, F.col("_m")).drop("_h", "_b", "_m")
-            out.append((f, float(base - regression_metrics(model.transform(assembled(x, features)), y, "prediction").first()["r2"])))
-    drops = df.sparkSession.createDataFrame(out, "feature string, drop double")
-    return drops.groupBy("feature").agg(F.avg("drop").alias("mean_drop"), F.stddev_pop("drop").alias("std_drop"))
+    whole = where_complete(features, F.col(y).cast("double"))
+    x = df.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(key)], whole.alias("_y"), F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
+    x, keys = x.where(F.col("_y").isNotNull()), [f"_k{n}" for n in range(len(key))]
+    buckets = max(1, round(x.count() / BUCKET_ROWS))
+    turns = F.array(*[F.struct(F.lit(f).alias("_f"), F.lit(r).alias("_r")) for f, r in [(-1, 0), *product(range(len(features)), range(reps))]])
+    x = x.select("*", F.explode(turns).alias("_turn")).select(*keys, "_y", "_x", "_turn.*")
+    x = x.withColumn("_h", hash_integer("_f", "_r", *keys, seed=seed)).withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    w = Window.partitionBy("_f", "_r", "_b").orderBy("_h", *keys)
+    own = F.get("_x", F.col("_f"))
+    x = x.withColumn("_m", F.coalesce(F.lead(own).over(w), F.first(own).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    moved = F.transform("_x", lambda v, n: F.when(n == F.col("_f"), F.col("_m")).otherwise(v))
+    scored = model.transform(x.select("_f", "_r", "_y", array_to_vector(moved).alias("_features")))
+    r2 = stable(regression_metrics(scored, "_y", "prediction", ["_f", "_r"]).select("_f", "r2"))  # a row for each turn
+    base = r2.where("_f < 0").select(F.col("r2").alias("_base"))
+    names = F.array(*[F.lit(f) for f in features])
+    each = r2.where("_f >= 0").groupBy("_f").agg(F.avg("r2").alias("_mean"), F.stddev_pop("r2").alias("std_drop"))
+    return each.crossJoin(base).select(F.get(names, F.col("_f")).alias("feature"), (F.col("_base") - F.col("_mean")).alias("mean_drop"), "std_drop")  # one row
 
 
 def two_stage_ttf(train: DataFrame, df: DataFrame, features: Sequence[str], target: str, q: float = 0.25, trees: int = 20, depth: int = 8, seed: int = 42) -> DataFrame:

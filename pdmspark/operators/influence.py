@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +17,10 @@ from ..functions.prefix import running_sums
 from ..functions.quantiles import percentiles
 from ..session import stable
 
-#: Rows that a task of the first pass makes states of at once, and tasks that first merge the states of one group.
+#: Rows that a task of the first pass makes states of at once, and tasks that share a group of more rows than these.
 HELD, SALTS = 100_000, 64
+#: Groups of a range, on average.
+RANGE_GROUPS = 50_000
 
 
 def _next_known(df: DataFrame, at: str, then: str, value: str, name: str) -> DataFrame:
@@ -72,8 +76,9 @@ def leave_one_group_out_merged(df: DataFrame, group: str, cols: Sequence[str], s
     two, ``finish`` the statistic. ``merge`` is associative and commutative and leaves its arguments as they are; a state
     should be small. Null where there is no other group.
 
-    Rows become states where they are read. Groups are then put in order and cut into ranges: what is outside a group is
-    what comes before and after it in its range, and the other ranges, so nothing is read again for a group.
+    Rows are brought together by group, a group of over ``HELD`` rows in ``SALTS`` tasks, so ``state`` is called about once
+    for ``HELD`` rows of a group and for a smaller one. Groups are then put in order and cut into ranges: what is outside a
+    group is what comes before and after it in its range, and the other ranges, so nothing is read again for a group.
     """
     key = F.when(F.col(group).isNull(), "null").otherwise(F.concat(F.lit("="), F.col(group).cast("string")))
     load, dump = pickle.loads, pickle.dumps
@@ -81,8 +86,12 @@ def leave_one_group_out_merged(df: DataFrame, group: str, cols: Sequence[str], s
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def states(frames: list[pd.DataFrame]) -> pd.DataFrame:
-            found = [(k, dump(state(rows[names].reset_index(drop=True)))) for k, rows in pd.concat(frames).groupby("_k", sort=False)]
-            return pd.DataFrame(found, columns=["_k", "_state"])
+            x = pd.concat(frames)
+            keys = x["_k"].to_numpy()
+            ends = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]  # rows come in order of their keys
+            x = x[["_salt", *names]]
+            found = [(keys[a], x["_salt"].iat[a], dump(state(x.iloc[a:b][names].reset_index(drop=True)))) for a, b in zip([0, *ends], ends, strict=False)]
+            return pd.DataFrame(found, columns=["_k", "_salt", "_state"])
 
         frames, n = [], 0
         for batch in batches:
@@ -145,9 +154,14 @@ def leave_one_group_out_merged(df: DataFrame, group: str, cols: Sequence[str], s
         return pd.DataFrame({"_k": list(x["_k"]), "without": value, "influence": value - others["_whole"].iloc[0]})
 
     rows = df.select(key.alias("_k"), *names)
-    states = rows.mapInPandas(partial, "_k string, _state binary").withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    states = by_key(by_key(states, ["_k", "_salt"]), ["_k"])
-    placed = stable(states.repartitionByRange("_k").withColumn("_range", F.spark_partition_id()))
+    sizes = stable(rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_size")))
+    n_rows, n_groups = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count(F.lit(1))).first()
+    large = sizes.where(F.col("_size") > HELD)  # at most one of HELD rows
+    salt = F.when(F.col("_size").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int")
+    rows = rows.join(F.broadcast(large), "_k", "left").withColumn("_salt", salt).drop("_size")
+    rows = rows.repartition(max(1, math.ceil(n_rows / HELD)), "_k", "_salt").sortWithinPartitions("_k", "_salt")
+    states = by_key(rows.mapInPandas(partial, "_k string, _salt int, _state binary"), ["_k"])
+    placed = stable(states.repartitionByRange(max(1, math.ceil(n_groups / RANGE_GROUPS)), "_k").withColumn("_range", F.spark_partition_id()))
     ranges = placed.groupBy("_range").applyInPandas(together(["_range"]), "_range int, _state binary")
     others = stable(ranges.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(rest, "_range int, _rest binary, _whole double"))  # one state a range
     out = placed.groupBy("_range").cogroup(others.groupBy("_range")).applyInPandas(each, "_k string, without double, influence double")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import random
+import tempfile
 
 import numpy as np
 import pytest
@@ -58,3 +60,21 @@ def test_any_mergeable_statistic(spark, monkeypatch):
     one = leave_one_group_out_merged(x.where("g = 3"), "g", ["v"], largest, lambda a, b: sorted(a + b)[-3:], mean).collect()
     assert [tuple(r) for r in one] == [(3, None, None)]
     assert leave_one_group_out_merged(x.where("false"), "g", ["v"], largest, lambda a, b: sorted(a + b)[-3:], mean).count() == 0
+
+
+def test_states_are_made_once_a_group(spark, tmp_path, monkeypatch):
+    """Groups whose rows lie in all tasks are brought together first; only a large one has more states."""
+    monkeypatch.setattr(influence, "HELD", 100)
+    monkeypatch.setattr(influence, "RANGE_GROUPS", 20)
+    folder = str(tmp_path)
+
+    def counted(rows):
+        os.close(tempfile.mkstemp(dir=folder)[0])
+        return largest(rows)
+
+    rows = [(k % 60, float(k * 7919 % 601)) for k in range(600)] + [(60, float(k)) for k in range(500)]
+    x = spark.createDataFrame(rows, "g long, v double").repartition(8)
+    mean = lambda v: sum(v) / len(v) if v else None
+    got = {r["g"]: r["without"] for r in leave_one_group_out_merged(x, "g", ["v"], counted, lambda a, b: sorted(a + b)[-3:], mean).collect()}
+    assert got == {g: mean(sorted(v for h, v in rows if h != g)[-3:]) for g in range(61)}
+    assert len(os.listdir(folder)) <= 60 + influence.SALTS + 12  # a group may lie across two runs of HELD rows

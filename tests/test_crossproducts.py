@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,47 @@ def test_budgets_of_all_replicates(spark, scored, block, monkeypatch):
                 budget, reviewed, hits = budget - take, reviewed + take, hits + take * r[3]
         assert got[rep] == (reviewed, hits)
     assert [tuple(r)[1:] for r in inference.rank_bootstrap(df.limit(0), "g", "s", "rank", "y", 0.2, 2).collect()] == [(0, 0, None)] * 2
+
+
+def test_vectors_are_the_draws(spark, scored, monkeypatch):
+    """Draws are dealt in many tasks and blocks; a group's vectors say how often each replicate drew it."""
+    monkeypatch.setattr(inference, "HELD", 64)
+    monkeypatch.setattr(inference, "BLOCK_DRAWS", 120)
+    _, df = scored
+    for strata in (None, "s"):
+        x = df.where("s is null or g % 3 > 0").withColumn("s", F.when(F.col("g") < 9, F.lit("p")).when(F.col("g") < 20, F.lit("q")))
+        got = {}
+        for g, m in inference.drawn_vectors(x, "g", 31, strata=strata).collect():
+            for rep, n in enumerate(inference._unpack(pa.array([bytes(m)], pa.binary()), 31)[0].tolist()):
+                got[rep, g] = got.get((rep, g), 0) + n
+        assert {k: n for k, n in got.items() if n} == {(r["rep"], r["g"]): r["multiplicity"] for r in inference.draws(x, "g", 31, strata=strata).collect()}
+        # Each replicate draws as many groups as there are, null among them.
+        g = inference.numbered_groups(x, "g", strata)
+        assert inference._picks(g, 31, 42).rdd.getNumPartitions() == math.ceil(g.count() * 31 / 64)
+
+
+def test_multiplicities_beyond_a_half_byte():
+    codes = np.array([0] * 40 + [3] * 15 + [5], "i4")  # two groups of three replicates
+    out = inference._vectors(3, 2)(pa.table({"block": pa.array([4], pa.int64()), "codes": pa.array([codes.tobytes()], pa.binary())}))
+    total = np.zeros((2, 3), int)
+    for at, m in zip(out.column("_at").to_pylist(), inference._unpack(out.column("_m").combine_chunks(), 3), strict=True):
+        total[at - 8] += m
+    assert total.tolist() == [[40, 0, 0], [15, 0, 1]]
+
+
+def test_areas_where_a_score_lies_in_several_ranges(spark, scored, monkeypatch):
+    rows, df = scored
+    want = {r["rep"]: tuple(r) for r in inference.paired_bootstrap(df, "g", "y", "a", "b", 12).collect()}
+    monkeypatch.setattr(inference, "RANGE_ROWS", 9)
+    got = {r["rep"]: tuple(r) for r in inference.paired_bootstrap(df, "g", "y", "a", "b", 12).collect()}
+    assert got.keys() == want.keys() and all(abs(p - q) < 1e-12 for k in want for p, q in zip(got[k], want[k], strict=True))
+
+
+def test_sums_of_infinite_values_and_of_groups_not_drawn(spark):
+    rows = [(g, math.inf if g == 3 else float(g)) for g in range(6)] + [(None, 5.0), (2, None)]
+    x = spark.createDataFrame(rows, "g int, v double")
+    got = {r["rep"]: r["value"] for r in inference.cluster_bootstrap(x, "g", inference.weighted_mean("v"), 40).collect()}
+    m = times(x, 40)
+    for rep in range(40):
+        known = [(v, m.get((rep, g), 0)) for g, v in rows if g is not None and v is not None and (rep, g) in m]
+        assert abs(got[rep] - sum(v * n for v, n in known) / sum(n for _, n in known)) < 1e-12 or got[rep] == math.inf == sum(v * n for v, n in known)

@@ -277,3 +277,23 @@ def test_two_cuts_of_equal_accuracy_are_told_apart_by_macro_f1(spark):
 
         best = max((*scores(p, n), -p, -n) for j, p in enumerate(cuts) for n in cuts[j + 1 :])
         assert (round(got["balanced_accuracy"], 9), round(got["macro_f1"], 9), -got["t1"], -got["t2"]) == best
+
+
+def test_screen_computes_its_rows_once(spark):
+    """Folds and sets read rows that were computed once, and rows that are alike stay apart."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def met(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    x = spark.createDataFrame([(k % 9, k % 2, float(k % 5), float(k % 7), k % 3 + 1) for k in range(126)], "g int, y int, a double, b double, fold int")
+    got = {r["feature_set"]: r for r in i.feature_set_screen(x.mapInArrow(met, x.schema), {"one": ["a"], "two": ["a", "b"]}, "y", "fold", "g", "one", 20).collect()}
+    assert calls.value == 126
+    assert got["one"]["mean_gain"] == got["one"]["gain_lower"] == got["one"]["gain_upper"] == 0
+    each = i.logistic_oof(x, ["a", "b"], "y", "fold")
+    assert got["two"]["auc"] == pytest.approx(m.roc_auc(each, "y", "oof_probability").first()["auc"])
+    pair = i.logistic_oof(x.withColumn("n", F.monotonically_increasing_id()), ["a"], "y", "fold").withColumnRenamed("oof_probability", "p1").join(i.logistic_oof(x.withColumn("n", F.monotonically_increasing_id()), ["a", "b"], "y", "fold").select("n", F.col("oof_probability").alias("p2")), "n")
+    want = h.paired_bootstrap(pair, "g", "y", "p1", "p2", 20).agg(F.avg("difference")).first()[0]
+    assert got["two"]["mean_gain"] == pytest.approx(want)

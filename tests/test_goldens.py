@@ -297,3 +297,14 @@ def test_screen_computes_its_rows_once(spark):
     pair = i.logistic_oof(x.withColumn("n", F.monotonically_increasing_id()), ["a"], "y", "fold").withColumnRenamed("oof_probability", "p1").join(i.logistic_oof(x.withColumn("n", F.monotonically_increasing_id()), ["a", "b"], "y", "fold").select("n", F.col("oof_probability").alias("p2")), "n")
     want = h.paired_bootstrap(pair, "g", "y", "p1", "p2", 20).agg(F.avg("difference")).first()[0]
     assert got["two"]["mean_gain"] == pytest.approx(want)
+
+
+def test_equal_importances_tie_wherever_their_rows_lie(spark, tmp_path):
+    from pdmspark.plans import queries
+
+    rows = [(0, 1, 0.1), (1, 1, 0.2), (2, 1, 0.3), (5, 2, 0.3), (4, 2, 0.2), (3, 2, 0.1)]
+    x = spark.createDataFrame(rows, "event_id long, user_id long, value double").coalesce(1)
+    x = x.selectExpr("event_id", "timestamp'2024-01-01' as ts", "user_id", "'view' as event_type", "value", "'{\"k\": 1}' as props")
+    x.write.parquet(f"{tmp_path}/events.parquet")
+    got = queries()["E24_rank_features"](spark, str(tmp_path)).collect()
+    assert [(r["feature"], r["mean_rank"], r["aggregate_rank"]) for r in sorted(got)] == [(1, 1.0, 1), (2, 1.0, 2)]

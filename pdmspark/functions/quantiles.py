@@ -8,10 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stable
+
 #: Places of the sketch are right to one part in so many of a group's rows; brackets are MARGIN such parts to each side.
 ACCURACY, MARGIN = 10_000, 3
 #: Groups of up to so many rows are sorted whole: there the margin is less than the two rows that interpolation needs.
 SMALL = 2 * ACCURACY // MARGIN
+#: Brackets of up to so many groups go to all tasks. Of more groups, those of over LARGE rows do.
+BROADCAST_GROUPS, LARGE = 10_000, 250_000
 
 
 def _joined(left: DataFrame, right: DataFrame, by: Sequence[str], how: str) -> DataFrame:
@@ -23,6 +27,18 @@ def _joined(left: DataFrame, right: DataFrame, by: Sequence[str], how: str) -> D
     return left.join(right, same, how).drop(*[f"_by{i}" for i in range(len(by))])
 
 
+def _bracketed(x: DataFrame, sketch: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows with their group's brackets; rows of a large group stay where they are, so that no task gets them all."""
+    if not by:
+        return _joined(x, sketch.drop("_q_n"), by, "inner")
+    sketch = stable(sketch)
+    if sketch.count() <= BROADCAST_GROUPS:
+        return _joined(x, F.broadcast(sketch.drop("_q_n")), by, "inner")
+    large, rest = (sketch.where(c).drop("_q_n") for c in (F.col("_q_n") > LARGE, F.col("_q_n") <= LARGE))
+    marked = _joined(x, F.broadcast(large), by, "left")
+    return marked.where("_q_b is not null").unionByName(_joined(marked.where("_q_b is null").drop("_q_b"), rest, by, "inner"))
+
+
 def percentiles(df: DataFrame, by: Sequence[str], value: Column, probs: Mapping[str, float], higher: Mapping[str, float] | None = None) -> DataFrame:
     """(by, name...): linearly interpolated quantiles; those of ``higher`` are the next real value at or above the place.
 
@@ -38,8 +54,8 @@ def percentiles(df: DataFrame, by: Sequence[str], value: Column, probs: Mapping[
     sketch = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_q_n"), F.percentile_approx(plain, edges, ACCURACY).alias("_q_e"))
     small = F.col("_q_n") <= SMALL
     bracket = lambda i, p: F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_q_n") - 1)).alias("place"), F.when(small, -inf).otherwise(F.col("_q_e")[2 * i]).alias("low"), F.when(small, inf).otherwise(F.col("_q_e")[2 * i + 1]).alias("high"))
-    sketch = sketch.select(*by, F.array(*[bracket(i, p) for i, p in enumerate(wanted.values())]).alias("_q_b"))
-    y = _joined(x, sketch, by, "inner")
+    sketch = sketch.select(*by, F.array(*[bracket(i, p) for i, p in enumerate(wanted.values())]).alias("_q_b"), "_q_n")
+    y = _bracketed(x, sketch, by)
     n_below = [F.count_if(F.col("_q_v") < F.col("_q_b")[i]["low"]) for i in range(len(wanted))]
     below = y.groupBy(*by).agg(F.array(*n_below).alias("_q_below"))
     here = F.filter("_q_b", lambda b: (F.col("_q_v") >= b["low"]) & ((F.col("_q_v") <= b["high"]) | (b["high"] == inf)))

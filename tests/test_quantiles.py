@@ -65,3 +65,19 @@ def test_brackets_of_large_groups(spark, monkeypatch):
     nan = df.withColumn("v", F.when(F.col("v") > 1, F.lit(float("nan"))).otherwise(F.col("v")))
     r = percentiles(nan.where("g = 'gauss'"), [], F.col("v"), {"m": 0.5, "top": 0.99}).first()
     assert r["m"] == got["gauss"]["e"] and math.isnan(r["top"])
+
+
+def test_rows_of_large_groups_are_not_moved(spark, monkeypatch):
+    """Rows meet their brackets where they are: of all groups where these are few, of large ones where there are many."""
+    rows = [(k % 2, float(k * 7 % 1009)) for k in range(6000)] + [(None, float(k)) for k in range(4001)] + [(g, 1.0 * g) for g in range(10, 60)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(4)
+    want = {g: np.median([v for h, v in rows if h == g]) for g, _ in rows}
+    monkeypatch.setattr(quantiles, "LARGE", 2000)
+    x = df.where("v is not null").select("g", F.col("v").alias("_q_v"))
+    sketch = df.groupBy("g").agg(F.count("v").alias("_q_n"), F.array(F.lit(1)).alias("_q_b"))
+    for most in (100, 10):
+        monkeypatch.setattr(quantiles, "BROADCAST_GROUPS", most)
+        assert {r["g"]: r["m"] for r in percentiles(df, ["g"], F.col("v"), {"m": 0.5}).collect()} == want
+        y = quantiles._bracketed(x, sketch, ["g"])
+        sizes = y.groupBy(F.spark_partition_id()).agg(F.count(F.when(F.col("g").isNull(), 1)).alias("n")).where("n > 0").collect()
+        assert y.count() == len(rows) and len(sizes) == 4 and max(r["n"] for r in sizes) < 2000

@@ -17,6 +17,8 @@ from ..functions.hashing import hash_uniform
 from ..functions.scalar import gate
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Groups of J6 by event time share state in so many buckets.
+BUCKETS = 2048
 
 
 def _window_rows(x: np.ndarray, first: Sequence[int], size: int, least: float) -> np.ndarray:
@@ -241,43 +243,93 @@ def stream_first_alarm(stream: DataFrame, by: str, time: str, row: str, flag: st
     return rows.groupBy("group_key").transformWithStateInPandas(_FirstAlarm(idle_ms), "group_key string, row_id long, t long", "append", "none" if idle_ms is None else "processingTime")
 
 
-class _SequenceAlarm(_Ending):
-    """Keeps the latest time of a sequence and whether its alarm was told."""
+class _SequenceAlarm(StatefulProcessor):
+    """Keeps, for a bucket of groups, the latest time of each group's sequence and whether its alarm was told.
+
+    Calls for state cost far more than rows, so groups share them. A group's sequence goes when the watermark is over ``idle``
+    beyond its latest time, by a timer at the end of the first one, or when its bucket has rows; rows are cut at the same gaps,
+    so results do not depend on when that is.
+    """
 
     def __init__(self, idle: int) -> None:
         self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.state = handle.getValueState("sequence", "latest long, told boolean")
+        self.handle = handle
+        self.state = handle.getValueState("sequences", "groups array<string>, latest array<long>, told array<boolean>, due long")
+
+    def _held(self) -> tuple[pd.DataFrame, int | None]:
+        groups, latest, told, due = self.state.get() if self.state.exists() else ([], [], [], None)
+        return pd.DataFrame({"latest": np.array(latest, "i8"), "told": np.array(told, bool)}, index=pd.Index(list(groups), dtype=object)), due
+
+    def _keep(self, held: pd.DataFrame, due: int | None, watermark: int, fired: bool = False) -> None:
+        """Forgets what has ended, and waits for the next end."""
+        ends = (held["latest"] + self.idle) * 1000 + 1
+        held, ends = held[ends > watermark], ends[ends > watermark]
+        soon = int(ends.min()) if len(ends) else None
+        if soon != due or fired:
+            if due is not None and not fired:
+                self.handle.deleteTimer(due)
+            if soon is not None:
+                self.handle.registerTimer(soon)
+        if len(held):
+            self.state.update((held.index.tolist(), held["latest"].tolist(), held["told"].tolist(), soon))
+        else:
+            self.state.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest, told = self.state.get() if self.state.exists() else (None, False)
-        x = pd.concat([r for r in rows]).sort_values(["t", "row_id"], kind="stable")
-        late = x["t"] * 1000 < timerValues.getCurrentWatermarkInMs()
+        held, due = self._held()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        # A missing group is one of its own; its key in the state is "0", that of a name is "1" and the name.
+        x = pd.concat([r for r in rows])
+        x = x.assign(own=("1" + x["group_key"].astype(object)).where(x["group_key"].notna(), "0")).sort_values(["own", "t", "row_id"], kind="stable")
+        late = x["t"] * 1000 < watermark
         out = [x[late & x["flag"]].assign(late=True)]
         x = x[~late]
         if len(x):
-            gaps, latest = self._gaps(x["t"].to_numpy("i8"), latest)
-            part = np.cumsum(gaps)
-            hits = x.assign(part=part)[x["flag"].to_numpy()].drop_duplicates("part")
-            out.append(hits[(hits["part"] > 0) | (not told)].assign(late=False))
-            told = bool((hits["part"] == part[-1]).any() or (told and part[-1] == 0))
-            self.state.update((latest, told))
-            self._wait(latest)
+            own, t = x["own"].to_numpy(object), x["t"].to_numpy("i8")
+            first = np.concatenate([[True], own[1:] != own[:-1]])
+            before = held.reindex(own[first])
+            known = before["latest"].notna().to_numpy()
+            # Rows are in order of time: the latest before a row is the row before it, or what is held if that is later.
+            number = np.cumsum(first) - 1
+            kept = np.where(known, before["latest"].fillna(0).to_numpy("i8"), t[first])
+            last = np.where(first, kept[number], np.concatenate([[0], t[:-1]]))
+            part = np.cumsum(t - np.maximum(last, kept[number]) > self.idle)
+            part -= np.where(first, part - (t - kept[number] > self.idle), 0)[np.flatnonzero(first)][number]
+            told = known & before["told"].eq(True).to_numpy()
+            hits = x.assign(part=part, told=told[number])[x["flag"].to_numpy()].drop_duplicates(["own", "part"])
+            out.append(hits[(hits["part"] > 0) | ~hits["told"]].assign(late=False))
+            final = np.concatenate([np.flatnonzero(first)[1:] - 1, [len(t) - 1]])
+            hit = pd.MultiIndex.from_arrays([own[final], part[final]]).isin(pd.MultiIndex.from_frame(hits[["own", "part"]]))
+            now = pd.DataFrame({"latest": np.maximum(kept, t[final]), "told": hit | (told & (part[final] == 0))}, index=pd.Index(own[final], dtype=object))
+            held = pd.concat([held[~held.index.isin(now.index)], now])
+            self._keep(held, due, watermark)
         yield pd.concat(out)[["group_key", "row_id", "t", "late"]].astype({"late": bool})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, due = self._held()
+        if due == expiredTimerInfo.getExpiryTimeInMs():
+            self._keep(held, due, timerValues.getCurrentWatermarkInMs(), True)
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
 
-def stream_sequence_alarms(stream: DataFrame, by: str, time: str, row: str, flag: str, late: str, idle: int) -> DataFrame:
+def stream_sequence_alarms(stream: DataFrame, by: str, time: str, row: str, flag: str, late: str, idle: int, buckets: int = BUCKETS) -> DataFrame:
     """J6 by event time: (group_key, row_id, t, late) of the first alarm of each sequence, a group's rows between gaps of over
     ``idle`` seconds (D3). Batches must be in order of time; of equal times the least row comes first.
 
     A sequence's state goes when the watermark, ``late`` behind, is ``idle`` beyond its last row. Alarms that the watermark has
     passed belong to no sequence and are told each, with ``late`` true. Rows without a time are left out.
+    Groups are dealt to ``buckets`` by hash, each of which has its state, and a batch's rows of it, in one task; a stream
+    must keep their number.
     """
     x = _with_watermark(stream.where(F.col(time).isNotNull()), time, late)
     rows = x.select(F.col(by).cast("string").alias("group_key"), F.col(row).cast("long").alias("row_id"), F.col(time).cast("long").alias("t"), F.coalesce(F.col(flag), F.lit(False)).alias("flag"))
-    return rows.groupBy("group_key").transformWithStateInPandas(_SequenceAlarm(idle), "group_key string, row_id long, t long, late boolean", "append", "eventTime")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("group_key"), F.lit(buckets)))
+    return rows.groupBy("bucket").transformWithStateInPandas(_SequenceAlarm(idle), "group_key string, row_id long, t long, late boolean", "append", "eventTime")
 
 
 def rollup(df: DataFrame, by: Sequence[str], time: str, value: str, width: str, slide: str | None = None) -> DataFrame:

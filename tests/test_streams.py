@@ -189,3 +189,24 @@ def test_alarms_of_sequences_that_end(spark, tmp_path):
     assert sorted((y["group_key"], y["row_id"], y["late"]) for y in got) == [("a", 2, False), ("a", 4, False), ("b", 0, False), ("b", 4, True)]
     _, alone = finished(spark, j.stream_sequence_alarms(timed(spark, f"{tmp_path}/x", [END]).withColumn("f", F.lit(False)), "g", "t", "id", "f", "50 seconds", 100), tmp_path, "x")
     assert left == alone
+
+
+def test_alarms_of_groups_that_share_state(spark, tmp_path):
+    """Groups of one bucket do not touch each other, missing and empty names included, and most of state calls are shared."""
+    names = ["a", "b", "", None, "0", "1"]
+    data = [(names[k * 7 % 6], k, k * 9 + (k % 5), float(k * 13 % 4)) for k in range(400)]
+    x = spark.createDataFrame(data, "g string, id long, t long, v double")
+    for k in range(5):
+        x.where(F.floor(F.col("id") / 80) == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withColumn("f", F.col("v") >= 3)
+    want, top, told = [], {}, {}
+    for g, k, t, v in sorted(data, key=lambda r: (r[2], r[1])):
+        if g in top and t - top[g] > 50:
+            told[g] = False
+        if v >= 3 and not told.get(g):
+            want.append((g, k, False))
+            told[g] = True
+        top[g] = t
+    for buckets in (1, 3):
+        got, _ = finished(spark, j.stream_sequence_alarms(s, "g", "t", "id", "f", "50 seconds", 50, buckets), tmp_path, f"q{buckets}")
+        assert sorted((str(y["group_key"]), y["row_id"], y["late"]) for y in got) == sorted((str(g), k, late) for g, k, late in want) and len(want) > 10

@@ -147,3 +147,53 @@ def test_learning_pays(spark):
     got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 250).collect()
     bits = {r["id"]: r["bits_per_byte"] for r in got}
     assert max(bits[k] for k in range(250, 300)) < 1.0 < 3.0 < bits[900]
+
+
+@pytest.mark.parametrize("chunk", [2_000, 1 << 20])
+def test_contexts_across_texts(spark, chunk, monkeypatch):
+    """A text that training texts have as well costs next to nothing, one that only they themselves have what it cost before."""
+    monkeypatch.setattr(lm, "PART_TOKENS", 300)
+    rng = random.Random(4)
+    text = lambda n=120: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    docs = {k: text() for k in range(60)}
+    docs[2] = text(500)
+    docs[100], docs[101], docs[102] = docs[0].upper(), docs[1], "\n".join([text(40), docs[2], text(40)])
+    docs[103], docs[104], docs[105] = (x := text()), x, None
+    docs[106], docs[109] = " ".join([text(1)] * 400), docs[3]
+    rows = [*docs.items(), (107, "one two three four"), (108, "one two three four")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = [1, 100, 103, 104]  # 103 and 104 are copies that no training text has
+    got = {}
+    for across in (False, True):
+        for r in lm.score_texts(df, ~F.col("doc_id").isin(held), chunk_bytes=chunk, across=across).collect():
+            got[r["id"], across] = r
+    assert len(got) == 2 * len(rows)
+    gain = {k: got[k, True]["score"] - got[k, False]["score"] for k, _ in rows}
+    assert all(abs(gain[k]) < 1e-6 for k in [0, 101, *range(4, 60), 103, 104, 105, 106])  # 0 and 101 are the only training texts of their kind
+    for k in (1, 100, 3, 109):
+        assert got[k, True]["score"] > 0.1 * got[k, False]["score"], k
+    assert all(got[k, True]["score"] > 0.5 * got[k, False]["score"] for k in (2, 102))  # a long passage of theirs
+    assert gain[107] > 0 and gain[108] > 0
+    assert all(got[k, True][c] == got[k, False][c] for k, _ in rows for c in ("n_tokens", "n_known", "train_tokens"))
+
+
+def test_runs_are_those_of_their_words():
+    """Places and digests depend on words alone: not on the part, the numbers of the words or what stands before."""
+    rng = random.Random(5)
+    texts = [[b"%d" % rng.randrange(40) for _ in range(n)] + [b""] for n in (0, 1, 2, 3, 4, 90, 200)]
+    texts += [texts[-1][50:], texts[-1]]
+
+    def runs(some):
+        number = {}
+        ids = np.array([number.setdefault(w, len(number)) for t in some for w in t], "i8")
+        first, end, doc, key, digest = lm._runs(ids, np.array([len(t) for t in some], "i8"), lm._word_hashes(list(number)))
+        flat = [w for t in some for w in t]
+        return doc.tolist(), [(k, d, flat[f - 3 : f], flat[f:e]) for f, e, k, d in zip(first, end, key.tolist(), digest.tolist(), strict=True)]
+
+    doc, together = runs(texts)
+    assert together == [r for t in texts for r in runs([t])[1]]
+    assert doc[0] == 3 and all(r[3] for r in together)
+    for t, text in enumerate(texts):
+        assert [w for d, r in zip(doc, together, strict=True) if d == t for w in r[3]] == text[3:]
+    by_words = {(tuple(r[2]), tuple(r[3])): r[:2] for r in together}
+    assert len(set(by_words.values())) == len(by_words) and all(by_words[tuple(r[2]), tuple(r[3])] == r[:2] for r in together)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -197,3 +199,43 @@ def test_runs_are_those_of_their_words():
         assert [w for d, r in zip(doc, together, strict=True) if d == t for w in r[3]] == text[3:]
     by_words = {(tuple(r[2]), tuple(r[3])): r[:2] for r in together}
     assert len(set(by_words.values())) == len(by_words) and all(by_words[tuple(r[2]), tuple(r[3])] == r[:2] for r in together)
+
+
+def test_no_shuffle_files_are_left(spark):
+    """What earlier steps shuffled is gone when the scores are about to be made, and the session's option is as it was."""
+    files = lambda: set(re.findall(r"/(shuffle_\w+)", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    df = spark.createDataFrame([(k, prose(60, k % 20)) for k in range(60)], "doc_id long, text string").repartition(3).localCheckpoint()
+    before, option_before = files(), spark.conf.get(option, None)
+    scores = lm.score_texts(df, F.col("doc_id") < 50, across=True)
+    end = time.time() + 10
+    while (left := files() - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(option, None) == option_before
+    assert scores.count() == 60
+
+
+def test_runs_are_shuffled_once(spark, tmp_path):
+    """Guesses, and what they are right about, for runs of two keys; the rows that chunks get come from one shuffle."""
+    rows = [(1, 10, 0, 2, 2), (1, 10, 1, 1, 1), (1, 11, 0, 3, 4), (1, 12, 1, 1, 1), (2, 20, 0, 1, 1), (3, 30, 0, 0, 1), (3, 31, 1, 0, 1), (4, 40, 1, 2, 2)]
+    runs = spark.createDataFrame(rows, "key long, digest long, chunk long, n long, docs int").withColumn("no", F.lit(-1))
+    runs.write.parquet(str(tmp_path / "runs"))
+    sent, right = lm._guesses(spark.read.parquet(str(tmp_path / "runs")))
+    want = [(0, 1, 10, 3, 11, 3, 7), (1, 1, 10, 3, 11, 3, 7), (1, 4, 40, 2, 0, 0, 2)]
+    assert sorted(tuple(r) for r in sent.select("chunk", *lm.GUESS).collect()) == want and len(right) == (len(lm.SUPPORT) + 1) * lm.SHARES
+    assert "Exchange" not in sent._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packs_of_scores():
+    """A chunk's words come back from its packs, whatever tasks held them and in whatever order."""
+    rng = np.random.default_rng(6)
+    chunk, no = np.repeat(np.array([7 << 32, (7 << 32) + 1, 0]), 500), np.tile(rng.integers(0, 2**31 - 1, 500).astype("i4"), 3)
+    n, log = rng.integers(0, 1 << 40, 1500), rng.normal(size=1500).astype("f4")
+    mix = rng.permutation(1500)
+    rows = [x[mix] for x in (chunk, no, n, log)]
+    batch = lm._by_chunk([tuple(x[:700] for x in rows), tuple(x[700:] for x in rows)])
+    got = set()
+    for c, size, blob in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+        got |= {(c, *r) for r in zip(*[x.tolist() for x in lm._opened(blob, size)], strict=True)}
+    assert batch.num_rows == 3 and got == set(zip(*[x.tolist() for x in (chunk, no, n, log)], strict=True))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import perturb_arms
@@ -228,11 +227,9 @@ def _(spark, d):
 @query("E24_rank_features", ", x AS (SELECT event_type AS target, user_id AS feature, avg(value) AS importance FROM ep GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY target ORDER BY importance DESC) AS k FROM x), a AS (SELECT feature, count(*) FILTER (k <= 10) AS n_top, avg(k) AS mean_rank, avg(importance) AS mean_importance FROM r GROUP BY feature) SELECT feature, n_top, round(mean_rank, 6) AS mean_rank, round(mean_importance, 6) AS mean_importance, (row_number() OVER (ORDER BY n_top DESC, mean_rank, mean_importance DESC, feature))::INT AS aggregate_rank FROM a")
 def _(spark, d):
     # Ranks tell apart means that differ in the last bit, so values are added up in the order of events, wherever they lie.
-    x, keys = endpoints(spark, d), ["event_type", "user_id"]
-    upto = Window.partitionBy(*keys).orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.select(*keys, "event_id", F.struct(F.sum("value").over(upto).alias("s"), F.count("value").over(upto).alias("n")).alias("_v"))
-    x = x.groupBy(*keys).agg(F.max_by("_v", "event_id").alias("_v")).withColumn("importance", m.ratio(F.col("_v.s"), F.col("_v.n")))
-    x = x.withColumnsRenamed({"event_type": "target", "user_id": "feature"})
+    keys = ["event_type", "user_id"]
+    x = endpoints(spark, d).select(*keys, m.mean_so_far("value", keys, ["event_id", "value"]).alias("_m"))
+    x = x.groupBy(F.col("event_type").alias("target"), F.col("user_id").alias("feature")).agg(F.max("_m")["mean"].alias("importance"))
     return m.rank_features(x, "target", "feature", "importance", 10)
 
 

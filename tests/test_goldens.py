@@ -308,3 +308,36 @@ def test_equal_importances_tie_wherever_their_rows_lie(spark, tmp_path):
     x.write.parquet(f"{tmp_path}/events.parquet")
     got = queries()["E24_rank_features"](spark, str(tmp_path)).collect()
     assert [(r["feature"], r["mean_rank"], r["aggregate_rank"]) for r in sorted(got)] == [(1, 1.0, 1), (2, 1.0, 2)]
+
+
+def test_ranks_do_not_depend_on_partitions(spark):
+    """Mean importances are added up in the order of targets, whichever tasks hold them."""
+    rows = [(f"t{t}", f, 1 / (1 + (7 * t + f % 5) % 13)) for f in range(20) for t in range(9)]
+    x = spark.createDataFrame(rows, "target string, feature int, importance double")
+    want = dict.fromkeys(range(20), 0.0)
+    for t, f, v in sorted(rows):
+        want[f] += v
+    want = {f: v / 9 for f, v in want.items()}
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (1, 5, 13):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert {r["feature"]: r["mean_importance"] for r in m.rank_features(x, "target", "feature", "importance", 3).collect()} == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_importances_of_events_without_or_with_equal_ids(spark, tmp_path):
+    import duckdb
+
+    from pdmspark.plans import oracle_sql, queries
+
+    rows = [(None, 1, 1.0), (None, 1, 3.0), (7, 2, 8.0), (7, 2, 2.0), (7, 2, 5.0), (1, 3, None), (2, None, 2.0), (3, 4, None)]
+    x = spark.createDataFrame(rows, "event_id long, user_id long, value double").coalesce(1)
+    x.selectExpr("event_id", "timestamp'2024-01-01' as ts", "user_id", "'view' as event_type", "value", "'{\"k\": 1}' as props").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = {tuple(r) for r in queries()["E24_rank_features"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(oracle_sql()["E24_rank_features"]).fetchall())

@@ -75,6 +75,21 @@ def test_bootstraps_have_the_replicates_of_the_reference(spark, monkeypatch):
     assert seen == [1000]
 
 
+def test_models_have_the_folds_of_the_reference(spark, monkeypatch):
+    from pdmspark.operators import models
+
+    seen = {}
+    monkeypatch.setattr(models, "feature_set_screen", lambda df, *rest: seen.update(I9=df) or df.select("event_id"))
+    monkeypatch.setattr(models, "logistic_oof", lambda df, *rest: seen.update(I6=df) or df.selectExpr("*", "prob as oof_probability"))
+    monkeypatch.setattr(models, "forest_oof", lambda df, *rest: seen.update(I7=df) or df.selectExpr("*", "prob as oof_probability"))
+    for name in ("I6_logistic_oof", "I7_forest_oof", "I9_feature_set_screen"):
+        QUERIES[name](spark, SF)
+    rows = spark.read.parquet(f"{SF}/events.parquet").count()
+    for name, folds in (("I6", 6), ("I7", 6), ("I9", 5)):
+        found = {r["fold"]: r["count"] for r in seen[name].groupBy("fold").count().collect()}
+        assert set(found) == set(range(1, folds + 1)) and sum(found.values()) == rows
+
+
 def test_scale_has_quantiles_of_all_rows(spark):
     rows = QUERIES["E6_fit_scale_whole"](spark, SF).where("feature = 'value'").collect()
     values = spark.read.parquet(f"{SF}/events.parquet").select("event_type", "value").toPandas().groupby("event_type")["value"]
